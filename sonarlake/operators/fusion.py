@@ -128,7 +128,8 @@ def reliability(df: DataFrame, temperature: float = 1.35, uncertainty_lambda: fl
     breakdown = F.map_from_arrays(
         F.array(*[F.lit(k) for k in parts], F.lit("uncertainty")),
         F.array(*[F.round(w * c * 100.0, 1) for w, c in parts.values()], F.round(penalty * 100.0, 1)))
-    out = df.withColumn("reliability_pct", F.round(clip(total - penalty, 0.0, 1.0) * 100.0, 1))
+    out = df.withColumn("reliability_raw", clip(total - penalty, 0.0, 1.0)).withColumn(
+        "reliability_pct", F.round(F.col("reliability_raw") * 100.0, 1))
     tier = F.when(F.col("reliability_pct") >= 75.0, "CONFIRMED").when(F.col("reliability_pct") >= 45.0, "PROBABLE").otherwise("UNCERTAIN")
     return out.withColumn("tier", tier).withColumn("breakdown", breakdown)
 

@@ -91,13 +91,14 @@ def ellipse_polygon(df: DataFrame, lat: str = "target_lat", lon: str = "target_l
         "_dlat": F.col("ellipse_a_m") / METRES_PER_DEGREE,
         "_dlon": F.col("ellipse_b_m") / (METRES_PER_DEGREE * F.greatest(F.lit(0.1), F.cos(F.radians(F.col(lat))))),
         "_cos": F.cos(phi), "_sin": F.sin(phi)})
-    steps = [2.0 * math.pi * i / (points - 1) for i in range(points)]
+    circle = F.array(*[F.struct(F.lit(math.cos(2.0 * math.pi * i / (points - 1))).alias("c"), F.lit(math.sin(2.0 * math.pi * i / (points - 1))).alias("s"))
+                       for i in range(points)])
 
-    def vertex(theta: float) -> Column:
-        x, y = F.col("_dlon") * math.cos(theta), F.col("_dlat") * math.sin(theta)
+    def vertex(p: Column) -> Column:
+        x, y = F.col("_dlon") * p["c"], F.col("_dlat") * p["s"]
         return F.array(F.col(lon) + x * F.col("_cos") - y * F.col("_sin"), F.col(lat) + x * F.col("_sin") + y * F.col("_cos"))
 
-    return staged.withColumn("polygon", F.array(*[vertex(s) for s in steps])).drop("_dlat", "_dlon", "_cos", "_sin")
+    return staged.withColumn("polygon", F.transform(circle, vertex)).drop("_dlat", "_dlon", "_cos", "_sin")
 
 
 def near_points(points: DataFrame, key: list[str], point_id: str, metres: float) -> DataFrame:

@@ -70,3 +70,25 @@ def with_chunks(df: DataFrame, index: str, size: int, before: int = 0, after: in
     hi = F.floor((i + before) / F.lit(float(size))).cast("bigint")
     own = F.floor(i / F.lit(float(size))).cast("bigint")
     return df.withColumn("_chunk", F.explode(F.sequence(lo, hi))).withColumn("_own", F.col("_chunk") == own)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], name: str = "q") -> DataFrame:
+    """Linearly interpolated quantiles per key as rows (keys, ``<name>_no``, ``<name>``), for any number of distinct values.
+
+    Equal values are counted first; a range-partitioned running count then tells which two values each quantile lies
+    between, so no task sees a whole group (the built-in exact percentile gathers a group's distinct values).
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    placed = running_sums(counts, [*keys, "_one"], [value], {"_upto": "_n"})
+    totals = counts.groupBy(*keys, "_one").agg(F.sum("_n").alias("_all"))
+    asked = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
+    at = lambda x: x["q"] * (F.col("_all") - 1)
+    start = F.col("_upto") - F.col("_n")
+    hits = lambda pos: (pos >= start) & (pos < F.col("_upto"))
+    rows = placed.join(totals, [*keys, "_one"]).withColumn("_a", F.explode(F.filter(
+        asked, lambda x: hits(F.floor(at(x))) | hits(F.ceil(at(x))))))
+    pos = F.col("_a.q") * (F.col("_all") - 1)
+    pair = rows.groupBy(*keys, F.col("_a.no").alias(f"{name}_no")).agg(
+        F.max(F.when(hits(F.floor(pos)), F.col(value))).alias("_lo"), F.max(F.when(hits(F.ceil(pos)), F.col(value))).alias("_hi"),
+        F.first(pos - F.floor(pos)).alias("_f"))
+    return pair.select(*keys, f"{name}_no", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))

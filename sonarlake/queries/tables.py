@@ -221,6 +221,8 @@ def with_tables(names: Iterable[str], sql: str) -> str:
     if not ordered:
         return body
     head = ",\n".join(f"{n} as ({SQL[n].strip()})" for n in ordered)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {head},\n{body[5:]}"
     return f"with {head}\n{body}"
