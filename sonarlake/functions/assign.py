@@ -35,3 +35,26 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
             owner[col] = owner[came[col]]
             col = came[col]
     return [(int(owner[c]) - 1, c - 1) for c in range(1, m + 1) if owner[c]]
+
+
+def matched_pairs(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
+    """``assign`` on each group of rows and columns linked by allowed pairs; the rest cannot match anyway."""
+    pairs: list[tuple[int, int]] = []
+    row_free, col_free = allowed.any(axis=1), allowed.any(axis=0)
+    for start in np.flatnonzero(row_free):
+        if not row_free[start]:
+            continue
+        rows = np.zeros(len(row_free), dtype=bool)
+        rows[start] = True
+        cols = np.zeros(len(col_free), dtype=bool)
+        while True:
+            more_cols = allowed[rows].any(axis=0)
+            more_rows = allowed[:, more_cols].any(axis=1) | rows
+            if (more_cols == cols).all() and (more_rows == rows).all():
+                break
+            rows, cols = more_rows, more_cols
+        row_free &= ~rows
+        r, c = np.flatnonzero(rows), np.flatnonzero(cols)
+        found = [(0, 0)] if len(r) == len(c) == 1 else assign(cost[np.ix_(r, c)])
+        pairs += [(int(r[i]), int(c[j])) for i, j in found]
+    return pairs

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.operators.waterfall import histogram
+from sonarlake.plans.durable import durable
 from sonarlake.plans.iterate import connected_components
 from sonarlake.plans.ordered import with_chunks
 from sonarlake.plans.spatial import BOX, box_pairs
@@ -300,7 +301,7 @@ def rank_regimes(centres: Sequence[Sequence[float]]) -> dict[int, int]:
 def seabed_regimes(features: DataFrame, k: int = 4, seed: int = 7, max_iter: int = 15) -> DataFrame:
     """K-means regimes; only the k cluster centres reach the driver, to be ranked."""
     names = ["mean", "std", "rough", "grad", "nadir_dist"]
-    vec = VectorAssembler(inputCols=names, outputCol="_f").transform(features)
+    vec = VectorAssembler(inputCols=names, outputCol="_f").transform(durable(features, "features"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_k").fit(vec)
     regime = rank_regimes([list(c) for c in model.clusterCenters()])
     lookup = F.create_map(*[F.lit(int(x)) for kv in regime.items() for x in kv])

@@ -35,9 +35,10 @@ def class_dim(spark: SparkSession, names: Mapping | Sequence[str]) -> DataFrame:
 
 def parse_labels(lines: DataFrame) -> DataFrame:
     """Split label lines ``class cx cy w h``; values that are not numbers become null."""
-    p = F.split(F.trim("line"), r"\s+")
+    p = F.col("_fields")
     num = lambda i: F.get(p, F.lit(i)).try_cast("double")
-    return lines.withColumns({"n_fields": F.size(p), "class_id": F.get(p, F.lit(0)).try_cast("bigint"), "cx": num(1), "cy": num(2), "w": num(3), "h": num(4)})
+    split = lines.withColumn("_fields", F.split(F.trim("line"), r"\s+"))
+    return split.withColumns({"n_fields": F.size(p), "class_id": F.get(p, F.lit(0)).try_cast("bigint"), "cx": num(1), "cy": num(2), "w": num(3), "h": num(4)}).drop("_fields")
 
 
 def validate_labels(lines: DataFrame, n_classes: int) -> DataFrame:
@@ -235,7 +236,8 @@ def roi_catalogue(labels: DataFrame, ratio: float, width: Column | float, height
     """Expanded region per label with a sample id. ``labels``: image_name, class_name, box_no, cx, cy, w, h, split."""
     r = expand_bbox(to_pixels(labels, width, height), ratio, width, height)
     sid = F.concat(F.regexp_replace("image_name", r"\.[^.]*$", ""), F.lit("_roi"), F.lpad(F.col("box_no").cast("string"), 2, "0"), F.lit("_"), F.col("class_name"))
-    return r.withColumn("sample_id", sid).filter("rx2 > rx1 and ry2 > ry1")
+    # a region is empty exactly when it starts beyond the image
+    return r.withColumn("sample_id", sid).filter((F.col("rx1") < width) & (F.col("ry1") < height))
 
 
 def roi_counts(catalogue: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.config import TrackSettings
-from sonarlake.functions.assign import assign
+from sonarlake.functions.assign import matched_pairs
 from sonarlake.plans.ordered import dense_index, running_sums, with_chunks
 
 POS_SCALE, SIZE_SCALE = 100.0, 100.0
@@ -67,7 +67,7 @@ class FrameTracker:
             dist = np.hypot(expect[:, :1] - np.asarray(xs)[None, :], expect[:, 1:] - np.asarray(ys)[None, :])
             other = np.array([[0.0 if (d == tr["name"] or "Unknown" in str(d)) else cfg.class_penalty for d in names] for tr in self.live])
             cost = np.where(dist <= cfg.match_dist_px, dist + other, 1e6)
-            for i, j in assign(cost):
+            for i, j in matched_pairs(cost, cost < 1e5):
                 if cost[i, j] < 1e5:
                     tr = self.live[i]
                     tr["history"] = (tr["history"] + [(float(frame), float(xs[j]), float(ys[j]))])[-(cfg.seq_len + cfg.horizon):]
@@ -139,7 +139,9 @@ def track(dets: DataFrame, cfg: TrackSettings = TrackSettings(), order: str = "d
 
     types = {f.name: f.dataType.simpleString() for f in lean.schema.fields}
     schema = f"survey_id {types['survey_id']}, segment bigint, {order} {types[order]}, local_id bigint, hits bigint"
-    walked = (lean.withColumn("segment", F.col("segment").cast("bigint")).repartition("survey_id", "segment")
+    # a fixed number of partitions: walking is compute-bound, so small inputs must not be folded into one task
+    width = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walked = (lean.withColumn("segment", F.col("segment").cast("bigint")).repartition(width, "survey_id", "segment")
               .sortWithinPartitions("survey_id", "segment", "frame_id", order).mapInPandas(walk, schema))
     # ids of later stretches continue after those of earlier ones
     sizes = walked.groupBy("survey_id", "segment").agg(F.max("local_id").alias("_n"))

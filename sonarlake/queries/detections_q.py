@@ -291,13 +291,13 @@ CAND = """cand as (select image_id, gt_id * 2 + k as cand_id, x1 + 3 * k + gt_id
 
 
 def anomalies(spark, sf):
-    return t.gt(spark, sf).filter("gt_id % 4 <> 1").selectExpr(
+    return t.gt(spark, sf).selectExpr(
         "image_id", "gt_id as anom_id", "x1 + 12 as x1", "y1 + 9 as y1", "x2 + 12 as x2", "y2 + 9 as y2", "(gt_id * 7 % 100) / 100D as anomaly_score",
         "gt_id % 5 = 0 as has_shadow")
 
 
 ANOM = """anom as (select image_id, gt_id as anom_id, x1 + 12 as x1, y1 + 9 as y1, x2 + 12 as x2, y2 + 9 as y2, (gt_id * 7 % 100) / 100e0 as anomaly_score, gt_id % 5 = 0 as has_shadow
- from fx_gt where gt_id % 4 <> 1)"""
+ from fx_gt)"""
 
 
 def spots(tbl: str, ident: str, cnt: str) -> str:

@@ -351,7 +351,7 @@ pm as (select det_id, case when xc < x1 then x1 - 1 - xc else xc - x2 end as d,
 sl as (select det_id, coalesce(min(d) filter (not m < 0.7e0 * bg), count(*)) as len from pm join bg using (det_id) group by 1),
 z as (select ob.*, bx.m, bg, p95, sd, en, case when st.m / greatest(1, bg) < 1 then st.m / greatest(1, bg) else 1e0 end as ratio, sl.len from ob join bx using (det_id) join bg using (det_id) join pv using (det_id) left join st using (det_id) left join sl using (det_id))
 select det_id, round((m - bg) / (m + bg + 1), 6) as impedance_contrast_idx, round(20 * log10((m + 1) / (bg + 1)), 6) as contrast_db, round(20 * log10((p95 + 1) / (bg + 1)), 6) as peak_db,
- round(1 - ratio, 6) as shadow_depth, round(least(50, m / greatest(1, ratio * bg)), 5) as highlight_shadow_ratio, round(case when ratio < 1 then len else 0 end * 1e0 / {MX}, 6) as shadow_length_rel,
+ round(1 - ratio, 6) as shadow_depth, round(least(50, m / greatest(1, ratio * bg)) / 3, 6) as highlight_third, round(case when ratio < 1 then len else 0 end * 1e0 / {MX}, 6) as shadow_length_rel,
  round(sd / greatest(1, m), 6) as texture_cv, round(en, 6) as entropy, round(ln(1e0 + (x2 - x1) * (y2 - y1)), 6) as log_area,
  round(sqrt((pow({MX}, 2) - 1) / (pow(least(x2 - x1, y2 - y1), 2) - 1)), 6) as elongation, 1e0 as fill_ratio from z"""
 
@@ -359,7 +359,8 @@ select det_id, round((m - bg) / (m + bg + 1), 6) as impedance_contrast_idx, roun
 @query("w20_acoustic_signature", "fx_pred", "fx_cells", sql=SIG)
 def _(spark, sf):
     s = sg.acoustic_signature(objects(spark, sf), t.waterfall(spark, sf), W, H, edge=False)
-    return s.select("det_id", *[r(c, 5 if c == "highlight_shadow_ratio" else 6) for c in sg.FEATURES if c != "edge_sharpness"])
+    return s.select("det_id", F.round(F.col("highlight_shadow_ratio") / 3, 6).alias("highlight_third"),
+                    *[r(c) for c in sg.FEATURES if c not in ("edge_sharpness", "highlight_shadow_ratio")])
 
 
 @query("w20_edge_sharpness")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Accepted input extensions and the largest accepted upload.
 LOG_EXTENSIONS = [".xtf", ".jsf"]
-IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff"]
+IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".bmp", ".webp"]
 MAX_BYTES = 1024 * 1024 * 1024
 
 
