@@ -13,6 +13,7 @@ from sonarlake.plans.ordered import dense_index
 CSV_COLUMNS = ["survey_id", "run_id", "frame_id", "timestamp", "class_name", "detection_type", "confidence", "x1", "y1", "x2", "y2", "mask_area_px",
                "anomaly_score", "reconstruction_error", "track_id", "latitude", "longitude", "positional_uncertainty_m", "snr_db", "scqi",
                "model_version", "config_hash"]
+TEXT_COLUMNS = ["survey_id", "run_id", "class_name", "detection_type", "model_version", "config_hash"]
 CRS84 = "urn:ogc:def:crs:OGC:1.3:CRS84"
 
 
@@ -29,7 +30,9 @@ def csv_rows(df: DataFrame) -> DataFrame:
         kind = df.schema["model_version"].dataType.typeName()
         version = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("model_version")))) if kind == "map" else F.col("model_version")
     box = {n: F.get("bbox", F.lit(i)) if "bbox" in df.columns else _or(df, n, None) for i, n in enumerate(("x1", "y1", "x2", "y2"))}
-    return df.select(*[(box[c] if c in box else version if c == "model_version" else _or(df, c, None)).alias(c) for c in CSV_COLUMNS])
+    picked = {c: box[c] if c in box else version if c == "model_version" else _or(df, c, None) for c in CSV_COLUMNS}
+    known = {*df.columns, *box, "model_version"}
+    return df.select(*[(v if c in known else v.cast("string" if c in TEXT_COLUMNS else "double")).alias(c) for c, v in picked.items()])
 
 
 def export_csv(df: DataFrame, path: str) -> None:
