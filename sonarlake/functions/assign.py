@@ -13,7 +13,16 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     n, m = cost.shape
     row_price, col_price = np.zeros(n + 1), np.zeros(m + 1)
     owner = np.zeros(m + 1, dtype=int)
+    # start from row minima: rows that like different columns are settled at once
+    favourite = cost.argmin(axis=1)
+    row_price[1:] = cost[np.arange(n), favourite]
+    waiting = []
     for row in range(1, n + 1):
+        if owner[favourite[row - 1] + 1] == 0:
+            owner[favourite[row - 1] + 1] = row
+        else:
+            waiting.append(row)
+    for row in waiting:
         owner[0] = row
         col, slack, seen, came = 0, np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool), np.zeros(m + 1, dtype=int)
         while True:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.config import TrackSettings
 from sonarlake.functions.assign import matched_pairs
+from sonarlake.plans.durable import durable
 from sonarlake.plans.ordered import dense_index, running_sums, with_chunks
 
 POS_SCALE, SIZE_SCALE = 100.0, 100.0
@@ -113,29 +114,31 @@ def track(dets: DataFrame, cfg: TrackSettings = TrackSettings(), order: str = "d
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, tracker, held = None, None, None
 
-        def finish(frame_rows: pd.DataFrame) -> pd.DataFrame:
-            ids = tracker.update(int(frame_rows["frame_id"].iloc[0]), frame_rows["x"].to_numpy(), frame_rows["y"].to_numpy(), list(frame_rows["class_name"]))
-            return pd.DataFrame({"survey_id": frame_rows["survey_id"], "segment": frame_rows["segment"], order: frame_rows[order],
-                                 "local_id": [i for i, _ in ids], "hits": [h for _, h in ids]})
+        def run(pdf: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+            nonlocal where, tracker
+            survey, stretch, frame = (pdf[c].to_numpy() for c in ("survey_id", "segment", "frame_id"))
+            xs, ys, names = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["class_name"].to_numpy()
+            marks: list[tuple[int, int]] = []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if (survey[a], stretch[a]) != where:
+                    where, tracker = (survey[a], stretch[a]), FrameTracker(cfg)
+                marks += tracker.update(int(frame[a]), xs[a:b], ys[a:b], names[a:b])
+            done = pdf.iloc[: bounds[-1]]
+            return pd.DataFrame({"survey_id": done["survey_id"], "segment": done["segment"], order: done[order],
+                                 "local_id": [i for i, _ in marks], "hits": [h for _, h in marks]})
 
         for pdf in batches:
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
-            parts = [g for _, g in pdf.groupby(["survey_id", "segment", "frame_id"], sort=False)]
-            held = parts.pop() if parts else None
-            out = []
-            for g in parts:
-                key = (g["survey_id"].iloc[0], g["segment"].iloc[0])
-                if key != where:
-                    where, tracker = key, FrameTracker(cfg)
-                out.append(finish(g))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            if not len(pdf):
+                continue
+            keys = [pdf[c].to_numpy() for c in ("survey_id", "segment", "frame_id")]
+            cuts = [0, *(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1).tolist()]
+            held = pdf.iloc[cuts[-1]:]  # the last frame may go on in the next batch
+            if len(cuts) > 1:
+                yield run(pdf, cuts)
         if held is not None and len(held):
-            key = (held["survey_id"].iloc[0], held["segment"].iloc[0])
-            if key != where:
-                tracker = FrameTracker(cfg)
-            yield finish(held)
+            yield run(held, [0, len(held)])
 
     types = {f.name: f.dataType.simpleString() for f in lean.schema.fields}
     schema = f"survey_id {types['survey_id']}, segment bigint, {order} {types[order]}, local_id bigint, hits bigint"
@@ -143,6 +146,7 @@ def track(dets: DataFrame, cfg: TrackSettings = TrackSettings(), order: str = "d
     width = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     walked = (lean.withColumn("segment", F.col("segment").cast("bigint")).repartition(width, "survey_id", "segment")
               .sortWithinPartitions("survey_id", "segment", "frame_id", order).mapInPandas(walk, schema))
+    walked = durable(walked, "tracks")  # read twice below
     # ids of later stretches continue after those of earlier ones
     sizes = walked.groupBy("survey_id", "segment").agg(F.max("local_id").alias("_n"))
     offsets = running_sums(sizes, ["survey_id"], ["segment"], {"_upto": "_n"}).select("survey_id", "segment", (F.col("_upto") - F.col("_n")).alias("_before"))
