@@ -5,7 +5,6 @@ import zlib
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from sonarlake.queries.streaming_q import jsf_bytes, xtf_bytes
 from sonarlake.sources import export as ex
@@ -131,4 +130,3 @@ def test_jsf_file_versions(spark):
 def test_header_epoch_rejects_bad_fields(spark):
     df = spark.createDataFrame([(2024, 2, 30, 1, 1, 1, 0), (2024, 2, 29, 1, 1, 1, 50)], "year int, month int, day int, hour int, minute int, second int, hsecond int")
     assert [r.epoch_s for r in lg.header_epoch(df).orderBy("day").collect()] == [1709168461.5, None]
-    assert F is not None
