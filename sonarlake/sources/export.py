@@ -31,7 +31,7 @@ def csv_rows(df: DataFrame) -> DataFrame:
         version = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("model_version")))) if kind == "map" else F.col("model_version")
     box = {n: F.get("bbox", F.lit(i)) if "bbox" in df.columns else _or(df, n, None) for i, n in enumerate(("x1", "y1", "x2", "y2"))}
     picked = {c: box[c] if c in box else version if c == "model_version" else _or(df, c, None) for c in CSV_COLUMNS}
-    known = {*df.columns, *box, "model_version"}
+    known = {*df.columns, "model_version", *(box if "bbox" in df.columns else ())}
     return df.select(*[(v if c in known else v.cast("string" if c in TEXT_COLUMNS else "double")).alias(c) for c, v in picked.items()])
 
 
