@@ -64,21 +64,22 @@ class Generations:
 
     def values(self, keys: list) -> list:
         """The values of ``keys`` in order; ``make`` turns the list of unknown keys into their values."""
-        young, old = self.young, self.old
-        try:
-            return [young[k] for k in keys]
-        except KeyError:
-            pass
-        fresh = []
-        for k in dict.fromkeys(keys):
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    fresh.append(k)
-        if fresh:
-            young.update(zip(fresh, self.make(fresh)))
-        out = [young[k] for k in keys]
-        if len(young) > self.size:
-            self.old, self.young = young, {}
+        young = self.young
+        out = list(map(young.get, keys))
+        if None in out:
+            gaps = [i for i, v in enumerate(out) if v is None]
+            fresh = dict.fromkeys(keys[i] for i in gaps)
+            if self.old:
+                for k in fresh:
+                    if (v := self.old.get(k)) is not None:
+                        young[k] = v
+                fresh = [k for k in fresh if k not in young]
+            else:
+                fresh = list(fresh)
+            if fresh:
+                young.update(zip(fresh, self.make(fresh)))
+            for i in gaps:
+                out[i] = young[keys[i]]
+            if len(young) > self.size:
+                self.old, self.young = young, {}
         return out

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import divergence
+from . import divergence, packing
 from .common import table
 
+BYTE_BPE = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,3 +28,15 @@ def query(name: str, sql: str | None = None):
 @query("op6_divergence_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of an installed public vocabulary; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), window=1024, end_id=0)
