@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, packing
+from . import divergence, packing, token_store
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -37,6 +37,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_token_store")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_check(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2)
+
+
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), window=1024, end_id=0)
