@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, packing, token_store
+from . import divergence, packing, rank_queue_bpe, token_store
 from .common import table
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, MULTI_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_check(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2)
 
 
+@query("op4_rank_queue_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return rank_queue_bpe.digest_texts(table(spark, sf_dir, "documents"), vocabulary(MULTI_BPE), public_tokenizers.PATTERN)
+
+
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), window=1024, end_id=0)
