@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, packing, rank_queue_bpe, token_store
+from . import divergence, jaccard_join, packing, rank_queue_bpe, token_store
 from .common import table
 
 BYTE_BPE, MULTI_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_queue_bpe.digest_texts(table(spark, sf_dir, "documents"), vocabulary(MULTI_BPE), public_tokenizers.PATTERN)
 
 
+@query("op7_partition_jaccard")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), window=1024, end_id=0)
