@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, jaccard_join, packing, rank_queue_bpe, token_store
+from . import divergence, fm_quality, jaccard_join, packing, rank_queue_bpe, token_store, toxicity_chain
 from .common import table
 
 BYTE_BPE, MULTI_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op5_toxicity_chain")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_chain.score(docs, toxicity_chain.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op6_divergence_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(table(spark, sf_dir, "documents"))
@@ -37,6 +43,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_fm_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fm_quality.score(docs, fm_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op3_token_store")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_check(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2)
