@@ -2,8 +2,9 @@
 
 Layout of a store folder:
 
-* ``ids-00000.bin`` ...: 16 bytes of header (magic, format, shard number), then the raw ids of the shard's documents, one
-  after the other, as little-endian unsigned 32-bit integers. Shards follow each other in ascending document order.
+* ``ids-00000.bin`` ...: 16 bytes of header (magic, bytes per id, shard number), then the raw ids of the shard's
+  documents, one after the other, as little-endian unsigned integers of two bytes, or four if the vocabulary needs them.
+  Shards follow each other in ascending document order.
 * ``index-00000.mph`` ...: one per bucket of keys. Levels of bit arrays give each key of the bucket its own slot 0..n-1
   (minimal perfect hashing by cascading collisions: a key alone on its bit of a level stays there, the others go on to
   the next level; the slot is the rank of the bit). Per slot: fingerprint, shard, first id, number of ids.
@@ -148,14 +149,19 @@ class TokenStore:
     directory: DataFrame | None = None
 
 
-def _write_shards(folder: str, tokenizer_file: str, end_id: int):
+def id_bytes(tokenizer_file: str, end_id: int) -> int:
+    """Bytes that hold every id of the vocabulary and the end id."""
+    return 2 if max(len(encoder(tokenizer_file).led) - 1, end_id) < 1 << 16 else 4
+
+
+def _write_shards(folder: str, tokenizer_file: str, end_id: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = TaskContext.get().partitionId()
         encode, end = encoder(tokenizer_file), int(end_id).to_bytes(4, "little")
         keys, copies, firsts, sizes = [], [], [], []
 
         def parts():
-            yield MAGIC + struct.pack("<II", 1, shard)
+            yield MAGIC + struct.pack("<II", width, shard)
             at, last, copy = 0, object(), 0
             for batch in batches:
                 held = []
@@ -167,7 +173,7 @@ def _write_shards(folder: str, tokenizer_file: str, end_id: int):
                     keys.append(key), copies.append(copy), firsts.append(at), sizes.append(len(raw) // 4)
                     at += len(raw) // 4
                     held.append(raw)
-                yield b"".join(held)
+                yield np.frombuffer(b"".join(held), "<u4").astype(f"<u{width}").tobytes()
 
         write_file(folder, f"ids-{shard:05d}.bin", parts())
         if keys:
@@ -204,10 +210,11 @@ def write_store(docs: DataFrame, tokenizer_file: str, end_id: int = 2, text: str
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
+    width = id_bytes(tokenizer_file, end_id)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs, doc_id=doc_id, _text=text)
     ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "_text")
-    directory = durable(ordered.mapInPandas(_write_shards(folder, tokenizer_file, end_id), DIRECTORY), "directory")
+    directory = durable(ordered.mapInPandas(_write_shards(folder, tokenizer_file, end_id, width), DIRECTORY), "directory")
     found = directory.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).orderBy("shard").collect()
     start, listed = 0, []
     for r in found:
@@ -216,7 +223,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, end_id: int = 2, text: str
     buckets = max(1, math.ceil(sum(r["n"] for r in found) / BUCKET_KEYS))
     keyed = _with_bucket(directory, buckets)
     made = keyed.groupBy("bucket").applyInPandas(_write_index(folder), "bucket int, keys long").collect()
-    manifest = {"format": 1, "end_id": end_id, "buckets": buckets, "filled": sorted(r["bucket"] for r in made), "shards": listed}
+    manifest = {"format": 1, "id_bytes": width, "end_id": end_id, "buckets": buckets, "filled": sorted(r["bucket"] for r in made), "shards": listed}
     write_file(folder, "manifest.json", [json.dumps(manifest).encode()])
     return TokenStore(folder, manifest, directory)
 
@@ -257,11 +264,12 @@ def locate(store: TokenStore, keys: DataFrame) -> DataFrame:
 
 
 def read_documents(store: TokenStore, keys: DataFrame, body) -> DataFrame:
-    """One row per located key: doc_id, copy, start, n_tokens and ``body(raw id bytes)`` as a long.
+    """One row per located key: doc_id, copy, start, n_tokens and ``body(ids)`` as a long, ids being an array of unsigned 32-bit integers.
 
     Places are read in file order, so a full read is one pass over each shard.
     """
     folder = store.folder
+    width = store.manifest["id_bytes"]
     starts = {s["shard"]: s["start"] for s in store.manifest["shards"]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,18 +278,18 @@ def read_documents(store: TokenStore, keys: DataFrame, body) -> DataFrame:
         for batch in batches:
             out = []
             for shard, first, n in zip(batch["shard"].tolist(), batch["first"].tolist(), batch["n_tokens"].tolist()):
-                if shard != now or HEADER + 4 * first < at:
+                if shard != now or HEADER + width * first < at:
                     if stream is not None:
                         stream.close()
                     now, at = shard, HEADER
                     stream = files.open_input_stream(f"{path}/ids-{shard:05d}.bin", buffer_size=1 << 20)
-                    if stream.read(HEADER) != MAGIC + struct.pack("<II", 1, shard):
+                    if stream.read(HEADER) != MAGIC + struct.pack("<II", width, shard):
                         raise ValueError(f"shard {shard} has a foreign header")
-                if (gap := HEADER + 4 * first - at) > 0:
+                if (gap := HEADER + width * first - at) > 0:
                     stream.read(gap)
-                raw = stream.read(4 * n)
-                at = HEADER + 4 * (first + n)
-                out.append((starts[shard] + first, body(raw)))
+                raw = stream.read(width * n)
+                at = HEADER + width * (first + n)
+                out.append((starts[shard] + first, body(np.frombuffer(raw, f"<u{width}").astype("<u4"))))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "copy": batch["copy"], "start": [x[0] for x in out],
                                 "n_tokens": batch["n_tokens"], "value": [x[1] for x in out]})
 
@@ -308,5 +316,6 @@ def read_one(store: TokenStore, doc_id: int | None, copy: int = 0) -> np.ndarray
     if not known[0]:
         return None
     with files.open_input_file(f"{path}/ids-{slots['shard'][0]:05d}.bin") as f:
-        f.seek(HEADER + 4 * int(slots["first"][0]))
-        return np.frombuffer(f.read(4 * int(slots["n"][0])), "<u4")
+        width = store.manifest["id_bytes"]
+        f.seek(HEADER + width * int(slots["first"][0]))
+        return np.frombuffer(f.read(width * int(slots["n"][0])), f"<u{width}").astype("<u4")
