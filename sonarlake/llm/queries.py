@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc, divergence, fm_quality, jaccard_join, packing, rank_queue_bpe, token_store, toxicity_chain
+from . import arc, divergence, fm_quality, jaccard_join, lsh_forest, packing, rank_queue_bpe, token_store, toxicity_chain
 from .common import table
 
 BYTE_BPE, MULTI_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_quality.score(docs, fm_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op2_prefix_forest")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 @query("op3_token_store")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_check(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2)
