@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import arc, divergence, fm_quality, jaccard_join, lsh_forest, packing, rank_queue_bpe, token_store, toxicity_chain
+from . import arc, divergence, fm_quality, jaccard_join, lsh_forest, packing, rank_queue_bpe, token_store, tool_calls, toxicity_chain
 from .common import table
 
 BYTE_BPE, MULTI_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -31,9 +32,49 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_chain.score(docs, toxicity_chain.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op6_divergence_rules")
+def _op6_sql() -> str:
+    """The same rules in SQL: windows and lines by unnesting, references by language, distances by joins on classes and words."""
+    r = divergence.DivergenceRules()
+    blank = r"[\x20\x09-\x0D]"
+    vocabulary = "(VALUES " + ", ".join("('" + w.replace("'", "''") + "')" for w in r.vocabulary) + ") v(word)"
+    languages = ", ".join(f"'{x}'" for x in r.languages)
+    xlog = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
+    js = f"sum({xlog.format('p', 'q')} + {xlog.format('q', 'p')})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '{blank}+'), lambda x: x <> '') AS words FROM d),
+win AS (SELECT k, i, list_slice(words, i, i + {r.window - 1}) AS win FROM (SELECT k, words, unnest(range(1, len(words) - {r.window - 2})) AS i FROM w WHERE len(words) >= {r.window})),
+rep AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, win) > 1),
+cov AS (SELECT k, count(DISTINCT i + j) AS n FROM rep, range({r.window}) t(j) GROUP BY k),
+lines AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+ch AS (SELECT k, length(text) AS total, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS letters,
+    length(text) - length(regexp_replace(text, '[\p{{Lu}}\p{{Lt}}]', '', 'g')) AS upper, length(text) - length(regexp_replace(text, '\p{{N}}', '', 'g')) AS digit,
+    length(text) - length(regexp_replace(text, '{blank}', '', 'g')) AS blank, length(text) - length(regexp_replace(text, '[.,;:''"()-]', '', 'g')) AS stop,
+    length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS shout, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS symbol FROM d),
+cls AS (SELECT k, total, unnest([letters - upper, upper, digit, blank, stop, shout, symbol, total - letters - digit - blank - stop - shout - symbol]) AS n, unnest(range(8)) AS c FROM ch),
+cref AS (SELECT lang, c, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cls JOIN d USING (k) WHERE lang IN ({languages}) GROUP BY lang, c),
+cdist AS (SELECT k, min(s) AS dist FROM (SELECT k, lang, sqrt(greatest({js} / 2, 0)) AS s FROM (SELECT k, lang, n / total AS p, q FROM cls JOIN cref USING (c) WHERE total >= {r.char_min_chars}) GROUP BY k, lang) GROUP BY k),
+cw AS (SELECT k, word, count(*) AS n FROM (SELECT k, unnest(words) AS word FROM w) JOIN {vocabulary} USING (word) GROUP BY k, word),
+size AS (SELECT k, lang, len(words) AS n_words FROM w),
+wall AS (SELECT lang, sum(n_words) AS total FROM size WHERE lang IN ({languages}) GROUP BY lang),
+wref AS (SELECT lang, word, coalesce(n, 0) / total AS q FROM wall CROSS JOIN {vocabulary} LEFT JOIN (SELECT lang, word, sum(n) AS n FROM cw JOIN size USING (k) GROUP BY lang, word) USING (lang, word)),
+both_ AS (SELECT s.k, f.lang, f.word, coalesce(c.n, 0) / s.n_words AS p, f.q FROM size s CROSS JOIN wref f LEFT JOIN cw c ON c.k = s.k AND c.word = f.word WHERE s.n_words >= {r.word_min_words}),
+full_ AS (SELECT k, lang, p, q FROM both_ UNION ALL SELECT k, lang, greatest(1 - sum(p), 0), 1 - sum(q) FROM both_ GROUP BY k, lang),
+wdist AS (SELECT k, min(s) AS dist FROM (SELECT k, lang, sqrt(greatest({js} / 2, 0)) AS s FROM full_ GROUP BY k, lang) GROUP BY k),
+m AS (SELECT d.doc_id, size.n_words, ch.total - ch.blank AS word_chars, ch.symbol AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+    cdist.dist AS char_distance, wdist.dist AS word_distance
+  FROM d JOIN size USING (k) JOIN ch USING (k) LEFT JOIN lines USING (k) LEFT JOIN cov USING (k) LEFT JOIN cdist USING (k) LEFT JOIN wdist USING (k))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance,
+  NOT base_failed AND NOT coalesce(char_distance > {r.char_limit}, false) AND NOT coalesce(word_distance > {r.word_limit}, false) AS kept
+FROM (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed FROM m)
+"""
+
+
+@query("op6_divergence_rules", _op6_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.divergence_rules(table(spark, sf_dir, "documents"))
+    out = divergence.divergence_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def vocabulary(name: str) -> str:
@@ -88,6 +129,37 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.convert_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
+OP9_SQL = """
+WITH RECURSIVE a AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'assistant'),
+e AS (SELECT a.conv_id, a.turn, p.turn AS parent FROM a LEFT JOIN a p ON p.conv_id = a.conv_id AND a.turn > 1 AND p.turn = a.turn // 2),
+levels(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0 FROM e WHERE parent IS NULL
+  UNION ALL SELECT e.conv_id, e.turn, l.level + 1 FROM e JOIN levels l ON l.conv_id = e.conv_id AND l.turn = e.parent),
+r AS (SELECT conv_id, turn - 1 AS turn, coalesce(text, '') AS content FROM conversations),
+c AS (
+  SELECT a.conv_id, 'call_' || a.conv_id || '_' || a.turn AS call_id, a.turn, l.level, r.content, n,
+    CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'note' ELSE 'convert' END AS name,
+    CASE WHEN n % 3 = 0 AND n % 7 = 0 THEN 'limit is no integer' WHEN n % 3 = 1 AND n % 5 = 0 THEN 'colour is unknown'
+         WHEN n % 3 = 2 AND n % 5 = 0 THEN 'value is missing' ELSE '' END AS errors,
+    CASE n % 3 WHEN 0 THEN '{"limit":' || CASE WHEN n % 7 = 0 THEN '"many"' ELSE a.turn::VARCHAR END || ',"query":' || to_json(a.text)::VARCHAR || '}'
+      WHEN 1 THEN '{' || CASE WHEN n % 5 = 0 THEN '"colour":1,' ELSE '' END || '"tags":["b","a"],"title":' || to_json(a.text)::VARCHAR || '}'
+      ELSE '{"unit":"char"' || CASE WHEN n % 5 = 0 THEN '' ELSE ',"value":' || n || '.5' END || '}' END AS arguments,
+    row_number() OVER (PARTITION BY a.conv_id ORDER BY l.level, a.turn) - 1 AS position
+  FROM a JOIN levels l USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn))
+SELECT conv_id, call_id, turn, name, CAST(level AS INTEGER) AS level, CAST(position AS BIGINT) AS position,
+  CASE WHEN content IS NULL THEN 'unanswered' ELSE 'linked' END AS status, errors,
+  '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","position":' || position || ',"result":' ||
+  coalesce(to_json(content)::VARCHAR, 'null') || ',"valid":' || CASE WHEN errors = '' THEN 'true' ELSE 'false' END || '}' AS record
+FROM c
+"""
+
+
+@query("op9_tool_call_links", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_calls(tool_calls.messages_of(table(spark, sf_dir, "conversations")))
+
+
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), window=1024, end_id=0)
