@@ -261,7 +261,7 @@ def sobel_rows(rows: DataFrame, keys: Sequence[str] = KEY, chunk: int = CHUNK) -
 def seabed_features(rows: DataFrame, radius: int = 7, keys: Sequence[str] = KEY) -> DataFrame:
     """Local mean, deviation, roughness, smoothed gradient and distance from the nadir per cell, each scaled to [0, 1].
 
-    Large images are described on every second row and column, as the clustering uses them.
+    Every cell of every image is described, whatever the image's size.
     """
     cells = sobel_rows(rows, keys).select(*keys, "ping", F.posexplode(F.arrays_zip("samples", "grad")).alias("col", "_z"))
     cells = cells.select(*keys, "ping", "col", F.col("_z.samples").alias("v"), F.col("_z.grad").alias("g"),
@@ -274,8 +274,6 @@ def seabed_features(rows: DataFrame, radius: int = 7, keys: Sequence[str] = KEY)
     s = s.join(size, list(keys)).withColumns({
         "rough": F.col("std") / (F.col("mean") + 1e-4), "grad": F.col("_g") / 25.0,
         "nadir_dist": F.abs(F.col("col") - F.col("w") / 2.0) / F.greatest(F.lit(1.0), F.col("w") / 2.0)})
-    step = F.when((F.col("h") > 256) | (F.col("w") > 256), 2).otherwise(1)
-    s = s.filter((F.col("ping") % step == 0) & (F.col("col") % step == 0))
     names = ("mean", "std", "rough", "grad", "nadir_dist")
     ext = s.groupBy(*keys).agg(*[f(n).alias(f"_{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))])
     scaled = s.join(ext, list(keys))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.operators.evaluation import f1, ratio
 from sonarlake.plans.ordered import exact_quantiles, running_sums
+from sonarlake.plans.totals import with_totals
 
 
 def _by_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,8 +83,8 @@ def select_threshold(df: DataFrame, max_fpr: float = 0.10, steps: int = 200) ->
     both = counts.unionByName(marks.select(F.col("threshold").alias("score"), F.lit(0).alias("pos"), F.lit(0).alias("neg"), "fallback", F.lit(1).alias("kind")).select(
         "score", F.col("pos").cast("bigint"), F.col("neg").cast("bigint"), "fallback", "kind"))
     run = running_sums(both.withColumn("_all", F.lit(1)), ["_all"], ["score", "kind", "fallback"], {"fn": "pos", "tn": "neg"})
-    totals = counts.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).withColumn("_all", F.lit(1))
-    m = run.filter("kind = 1").join(totals, "_all").withColumns({"tp": F.col("_p") - F.col("fn"), "fp": F.col("_n") - F.col("tn")})
+    totals = counts.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    m = with_totals(run.filter("kind = 1"), totals).withColumns({"tp": F.col("_p") - F.col("fn"), "fp": F.col("_n") - F.col("tn")})
     m = _metrics(m.select(F.col("score").alias("threshold"), "fallback", "tp", "fp", "fn", "tn"))
     good = (~F.col("fallback")) & (F.col("fpr") <= max_fpr)
     ranked = m.filter(good | F.col("fallback")).agg(F.max(F.struct(
@@ -146,4 +147,4 @@ def select_policy(df: DataFrame, ratios: Sequence[float] = (0.02, 0.05, 0.1, 0.2
         F.col("tp"), (-F.col("o.no")).alias("t"), F.col("o.k").alias("k"), F.col("o.tau").alias("tau"), F.col("fp")))).alias("m")).select(
         F.coalesce("m.k", F.lit(max(ranks))).alias("mismatch_rank"), F.coalesce("m.tau", F.lit(min(taus))).alias("mismatch_p"),
         F.coalesce("m.tp", F.lit(0.0)).alias("errors_flagged"), F.coalesce("m.fp", F.lit(0.0)).alias("correct_flagged"), F.lit(1).alias("_k"))
-    return best_c.join(best_m, "_k").drop("_k")
+    return with_totals(best_c.drop("_k"), best_m.drop("_k"))

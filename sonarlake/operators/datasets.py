@@ -11,6 +11,7 @@ from sonarlake.operators.detections import expand_bbox, to_pixels
 from sonarlake.operators.evaluation import size_category
 from sonarlake.plans.ordered import dense_index, running_sums
 from sonarlake.plans.spatial import BOX, box_pairs
+from sonarlake.plans.totals import with_totals
 
 # Material super-classes of class names, and the classes kept.
 MATERIALS = {
@@ -134,16 +135,15 @@ def shuffle_key(ident: Column, seed: int = 42) -> Column:
 def _cut(df: DataFrame, keys: Sequence[str], ident: str, fractions: Sequence[tuple[str, float]], seed: int) -> DataFrame:
     """Number rows in shuffled order and cut at truncated shares of the count; the last split takes the rest."""
     numbered = dense_index(df.withColumn("_mix", shuffle_key(F.col(ident), seed)), list(keys), ["_mix", ident], "_pos").drop("_mix")
-    marked = numbered.withColumn("_one", F.lit(1))
-    n = df.withColumn("_one", F.lit(1)).groupBy(*keys, "_one").agg(F.count(F.lit(1)).alias("_n"))
-    out, upto, split = marked.join(n, [*keys, "_one"]), F.lit(0), F.lit(fractions[-1][0])
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out, upto, split = numbered.join(n, list(keys)) if keys else with_totals(numbered, n), F.lit(0), F.lit(fractions[-1][0])
     bounds = []
     for name, share in fractions[:-1]:
         upto = upto + F.floor(F.col("_n") * share)
         bounds.append((name, upto))
     for name, bound in reversed(bounds):
         split = F.when(F.col("_pos") < bound, name).otherwise(split)
-    return out.withColumn("split", split).drop("_pos", "_n", "_one")
+    return out.withColumn("split", split).drop("_pos", "_n")
 
 
 def stratified_split(df: DataFrame, cls: str, ident: str, fractions=(("train", 0.8), ("val", 0.1), ("test", 0.1)), seed: int = 42) -> DataFrame:
@@ -157,14 +157,14 @@ def ratio_split(df: DataFrame, ident: str, fractions=(("train", 0.70), ("val", 0
 def group_split(df: DataFrame, group: str, fractions=(("a", 0.5), ("b", 0.5)), seed: int = 0) -> DataFrame:
     """Whole groups to splits; cut points are the truncated cumulative shares of the group count."""
     groups = dense_index(df.select(group).distinct().withColumn("_mix", shuffle_key(F.col(group), seed)), [], ["_mix", group], "_pos")
-    n = groups.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    n = groups.agg(F.count(F.lit(1)).alias("_n"))
     split, share, bounds = F.lit(fractions[-1][0]), 0.0, []
     for name, part in fractions[:-1]:
         share += part
         bounds.append((name, F.floor(F.col("_n") * share)))
     for name, bound in reversed(bounds):
         split = F.when(F.col("_pos") < bound, name).otherwise(split)
-    marked = groups.withColumn("_one", F.lit(1)).join(n, "_one").withColumn("split", split).select(group, "split")
+    marked = with_totals(groups, n).withColumn("split", split).select(group, "split")
     return df.drop("split").join(marked, group)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sonarlake.plans.durable import discard, save_table
 from sonarlake.plans.ordered import dense_index, running_sums
 from sonarlake.plans.spatial import BOX, best_overlap, box_pairs, pair_iou
+from sonarlake.plans.totals import with_totals
 
 P_ID, G_ID, KEY = "pred_id", "gt_id", "image_id"
 
@@ -114,9 +115,9 @@ def error_summary(parts: dict[str, DataFrame]) -> DataFrame:
     v = F.col("verdict")
     p = parts["predictions"].agg(
         F.count_if(v == "TP").alias("true_positives"), F.count_if(v.isin("FP", "POOR_LOCALISATION")).alias("false_positives"),
-        F.count_if(v == "POOR_LOCALISATION").alias("poor_localization"), F.count_if(v == "LOW_CONF").alias("low_confidence")).withColumn("_k", F.lit(1))
-    g = parts["labels"].agg(F.count(F.lit(1)).alias("labels"), F.count_if(~F.col("matched")).alias("false_negatives")).withColumn("_k", F.lit(1))
-    out = p.join(g, "_k").drop("_k")
+        F.count_if(v == "POOR_LOCALISATION").alias("poor_localization"), F.count_if(v == "LOW_CONF").alias("low_confidence"))
+    g = parts["labels"].agg(F.count(F.lit(1)).alias("labels"), F.count_if(~F.col("matched")).alias("false_negatives"))
+    out = with_totals(p, g)
     return out.withColumns({"precision": ratio(F.col("true_positives"), F.col("true_positives") + F.col("false_positives")),
                             "recall": ratio(F.col("true_positives"), F.col("labels"))})
 
@@ -228,7 +229,7 @@ def confidence_sweep(matches: DataFrame, n_gt: DataFrame, cuts: Sequence[float]
     c = F.array(*[F.lit(float(x)) for x in cuts])
     hit = matches.select("is_tp", F.explode(F.filter(c, lambda x: F.col("conf") >= x)).alias("cut")).groupBy("cut").agg(
         F.count_if("is_tp").alias("tp"), F.count(F.lit(1)).alias("n"))
-    out = hit.withColumn("_k", F.lit(1)).join(n_gt.select(F.lit(1).alias("_k"), "n_gt"), "_k").drop("_k")
+    out = with_totals(hit, n_gt.select("n_gt"))
     out = out.withColumns({"precision": ratio(F.col("tp"), F.col("n")), "recall": ratio(F.col("tp"), F.col("n_gt"))})
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
@@ -246,7 +247,7 @@ def ablation(df: DataFrame, n_gt: DataFrame, pairs: Sequence[tuple[float, float]
     g = x.withColumn("_k", keep).groupBy("alpha", "beta").agg(
         F.count_if("_k").alias("kept"), F.count_if(F.col("_k") & F.col("is_tp")).alias("tp"),
         F.count_if(~F.col("_k") & ~F.col("is_tp")).alias("fp_rejected"), F.count_if(~F.col("is_tp")).alias("_fp"))
-    out = g.withColumn("_j", F.lit(1)).join(n_gt.select(F.lit(1).alias("_j"), "n_gt"), "_j")
+    out = with_totals(g, n_gt.select("n_gt"))
     out = out.withColumns({"precision": ratio(F.col("tp"), F.col("kept")), "recall": ratio(F.col("tp"), F.col("n_gt")),
                            "fp_rejection": F.col("fp_rejected") / F.greatest(F.lit(1), F.col("_fp"))})
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall"))).drop("_j", "_fp", "n_gt")

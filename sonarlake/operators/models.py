@@ -15,6 +15,7 @@ from sonarlake.operators import curves
 from sonarlake.operators import evaluation as ev
 from sonarlake.plans.durable import durable
 from sonarlake.plans.ordered import dense_index
+from sonarlake.plans.totals import with_totals
 
 
 def _pipeline(features: Sequence[str], label: str, family: str, weight: str | None, max_iter: int) -> Pipeline:
@@ -41,8 +42,8 @@ def signature_ablation(train: DataFrame, test: DataFrame, subsets: Mapping[str,
     out = None
     for name, features in subsets.items():
         scored = score(fit_signature(train, features, label), test)
-        one = ev.topk_accuracy(scored, 1, label).select(F.lit(name).alias("subset"), F.col("accuracy").alias("top1"), F.lit(1).alias("_k")).join(
-            ev.topk_accuracy(scored, 3, label).select(F.col("accuracy").alias("top3"), F.lit(1).alias("_k")), "_k").drop("_k")
+        one = with_totals(ev.topk_accuracy(scored, 1, label).select(F.lit(name).alias("subset"), F.col("accuracy").alias("top1")),
+                          ev.topk_accuracy(scored, 3, label).select(F.col("accuracy").alias("top3")))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -50,9 +51,8 @@ def signature_ablation(train: DataFrame, test: DataFrame, subsets: Mapping[str,
 def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
     """Weight n / (classes * count of the row's class)."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    t = n.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_m")).withColumn("_k", F.lit(1))
-    w = n.withColumn("_k", F.lit(1)).join(t, "_k").select(label, (F.col("_n") / (F.col("_m") * F.col("_c"))).alias("weight"))
-    return df.join(F.broadcast(w), label)  # one row per class of a 0/1 label
+    t = n.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_m"))
+    return df.join(with_totals(n, t).select(label, (F.col("_n") / (F.col("_m") * F.col("_c"))).alias("weight")), label)
 
 
 def fit_fusion(df: DataFrame, features: Sequence[str], group: str, label: str = "y", folds: int = 5, max_iter: int = 50) -> tuple[PipelineModel, DataFrame]:

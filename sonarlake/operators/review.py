@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from sonarlake.plans.totals import with_totals
 
 
 def _or(df: DataFrame, name: str, default) -> Column:
@@ -22,8 +23,10 @@ def enqueue(dets: DataFrame, reason: str = "High Uncertainty", ident: str = "det
         _or(dets, "crop_path", "").alias("crop_path"), F.lit(reason).alias("flag_reason"), F.lit("PENDING").alias("status"))
 
 
-def pending_queue(queue: DataFrame, order: str = "id") -> DataFrame:
-    return queue.filter(F.col("status") == "PENDING").orderBy(F.col(order).desc())
+def pending_queue(queue: DataFrame, order: str | None = None) -> DataFrame:
+    """Open items, newest first: by ``order`` (an arrival time or number), else by the number at the end of the id."""
+    newest = F.col(order) if order else F.regexp_extract("id", r"(\d+)$", 1).try_cast("decimal(38,0)")
+    return queue.filter(F.col("status") == "PENDING").orderBy(newest.desc_nulls_last(), F.col("id").desc())
 
 
 def apply_reviews(queue: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,6 +55,6 @@ def update_review(dets: DataFrame, updates: DataFrame, ident: str = "det_id") ->
 def training_set(archive: DataFrame, classes: Sequence[str], minimum: int = 2) -> DataFrame:
     """Confirmed and relabelled items with their class index (unknown names map to 0); empty below ``minimum`` items."""
     good = archive.filter(F.col("action").isin("CONFIRM", "RELABEL"))
-    n = good.agg((F.count(F.lit(1)) >= minimum).alias("_enough")).filter("_enough").withColumn("_one", F.lit(1))
     index = F.greatest(F.array_position(F.array(*[F.lit(c) for c in classes]), F.coalesce("final_class", "class_name")) - 1, F.lit(0))
-    return good.withColumn("_one", F.lit(1)).join(n, "_one", "left_semi").drop("_one").withColumn("label_idx", index)
+    enough = with_totals(good, good.agg((F.count(F.lit(1)) >= minimum).alias("_enough"))).filter("_enough").drop("_enough")
+    return enough.withColumn("label_idx", index)

@@ -13,15 +13,15 @@ from sonarlake.functions.contour import convex_hull, outline, perimeter, polygon
 from sonarlake.operators.cfar import KEY
 
 
-def hull_stats(runs: DataFrame, keys: Sequence[str] = KEY, max_area: int = 10000) -> DataFrame:
-    """Outline area, hull area and perimeter per region of labelled runs (``label_regions``).
+def hull_stats(runs: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """Outline area, hull area and perimeter per region of labelled runs (``label_regions``), of any size.
 
-    Regions above ``max_area`` pixels are no targets and are left out before grouping, so a group is small.
+    A region lies within one image, so the runs of a group are at most those of an image.
     """
     region = F.struct(F.col("region.ping").alias("p"), F.col("region.c0").alias("c"))
     flat = runs.select(*keys, region.alias("_r"), "ping", "c0", "c1")
     size = flat.groupBy(*keys, "_r").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("pixels"))
-    small = flat.join(size.filter(F.col("pixels") <= max_area), [*keys, "_r"]).select(
+    small = flat.join(size, [*keys, "_r"]).select(
         *keys, F.col("_r.p").cast("bigint").alias("first_ping"), F.col("_r.c").cast("bigint").alias("first_col"), "ping", "c0", "c1", "pixels")
     group = [*keys, "first_ping", "first_col"]
     kinds = {f.name: f.dataType.simpleString() for f in small.schema.fields}
@@ -48,6 +48,8 @@ def shape_gate(stats: DataFrame) -> DataFrame:
         "solidity": F.round(F.col("area") / F.greatest(one, F.col("hull_area")), 3),
         "compactness": F.round(4.0 * np.pi * F.col("area") / F.greatest(one, F.col("perimeter") * F.col("perimeter")), 3)})
     tiny = F.col("area") < 10
+    out = out.withColumns({"aspect_ratio": F.when(tiny, 1.0).otherwise(F.col("aspect_ratio"))} | {
+        c: F.when(tiny, 0.0).otherwise(F.col(c)) for c in ("extent", "solidity", "compactness")})
     stretched = (F.col("aspect_ratio") > 7.5) | (F.col("aspect_ratio") < 0.13)
     porous = F.col("solidity") < 0.18
     return out.withColumns({

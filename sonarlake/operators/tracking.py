@@ -16,6 +16,7 @@ from sonarlake.config import TrackSettings
 from sonarlake.functions.assign import matched_pairs
 from sonarlake.plans.durable import durable
 from sonarlake.plans.ordered import dense_index, running_sums, with_chunks
+from sonarlake.plans.totals import with_totals
 
 POS_SCALE, SIZE_SCALE = 100.0, 100.0
 CHUNK = 4096
@@ -216,24 +217,32 @@ def track_snapshot(obs: DataFrame, min_hits: int = 3, keys: Sequence[str] = TRAC
                     v("x").alias("vx"), v("y").alias("vy"), "hits", F.when(F.col("hits") >= min_hits, "confirmed").otherwise("tentative").alias("state"))
 
 
-def tracking_metrics(assigned: DataFrame, min_hits: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """ID switches, continuity, fragmentations, success and false tracks from (gt_id, frame_id, track_id, det_id).
-
-    ``gt_id`` -1 marks a detection without a true object.
-    """
-    real = dense_index(assigned.filter("gt_id >= 0 and track_id is not null"), ["gt_id"], ["frame_id", "det_id"], "_i")
-    w = Window.partitionBy("gt_id", "_chunk").orderBy("_i")
+def track_switches(assigned: DataFrame, keys: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """Identity switches, share of the main track and number of further tracks per true object (keys, gt_id)."""
+    obj = [*keys, "gt_id"]
+    real = dense_index(assigned.filter("gt_id >= 0 and track_id is not null"), obj, ["frame_id", "det_id"], "_i")
+    w = Window.partitionBy(*obj, "_chunk").orderBy("_i")
     steps = with_chunks(real, "_i", chunk, before=1).withColumn("_p", F.lag("track_id").over(w)).filter("_own")
-    per = steps.groupBy("gt_id").agg(F.count_if(F.col("_p") != F.col("track_id")).alias("switches"))
-    votes = real.groupBy("gt_id", "track_id").agg(F.count(F.lit(1)).alias("n")).groupBy("gt_id").agg(
+    per = steps.groupBy(*obj).agg(F.count_if(F.col("_p") != F.col("track_id")).alias("switches"))
+    votes = real.groupBy(*obj, "track_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*obj).agg(
         (F.max("n") / F.sum("n")).alias("dom"), (F.count(F.lit(1)) - 1).alias("frag"))
-    g = per.join(votes, "gt_id").agg(
+    return per.join(votes, obj)
+
+
+def tracking_metrics(assigned: DataFrame, min_hits: int = 3, chunk: int = CHUNK, keys: Sequence[str] = ()) -> DataFrame:
+    """ID switches, continuity, fragmentations, success and false tracks from (keys, gt_id, frame_id, track_id, det_id).
+
+    ``keys`` (say the survey) separate scopes in which ids are numbered anew. ``gt_id`` -1 marks a detection without a
+    true object. A track that two objects share equally belongs to the one it met first.
+    """
+    g = track_switches(assigned, keys, chunk).agg(
         F.count(F.lit(1)).alias("n_gt_tracks"), F.sum("switches").alias("id_switches"), F.avg("dom").alias("track_continuity"),
         F.sum("frag").alias("fragmentations"), F.avg(((F.col("dom") >= 0.8) & (F.col("switches") == 0)).cast("int")).alias("success_rate"))
-    t = assigned.filter("track_id is not null").groupBy("track_id", "gt_id").agg(F.count(F.lit(1)).alias("n"))
-    t = t.groupBy("track_id").agg(F.sum("n").alias("hits"), F.max(F.struct(F.col("n"), (-F.col("gt_id")).alias("g"))).alias("_b")).filter(F.col("hits") >= min_hits)
-    f = t.agg(F.count(F.lit(1)).alias("total_tracks"), F.avg((F.col("_b.g") == 1).cast("int")).alias("false_track_rate"))
-    return g.withColumn("_k", F.lit(1)).join(f.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    t = assigned.filter("track_id is not null").groupBy(*keys, "track_id", "gt_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("frame_id", "det_id")).alias("met"))
+    t = t.groupBy(*keys, "track_id").agg(F.sum("n").alias("hits"), F.min(F.struct((-F.col("n")).alias("n"), F.col("met"), F.col("gt_id").alias("g"))).alias("_b")).filter(F.col("hits") >= min_hits)
+    f = t.agg(F.count(F.lit(1)).alias("total_tracks"), F.avg((F.col("_b.g") == -1).cast("int")).alias("false_track_rate"))
+    return with_totals(g, f)
 
 
 def forecast_errors(pred: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -241,8 +250,7 @@ def forecast_errors(pred: DataFrame, truth: DataFrame, keys: Sequence[str]) -> D
     j = pred.join(truth, [*keys, "step"])
     dx, dy = F.col("px") - F.col("tx"), F.col("py") - F.col("ty")
     first, last = F.col("step") == 1, F.col("step") == F.col("_h")
-    h = pred.agg(F.max("step").alias("_h")).withColumn("_k", F.lit(1))
-    j = j.withColumn("_k", F.lit(1)).join(h, "_k")
+    j = with_totals(j, pred.agg(F.max("step").alias("_h")))
     mae = (F.abs(dx) + F.abs(dy)) / 2
     mse = (dx * dx + dy * dy) / 2
     dist = F.sqrt(dx * dx + dy * dy)

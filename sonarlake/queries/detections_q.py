@@ -126,13 +126,13 @@ def _(spark, sf):
 
 @query("b16_roi_quality", "fx_pred", "fx_cells", sql="""
 with roi as (select pred_id as roi_id, source_gt % 2 as survey_id, cast(least(60, greatest(0, x1 - 60)) as bigint) as x1, cast(greatest(0, y1) as bigint) as y1,
- cast(least(64, x2 - 60) as bigint) as x2, cast(least(250, y2) as bigint) as y2 from fx_pred where x1 - 60 < 60 and x2 - 60 > 0),
+ cast(least(64, x2 - 60) as bigint) as x2, cast(least(250, y2) as bigint) as y2 from fx_pred),
 big as (select * from roi where x2 > x1 and y2 > y1),
 st as (select roi_id, stddev_pop(v) as sd from big b join fx_cells c on c.survey_id = b.survey_id and c.ping >= b.y1 and c.ping < b.y2 and c.col >= b.x1 and c.col < b.x2 group by roi_id)
 select r.roi_id, case when x2 <= x1 or y2 <= y1 then 0e0 when x2 - x1 < 10 or y2 - y1 < 10 then 0.2e0 when coalesce(sd, 0) < 3 then 0.3e0
  else round(greatest(0.4e0, 1 - 0.15e0 * (cast(x1 = 0 as int) + cast(y1 = 0 as int) + cast(x2 = 64 as int) + cast(y2 = 250 as int))), 4) end as quality from roi r left join st using (roi_id)""")
 def _(spark, sf):
-    p = t.pred(spark, sf).filter("x1 - 60 < 60 and x2 - 60 > 0")
+    p = t.pred(spark, sf)
     rois = p.selectExpr("pred_id as roi_id", "source_gt % 2 as survey_id", "cast(least(60, greatest(0, x1 - 60)) as int) as x1", "cast(greatest(0, y1) as int) as y1",
                         "cast(least(64, x2 - 60) as int) as x2", "cast(least(250, y2) as int) as y2")
     return d.roi_quality(rois, t.waterfall(spark, sf), 64, 250).select("roi_id", r("quality", 4))
@@ -323,13 +323,12 @@ def _(spark, sf):
 
 
 @query("c04_fuse_objects", "fx_pred", "fx_gt", sql=f"""with {CAND},
-pr as (select * from fx_pred where conf > 0.6e0),
+pr as (select * from fx_pred),
 m as (select a.image_id, a.pred_id, b.cand_id, row_number() over (partition by a.pred_id order by {iou_sql('a', 'b')} desc, b.cand_id) as rn from pr a join cand b on a.image_id = b.image_id where {MATCH}),
 b as (select p.image_id, p.pred_id, m.cand_id from pr p left join m on m.pred_id = p.pred_id and rn = 1)
 select * from b union all select image_id, null, cand_id from cand c where not exists (select 1 from b where b.image_id = c.image_id and b.cand_id = c.cand_id)""")
 def _(spark, sf):
-    boxes = t.pred(spark, sf).filter("conf > 0.6")
-    return fu.fuse_objects(boxes, candidates(spark, sf), "image_id", "pred_id", "cand_id").select("image_id", "pred_id", "cand_id")
+    return fu.fuse_objects(t.pred(spark, sf), candidates(spark, sf), "image_id", "pred_id", "cand_id").select("image_id", "pred_id", "cand_id")
 
 
 GATE = f"""with {CAND}, {ANOM},

@@ -136,14 +136,14 @@ def _(spark, sf):
 
 
 @query("v11_e2e_rates", "fx_pred", "fx_gt", sql=f"""
-with d as (select *, case when conf >= 0.6e0 then 'known' else 'unknown' end as dt from fx_pred where conf >= 0.4e0),
+with d as (select *, case when conf >= 0.6e0 then 'known' else 'unknown' end as dt from fx_pred),
 k as (select d.image_id, d.pred_id, coalesce(max({iou_sql('d', 'g')}) >= 0.5e0, false) as good from d left join fx_gt g on g.image_id = d.image_id and g.class_id = d.class_id where dt = 'known' group by 1, 2),
 i as (select g.image_id, (select count(*) from k where k.image_id = g.image_id) as known, (select count(*) from k where k.image_id = g.image_id and good) as good,
  (select count(*) from d where d.image_id = g.image_id) as n, (select count(*) from d where d.image_id = g.image_id and dt = 'unknown') as unk from (select distinct image_id from fx_gt) g)
 select count(*) as images, round(avg(cast(good > 0 as int)), 6) as correct_rate, round(avg(cast(good = 0 and known > 0 as int)), 6) as wrong_known_only_rate, round(avg(cast(known = 0 and unk > 0 as int)), 6) as unknown_only_rate,
  round(avg(cast(n = 0 as int)), 6) as nothing_rate, round(sum(good) * 1e0 / sum(known), 6) as known_precision, round(sum(known - good) * 1e0 / count(*), 6) as false_known_per_image from i""")
 def _(spark, sf):
-    d = t.pred(spark, sf).filter("conf >= 0.4").withColumn("det_id", F.col("pred_id")).withColumn("detection_type", F.expr("case when conf >= 0.6D then 'known' else 'unknown' end"))
+    d = t.pred(spark, sf).withColumn("det_id", F.col("pred_id")).withColumn("detection_type", F.expr("case when conf >= 0.6D then 'known' else 'unknown' end"))
     e = ev.e2e_rates(t.gt(spark, sf), d)
     return e.select("images", *[r(c) for c in e.columns if c != "images"])
 
@@ -468,13 +468,14 @@ def _(spark, sf):
 
 
 def catalogue(spark, sf):
-    lab = named(boxes(spark, sf).filter("class_id < 5")).withColumns({
+    lab = named(boxes(spark, sf)).withColumns({
+        "class_name": F.coalesce("class_name", F.lit("unknown")),
         "image_name": F.concat(F.lit("img"), F.col("image_id").cast("string"), F.lit(".png")), "box_no": F.col("line_no") % 10,
         "split": F.expr("case when image_id % 10 < 8 then 'train' else 'val' end")})
     return ds.roi_catalogue(lab, 0.25, 640, 480)
 
 
-CATQ = LAB + f""", rc as (select line_no, image_id, {NAMED} as class_name, case when image_id % 10 < 8 then 'train' else 'val' end as split, (cx - w / 2) * 640 as x1, (cy - h / 2) * 480 as y1, (cx + w / 2) * 640 as x2, (cy + h / 2) * 480 as y2 from le where ok and class_id < 5),
+CATQ = LAB + f""", rc as (select line_no, image_id, case when class_id > 4 then 'unknown' else {NAMED} end as class_name, case when image_id % 10 < 8 then 'train' else 'val' end as split, (cx - w / 2) * 640 as x1, (cy - h / 2) * 480 as y1, (cx + w / 2) * 640 as x2, (cy + h / 2) * 480 as y2 from le where ok),
 rx as (select *, greatest(0, floor(x1 - greatest(1, x2 - x1) * 0.25e0)) as rx1, greatest(0, floor(y1 - greatest(1, y2 - y1) * 0.25e0)) as ry1, least(640, ceil(x2 + greatest(1, x2 - x1) * 0.25e0)) as rx2, least(480, ceil(y2 + greatest(1, y2 - y1) * 0.25e0)) as ry2 from rc)"""
 
 
@@ -551,13 +552,26 @@ def assignments(spark, sf):
 with a as (select case when pred_id % 9 = 0 then -1 else source_gt % 499 end as gt_id, image_id as frame_id, case when pred_id % 13 = 0 then source_gt % 499 + 1 else source_gt % 499 end as track_id, pred_id as det_id from fx_pred),
 s as (select gt_id, count(*) filter (p <> track_id) as sw from (select gt_id, track_id, lag(track_id) over (partition by gt_id order by frame_id, det_id) as p from a where gt_id >= 0) q group by 1),
 v as (select gt_id, max(n) * 1e0 / sum(n) as dom, count(*) - 1 as frag from (select gt_id, track_id, count(*) as n from a where gt_id >= 0 group by 1, 2) q group by 1),
-t as (select track_id, gt_id, count(*) as n from a group by 1, 2), b as (select track_id, sum(n) as hits, arg_max(gt_id, (n, -gt_id)) as g from t group by 1)
+t as (select track_id, gt_id, count(*) as n, min(frame_id * 1000000000 + det_id) as met from a group by 1, 2), b as (select track_id, sum(n) as hits, arg_max(gt_id, (n, -met)) as g from t group by 1)
 select count(*) as n_gt_tracks, cast(sum(sw) as bigint) as id_switches, round(avg(dom), 6) as track_continuity, cast(sum(frag) as bigint) as fragmentations, round(avg(cast(dom >= 0.8e0 and sw = 0 as int)), 6) as success_rate,
  (select count(*) from b where hits >= 3) as total_tracks, (select round(avg(cast(g = -1 as int)), 6) from b where hits >= 3) as false_track_rate from s join v using (gt_id)""")
 def _(spark, sf):
     return tr.tracking_metrics(assignments(spark, sf)).select("n_gt_tracks", "id_switches", r("track_continuity"), "fragmentations", r("success_rate"), "total_tracks", r("false_track_rate"))
 
 
+@query("e12_tracking_per_survey", "fx_pred", sql="""
+with a as (select pred_id % 3 as survey_id, case when pred_id % 9 = 0 then -1 else source_gt % 97 end as gt_id, image_id as frame_id, case when pred_id % 13 = 0 then source_gt % 97 + 1 else source_gt % 97 end as track_id, pred_id as det_id from fx_pred),
+s as (select survey_id, gt_id, count(*) filter (p <> track_id) as sw from (select survey_id, gt_id, track_id, lag(track_id) over (partition by survey_id, gt_id order by frame_id, det_id) as p from a where gt_id >= 0) q group by 1, 2),
+v as (select survey_id, gt_id, max(n) * 1e0 / sum(n) as dom, count(*) - 1 as frag from (select survey_id, gt_id, track_id, count(*) as n from a where gt_id >= 0 group by 1, 2, 3) q group by 1, 2),
+t as (select survey_id, track_id, gt_id, count(*) as n, min(frame_id * 1000000000 + det_id) as met from a group by 1, 2, 3), b as (select survey_id, track_id, sum(n) as hits, arg_max(gt_id, (n, -met)) as g from t group by 1, 2)
+select count(*) as n_gt_tracks, cast(sum(sw) as bigint) as id_switches, round(avg(dom), 6) as track_continuity, cast(sum(frag) as bigint) as fragmentations, round(avg(cast(dom >= 0.8e0 and sw = 0 as int)), 6) as success_rate,
+ (select count(*) from b where hits >= 3) as total_tracks, (select round(avg(cast(g = -1 as int)), 6) from b where hits >= 3) as false_track_rate from s join v using (survey_id, gt_id)""")
+def _(spark, sf):
+    a = t.pred(spark, sf).selectExpr("pred_id % 3 as survey_id", "case when pred_id % 9 = 0 then -1 else source_gt % 97 end as gt_id", "image_id as frame_id",
+                                     "case when pred_id % 13 = 0 then source_gt % 97 + 1 else source_gt % 97 end as track_id", "pred_id as det_id")
+    return tr.tracking_metrics(a, keys=["survey_id"]).select("n_gt_tracks", "id_switches", r("track_continuity"), "fragmentations", r("success_rate"), "total_tracks", r("false_track_rate"))
+
+
 @query("e13_overfit_check", sql="""with l as (select event_type as run_id, event_id as epoch, value / 100e0 as tl, (value + event_id % 40) / 90e0 as vl, row_number() over (partition by event_type order by event_id) - 1 as i, count(*) over (partition by event_type) as n from events)
 select run_id, round(regr_slope(vl, i), 8) as val_slope, round(regr_slope(tl, i), 8) as train_slope, cast(regr_slope(vl, i) > 0.005e0 and regr_slope(tl, i) < -0.002e0 as int) as overfit from l where i >= n - greatest(3, floor(n * 0.25e0)) group by 1""")
 def _(spark, sf):

@@ -122,9 +122,18 @@ def export_sql_dump(df: DataFrame, path: str, mission: str = "mission_default")
 def save_run(detections: DataFrame, survey_id, run_id: str, path: str) -> None:
     """Replace the rows of one survey; survey and run ids come from the header, whatever the records say."""
     stamped = detections.withColumns({"survey_id": F.lit(survey_id), "run_id": F.lit(run_id)})
+    if stamped.isEmpty():  # dynamic overwrite touches only partitions that get rows
+        drop_survey(detections.sparkSession, survey_id, path)
+        return
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("survey_id").parquet(path)
 
 
+def drop_survey(spark: SparkSession, survey_id, path: str) -> None:
+    """Remove the stored rows of one survey."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/survey_id={survey_id}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def save_surveys(detections: DataFrame, path: str) -> None:
     """Replace the rows of every survey present in ``detections`` in one job; other surveys stay."""
     detections.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("survey_id").parquet(path)

@@ -183,9 +183,36 @@ def read_jsf(spark: SparkSession, path: str) -> DataFrame:
 def group_traces(traces: DataFrame, chunk: int = 4096) -> DataFrame:
     """Number pings by message order: a trace on a channel the current ping already has opens the next ping.
 
-    Traces come as runs of alternating channels. A trace starts a ping when its channel equals the previous trace's, or
+    Logs of two channels are numbered by chunks; in logs of more channels a ping's start depends on all before it, so
+    their (trace, channel) numbers run through one task per log, with the open ping's channels as the only state.
+    """
+    many = traces.groupBy("path").agg(F.countDistinct("channel").alias("_c")).filter("_c > 2").select("path")
+    slim = traces.join(many, "path", "left_semi").select("path", "trace_no", "channel")
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    numbers = slim.repartition("path").sortWithinPartitions("path", "trace_no").mapInPandas(
+        _fold_traces, f"path {kinds['path']}, trace_no {kinds['trace_no']}, ping_id bigint")
+    paired = _group_pairs(traces.join(many, "path", "left_anti"), chunk).withColumn("ping_id", F.col("ping_id").cast("bigint"))
+    return paired.unionByName(traces.join(numbers, ["path", "trace_no"]))
+
+
+def _fold_traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    log, ping, open_ = None, -1, set()
+    for batch in batches:
+        out = []
+        for path, channel in zip(batch["path"].tolist(), batch["channel"].tolist()):
+            if path != log:
+                log, ping, open_ = path, -1, set()
+            if ping < 0 or channel in open_:
+                ping, open_ = ping + 1, set()
+            open_.add(channel)
+            out.append(ping)
+        yield batch[["path", "trace_no"]].assign(ping_id=out)
+
+
+def _group_pairs(traces: DataFrame, chunk: int) -> DataFrame:
+    """The rule for two channels: traces come as runs of alternating channels. A trace starts a ping when its channel equals the previous trace's, or
     when its distance from the last such forced start is even: within a stretch of alternating channels, pairs are
-    taken from its beginning. Forced starts are carried forward chunk by chunk. Exact for two-channel logs.
+    taken from its beginning. Forced starts are carried forward chunk by chunk.
     """
     chunks = with_chunks(traces, "trace_no", chunk, before=1)
     w = Window.partitionBy("path", "_chunk").orderBy("trace_no")

@@ -5,6 +5,7 @@ import zlib
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sonarlake.queries.streaming_q import jsf_bytes, xtf_bytes
 from sonarlake.sources import export as ex
@@ -130,3 +131,27 @@ def test_jsf_file_versions(spark):
 def test_header_epoch_rejects_bad_fields(spark):
     df = spark.createDataFrame([(2024, 2, 30, 1, 1, 1, 0), (2024, 2, 29, 1, 1, 1, 50)], "year int, month int, day int, hour int, minute int, second int, hsecond int")
     assert [r.epoch_s for r in lg.header_epoch(df).orderBy("day").collect()] == [1709168461.5, None]
+
+
+def test_group_traces_of_three_channels_equals_fold(spark):
+    channels = [0, 1, 2, 0, 1, 2, 2, 0, 1, 0, 2, 1, 1, 2, 0, 0]
+    want, open_, ping = [], set(), -1
+    for c in channels:
+        if ping < 0 or c in open_:
+            ping, open_ = ping + 1, set()
+        open_.add(c)
+        want.append(ping)
+    rows = [("three", i, c) for i, c in enumerate(channels)] + [("two", i, i % 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "path string, trace_no bigint, channel int")
+    got = lg.group_traces(df, 4).orderBy("path", "trace_no").collect()
+    assert [r.ping_id for r in got if r.path == "three"] == want
+    assert [r.ping_id for r in got if r.path == "two"] == [0, 0, 1, 1, 2, 2]
+
+
+def test_saving_an_empty_run_removes_the_survey(spark, tmp_path):
+    store = str(tmp_path / "runs")
+    d = spark.createDataFrame([(1, 5, 0), (2, 5, 1), (3, 6, 0)], "det_id bigint, survey_id bigint, frame_id bigint")
+    ex.save_surveys(d.withColumn("run_id", F.lit("r0")), store)
+    ex.save_run(d.filter("survey_id = 5").drop("survey_id"), 5, "r1", store)
+    ex.save_run(d.filter("survey_id = 7").drop("survey_id"), 5, "r2", store)
+    assert [(r.det_id, r.survey_id) for r in ex.load_detections(spark, store).collect()] == [(3, 6)]
