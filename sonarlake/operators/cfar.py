@@ -7,13 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.operators.waterfall import histogram
-from sonarlake.plans.durable import durable
+from sonarlake.plans.durable import discard, durable, save_table
 from sonarlake.plans.iterate import connected_components
 from sonarlake.plans.ordered import with_chunks
 from sonarlake.plans.spatial import BOX, box_pairs
@@ -296,14 +294,48 @@ def rank_regimes(centres: Sequence[Sequence[float]]) -> dict[int, int]:
     return out
 
 
-def seabed_regimes(features: DataFrame, k: int = 4, seed: int = 7, max_iter: int = 15) -> DataFrame:
-    """K-means regimes; only the k cluster centres reach the driver, to be ranked."""
-    names = ["mean", "std", "rough", "grad", "nadir_dist"]
-    vec = VectorAssembler(inputCols=names, outputCol="_f").transform(durable(features, "features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_k").fit(vec)
-    regime = rank_regimes([list(c) for c in model.clusterCenters()])
-    lookup = F.create_map(*[F.lit(int(x)) for kv in regime.items() for x in kv])
-    return model.transform(vec).withColumn("regime", F.element_at(lookup, F.col("_k"))).drop("_f", "_k")
+FEATURES = ("mean", "std", "rough", "grad", "nadir_dist")
+
+
+def rank_image_regimes(centres: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """Regime per cluster (keys, cluster, regime) from its centre (FEATURES), image by image; ties go to the lower cluster."""
+    water = 1.5 * (1 - F.col("mean")) + 1.5 * (1 - F.col("nadir_dist"))
+    hard = 1.5 * F.col("rough") + 1.2 * F.col("std") + 1.0 * F.col("grad")
+    # at most k rows per image meet in these windows
+    by = Window.partitionBy(*keys)
+    first = centres.withColumn("_w", F.row_number().over(by.orderBy(water.desc(), "cluster")) == 1)
+    second = first.withColumn("_r", ~F.col("_w") & (F.row_number().over(Window.partitionBy(*keys, "_w").orderBy(hard.desc(), "cluster")) == 1))
+    rest = F.row_number().over(Window.partitionBy(*keys, "_w", "_r").orderBy("rough", "cluster"))
+    return second.withColumn("_n", rest).select(*keys, "cluster", F.when(F.col("_w"), NADIR).when(F.col("_r"), ROCK).when(F.col("_n") == 1, SAND).otherwise(RIPPLE).alias("regime"))
+
+
+def seabed_regimes(features: DataFrame, k: int = 4, max_iter: int = 15, keys: Sequence[str] = KEY) -> DataFrame:
+    """K-means regimes, each image clustered and ranked on its own, so a dark survey does not decide a bright one's.
+
+    Lloyd steps as aggregates over (image, cluster), seeded by the averages of k equal bands of local brightness. The
+    centres of all images are a table of one small row per image; nothing comes to the driver.
+    """
+    cells = durable(features, "features")
+    band = F.least(F.lit(k - 1), F.floor(F.col("mean") * k)).cast("int")
+
+    def centres_of(assigned: DataFrame) -> DataFrame:
+        per = assigned.groupBy(*keys, "cluster").agg(*[F.avg(f).alias(f) for f in FEATURES])
+        return per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", *FEATURES))).alias("_c"))  # k structs
+
+    def assign(centres: DataFrame) -> DataFrame:
+        away = F.transform("_c", lambda c: F.struct(sum(((c[f] - F.col(f)) * (c[f] - F.col(f)) for f in FEATURES), F.lit(0.0)).alias("d"), c["cluster"].alias("n")))
+        return cells.join(centres, list(keys)).withColumn("cluster", F.array_min(away)["n"])
+
+    centres, path = save_table(centres_of(cells.withColumn("cluster", band)), "centres")
+    for _ in range(max_iter):
+        nxt, nxt_path = save_table(centres_of(assign(centres)), "centres")
+        same = nxt.exceptAll(centres).isEmpty()
+        discard(cells.sparkSession, path)
+        centres, path = nxt, nxt_path
+        if same:
+            break
+    regimes = rank_image_regimes(centres.select(*keys, F.explode("_c").alias("_x")).select(*keys, "_x.*"), keys)
+    return assign(centres).drop("_c").join(regimes, [*keys, "cluster"]).drop("cluster")
 
 
 def smooth_regimes(cells: DataFrame, keys: Sequence[str] = KEY, chunk: int = CHUNK) -> DataFrame:

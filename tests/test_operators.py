@@ -276,3 +276,24 @@ def test_kde_peak_and_hotspots(spark):
     assert np.allclose(got, want / want.max())
     top = gis.kde_hotspots(df, 30, 0.0005).first()
     assert abs(top.latitude - 13.0) < 0.001 and top.n_objects == 20
+
+
+def test_regimes_are_clustered_per_image(spark):
+    """Two images with the same pattern at different brightness get the same regimes, as each is clustered on its own."""
+    rows = []
+    for survey in (1, 2):
+        for i in range(80):
+            kind = i % 4
+            rows.append((survey, i, 0, [0.02, 0.3, 0.6, 0.95][kind] + 0.001 * (i // 4), [0.1, 0.2, 0.5, 0.9][kind], [0.1, 0.2, 0.5, 0.9][kind], [0.1, 0.2, 0.4, 0.9][kind],
+                         [0.05, 0.5, 0.7, 0.9][kind], survey * 100.0))
+    df = spark.createDataFrame(rows, "survey_id bigint, ping bigint, col int, mean double, std double, rough double, grad double, nadir_dist double, v double")
+    got = {(r.survey_id, r.ping): r.regime for r in cf.seabed_regimes(df).collect()}
+    assert len(got) == 160
+    for (survey, ping), regime in got.items():
+        assert regime == [cf.NADIR, cf.SAND, cf.RIPPLE, cf.ROCK][ping % 4]
+    alone = {(r.survey_id, r.ping): r.regime for r in cf.seabed_regimes(df.filter("survey_id = 2")).collect()}
+    assert alone == {k: v for k, v in got.items() if k[0] == 2}
+    centres = spark.createDataFrame([(1, 0, .1, .1, .1, .1, .1), (1, 1, .5, .2, .2, .2, .5), (1, 2, .5, .4, .4, .4, .5), (1, 3, .9, .9, .9, .9, .9)],
+                                    "survey_id bigint, cluster int, mean double, std double, rough double, grad double, nadir_dist double")
+    ranked = {r.cluster: r.regime for r in cf.rank_image_regimes(centres).collect()}
+    assert ranked == cf.rank_regimes([[r[k] for k in ("mean", "std", "rough", "grad", "nadir_dist")] for r in centres.orderBy("cluster").collect()])
