@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.plans.iterate import first_come_set
-from sonarlake.plans.ordered import dense_index
+from sonarlake.plans.ordered import dense_index, exact_quantiles
 from sonarlake.plans.spatial import BOX, box_pairs, pair_iou
 
 # Named class groups with their default confidence (no classes = all classes).
@@ -193,17 +193,17 @@ def stage_profile(logs: DataFrame) -> DataFrame:
 
 
 def latency_profile(df: DataFrame, keys: Sequence[str], latency: str = "latency_ms") -> DataFrame:
-    """Exact percentiles from a (key, value) count table, so repeated values cost one row."""
+    """Exact percentiles by range-partitioned running counts, so no task holds a group's distinct values."""
+    ranks = exact_quantiles(df, keys, latency, (0.5, 0.95), "p").groupBy(*keys).agg(
+        F.max(F.when(F.col("p_no") == 0, F.col("p"))).alias("p50_ms"), F.max(F.when(F.col("p_no") == 1, F.col("p"))).alias("p95_ms"))
     counts = df.groupBy(*keys, latency).agg(F.count(F.lit(1)).alias("n"))
     v = F.col(latency)
     agg = counts.groupBy(*keys).agg(
         F.sum("n").alias("n"), (F.sum(v * F.col("n")) / F.sum("n")).alias("mean_ms"),
-        (F.sum(v * v * F.col("n")) / F.sum("n")).alias("_sq"), F.min(v).alias("min_ms"), F.max(v).alias("max_ms"),
-        F.expr(f"percentile({latency}, array(0.5D, 0.95D), n)").alias("_p"))
-    return agg.withColumns({
+        (F.sum(v * v * F.col("n")) / F.sum("n")).alias("_sq"), F.min(v).alias("min_ms"), F.max(v).alias("max_ms"))
+    return agg.join(ranks, list(keys), "left").withColumns({
         "std_ms": F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") - F.col("mean_ms") * F.col("mean_ms"))),
-        "p50_ms": F.col("_p")[0], "p95_ms": F.col("_p")[1],
-        "fps": F.when(F.col("mean_ms") > 0, 1000.0 / F.col("mean_ms")).otherwise(F.lit(0.0))}).drop("_sq", "_p")
+        "fps": F.when(F.col("mean_ms") > 0, 1000.0 / F.col("mean_ms")).otherwise(F.lit(0.0))}).drop("_sq")
 
 
 def map_view(points: DataFrame, keys: Sequence[str], default_zoom: float = 12.0) -> DataFrame:

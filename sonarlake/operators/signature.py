@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.functions.boxes import clip
 from sonarlake.operators.cfar import KEY, box_rows, box_stats, sobel_rows
+from sonarlake.plans.ordered import exact_quantiles
 
 # Signature features in order, and material families of class names.
 FEATURES = ["impedance_contrast_idx", "contrast_db", "peak_db", "shadow_depth", "highlight_shadow_ratio", "shadow_length_rel",
@@ -33,8 +34,9 @@ def attach_family(df: DataFrame, class_col: str = "class_name") -> DataFrame:
 
 
 def family_medians(df: DataFrame, value: str = "impedance_contrast_idx") -> DataFrame:
-    counts = attach_family(df).groupBy("family", value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("family").agg(F.expr(f"percentile({value}, 0.5D, n)").alias("median"), F.sum("n").alias("n"))
+    named = attach_family(df)
+    middle = exact_quantiles(named, ["family"], value, [0.5], "median").select("family", "median")
+    return named.groupBy("family").agg(F.count(F.lit(1)).alias("n")).join(middle, "family", "left").select("family", "median", "n")
 
 
 def _clamped(x1: Column, y1: Column, x2: Column, y2: Column, width: int, height: int) -> Column:

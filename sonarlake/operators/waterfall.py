@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.functions.boxes import clip
+from sonarlake.plans.ordered import exact_quantiles
 
 SEPARATOR_COLUMNS = 6
 SEPARATOR_VALUE = 15
@@ -236,10 +237,10 @@ def assemble_waterfall(traces: DataFrame, width: int) -> DataFrame:
 def log_compress(cells: DataFrame, value: str = "v") -> DataFrame:
     """log(1 + v) mapped from [1 %, 99.7 %] of the survey to 0..255.
 
-    The two quantiles come from a (survey, value) count table, not from the cells.
+    The two quantiles come from range-partitioned running counts of a (survey, value) table, not from the cells.
     """
-    counts = cells.groupBy("survey_id", value).agg(F.count(F.lit(1)).alias("n"))
-    lim = counts.groupBy("survey_id").agg(F.expr(f"percentile(log1p({value}), array(0.01D, 0.997D), n)").alias("_q"))
-    lo, hi = F.col("_q")[0], F.col("_q")[1]
+    marks = exact_quantiles(cells.select("survey_id", F.log1p(value).alias("_l")), ["survey_id"], "_l", (0.01, 0.997), "_q")
+    lim = marks.groupBy("survey_id").agg(F.max(F.when(F.col("_q_no") == 0, F.col("_q"))).alias("_lo"), F.max(F.when(F.col("_q_no") == 1, F.col("_q"))).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
     scaled = clip((F.log1p(value) - lo) / F.greatest(hi - lo, F.lit(1e-6)), 0.0, 1.0) * 255.0
-    return cells.join(lim, "survey_id").withColumn("grey", F.floor(scaled).cast("int")).drop("_q")
+    return cells.join(lim, "survey_id").withColumn("grey", F.floor(scaled).cast("int")).drop("_lo", "_hi")

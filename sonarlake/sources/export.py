@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sonarlake.plans.ordered import dense_index
@@ -45,8 +45,9 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 def export_json(df: DataFrame, path: str) -> int:
     """One JSON record per line plus ``<path>_summary`` with the count; returns the count."""
-    json_rows(df).write.mode("overwrite").text(path)
-    n = df.sparkSession.read.text(path).count()
+    seen = Observation()
+    json_rows(df).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
+    n = seen.get["n"]
     df.sparkSession.range(1).select(F.to_json(F.struct(F.lit(n).alias("count"))).alias("value")).write.mode("overwrite").text(path.rstrip("/") + "_summary")
     return n
 

@@ -39,12 +39,12 @@ def header_epoch(df: DataFrame) -> DataFrame:
 # ---- XTF ------------------------------------------------------------------------------------------------------------------
 
 def _xtf_records(data: bytes) -> Iterator[tuple[int, int]]:
-    """(start, end) of the sonar-ping payloads; searches ahead after a bad marker and stops at a truncated record."""
+    """(start, end) of the sonar-ping payloads; after a bad marker the next good one counts, however far; a truncated record ends the file."""
     at, size = XTF_FILE_HEADER, len(data)
     while at + 14 <= size:
         magic, kind = struct.unpack_from("<HB", data, at)
         if magic != XTF_MAGIC:
-            ahead = data.find(b"\xce\xfa", at + 1, at + 1 + 2048)
+            ahead = data.find(b"\xce\xfa", at + 1)
             if ahead < 0:
                 return
             at = ahead
