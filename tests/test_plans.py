@@ -117,3 +117,17 @@ def test_box_sums_equal_padded_numpy(spark):
         padded = np.pad(img, r, mode="reflect")
         want = sum(padded[i:i + 40, j:j + 23] for i in range(2 * r + 1) for j in range(2 * r + 1))
         assert (got.sort_values(["ping", "col"])[name].to_numpy().reshape(40, 23) == want).all()
+
+
+@pytest.mark.parametrize("name", ["k04_ratio_split", "k05_group_split", "d22_forecast_errors", "e12_tracking_metrics", "v09_confidence_sweep", "v10_ablation",
+                                  "v18_select_threshold", "v22_select_policy", "r04_training_set"])
+def test_totals_are_not_crossed(spark, name):
+    """One-row totals come as scalar subqueries: no cross product even when nothing may be broadcast."""
+    from sonarlake.queries import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
