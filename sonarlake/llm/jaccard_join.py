@@ -12,11 +12,17 @@ if even those do not suffice.
 Candidates are verified exactly, in two steps that never list all pairs of a group:
 
 1. In every bucket of equal segment contents all members are compared with one pivot; verified links join components.
-2. Only buckets that still hold several components are looked at again. Their members carry a parity sketch (one bit per
-   token position, xor of the set): the bits in which two sketches differ never exceed the sets' difference, so a pair
-   beyond H is refuted inside the task without being emitted. The few pairs that remain are verified exactly.
+2. Only buckets that still hold several components are looked at again, with all their members.
+
+Before a pair is verified, parity sketches are compared (one bit per token position, xor of the set): the bits in which two
+sketches differ never exceed the sets' difference, so most pairs are refuted without their texts, those of step 2 inside
+the task and without being emitted.
+
+Passages that very many documents share make hot buckets. Each document is indexed by some segments more than H+1. A
+document whose hot buckets are no more than these extra ones is covered: H+1 of its cold buckets remain, so a partner is
+met there (of two covered documents the one whose indexed range of segments ends first meets the other). In a hot bucket
+step 2 therefore compares a document only if one of the pair is not covered.
 
-A pair that is never emitted is either refuted by a bound or already connected, so the classes equal those of all links.
 Sets of equal documents are joined first, by a 128-bit hash.
 """
 
@@ -37,7 +43,9 @@ from sonarlake.plans.durable import discard, durable, save_table
 from .common import pick
 
 U64 = np.uint64
-SEGMENTS_PER_TOKEN = 0.36  # of the largest size of a band: enough that full-size sets have H+1 non-empty segments
+SEGMENTS_PER_TOKEN = 0.38  # of the largest size of a band: enough that full-size sets have more than H+1 non-empty segments
+EXTRA = 0.12  # share of segments indexed beyond H+1
+HOT = 64  # a bucket with more members is hot
 
 
 @dataclass(frozen=True)
@@ -90,33 +98,35 @@ def segments_of(band: int) -> int:
     return max(4, int(np.ceil(SEGMENTS_PER_TOKEN * (1 << band))))
 
 
-def signatures(tokens: np.ndarray, rule: JaccardRule) -> np.ndarray:
-    """Bucket keys under which this set is indexed: see the module text."""
+def signatures(tokens: np.ndarray, rule: JaccardRule) -> tuple[np.ndarray, int]:
+    """Bucket keys under which this set is indexed, and how many of them may be hot before it is no longer covered."""
     n = len(tokens)
     if not n:
-        return np.zeros(0, "int64")
+        return np.zeros(0, "int64"), 0
     own = int(band_of(n))
     largest = int(n * rule.growth)
     mixed = _mix(tokens + U64(0x2545F4914F6CDD1D))
-    out = []
+    out, spare = [], n
     for band in range(own, int(band_of(largest)) + 1):
         m = segments_of(band)
         need = int(rule.difference(n + min(largest, 1 << band))) + 1
+        take = need + int(EXTRA * need) + 2
         segment = ((tokens >> U64(32)) * U64(m)) >> U64(32)  # rising, as tokens are sorted
         starts = np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1])
         sizes = np.diff(np.append(starts, n))
+        spare = min(spare, min(take, len(starts)) - need)
         with np.errstate(over="ignore"):
             content = np.add.reduceat(mixed, starts)
             place = _mix(segment[starts] + U64((band + 1) << 40))
             if len(starts) >= need:
-                keys = [_mix(content[:need] ^ place[:need])]
+                keys = [_mix(content[:take] ^ place[:take])]
             else:
                 wide = np.repeat(sizes >= 2, sizes)
                 keys = [_mix(content ^ place), _mix((np.repeat(content, sizes)[wide] - mixed[wide]) ^ np.repeat(place, sizes)[wide])]
                 if np.minimum(sizes, 2).sum() < need:
                     keys.append(_mix(mixed ^ _mix(np.full(n, 77 + band, U64))))
         out += keys
-    return np.unique(np.concatenate(out)).view("int64")
+    return np.unique(np.concatenate(out)).view("int64"), spare
 
 
 def sketch_bits(n: int) -> int:
@@ -141,24 +151,43 @@ def fold(matrix: np.ndarray, words: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- Spark steps
 
+def set_key(tokens: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of the set."""
+    with np.errstate(over="ignore"):
+        return tuple(int(_mix(tokens ^ U64(s)).sum(dtype=U64).view("int64")) for s in (1, 2))
+
+
 def _describe(rule: JaccardRule):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[int, int]] = set()  # sets this task has indexed already; copies need no second index
         for batch in batches:
             rows = []
             for key, text in zip(batch["doc_id"].tolist(), batch["_text"].tolist()):
                 tokens = shingle_set(text if isinstance(text, str) else None, rule.words)
-                n = len(tokens)
-                with np.errstate(over="ignore"):
-                    k1, k2 = (int(_mix(tokens ^ U64(s)).sum(dtype=U64).view("int64")) for s in (1, 2)) if n else (0, 0)
-                known = (k1, k2) in seen
-                if not known and n:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add((k1, k2))
-                index = n and not known
-                rows.append((key, n, k1, k2, sketch(tokens) if n else None, signatures(tokens, rule).tolist() if index else None))
-            yield pd.DataFrame(rows, columns=["row", "n", "k1", "k2", "sketch", "sigs"])
+                if len(tokens):
+                    rows.append((key, len(tokens), *set_key(tokens), signatures(tokens, rule)[1], sketch(tokens)))
+                else:
+                    rows.append((key, 0, 0, 0, 0, None))
+            yield pd.DataFrame(rows, columns=["row", "n", "k1", "k2", "spare", "sketch"])
+
+    return run
+
+
+def _index(rule: JaccardRule):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[int, int]] = set()  # sets this task has indexed already; copies need no second index
+        for batch in batches:
+            keys, rows = [], []
+            for key, text in zip(batch["doc_id"].tolist(), batch["_text"].tolist()):
+                tokens = shingle_set(text if isinstance(text, str) else None, rule.words)
+                if not len(tokens) or (name := set_key(tokens)) in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(name)
+                keys.append(signatures(tokens, rule)[0])
+                rows.append(np.full(len(keys[-1]), key, "int64"))
+            if keys:
+                yield pd.DataFrame({"sig": np.concatenate(keys), "row": np.concatenate(rows)})
 
     return run
 
@@ -204,50 +233,105 @@ def _verify(rule: JaccardRule):
     return run
 
 
-def _cross_pairs(rule: JaccardRule, block: int = 1024):
-    def pairs(rows: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> Iterator[pd.DataFrame]:
-        order = np.argsort(sizes, kind="stable")
-        rows, comps, sizes = rows[order], comps[order], sizes[order]
-        lengths = np.array([len(sketches[i]) // 8 for i in order])
-        for lo in range(0, len(rows), block):
-            hi = min(lo + block, len(rows))
-            top = int(sizes[hi - 1] * rule.growth)
-            for lo2 in range(lo, len(rows), block):
-                if sizes[lo2] > top:
-                    break
-                hi2 = min(lo2 + block, len(rows))
-                words = int(min(lengths[lo], lengths[lo2]))
-                x, y = (np.vstack([fold(np.frombuffer(sketches[order[k]], "<u8")[None, :], words) for k in range(*r)]) for r in ((lo, hi), (lo2, hi2)))
-                apart = np.zeros((hi - lo, hi2 - lo2), "int32")
-                for w in range(words):
-                    apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-                sums = sizes[lo:hi, None] + sizes[None, lo2:hi2]
-                ok = (apart <= rule.difference(sums)) & (comps[lo:hi, None] != comps[None, lo2:hi2])
-                ok &= rule.part * np.maximum(sizes[lo:hi, None], sizes[None, lo2:hi2]) <= rule.whole * np.minimum(sizes[lo:hi, None], sizes[None, lo2:hi2])
+def _apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which each sketch of ``x`` differs from each of ``y``, all folded to the shortest."""
+    words = min(map(len, [*x, *y])) // 8
+    fx, fy = (np.vstack([fold(np.frombuffer(s, "<u8")[None, :], words) for s in side]) for side in (x, y))
+    out = np.zeros((len(x), len(y)), "int32")
+    for w in range(words):
+        out += np.bitwise_count(fx[:, w, None] ^ fy[None, :, w])
+    return out
+
+
+def _differences(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which the sketches of each pair differ, folded to the shorter of the two."""
+    words = np.minimum([len(s) // 8 for s in x], [len(s) // 8 for s in y]) if x else np.zeros(0, int)
+    out = np.zeros(len(x), "int64")
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        for lo in range(0, len(at), 4096):
+            some = at[lo:lo + 4096]
+            fx, fy = (np.vstack([fold(np.frombuffer(side[k], "<u8")[None, :], w) for k in some]) for side in (x, y))
+            out[some] = np.bitwise_count(fx ^ fy).sum(1, dtype="i8")
+    return out
+
+
+def _not_refuted(rule: JaccardRule):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            na, nb = batch["na"].to_numpy("i8"), batch["nb"].to_numpy("i8")
+            batch = batch[rule.part * np.maximum(na, nb) <= rule.whole * np.minimum(na, nb)]
+            apart = _differences(batch["sa"].tolist(), batch["sb"].tolist())
+            yield batch.loc[apart <= rule.difference(batch["na"].to_numpy("i8") + batch["nb"].to_numpy("i8")), ["a", "b"]]
+
+    return run
+
+
+def _cross_pairs(rule: JaccardRule, block: int = 512):
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        hot = len(rows) > HOT
+        rows = rows.sort_values("n", kind="stable")
+        ids, comps, sizes, covered, sketches = rows["row"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), rows["covered"].to_numpy(), rows["sketch"].tolist()
+        first = np.flatnonzero(~covered) if hot else np.arange(len(ids))  # in a hot bucket one of a pair is not covered
+        for lo in range(0, len(first), block):
+            x = first[lo:lo + block]
+            low, high = int(-(-sizes[x[0]] // rule.growth)), int(sizes[x[-1]] * rule.growth)
+            for lo2 in range(int(np.searchsorted(sizes, low)), int(np.searchsorted(sizes, high, "right")), block):
+                y = np.arange(lo2, min(lo2 + block, len(ids)))
+                different = comps[x][:, None] != comps[None, y]
+                if not different.any():
+                    continue
+                ok = different & (_apart([sketches[i] for i in x], [sketches[i] for i in y]) <= rule.difference(sizes[x][:, None] + sizes[None, y]))
+                ok &= rule.part * np.maximum(sizes[x][:, None], sizes[None, y]) <= rule.whole * np.minimum(sizes[x][:, None], sizes[None, y])
                 i, j = np.nonzero(ok)
                 if len(i):
-                    a, b = rows[lo + i], rows[lo2 + j]
-                    found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-                    yield found[found["a"] < found["b"]].drop_duplicates()
+                    a, b = ids[x[i]], ids[y[j]]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    def cold(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """All pairs of many small buckets at once: rows at distance 1, 2, ... that have the same sig."""
+        sig, ids, comps, sizes = (rows[c].to_numpy() for c in ("sig", "row", "comp", "n"))
+        found = []
+        for d in range(1, HOT):
+            i = np.flatnonzero(sig[d:] == sig[:-d])
+            if not len(i):
+                break
+            j = i + d
+            ok = (comps[i] != comps[j]) & (rule.part * np.maximum(sizes[i], sizes[j]) <= rule.whole * np.minimum(sizes[i], sizes[j]))
+            found.append(np.stack([i[ok], j[ok]]))
+        if not found:
+            return
+        i, j = np.concatenate(found, 1)
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)  # a pair meets in many buckets
+        i, j, a, b = i[once], j[once], a[once], b[once]
+        sketches = rows["sketch"].tolist()
+        ok = _differences([sketches[k] for k in i], [sketches[k] for k in j]) <= rule.difference(sizes[i].astype("i8") + sizes[j])
+        yield pd.DataFrame({"a": a[ok], "b": b[ok]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by sig: every pair of a bucket from two components that no bound refutes."""
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []  # parts of the bucket that the next batch may go on with
 
-        def flush() -> Iterator[pd.DataFrame]:
-            if held:
-                all_ = pd.concat(held)
-                held.clear()
-                yield from pairs(all_["row"].to_numpy(), all_["comp"].to_numpy(), all_["n"].to_numpy(), all_["sketch"].tolist())
+        def settle(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            cuts = _runs(rows["sig"].to_numpy())
+            counts = np.diff(cuts)
+            large = counts > HOT
+            yield from cold(rows[np.repeat(~large, counts)])
+            for k in np.flatnonzero(large):
+                yield from pairs(rows.iloc[cuts[k]:cuts[k + 1]])
 
         for batch in batches:
-            cuts = _runs(batch["sig"].to_numpy())
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                part = batch.iloc[i:j]
-                if held and held[0]["sig"].iloc[0] != part["sig"].iloc[0]:
-                    yield from flush()
-                held.append(part)
-        yield from flush()
+            sig = batch["sig"].to_numpy()
+            if held and held[0]["sig"].iloc[0] == sig[0] == sig[-1]:
+                held.append(batch)
+                continue
+            last = int(np.flatnonzero(sig != sig[-1])[-1]) + 1 if sig[0] != sig[-1] else 0
+            if held or last:
+                yield from settle(pd.concat([*held, batch.iloc[:last]]))
+            held = [batch.iloc[last:]]
+        if held:
+            yield from settle(pd.concat(held))
 
     return run
 
@@ -293,39 +377,53 @@ def jaccard_classes(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: st
     a null component; an empty table gives no rows.
     """
     rows = pick(docs, doc_id=doc_id, _text=text)
-    described = durable(rows.filter("doc_id IS NOT NULL").select("doc_id", "_text").mapInPandas(
-        _describe(rule), "row long, n int, k1 long, k2 long, sketch binary, sigs array<long>"), "sets")
+    known = rows.filter("doc_id IS NOT NULL").select("doc_id", "_text")
+    described = durable(known.mapInPandas(_describe(rule), "row long, n int, k1 long, k2 long, spare int, sketch binary"), "sets")
     sized = described.filter("n > 0")
 
     # Equal sets: the smallest row stands for all.
-    heads = sized.groupBy("k1", "k2").agg(F.min("row").alias("head"), F.max("row").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    copies = (sized.select("row", "k1", "k2").join(heads.filter("head <> _last OR _n > 1").select("k1", "k2", "head"), ["k1", "k2"])
-              .filter("row <> head").select("row", "head").distinct())
-    copies = durable(copies, "copies")
+    heads = (sized.groupBy("k1", "k2").agg(F.min("row").alias("head"), F.max("row").alias("_last"))
+             .filter("head <> _last").select("k1", "k2", "head"))
+    copies = durable(sized.select("row", "k1", "k2").join(heads, ["k1", "k2"]).filter("row <> head").select("row", "head").distinct(), "copies")
 
     def to_head(df: DataFrame, column: str) -> DataFrame:
-        known = copies.select(F.col("row").alias(column), F.col("head").alias("_head"))
-        return df.join(known, column, "left").withColumn(column, F.coalesce("_head", column)).drop("_head")
+        other = copies.select(F.col("row").alias(column), F.col("head").alias("_head"))
+        return df.join(other, column, "left").withColumn(column, F.coalesce("_head", column)).drop("_head")
 
-    keyed = sized.filter("sigs IS NOT NULL").select("row", F.explode("sigs").alias("sig"))
-    stars = durable(keyed.repartition("sig").sortWithinPartitions("sig", "row").select("sig", "row")
-                    .mapInPandas(_stars, "sig long, row long, pivot long"), "buckets")
-    sketches = sized.select("row", "n", "sketch")
-    texts = rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("row"), "_text")
+    keyed = known.mapInPandas(_index(rule), "sig long, row long")
+    stars = durable(keyed.repartition("sig").sortWithinPartitions("sig", "row").mapInPandas(_stars, "sig long, row long, pivot long"), "buckets")
+    facts = sized.select("row", "n", "sketch").dropDuplicates(["row"])
+    texts = known.select(F.col("doc_id").alias("row"), "_text")
 
     # Step 1: every member of a bucket against its pivot.
-    first = to_head(to_head(stars.select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct(), "a"), "b")
+    spokes = durable(stars.select("pivot", "row").distinct(), "spokes")
+    first = to_head(to_head(spokes.select(F.col("pivot").alias("a"), F.col("row").alias("b")), "a"), "b")
     first = first.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = durable(_links(first, texts, rule), "links")
+    with_a = first.join(facts.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    with_b = with_a.join(facts.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    asked = durable(with_b.mapInPandas(_not_refuted(rule), "a long, b long"), "pairs")
+    links = durable(_links(asked, texts, rule), "links")
     comps = durable(components(links), "comps")
 
-    # Step 2: members of several components in one bucket.
-    members = stars.select("sig", "row").union(stars.select("sig", F.col("pivot").alias("row")))
-    labelled = to_head(members, "row").distinct().join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    labelled = durable(labelled, "labelled")
-    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("sig")
-    asked = labelled.join(mixed, "sig", "left_semi").join(sketches, "row").select("sig", "row", "comp", "n", "sketch")
-    second = durable(asked.repartition("sig").sortWithinPartitions("sig").mapInPandas(_cross_pairs(rule), "a long, b long").distinct(), "pairs")
+    # Step 2: buckets in which a member and the pivot are still apart.
+    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
+        label = comps.select(F.col("row").alias("_h"), F.col("comp").alias(name))
+        headed = to_head(df.withColumn("_h", F.col(column)), "_h")
+        return headed.join(label, "_h", "left").withColumn(name, F.coalesce(name, "_h")).drop("_h")
+
+    apart = labelled(labelled(spokes, "row", "c1"), "pivot", "c2").filter("c1 <> c2").select("pivot", "row")
+    members = stars.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("pivot").alias("pivot"))
+    hot = members.filter(F.col("size") >= HOT).select("sig")
+    in_hot = stars.join(hot, "sig", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("h")).unionByName(
+        members.filter(F.col("size") >= HOT).groupBy(F.col("pivot").alias("row")).agg(F.count(F.lit(1)).alias("h"))).groupBy("row").agg(F.sum("h").alias("h"))
+    bare = durable(sized.select("row", "spare").distinct().join(in_hot, "row").filter("h > spare").select("row"), "bare")  # not covered
+    mixed = stars.join(apart, ["pivot", "row"], "left_semi").select("sig").distinct().join(members, "sig").select("sig", "size", "pivot")
+    mixed = durable(mixed.filter("size > 1"), "mixed")  # a pivot and one member have been compared
+    inside = (stars.join(mixed.select("sig", "size"), "sig").select("sig", "size", "row").unionByName(mixed.select("sig", "size", F.col("pivot").alias("row")))
+              .join(bare.withColumn("_bare", F.lit(True)), "row", "left").withColumn("covered", F.col("_bare").isNull()).drop("_bare"))
+    wanted = inside.groupBy("sig").agg(F.max(~F.col("covered") | (F.col("size") < HOT)).alias("_w")).filter("_w").select("sig")
+    full = labelled(inside.join(wanted, "sig", "left_semi"), "row", "comp").join(facts, "row").select("sig", "row", "comp", "n", "covered", "sketch")
+    second = durable(full.repartition("sig").sortWithinPartitions("sig").mapInPandas(_cross_pairs(rule), "a long, b long").distinct(), "pairs")
     more = durable(_links(second, texts, rule), "links")
 
     all_links = links.union(more).union(copies.select(F.col("head").alias("a"), F.col("row").alias("b")))
