@@ -45,6 +45,7 @@ from .common import pick
 U64 = np.uint64
 SEGMENTS_PER_TOKEN = 0.38  # of the largest size of a band: enough that full-size sets have more than H+1 non-empty segments
 EXTRA = 0.12  # share of segments indexed beyond H+1
+BROADCAST_ROWS = 2_000_000  # ids, 16 MB
 HOT = 64  # a bucket with more members is hot
 
 
@@ -98,40 +99,50 @@ def segments_of(band: int) -> int:
     return max(4, int(np.ceil(SEGMENTS_PER_TOKEN * (1 << band))))
 
 
-def signatures(tokens: np.ndarray, rule: JaccardRule) -> tuple[np.ndarray, int]:
-    """Bucket keys under which this set is indexed, and how many of them may be hot before it is no longer covered."""
+def schemes(tokens: np.ndarray, rule: JaccardRule) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Per scheme this set takes part in: band, differences to cover plus one, segments to take, segment per token, first
+    token of each non-empty segment."""
     n = len(tokens)
-    if not n:
-        return np.zeros(0, "int64"), 0
-    own = int(band_of(n))
     largest = int(n * rule.growth)
-    mixed = _mix(tokens + U64(0x2545F4914F6CDD1D))
-    out, spare = [], n
-    for band in range(own, int(band_of(largest)) + 1):
-        m = segments_of(band)
+    for band in range(int(band_of(n)), int(band_of(largest)) + 1):
         need = int(rule.difference(n + min(largest, 1 << band))) + 1
-        take = need + int(EXTRA * need) + 2
-        segment = ((tokens >> U64(32)) * U64(m)) >> U64(32)  # rising, as tokens are sorted
+        segment = ((tokens >> U64(32)) * U64(segments_of(band))) >> U64(32)  # rising, as tokens are sorted
         starts = np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1])
-        sizes = np.diff(np.append(starts, n))
-        spare = min(spare, min(take, len(starts)) - need)
+        yield band, need, need + int(EXTRA * need) + 2, segment, starts
+
+
+def spare_buckets(tokens: np.ndarray, rule: JaccardRule) -> int:
+    """How many buckets of this set may be hot before it is no longer covered."""
+    return min((min(take, len(starts)) - need for _, need, take, _, starts in schemes(tokens, rule)), default=0)
+
+
+def signatures(tokens: np.ndarray, rule: JaccardRule) -> np.ndarray:
+    """Bucket keys under which this set is indexed: see the module text."""
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, "int64")
+    mixed = _mix(tokens + U64(0x2545F4914F6CDD1D))
+    out = []
+    for band, need, take, segment, starts in schemes(tokens, rule):
         with np.errstate(over="ignore"):
             content = np.add.reduceat(mixed, starts)
             place = _mix(segment[starts] + U64((band + 1) << 40))
             if len(starts) >= need:
-                keys = [_mix(content[:take] ^ place[:take])]
-            else:
-                wide = np.repeat(sizes >= 2, sizes)
-                keys = [_mix(content ^ place), _mix((np.repeat(content, sizes)[wide] - mixed[wide]) ^ np.repeat(place, sizes)[wide])]
-                if np.minimum(sizes, 2).sum() < need:
-                    keys.append(_mix(mixed ^ _mix(np.full(n, 77 + band, U64))))
-        out += keys
-    return np.unique(np.concatenate(out)).view("int64"), spare
+                out.append(_mix(content[:take] ^ place[:take]))
+                continue
+            sizes = np.diff(np.append(starts, n))
+            wide = np.repeat(sizes >= 2, sizes)
+            out += [_mix(content ^ place), _mix((np.repeat(content, sizes)[wide] - mixed[wide]) ^ np.repeat(place, sizes)[wide])]
+            if np.minimum(sizes, 2).sum() < need:
+                out.append(_mix(mixed ^ _mix(np.full(n, 77 + band, U64))))
+    return np.unique(np.concatenate(out)).view("int64")
 
 
 def sketch_bits(n: int) -> int:
-    """Bits of the parity sketch: about two per token, a power of two, so that sketches of two sizes can be folded."""
-    return 64 << max(0, int(band_of(n)) - 5)
+    """Bits of the parity sketch: a power of two, so that sketches of two sizes can be folded; 2 to 4 per token, and more
+    for small sets, where a near miss must be told from a link by a few tokens."""
+    band = int(band_of(n))
+    return 2048 if band <= 8 else 64 << (band - 5)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -164,7 +175,7 @@ def _describe(rule: JaccardRule):
             for key, text in zip(batch["doc_id"].tolist(), batch["_text"].tolist()):
                 tokens = shingle_set(text if isinstance(text, str) else None, rule.words)
                 if len(tokens):
-                    rows.append((key, len(tokens), *set_key(tokens), signatures(tokens, rule)[1], sketch(tokens)))
+                    rows.append((key, len(tokens), *set_key(tokens), spare_buckets(tokens, rule), sketch(tokens)))
                 else:
                     rows.append((key, 0, 0, 0, 0, None))
             yield pd.DataFrame(rows, columns=["row", "n", "k1", "k2", "spare", "sketch"])
@@ -184,7 +195,7 @@ def _index(rule: JaccardRule):
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
-                keys.append(signatures(tokens, rule)[0])
+                keys.append(signatures(tokens, rule))
                 rows.append(np.full(len(keys[-1]), key, "int64"))
             if keys:
                 yield pd.DataFrame({"sig": np.concatenate(keys), "row": np.concatenate(rows)})
@@ -338,7 +349,10 @@ def _cross_pairs(rule: JaccardRule, block: int = 512):
 
 def _links(pairs: DataFrame, texts: DataFrame, rule: JaccardRule) -> DataFrame:
     """The pairs (a < b) whose sets really link; each text is sent once per pair it is second in, and once as first."""
-    asked = pairs.union(pairs.select("a", F.col("a").alias("b"))).distinct()
+    asked = durable(pairs.union(pairs.select("a", F.col("a").alias("b"))).distinct(), "asked")
+    wanted = asked.select(F.col("b").alias("row")).distinct()
+    if wanted.count() <= BROADCAST_ROWS:  # then the other texts need not be shuffled; beyond it the join below does it all
+        texts = texts.join(F.broadcast(wanted), "row", "left_semi")
     sent = asked.join(texts.select(F.col("row").alias("b"), "_text"), "b").select("a", "b", "_text")
     ordered = (sent.repartition("a").withColumn("_other", F.col("a") != F.col("b"))
                .sortWithinPartitions("a", "_other", "b").select("a", "b", "_text"))
