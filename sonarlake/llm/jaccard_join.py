@@ -12,6 +12,8 @@ if even those do not suffice.
 Candidates are verified exactly, in two steps that never list all pairs of a group:
 
 1. In every bucket of equal segment contents all members are compared with one pivot; verified links join components.
+   Buckets that still hold several components do so again with another pivot, a few times: that is linear in the rows of
+   the buckets and joins the groups of near copies whose members differ from the first pivot.
 2. Only buckets that still hold several components are looked at again, with all their members.
 
 Before a pair is verified, parity sketches are compared (one bit per token position, xor of the set): the bits in which two
@@ -46,6 +48,7 @@ U64 = np.uint64
 SEGMENTS_PER_TOKEN = 0.38  # of the largest size of a band: enough that full-size sets have more than H+1 non-empty segments
 EXTRA = 0.12  # share of segments indexed beyond H+1
 BROADCAST_ROWS = 2_000_000  # ids, 16 MB
+PIVOTS = 2  # further pivots per bucket before members are compared with each other
 HOT = 64  # a bucket with more members is hot
 
 
@@ -283,13 +286,18 @@ def _cross_pairs(rule: JaccardRule, block: int = 512):
         hot = len(rows) > HOT
         rows = rows.sort_values("n", kind="stable")
         ids, comps, sizes, covered, sketches = rows["row"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), rows["covered"].to_numpy(), rows["sketch"].tolist()
-        first = np.flatnonzero(~covered) if hot else np.arange(len(ids))  # in a hot bucket one of a pair is not covered
+        # One of a pair is outside the largest component, and in a hot bucket one is not covered: the fewer rows lead.
+        names, counts = np.unique(comps, return_counts=True)
+        outside = comps != names[counts.argmax()]
+        first = np.flatnonzero(~covered if hot and (~covered).sum() < outside.sum() else outside)
         for lo in range(0, len(first), block):
             x = first[lo:lo + block]
             low, high = int(-(-sizes[x[0]] // rule.growth)), int(sizes[x[-1]] * rule.growth)
             for lo2 in range(int(np.searchsorted(sizes, low)), int(np.searchsorted(sizes, high, "right")), block):
                 y = np.arange(lo2, min(lo2 + block, len(ids)))
                 different = comps[x][:, None] != comps[None, y]
+                if hot:
+                    different &= ~(covered[x][:, None] & covered[None, y])
                 if not different.any():
                     continue
                 ok = different & (_apart([sketches[i] for i in x], [sketches[i] for i in y]) <= rule.difference(sizes[x][:, None] + sizes[None, y]))
@@ -409,23 +417,37 @@ def jaccard_classes(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: st
     facts = sized.select("row", "n", "sketch").dropDuplicates(["row"])
     texts = known.select(F.col("doc_id").alias("row"), "_text")
 
-    # Step 1: every member of a bucket against its pivot.
-    spokes = durable(stars.select("pivot", "row").distinct(), "spokes")
-    first = to_head(to_head(spokes.select(F.col("pivot").alias("a"), F.col("row").alias("b")), "a"), "b")
-    first = first.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    with_a = first.join(facts.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    with_b = with_a.join(facts.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    asked = durable(with_b.mapInPandas(_not_refuted(rule), "a long, b long"), "pairs")
-    links = durable(_links(asked, texts, rule), "links")
-    comps = durable(components(links), "comps")
+    # Step 1: every member of a bucket against a pivot, first the smallest row, then others.
+    def linked_to(spokes: DataFrame) -> DataFrame:
+        """Links among (pivot, row) pairs."""
+        first = to_head(to_head(spokes.select(F.col("pivot").alias("a"), F.col("row").alias("b")), "a"), "b")
+        first = first.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        with_a = first.join(facts.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        with_b = with_a.join(facts.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        return durable(_links(durable(with_b.mapInPandas(_not_refuted(rule), "a long, b long"), "pairs"), texts, rule), "links")
 
-    # Step 2: buckets in which a member and the pivot are still apart.
-    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
+    def labelled(df: DataFrame, column: str, name: str, comps: DataFrame) -> DataFrame:
         label = comps.select(F.col("row").alias("_h"), F.col("comp").alias(name))
         headed = to_head(df.withColumn("_h", F.col(column)), "_h")
         return headed.join(label, "_h", "left").withColumn(name, F.coalesce(name, "_h")).drop("_h")
 
-    apart = labelled(labelled(spokes, "row", "c1"), "pivot", "c2").filter("c1 <> c2").select("pivot", "row")
+    def still_apart(spokes: DataFrame, comps: DataFrame) -> DataFrame:
+        return labelled(labelled(spokes, "row", "c1", comps), "pivot", "c2", comps).filter("c1 <> c2").select("pivot", "row")
+
+    spokes = durable(stars.select("pivot", "row").distinct(), "spokes")
+    links = linked_to(spokes)
+    comps = durable(components(links), "comps")
+    for turn in range(PIVOTS):
+        apart = still_apart(spokes, comps)
+        sigs = stars.join(apart, ["pivot", "row"], "left_semi").select("sig").distinct()
+        inside = stars.join(sigs, "sig", "left_semi").select("sig", "row")
+        other = inside.groupBy("sig").agg(F.min(F.struct(F.xxhash64("row", "sig", F.lit(turn)).alias("h"), F.col("row").alias("pivot"))).alias("_p"), F.count(F.lit(1)).alias("_n"))
+        again = inside.join(other.filter("_n > 1").select("sig", F.col("_p.pivot").alias("pivot")), "sig").filter("pivot <> row").select("pivot", "row").distinct()
+        links = durable(links.union(linked_to(still_apart(again, comps))), "links")
+        comps = durable(components(links), "comps")
+
+    # Step 2: buckets in which a member and the pivot are still apart.
+    apart = still_apart(spokes, comps)
     members = stars.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("pivot").alias("pivot"))
     hot = members.filter(F.col("size") >= HOT).select("sig")
     in_hot = stars.join(hot, "sig", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("h")).unionByName(
@@ -436,7 +458,7 @@ def jaccard_classes(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: st
     inside = (stars.join(mixed.select("sig", "size"), "sig").select("sig", "size", "row").unionByName(mixed.select("sig", "size", F.col("pivot").alias("row")))
               .join(bare.withColumn("_bare", F.lit(True)), "row", "left").withColumn("covered", F.col("_bare").isNull()).drop("_bare"))
     wanted = inside.groupBy("sig").agg(F.max(~F.col("covered") | (F.col("size") < HOT)).alias("_w")).filter("_w").select("sig")
-    full = labelled(inside.join(wanted, "sig", "left_semi"), "row", "comp").join(facts, "row").select("sig", "row", "comp", "n", "covered", "sketch")
+    full = labelled(inside.join(wanted, "sig", "left_semi"), "row", "comp", comps).join(facts, "row").select("sig", "row", "comp", "n", "covered", "sketch")
     second = durable(full.repartition("sig").sortWithinPartitions("sig").mapInPandas(_cross_pairs(rule), "a long, b long").distinct(), "pairs")
     more = durable(_links(second, texts, rule), "links")
 
