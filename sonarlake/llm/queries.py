@@ -40,7 +40,7 @@ def _op6_sql() -> str:
     languages = ", ".join(f"'{x}'" for x in r.languages)
     xlog = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
     js = f"sum({xlog.format('p', 'q')} + {xlog.format('q', 'p')})"
-    return f"""
+    return rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{blank}+'), lambda x: x <> '') AS words FROM d),
 win AS (SELECT k, i, list_slice(words, i, i + {r.window - 1}) AS win FROM (SELECT k, words, unnest(range(1, len(words) - {r.window - 2})) AS i FROM w WHERE len(words) >= {r.window})),
