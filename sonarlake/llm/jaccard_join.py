@@ -437,10 +437,12 @@ def jaccard_classes(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: st
     spokes = durable(stars.select("pivot", "row").distinct(), "spokes")
     links = linked_to(spokes)
     comps = durable(components(links), "comps")
+    active = stars  # buckets that may still hold several components; they only get fewer
     for turn in range(PIVOTS):
         apart = still_apart(spokes, comps)
-        sigs = stars.join(apart, ["pivot", "row"], "left_semi").select("sig").distinct()
-        inside = stars.join(sigs, "sig", "left_semi").select("sig", "row")
+        sigs = active.join(apart, ["pivot", "row"], "left_semi").select("sig").distinct()
+        active = durable(active.join(sigs, "sig", "left_semi"), "active")
+        inside = active.select("sig", "row")
         other = inside.groupBy("sig").agg(F.min(F.struct(F.xxhash64("row", "sig", F.lit(turn)).alias("h"), F.col("row").alias("pivot"))).alias("_p"), F.count(F.lit(1)).alias("_n"))
         again = inside.join(other.filter("_n > 1").select("sig", F.col("_p.pivot").alias("pivot")), "sig").filter("pivot <> row").select("pivot", "row").distinct()
         links = durable(links.union(linked_to(still_apart(again, comps))), "links")
@@ -453,9 +455,10 @@ def jaccard_classes(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: st
     in_hot = stars.join(hot, "sig", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("h")).unionByName(
         members.filter(F.col("size") >= HOT).groupBy(F.col("pivot").alias("row")).agg(F.count(F.lit(1)).alias("h"))).groupBy("row").agg(F.sum("h").alias("h"))
     bare = durable(sized.select("row", "spare").distinct().join(in_hot, "row").filter("h > spare").select("row"), "bare")  # not covered
-    mixed = stars.join(apart, ["pivot", "row"], "left_semi").select("sig").distinct().join(members, "sig").select("sig", "size", "pivot")
+    mixed = active.join(apart, ["pivot", "row"], "left_semi").select("sig").distinct().join(
+        active.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("pivot").alias("pivot")), "sig").select("sig", "size", "pivot")
     mixed = durable(mixed.filter("size > 1"), "mixed")  # a pivot and one member have been compared
-    inside = (stars.join(mixed.select("sig", "size"), "sig").select("sig", "size", "row").unionByName(mixed.select("sig", "size", F.col("pivot").alias("row")))
+    inside = (active.join(mixed.select("sig", "size"), "sig").select("sig", "size", "row").unionByName(mixed.select("sig", "size", F.col("pivot").alias("row")))
               .join(bare.withColumn("_bare", F.lit(True)), "row", "left").withColumn("covered", F.col("_bare").isNull()).drop("_bare"))
     wanted = inside.groupBy("sig").agg(F.max(~F.col("covered") | (F.col("size") < HOT)).alias("_w")).filter("_w").select("sig")
     full = labelled(inside.join(wanted, "sig", "left_semi"), "row", "comp", comps).join(facts, "row").select("sig", "row", "comp", "n", "covered", "sketch")
