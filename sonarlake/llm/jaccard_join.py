@@ -14,7 +14,12 @@ Candidates are verified exactly, in two steps that never list all pairs of a gro
 1. In every bucket of equal segment contents all members are compared with one pivot; verified links join components.
    Buckets that still hold several components do so again with another pivot, a few times: that is linear in the rows of
    the buckets and joins the groups of near copies whose members differ from the first pivot.
-2. Only buckets that still hold several components are looked at again, with all their members.
+2. Only buckets that still hold several components are looked at again, with all their members. Above BLOCK members a bucket
+   is not compared as a whole. A pair of its documents either shares a cold token (one that at most HOT of the documents of
+   such buckets have), and then one among the first n - ceil(t n) + 1 tokens of both, cold ones first: these few tokens are
+   buckets of their own. Or it shares none, and then all cold tokens of both are differences, so that at least one of the two
+   is light: it has so few cold tokens that they fit in its part of H. Only light documents are compared with the members of
+   their large buckets, block with block, each block of about BLOCK rows, every pair of blocks by itself and streamed.
 
 Before a pair is verified, parity sketches are compared (one bit per token position, xor of the set): the bits in which two
 sketches differ never exceed the sets' difference, so most pairs are refuted without their texts, those of step 2 inside
@@ -30,6 +35,7 @@ Sets of equal documents are joined first, by a 128-bit hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -50,6 +56,7 @@ EXTRA = 0.12  # share of segments indexed beyond H+1
 BROADCAST_ROWS = 2_000_000  # ids, 16 MB
 PIVOTS = 2  # further pivots per bucket before members are compared with each other
 HOT = 64  # a bucket with more members is hot
+BLOCK = 2048  # a bucket with more members is compared block with block
 
 
 @dataclass(frozen=True)
@@ -175,7 +182,7 @@ def _describe(rule: JaccardRule):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch["doc_id"].tolist(), batch["_text"].tolist()):
+            for key, text in zip(batch["row"].tolist(), batch["_text"].tolist()):
                 tokens = shingle_set(text if isinstance(text, str) else None, rule.words)
                 if len(tokens):
                     rows.append((key, len(tokens), *set_key(tokens), spare_buckets(tokens, rule), sketch(tokens)))
@@ -191,7 +198,7 @@ def _index(rule: JaccardRule):
         seen: set[tuple[int, int]] = set()  # sets this task has indexed already; copies need no second index
         for batch in batches:
             keys, rows = [], []
-            for key, text in zip(batch["doc_id"].tolist(), batch["_text"].tolist()):
+            for key, text in zip(batch["row"].tolist(), batch["_text"].tolist()):
                 tokens = shingle_set(text if isinstance(text, str) else None, rule.words)
                 if not len(tokens) or (name := set_key(tokens)) in seen:
                     continue
@@ -355,12 +362,85 @@ def _cross_pairs(rule: JaccardRule, block: int = 512):
     return run
 
 
+def _tokens(rule: JaccardRule):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                some = batch.iloc[lo:lo + 500]
+                sets = [shingle_set(text if isinstance(text, str) else None, rule.words) for text in some["_text"].tolist()]
+                yield pd.DataFrame({"sig": np.concatenate(sets).view("int64"), "row": np.repeat(some["row"].to_numpy("i8"), [len(x) for x in sets])})
+
+    return run
+
+
+def _block_pairs(rule: JaccardRule, step: int = 512):
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for lo in range(0, len(x), step):
+            for lo2 in range(0, len(y), step):
+                u, v = x.iloc[lo:lo + step], y.iloc[lo2:lo2 + step]
+                n, m, cu, cv = u["n"].to_numpy("i8")[:, None], v["n"].to_numpy("i8")[None], u["cold"].to_numpy("i8")[:, None], v["cold"].to_numpy("i8")[None]
+                most = rule.difference(n + m)
+                ok = (u["comp"].to_numpy()[:, None] != v["comp"].to_numpy()[None]) & (cu + cv <= most) & (rule.part * np.maximum(n, m) <= rule.whole * np.minimum(n, m))
+                ok &= ~(u["covered"].to_numpy(bool)[:, None] & v["covered"].to_numpy(bool)[None])
+                if not ok.any():
+                    continue
+                i, j = np.nonzero(ok & (_apart(u["sketch"].tolist(), v["sketch"].tolist()) <= most))
+                a, b = u["row"].to_numpy()[i], v["row"].to_numpy()[j]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by (block, right): the left rows of a pair of blocks are held, the right ones stream past them."""
+        now, left = None, []
+        for batch in batches:
+            cuts = _runs(batch["block"].to_numpy() * 2 + batch["right"].to_numpy("i8"))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                rows = batch.iloc[lo:hi]
+                if rows["block"].iloc[0] != now:
+                    now, left = rows["block"].iloc[0], []
+                if not rows["right"].iloc[0]:
+                    left.append(rows)
+                elif left:
+                    left = [pd.concat(left)]
+                    yield from compare(left[0], rows)
+
+    return run
+
+
+def _blocks(rows: DataFrame, rule: JaccardRule) -> DataFrame:
+    """Rows of large buckets (sig, row, comp, n, covered, cold, sketch), repeated for each pair of blocks they take part in.
+
+    A bucket is cut by kind (light or not, in its largest component or not), by size band (linked sizes are at most one
+    band apart) and by a salt of the row. Two that are not light, or two of the largest component, need not meet.
+    """
+    sizes = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    main = sizes.groupBy("sig").agg(F.max(F.struct("_n", "comp")).alias("_m")).select("sig", F.col("_m.comp").alias("_main"))
+    light = (rule.whole - rule.part) * F.col("n") >= (rule.whole + rule.part) * F.col("cold")
+    own = rows.join(main, "sig").withColumns({
+        "kind": light.cast("int") * 2 + (F.col("comp") != F.col("_main")).cast("int"),
+        "band": F.floor(F.log(F.col("n").cast("double")) / math.log(float(rule.growth) * 1.001))}).drop("_main")
+    groups = durable(own.groupBy("sig", "kind", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k")), "groups")
+    x, y = (groups.select("sig", *[F.col(c).alias(c + side) for c in ("kind", "band", "k")]) for side in ("1", "2"))
+    meets = x.join(y, "sig").filter("abs(band1 - band2) <= 1 AND (kind1 >= 2 OR kind2 >= 2) AND (kind1 % 2 = 1 OR kind2 % 2 = 1)")
+    meets = meets.filter("kind1 < kind2 OR (kind1 = kind2 AND band1 <= band2)").withColumn("same", F.expr("kind1 = kind2 AND band1 = band2"))
+    sides = []
+    for mine, right, salts, others in (("1", False, ("s", "o"), "sequence(if(same, s, 0L), k2 - 1)"), ("2", True, ("o", "s"), "sequence(0L, if(same, s, k1 - 1))")):
+        placed = own.join(meets.withColumnsRenamed({"kind" + mine: "kind", "band" + mine: "band"}), ["sig", "kind", "band"])
+        placed = placed.withColumnsRenamed({"kind": "kind" + mine, "band": "band" + mine}).withColumn("s", F.pmod(F.xxhash64("row", F.lit(5)), F.col("k" + mine)))
+        block = F.shiftright(F.xxhash64("sig", "kind1", "band1", salts[0], "kind2", "band2", salts[1]), 1)
+        sides.append(placed.withColumn("o", F.explode(F.expr(others))).select(
+            block.alias("block"), F.lit(right).alias("right"), "row", "comp", "n", "covered", "cold", "sketch"))
+    return sides[0].unionByName(sides[1])
+
+
+def _only_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Without the texts of other rows, if that needs no shuffle of texts; the join that follows does it all anyway."""
+    return texts.join(F.broadcast(wanted), "row", "left_semi") if wanted.count() <= BROADCAST_ROWS else texts
+
+
 def _links(pairs: DataFrame, texts: DataFrame, rule: JaccardRule) -> DataFrame:
     """The pairs (a < b) whose sets really link; each text is sent once per pair it is second in, and once as first."""
     asked = durable(pairs.union(pairs.select("a", F.col("a").alias("b"))).distinct(), "asked")
-    wanted = asked.select(F.col("b").alias("row")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:  # then the other texts need not be shuffled; beyond it the join below does it all
-        texts = texts.join(F.broadcast(wanted), "row", "left_semi")
+    texts = _only_of(texts, asked.select(F.col("b").alias("row")).distinct())
     sent = asked.join(texts.select(F.col("row").alias("b"), "_text"), "b").select("a", "b", "_text")
     ordered = (sent.repartition("a").withColumn("_other", F.col("a") != F.col("b"))
                .sortWithinPartitions("a", "_other", "b").select("a", "b", "_text"))
@@ -391,6 +471,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("x").alias("row"), F.col("l").alias("comp"))
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """The table with a number per row, stored once so that every later step sees the same numbers."""
+    return durable(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def jaccard_classes(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row.
 
@@ -398,8 +483,21 @@ def jaccard_classes(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: st
     each get a row, of one component when their texts are equal or linked; rows with a null doc_id are not joined and get
     a null component; an empty table gives no rows.
     """
-    rows = pick(docs, doc_id=doc_id, _text=text)
-    known = rows.filter("doc_id IS NOT NULL").select("doc_id", "_text")
+    rows = numbered(pick(docs, doc_id=doc_id, _text=text), "row")
+    known = rows.filter("doc_id IS NOT NULL")
+    described, final = linked_rows(known.select("row", "_text"), rule)
+    placed = final.join(known.select("row", "doc_id"), "row")
+    lowest = durable(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "lowest")
+    lowest = F.broadcast(lowest) if lowest.count() <= BROADCAST_ROWS else lowest
+    named = final.join(lowest, "comp").select("row", "component_id")
+    return (described.join(known.select("row", "doc_id"), "row").join(named, "row", "left")
+            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+            .unionByName(rows.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("n_shingles"),
+                                                              F.lit(None).cast("long").alias("component_id"))))
+
+
+def linked_rows(known: DataFrame, rule: JaccardRule = JaccardRule()) -> tuple[DataFrame, DataFrame]:
+    """Of stored rows (row, _text) with distinct numbers: (row, n, ...) of each, and (row, comp) of each that has a link."""
     described = durable(known.mapInPandas(_describe(rule), "row long, n int, k1 long, k2 long, spare int, sketch binary"), "sets")
     sized = described.filter("n > 0")
 
@@ -414,17 +512,21 @@ def jaccard_classes(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: st
 
     keyed = known.mapInPandas(_index(rule), "sig long, row long")
     stars = durable(keyed.repartition("sig").sortWithinPartitions("sig", "row").mapInPandas(_stars, "sig long, row long, pivot long"), "buckets")
-    facts = sized.select("row", "n", "sketch").dropDuplicates(["row"])
-    texts = known.select(F.col("doc_id").alias("row"), "_text")
+    facts = sized.select("row", "n", "sketch")
+    texts = known.select("row", "_text")
 
     # Step 1: every member of a bucket against a pivot, first the smallest row, then others.
+    def really(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a < b)."""
+        with_a = pairs.join(facts.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        with_b = with_a.join(facts.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        return durable(_links(durable(with_b.mapInPandas(_not_refuted(rule), "a long, b long"), "pairs"), texts, rule), "links")
+
     def linked_to(spokes: DataFrame) -> DataFrame:
         """Links among (pivot, row) pairs."""
         first = to_head(to_head(spokes.select(F.col("pivot").alias("a"), F.col("row").alias("b")), "a"), "b")
         first = first.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        with_a = first.join(facts.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        with_b = with_a.join(facts.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        return durable(_links(durable(with_b.mapInPandas(_not_refuted(rule), "a long, b long"), "pairs"), texts, rule), "links")
+        return really(first)
 
     def labelled(df: DataFrame, column: str, name: str, comps: DataFrame) -> DataFrame:
         label = comps.select(F.col("row").alias("_h"), F.col("comp").alias(name))
@@ -461,14 +563,37 @@ def jaccard_classes(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: st
     inside = (active.join(mixed.select("sig", "size"), "sig").select("sig", "size", "row").unionByName(mixed.select("sig", "size", F.col("pivot").alias("row")))
               .join(bare.withColumn("_bare", F.lit(True)), "row", "left").withColumn("covered", F.col("_bare").isNull()).drop("_bare"))
     wanted = inside.groupBy("sig").agg(F.max(~F.col("covered") | (F.col("size") < HOT)).alias("_w")).filter("_w").select("sig")
-    full = labelled(inside.join(wanted, "sig", "left_semi"), "row", "comp", comps).join(facts, "row").select("sig", "row", "comp", "n", "covered", "sketch")
-    second = durable(full.repartition("sig").sortWithinPartitions("sig").mapInPandas(_cross_pairs(rule), "a long, b long").distinct(), "pairs")
+    full = labelled(inside.join(wanted, "sig", "left_semi"), "row", "comp", comps)
+    bounded = full.filter(F.col("size") < BLOCK).join(facts, "row").select("sig", "row", "comp", "n", "covered", "sketch")
+    second = durable(bounded.repartition("sig").sortWithinPartitions("sig").mapInPandas(_cross_pairs(rule), "a long, b long").distinct(), "pairs")
     more = durable(_links(second, texts, rule), "links")
+    large = durable(to_head(full.filter(F.col("size") >= BLOCK), "row").select("sig", "row", "comp", "covered").distinct(), "large")
+    if large.limit(1).count():
+        more = more.union(_large_links(large, facts, texts, rule, really))
 
     all_links = links.union(more).union(copies.select(F.col("head").alias("a"), F.col("row").alias("b")))
-    final = components(all_links)
-    return (described.select(F.col("row").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
-            .join(final.withColumnRenamed("row", "doc_id"), "doc_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-            .unionByName(rows.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("n_shingles"),
-                                                              F.lit(None).cast("long").alias("component_id"))))
+    return described, components(all_links)
+
+
+def _large_links(large: DataFrame, facts: DataFrame, texts: DataFrame, rule: JaccardRule, really) -> DataFrame:
+    """Links between components among the rows of large buckets (sig, row, comp, covered): by cold tokens, then by blocks."""
+    rows = durable(large.select("row", "comp").distinct().join(facts.select("row", "n"), "row"), "members")
+    tokens = durable(_only_of(texts, rows.select("row")).join(rows.select("row"), "row", "left_semi").select("row", "_text")
+                     .mapInPandas(_tokens(rule), "sig long, row long"), "tokens")
+    common = durable(tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT).select("sig"), "common")
+    cold = tokens.join(F.broadcast(common) if common.count() <= BROADCAST_ROWS else common, "sig", "left_anti")
+    held = durable(cold.groupBy("row").agg(F.sort_array(F.collect_list("sig")).alias("_cold")).join(rows, "row").select(
+        "row", "comp", "n", F.size("_cold").alias("cold"),
+        F.slice("_cold", F.lit(1), (F.col("n") - F.ceil(rule.part * F.col("n") / rule.whole) + 1).cast("int")).alias("_first")), "cold")
+    first = held.select(F.explode("_first").alias("sig"), "row", "comp", "n")
+    x, y = (first.select("sig", *[F.col(c).alias(name + c) for c in ("row", "comp", "n")]) for name in ("a_", "b_"))
+    near = x.join(y, "sig").filter((F.col("a_row") < F.col("b_row")) & (F.col("a_comp") != F.col("b_comp"))
+                                   & (rule.part * F.greatest("a_n", "b_n") <= rule.whole * F.least("a_n", "b_n")))
+    by_token = really(near.select(F.col("a_row").alias("a"), F.col("b_row").alias("b")).distinct())
+
+    counted = rows.join(held.select("row", "cold"), "row", "left").select("row", "n", F.coalesce("cold", F.lit(0)).alias("cold"))
+    few = (rule.whole - rule.part) * (F.col("n") + F.ceil(F.col("n") * rule.whole / rule.part)) >= (rule.whole + rule.part) * F.col("cold")
+    inside = durable(large.join(counted.filter(few), "row"), "inside")
+    blocks = _blocks(inside.join(facts.select("row", "sketch"), "row"), rule)
+    found = blocks.repartition("block").sortWithinPartitions("block", "right").mapInPandas(_block_pairs(rule), "a long, b long")
+    return by_token.union(durable(_links(durable(found.distinct(), "pairs"), texts, rule), "links"))

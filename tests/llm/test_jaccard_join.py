@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from sonarlake.llm import jaccard_join
 from sonarlake.llm.jaccard_join import JaccardRule, band_of, fold, jaccard_classes, shingle_set, signatures, sketch
 
 RULE = JaccardRule()
@@ -107,3 +108,41 @@ def test_nulls_repeats_and_empty(spark):
     assert got == sorted([(None, None, None), (None, None, None), (1, 1, 1), (1, 1, 1), (2, 1, 1)], key=str)
     assert jaccard_classes(df.limit(0)).count() == 0
     assert band_of(np.array([1, 2, 3, 4, 5, 8, 9])).tolist() == [0, 1, 2, 2, 3, 3, 4]
+
+
+def boilerplate(rnd, count, shares, words=120):
+    """Different texts that share the head of one passage; each third one is a near copy of the one before."""
+    passage = [f"p{i}" for i in range(words)]
+    docs, own = [], []
+    for key in range(count):
+        share = rnd.choice(shares)
+        if key % 3 != 1:
+            own = [f"o{rnd.randrange(10**9)}" for _ in range(int(words / share) - words)]
+            head = near(rnd, passage, rnd.randint(0, 2))
+        docs.append((key, " ".join(head + near(rnd, own, key % 2 * 2))))
+    return docs
+
+
+@pytest.mark.parametrize("block", [40, 2048])
+def test_many_texts_with_one_passage(spark, monkeypatch, block):
+    """More members than HOT and, in one case, than a block: no task holds a bucket that is larger than a block."""
+    bounded = jaccard_join._cross_pairs
+
+    def watched(rule):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    assert batch["sig"].value_counts().max() <= block
+                    yield batch
+
+            yield from bounded(rule)(each())
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block, raising=False)
+    monkeypatch.setattr(jaccard_join, "_cross_pairs", watched)
+    docs = boilerplate(random.Random(5), 240, [0.4, 0.6, 0.75, 0.8, 0.84, 0.88])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in jaccard_classes(df).collect())
+    assert got == classes(docs)
+    assert 30 < len({c for _, _, c in got}) < 200
