@@ -1,7 +1,7 @@
 """From raw documents to packed sequences: quality rules, toxicity, one document per group of near copies, packing.
 
 Every stage reads what the one before kept and its decision takes effect; all but the last return the columns of the
-documents table. ``run`` stores each stage's rows as Parquet in the session's shared folder and reads them again.
+documents table. A stage numbers its rows, stores them once and decides row by row, so null and repeated ids lose nothing. ``run`` stores each stage's rows as Parquet in the session's shared folder and reads them again.
 """
 
 from __future__ import annotations
@@ -11,33 +11,42 @@ from pyspark.sql import functions as F
 
 from sonarlake.llm import divergence, jaccard_join, packing, toxicity_chain
 from sonarlake.llm.common import table
+from sonarlake.llm.jaccard_join import numbered
 from sonarlake.llm.queries import BYTE_BPE, vocabulary
 from sonarlake.plans.durable import durable
 
 
 def _only(docs: DataFrame, verdict: DataFrame, keep: str) -> DataFrame:
-    """Documents whose row in ``verdict`` (doc_id, ``keep``) is true; a document without an id goes by the null row."""
-    gone = verdict.filter(~F.col(keep)).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """Numbered documents whose row in ``verdict`` (doc_id is the number, ``keep``) is not false."""
+    gone = verdict.filter(~F.col(keep)).select(F.col("doc_id").alias("_row"))
+    return docs.join(gone, "_row", "left_anti").drop("_row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the divergence rules (operator 6)."""
-    return _only(docs, divergence.divergence_rules(docs), "kept")
+    rows = numbered(docs)
+    return _only(rows, divergence.divergence_rules(rows, doc_id="_row"), "kept")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject (operator 5); labels train it."""
-    return _only(docs, toxicity_chain.score(docs, toxicity_chain.fit(docs, table(spark, sf_dir, "labels"))), "kept")
+    rows = numbered(docs)
+    return _only(rows, toxicity_chain.score(rows, toxicity_chain.fit(rows, table(spark, sf_dir, "labels")), doc_id="_row"), "kept")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of linked documents (operator 7); texts without words stay, a repeated id once."""
-    classes = jaccard_join.jaccard_classes(docs)
-    verdict = classes.select("doc_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("first"))
-    docs = _only(docs, verdict, "first")
-    again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """The document of smallest id of each group of linked documents (operator 7), and one of those without an id.
+
+    Texts without words stay, of a repeated id one.
+    """
+    rows = numbered(docs)
+    sets, linked = jaccard_join.linked_rows(rows.select("_row", "text").toDF("row", "_text"))
+    ids = rows.select(F.col("_row").alias("row"), "doc_id")
+    wordless = sets.filter("n = 0").select("row").join(ids, "row").filter("doc_id IS NOT NULL").select("row", F.lit(None).cast("long").alias("comp"), "doc_id")
+    grouped = durable(linked.join(ids, "row").select("row", "comp", "doc_id").unionByName(wordless), "grouped")
+    kind = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("doc_id").isNull().cast("long"))
+    first = grouped.groupBy("comp", kind.alias("_kind")).agg(F.min(F.struct("doc_id", "row")).alias("_f")).select("_f.row")
+    return _only(rows, grouped.join(first, "row", "left_anti").select(F.col("row").alias("doc_id"), F.lit(False).alias("first")), "first")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

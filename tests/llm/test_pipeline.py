@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from sonarlake.llm import divergence, toxicity_chain
 from sonarlake.llm.common import table
@@ -37,3 +39,25 @@ def test_stages_keep_the_columns_and_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == [(False, 1), (True, None)]
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_null_and_repeated_ids_are_judged_row_by_row(spark):
+    good, other, third = (" ".join(f"the and of {w}{i} in to is" for i in range(12)) for w in ("word", "thing", "matter"))
+    rows = [(None, good), (None, "bad"), (None, good + " end"), (5, other), (5, "bad"), (5, third), (6, third + " end"), (7, good)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.quality_rules(spark, docs, SF)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(i), t) for i, t in rows if t != "bad")
+    left = [(str(r.doc_id), r.text) for r in cp.near_copies(spark, kept, SF).collect()]
+    assert sorted(left) in [sorted([("None", x), ("5", other), ("5", third), ("7", good)]) for x in (good, good + " end")]
+
+
+def test_toxicity_judges_rows(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = toxicity_chain.fit(docs, table(spark, "/root/testdata/sf0.01", "labels"))
+    verdict = {r.doc_id: r.kept for r in toxicity_chain.score(docs, model).collect()}
+    bad = next(i for i in sorted(verdict) if not verdict[i])
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == bad % 2, F.lit(None).cast("long")).otherwise(F.col("doc_id")))
+    labelled = docs.filter(docs.doc_id % 2 == bad % 2).unionByName(odd)
+    model = toxicity_chain.fit(labelled, table(spark, "/root/testdata/sf0.01", "labels"))
+    want = toxicity_chain.score(odd, model).filter("kept AND doc_id IS NULL").count()
+    assert 0 < want == cp.toxicity(spark, labelled, "/root/testdata/sf0.01").filter("doc_id IS NULL").count()
