@@ -2,7 +2,8 @@
 
 The byte-level vocabulary splits text before every single blank that a visible character follows, so a text is cut there
 and each distinct piece is encoded by the library once per worker; a text with any other blank pattern before which a cut
-could change the split is encoded whole. Pieces are kept in a bounded cache.
+could change the split is encoded whole, and so is one that holds an added token such as ``<|endoftext|>``, which the
+library finds before it splits. With ``literal`` special tokens in a text are encoded like any other characters. Pieces are kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ _UNSAFE = re.compile(r" (?=\s|$)|[\x1c-\x1f\x85\xa0  -     　\x00
 class PieceEncoder:
     """Encode texts to id bytes; one per Python worker and vocabulary file."""
 
-    def __init__(self, path: str, cache: int = CACHE_PIECES):
+    def __init__(self, path: str, cache: int = CACHE_PIECES, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = literal
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.led = np.zeros(max(vocabulary.values()) + 1, bool)
         self.led[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the vocabulary's sign for a blank
@@ -48,17 +50,17 @@ class PieceEncoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _UNSAFE.search(text):
+        if _UNSAFE.search(text) or any(t in text for t in self.added):
             return self._whole(text)
         first, *led = text.split(" ")
         return (self._whole(first) if first else b"") + b"".join(self.cache.values(led))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, literal: bool = False) -> PieceEncoder:
     """The worker's encoder; it outlives tasks, as Spark reuses Python workers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, literal) not in _ENCODERS:
+        _ENCODERS[path, literal] = PieceEncoder(path, literal=literal)
+    return _ENCODERS[path, literal]

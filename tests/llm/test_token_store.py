@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sonarlake.llm import token_store as ts
+from sonarlake.llm.tokens import PieceEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -46,3 +47,18 @@ def test_store_round_trip_and_strangers(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ts.store_and_check(docs, PATH).count() == 0
+
+
+def test_added_tokens_in_texts_equal_the_untouched_library(spark):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "<|endoftext", "a b <|endoftext|><|endoftext|> c  d", "plain words here"]
+    library, encode = Tokenizer.from_file(PATH), PieceEncoder(PATH)
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4") for x in texts]
+    assert want[0].tolist() == [87, 220, 50256, 331]
+    assert [encode.ids(x) for x in texts] == [x.tobytes() for x in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in ts.store_and_check(docs, PATH, end_id=2).collect()}
+    start = 0
+    for key, ids in enumerate(want):
+        raw = np.append(ids, 2).astype("<u4")
+        assert got[key] == (start, len(raw), zlib.crc32(raw.tobytes()))
+        start += len(raw)
