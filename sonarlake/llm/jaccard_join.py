@@ -56,6 +56,7 @@ EXTRA = 0.12  # share of segments indexed beyond H+1
 BROADCAST_ROWS = 2_000_000  # ids, 16 MB
 PIVOTS = 2  # further pivots per bucket before members are compared with each other
 HOT = 64  # a bucket with more members is hot
+FAN = 4096  # pairs of one document that a task verifies; more are spread
 BLOCK = 2048  # a bucket with more members is compared block with block
 
 
@@ -438,12 +439,15 @@ def _only_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame, rule: JaccardRule) -> DataFrame:
-    """The pairs (a < b) whose sets really link; each text is sent once per pair it is second in, and once as first."""
+    """The pairs (a < b) whose sets really link; each text is sent once per pair it is second in, and as first once per FAN pairs."""
     asked = durable(pairs.union(pairs.select("a", F.col("a").alias("b"))).distinct(), "asked")
     texts = _only_of(texts, asked.select(F.col("b").alias("row")).distinct())
-    sent = asked.join(texts.select(F.col("row").alias("b"), "_text"), "b").select("a", "b", "_text")
-    ordered = (sent.repartition("a").withColumn("_other", F.col("a") != F.col("b"))
-               .sortWithinPartitions("a", "_other", "b").select("a", "b", "_text"))
+    heavy = durable(asked.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("_k")).filter("_k > 1"), "heavy")
+    spread = asked.join(F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy, "a", "left").withColumn("_k", F.coalesce("_k", F.lit(1).cast("long")))
+    spread = spread.select("a", "b", F.explode(F.expr("if(a = b, sequence(0L, _k - 1), array(pmod(xxhash64(b), _k)))")).alias("_salt"))
+    sent = spread.join(texts.select(F.col("row").alias("b"), "_text"), "b").select("a", "b", "_salt", "_text")
+    ordered = (sent.repartition("a", "_salt").withColumn("_other", F.col("a") != F.col("b"))
+               .sortWithinPartitions("a", "_salt", "_other", "b").select("a", "b", "_text"))
     return ordered.mapInPandas(_verify(rule), "a long, b long")
 
 

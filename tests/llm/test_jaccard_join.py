@@ -146,3 +146,34 @@ def test_many_texts_with_one_passage(spark, monkeypatch, block):
     got = sorted(tuple(r) for r in jaccard_classes(df).collect())
     assert got == classes(docs)
     assert 30 < len({c for _, _, c in got}) < 200
+
+
+def test_different_texts_of_one_id_are_all_compared(spark):
+    rnd = random.Random(8)
+    docs = []
+    for key in range(15):
+        bases = [[f"x{rnd.randrange(10**9)}" for _ in range(n)] for n in (40, 70)]
+        docs += [(key, " ".join(b)) for b in bases] + [(100 + 2 * key + k, " ".join(near(rnd, b, 1))) for k, b in enumerate(bases)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard_classes(df).collect()) == classes(docs)
+
+
+def test_pairs_of_one_document_are_spread(spark, monkeypatch):
+    plain = jaccard_join._verify
+
+    def watched(rule):
+        def run(batches):
+            batches = list(batches)
+            own = np.concatenate([np.zeros(0, bool), *[(b["a"] == b["b"]).to_numpy() for b in batches]])
+            assert np.diff(np.append(np.flatnonzero(own), len(own))).max(initial=0) < 40  # pairs on one sent text of a
+            yield from plain(rule)(batches)
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "FAN", 8, raising=False)
+    monkeypatch.setattr(jaccard_join, "_verify", watched)
+    rnd = random.Random(9)
+    base = [f"c{i}" for i in range(150)]
+    docs = [(key, " ".join(near(rnd, base, 1 + key % 2))) for key in range(250)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard_classes(df).collect()) == classes(docs)
