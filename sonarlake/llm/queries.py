@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, divergence, fm_quality, hard_negatives, jaccard_join, lsh_forest, packing, rank_queue_bpe, token_store, tool_calls, toxicity_chain
+from . import arc, divergence, fm_quality, hard_negatives, jaccard_join, lsh_forest, packing, rank_queue_bpe, token_store, tool_calls, toxicity_chain, weighted_sampling
 from .common import table
 
 BYTE_BPE, MULTI_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -186,3 +186,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = rows.select("vec_id", moved.alias("label"), hard_negatives.whole_numbers(F.col("embedding"), 256).alias("vector"))
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_consistent_sampling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.compare_with_next(table(spark, sf_dir, "documents"))
