@@ -7,7 +7,7 @@ Jaccard similarity of their word counts, sum of minima over sum of maxima, so th
 
 A fingerprint is ``samples`` numbers of 16 bits in hexadecimal; 0000 stands for a text without words. Bids are minimised as
 64-bit numbers (bid to 24 binary digits above, 31 bits that name the sample below), so all samples of a text are plain
-minima that one hash aggregation keeps; everything is DataFrame functions.
+minima that one hash aggregation keeps in generated code; everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sonarlake.plans.durable import durable
 from sonarlake.plans.ordered import dense_index
 
-from .common import BLANK_RE, let, pick
+from .common import BLANK_RE, pick
 
 #: Copies of one text are listed in runs of this length, so no row holds a long array.
 RUN = 10_000
@@ -28,39 +28,28 @@ RUN = 10_000
 
 @dataclass(frozen=True)
 class SamplingRule:
-    """64 samples give a standard error of at most 1/16; more than 64 would leave generated code."""
+    """32 samples give a standard error of at most 1/11; the cost of a fingerprint is words times samples."""
 
-    samples: int = 64
+    samples: int = 32
     seed: int = 0
 
 
-def word_counts(text: Column) -> Column:
-    """Array of (h, w): hash and count of every distinct word of a text, from runs in its sorted word hashes."""
-    hashes = F.sort_array(F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), BLANK_RE), lambda w: w != ""), lambda w: F.xxhash64(w)))
-
-    def runs(h: Column) -> Column:
-        ends = F.filter(F.transform(h, lambda x, i: F.when(F.coalesce(F.get(h, i + 1) != x, F.lit(True)), F.struct(x.alias("h"), (i + 1).alias("e")))),
-                        lambda s: s.isNotNull())
-        return let(ends, lambda e: F.transform(e, lambda s, i: F.struct(
-            s["h"].alias("h"), (s["e"] - F.coalesce(F.get(e, i - 1)["e"], F.lit(0))).alias("w"))))
-
-    return let(hashes, runs)
-
-
 def bid(h: Column, log_w: Column, k: int, seed: int = 0) -> Column:
-    """The word's bid for sample k with the sample's name in its low 31 bits; the least one wins. Null for no word."""
-    first, second = F.xxhash64(h, F.lit(2 * k + 1000 * seed)), F.xxhash64(h, F.lit(2 * k + 1 + 1000 * seed))
+    """The word's bid for sample k with the sample's name in its low 31 bits; the least one wins. Null for no word.
+
+    One 64-bit hash is cut into five uniform numbers: two of 12 bits for r, two of 13 bits for c, 14 bits for b.
+    """
+    x = F.xxhash64(h, F.lit(k + 1000 * seed))
 
-    def uniform(x: Column, shift: int, bits: int) -> Column:
-        return (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0 ** -bits)
+    def uniform(shift: int, bits: int) -> Column:
+        return F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)
 
-    r = -F.log(uniform(first, 0, 32) * uniform(first, 32, 32))
-    c = -F.log(uniform(second, 0, 21) * uniform(second, 21, 21))
-    b = uniform(second, 42, 22)
+    r = -F.log(uniform(0, 12) * uniform(12, 12) * F.lit(2.0 ** -24))
+    log_c = F.log(-F.log(uniform(24, 13) * uniform(37, 13) * F.lit(2.0 ** -26)))
+    b = uniform(50, 14) * F.lit(2.0 ** -14)
     t = F.floor(log_w / r + b)
-    log_a = F.log(c) - r * (t - b) - r
-    name = F.xxhash64(h, t, F.lit(k)).bitwiseAND(F.lit((1 << 31) - 1))
-    return F.shiftleft(((log_a + 128.0) * F.lit(2.0 ** 24)).cast("bigint"), 31).bitwiseOR(name)
+    name = h.bitwiseXOR(t * 40503).bitwiseAND(F.lit((1 << 31) - 1))
+    return F.shiftleft(((log_c - r * (t - b + 1) + 128.0) * F.lit(2.0 ** 24)).cast("bigint"), 31).bitwiseOR(name)
 
 
 def _hex(value: Column) -> Column:
@@ -72,10 +61,12 @@ def _hex(value: Column) -> Column:
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", rule: SamplingRule = SamplingRule()) -> DataFrame:
     """``keys`` and ``fingerprint`` of every row; keys must tell rows apart and hold no nulls.
 
-    A null, empty or blank text has the fingerprint of zeros. The keys' partitioning, if there is one, is kept.
+    A null, empty or blank text has the fingerprint of zeros. The keys' partitioning, if there is one, is kept, so rows
+    that are already dealt by their keys are counted and sampled in place.
     """
-    terms = texts.select(*keys, F.explode_outer(word_counts(F.col(text))).alias("_t"))
-    terms = terms.select(*keys, F.col("_t.h").alias("_h"), F.log(F.col("_t.w").cast("double")).alias("_lw"))
+    words = texts.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), BLANK_RE)).alias("_w"))
+    terms = words.select(*keys, F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_h")).groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_n"))
+    terms = terms.select(*keys, "_h", F.log(F.col("_n").cast("double")).alias("_lw"))
     won = terms.groupBy(*keys).agg(*[F.min(bid(F.col("_h"), F.col("_lw"), k, rule.seed)).alias(f"_s{k}") for k in range(rule.samples)])
     return won.select(*keys, F.concat(*[_hex(F.col(f"_s{k}")) for k in range(rule.samples)]).alias("fingerprint"))
 
@@ -127,18 +118,17 @@ def compare_with_next(docs: DataFrame, rule: SamplingRule = SamplingRule(), text
         F.struct(F.lit(0).alias("side"), F.col("text").alias("words")),
         F.struct(F.lit(1).alias("side"), F.concat(start, "head").alias("words")),
         F.when(F.col("copies") > 1, F.struct(F.lit(2).alias("side"), F.concat(start, F.expr("substring(text, 1, half)")).alias("words")))))
-    about = ["k1", "k2", "next1", "next2", "copies", "n_chars", "doc_known", "doc_id"]
-    sides = both.select("k1", "k2", "next1", "next2", "copies", "n_chars", F.col("doc_id").isNotNull().alias("doc_known"),
-                        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.explode(texts).alias("_s"))
-    sides = sides.select(*about, "_s.side", F.col("_s.words").alias("words"), F.sha2("_s.words", 256).alias("sha"))
-    signed = durable(fingerprints(sides, [*about, "side", "sha"], "words", rule), "signed")
+    sides = both.select("k1", "k2", "next1", "next2", "copies", "n_chars", "doc_id", F.explode(texts).alias("_s"))
+    sides = sides.select("*", "_s.side", "_s.words").drop("_s")
+    about = sides.withColumn("sha", F.sha2("words", 256)).drop("words")
+    signed = durable(about.join(fingerprints(sides, ["k1", "k2", "side"], "words", rule), ["k1", "k2", "side"]), "signed")
 
     base = signed.filter("side = 0").drop("side", "sha")
     edited = signed.filter("side > 0").select("k1", "k2", "side", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
     ahead = base.select(F.col("k1").alias("next1"), F.col("k2").alias("next2"), F.col("fingerprint").alias("_ahead"))
     out = base.join(edited, ["k1", "k2"]).join(ahead, ["next1", "next2"])
     near_next = F.when(F.col("side") == 2, F.lit(1.0)).otherwise(likeness(F.col("fingerprint"), F.col("_ahead"), rule.samples))
-    out = out.select(F.when(F.col("doc_known"), F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    out = out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                      likeness(F.col("fingerprint"), F.col("edited_fingerprint"), rule.samples).alias("near_edited"), near_next.alias("near_next"),
                      F.when(F.col("side") == 1, F.lit(1)).otherwise(F.col("copies") - 1).cast("long").alias("_n"))
     runs = out.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))))

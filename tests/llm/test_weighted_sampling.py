@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sonarlake.llm.common import table
-from sonarlake.llm.weighted_sampling import SamplingRule, bid, compare_with_next, fingerprints, likeness, word_counts
+from sonarlake.llm.weighted_sampling import SamplingRule, bid, compare_with_next, fingerprints, likeness
 
 
 def words(text):
@@ -32,44 +32,42 @@ def edit(text, after):
     return text[:len(text) - half] + after[:half]
 
 
-def test_word_counts_and_sampling_rates(spark):
+def share(a, b):
+    return sum(a[k:k + 4] == b[k:k + 4] for k in range(0, len(a), 4)) / (len(a) / 4)
+
+
+def test_collision_rate_is_the_generalised_jaccard(spark):
     rng = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(60)]
-    texts = [" ".join(rng.choice(vocabulary, size=n)) for n in (40, 80, 200, 120)] + ["", None, " \n ", "a a a b", "é\x0b日本 é"]
+    texts = [" ".join(rng.choice(vocabulary, size=n)) for n in (40, 80, 200, 120)] + ["", None, " \n ", "a a a b"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    for r in df.select("text", word_counts(F.col("text")).alias("t"), F.transform(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)).alias("h")).collect():
-        assert sorted(x.w for x in r.t) == sorted(Counter(words(r.text)).values())
-        assert {x.h for x in r.t} <= set(r.h)
-    sums = np.zeros((4, 4))
-    rounds = 12
+    sums, rounds = np.zeros((4, 4)), 12
     for seed in range(rounds):
         got = {r.id: r.fingerprint for r in fingerprints(df, ["id"], rule=SamplingRule(seed=seed)).collect()}
-        assert got[4] == got[5] == got[6] == "0" * 256 and got[7] != got[4]
-        for i in range(4):
-            for j in range(4):
-                sums[i, j] += sum(got[i][k:k + 4] == got[j][k:k + 4] for k in range(0, 256, 4)) / 64
+        assert got[4] == got[5] == got[6] == "0" * 128 and got[7] != got[4]
+        sums += [[share(got[i], got[j]) for j in range(4)] for i in range(4)]
     for i in range(4):
         for j in range(4):
             p = jaccard(texts[i], texts[j])
-            assert abs(sums[i, j] / rounds - p) < 4 * math.sqrt(p * (1 - p) / (64 * rounds)) + 1e-9
-
-
-def test_bids_equal_a_plain_loop(spark):
-    text = "the cat and the dog and the end"
-    terms = spark.createDataFrame([(text,)], "text string").select(F.explode(word_counts(F.col("text"))).alias("t")).select("t.*")
-    for k in (0, 5, 63):
-        hashed = terms.select("h", "w", F.xxhash64("h", F.lit(2 * k)).alias("a"), F.xxhash64("h", F.lit(2 * k + 1)).alias("b"),
-                              bid(F.col("h"), F.log(F.col("w").cast("double")), k).alias("bid")).collect()
-        for r in hashed:
-            a, b = r.a & (2 ** 64 - 1), r.b & (2 ** 64 - 1)
-            u = [((a & 0xFFFFFFFF) + .5) / 2 ** 32, ((a >> 32) + .5) / 2 ** 32, ((b & 0x1FFFFF) + .5) / 2 ** 21, ((b >> 21 & 0x1FFFFF) + .5) / 2 ** 21, ((b >> 42) + .5) / 2 ** 22]
+            assert abs(sums[i, j] / rounds - p) < 4 * math.sqrt(p * (1 - p) / (32 * rounds)) + 1e-9
+
+
+def test_bids_and_samples_equal_a_plain_loop(spark):
+    text = " the cat and the dog\x0band the end  日本 "
+    counts = Counter(words(text))
+    df = spark.createDataFrame(list(counts.items()), "word string, n int").select("word", "n", F.xxhash64("word").alias("h"))
+    fingerprint = fingerprints(spark.createDataFrame([(1, text)], "id long, text string"), ["id"]).first().fingerprint
+    for k in (0, 5, 31):
+        best = []
+        for r in df.select("h", "n", F.xxhash64("h", F.lit(k)).alias("x"), bid(F.col("h"), F.log(F.col("n").cast("double")), k).alias("bid")).collect():
+            x = r.x & (2 ** 64 - 1)
+            u = [((x >> s & (1 << b) - 1) + .5) / 2 ** b for s, b in ((0, 12), (12, 12), (24, 13), (37, 13), (50, 14))]
             size, c = -math.log(u[0] * u[1]), -math.log(u[2] * u[3])
-            t = math.floor(math.log(r.w) / size + u[4])
+            t = math.floor(math.log(r.n) / size + u[4])
             log_a = math.log(c) - size * (t - u[4]) - size
             assert abs((r.bid >> 31) / 2 ** 24 - 128 - log_a) < 1e-6
-        least = min(r.bid for r in hashed)
-        fingerprint = fingerprints(spark.createDataFrame([(1, text)], "id long, text string"), ["id"]).first().fingerprint
-        assert int(fingerprint[4 * k:4 * k + 4], 16) == (least & (2 ** 31 - 1)) % 65535 + 1
+            best.append((log_a, (r.h ^ t * 40503) & (2 ** 31 - 1)))
+        assert int(fingerprint[4 * k:4 * k + 4], 16) == min(best)[1] % 65535 + 1
 
 
 def check(rows, got):
@@ -85,9 +83,9 @@ def test_edits_copies_nulls_and_long_texts(spark):
     check(rows, got)
     by_id = {g.doc_id: g for g in got}
     assert by_id[1].fingerprint == by_id[2].fingerprint and by_id[2].near_next == 1.0
-    assert by_id[4].near_next == 1.0 and by_id[4].fingerprint == "0" * 256 == by_id[3].edited_fingerprint and by_id[3].near_next == 0.0
+    assert by_id[4].near_next == 1.0 and by_id[4].fingerprint == "0" * 128 == by_id[3].edited_fingerprint and by_id[3].near_next == 0.0
     for a, b in [(a, b) for a, b in neighbours(rows)]:
-        assert by_id[a[0]].near_next == sum(by_id[a[0]].fingerprint[k:k + 4] == by_id[b[0]].fingerprint[k:k + 4] for k in range(0, 256, 4)) / 64
+        assert by_id[a[0]].near_next == share(by_id[a[0]].fingerprint, by_id[b[0]].fingerprint)
     repeated = [(8, "to be or not to be that is it")] * 25 + [(3, "other words here now"), (None, "no id a"), (None, "no id a")]
     got = compare_with_next(spark.createDataFrame(repeated, "doc_id long, text string")).collect()
     check(repeated, got)
@@ -104,5 +102,5 @@ def test_likeness_follows_the_documents(spark):
     errors = []
     for a, b in neighbours(rows):
         errors += [got[a[0]].near_edited - jaccard(a[1], edit(a[1], b[1])), got[a[0]].near_next - jaccard(a[1], b[1])]
-    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.065
-    assert spark.range(1).select(likeness(F.lit("0" * 256), F.lit("0" * 256)).alias("x")).first().x == 1.0
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.09
+    assert spark.range(1).select(likeness(F.lit("0" * 128), F.lit("0" * 128)).alias("x")).first().x == 1.0
