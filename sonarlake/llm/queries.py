@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, divergence, fm_quality, hard_negatives, jaccard_join, lsh_forest, packing, rank_queue_bpe, token_store, tool_calls, toxicity_chain, weighted_sampling
+from . import arc, divergence, fm_quality, hard_negatives, jaccard_join, lsh_forest, packing, prefix_trie, rank_queue_bpe, token_store, tool_calls, toxicity_chain, weighted_sampling
 from .common import table
 
 BYTE_BPE, MULTI_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -191,3 +191,35 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_consistent_sampling")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS no FROM conversations WHERE conv_id IS NOT NULL),
+bytes(conv_id, s, i, crc) AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), 1, CAST(4294967295 AS BIGINT) FROM t
+  UNION ALL SELECT conv_id, s, i + 1, list_reduce(list_prepend(xor(crc, CAST(ascii(substr(s, i, 1)) AS BIGINT)), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+    lambda x, y: xor(x // 2, 3988292384 * (x % 2))) FROM bytes WHERE i <= length(s)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(crc, 4294967295) % 4 AS h FROM bytes WHERE i > length(s)),
+lists AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY no) AS turns FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:h], []), coalesce(o.turns[h + 1:], [])) AS turns
+  FROM c JOIN lists o USING (conv_id) LEFT JOIN lists b ON b.conv_id = c.base),
+m AS (SELECT conv_id, d, md5(CAST(turns[1:d] AS VARCHAR)) || d AS node, CASE WHEN d > 0 THEN md5(CAST(turns[1:d - 1] AS VARCHAR)) || (d - 1) END AS parent,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words, d = len(turns) AS ends
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM r)),
+n AS (SELECT node, any_value(parent) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY node),
+k AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM n LEFT JOIN k ON k.parent = n.node),
+up(node, above) AS (SELECT node, node FROM own UNION ALL SELECT up.node, n.parent FROM up JOIN n ON n.node = up.above WHERE n.parent IS NOT NULL),
+s AS (SELECT above, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM up JOIN own USING (node) GROUP BY above)
+SELECT own.conv_id, CAST(own.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, own.n_convs, own.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN s ON s.above = own.node LEFT JOIN n p ON p.node = own.parent
+"""
+
+
+@query("op11_prefix_slots", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.borrow_starts(turns)).drop("node", "parent")
