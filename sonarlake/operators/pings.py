@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.functions.geo import KNOTS_PER_MPS, haversine
-from sonarlake.plans.ordered import with_chunks
 
 MAX_SPEED_KNOTS = 15.0
 CHUNK = 4096
@@ -43,14 +42,19 @@ def validate_pings(df: DataFrame) -> DataFrame:
 
 
 def trajectory_steps(pings: DataFrame, max_speed_knots: float = MAX_SPEED_KNOTS, chunk: int = CHUNK) -> DataFrame:
-    """One row per step to the previous ping: time, distance, speed, and the two faults.
+    """One row per step to the previous ping (the next lower number there is): time, distance, speed, and the two faults.
 
-    The step into a chunk's first ping needs the last ping of the chunk before, which the chunking repeats.
+    A survey is cut into chunks of ping numbers. The step into a chunk's first ping starts at the last ping of the chunks
+    before, found over one row per chunk, so lost numbers, whole chunks of them included, make no difference.
     """
-    chunks = with_chunks(pings, "ping_id", chunk, before=1)
+    kept = ("t_s", "latitude", "longitude")
+    chunks = pings.withColumn("_chunk", F.floor(F.col("ping_id") / F.lit(float(chunk))).cast("bigint"))
+    ends = chunks.groupBy("survey_id", "_chunk").agg(F.max(F.struct("ping_id", *kept)).alias("_end"))
+    by_survey = Window.partitionBy("survey_id").orderBy("_chunk")
+    ends = ends.select("survey_id", "_chunk", F.lag("_end").over(by_survey).alias("_before"))
     w = Window.partitionBy("survey_id", "_chunk").orderBy("ping_id")
-    prev = {f"_{c}": F.lag(c).over(w) for c in ("t_s", "latitude", "longitude")}
-    steps = chunks.withColumns(prev).filter(F.col("_own") & F.col("_t_s").isNotNull())
+    prev = {f"_{c}": F.coalesce(F.lag(c).over(w), F.when(F.row_number().over(w) == 1, F.col(f"_before.{c}"))) for c in kept}
+    steps = chunks.join(ends, ["survey_id", "_chunk"]).withColumns(prev).filter(F.col("_t_s").isNotNull())
     dt = F.col("t_s") - F.col("_t_s")
     dist = haversine(F.col("_latitude"), F.col("_longitude"), F.col("latitude"), F.col("longitude"))
     return (

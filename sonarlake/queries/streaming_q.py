@@ -14,6 +14,7 @@ from sonarlake.plans.durable import save_table, shared_dir
 from sonarlake.sources import logs as lg
 from sonarlake.sources import telemetry as tl
 from sonarlake.streaming import streams as st
+from sonarlake.streaming import trajectory as tj
 
 from . import tables as t
 from .detections_q import named, r
@@ -51,13 +52,42 @@ def _(spark, sf):
     return out.select("survey_id", "ping_id", F.col("is_valid").cast("int").alias("is_valid"), F.size("warnings").alias("n_warnings"))
 
 
-@query("u02_stream_trajectory", "fx_pings", sql=f"with {STEPS} select survey_id, ping_id, round(dt_s, 4) as dt_s, round(distance_m / dt_s * 1.94384e0, 3) as speed_knots, cast(coalesce(distance_m / dt_s * 1.94384e0 > 15, false) as int) as teleport from steps")
-def _(spark, sf):
-    src = ping_stream(spark, sf)
-    out = drained(spark, st.stream_trajectory(src(), src(), max_gap="60 days"), "steps")
+WATERMARK = "(select floor(max(t_s) * 1000) / 1000 from {0}) - 600"
+STREAM_STEPS = "select survey_id, ping_id, round(dt_s, 4) as dt_s, round(distance_m / dt_s * 1.94384e0, 3) as speed_knots, cast(coalesce(distance_m / dt_s * 1.94384e0 > 15, false) as int) as teleport from steps where ceil(t_s * 1000) / 1000 <= "
+STREAM_STEPS_CTE = STEPS.replace("select survey_id, ping_id, t_s - pt", "select survey_id, ping_id, t_s, t_s - pt")
+
+
+def timed(df):
+    return df.withColumn("ts", F.timestamp_micros(F.round(F.col("t_s") * 1000000).cast("bigint")))
+
+
+def streamed_steps(spark, pings):
+    """Steps of a ping table read as a stream of files, with the operator's default settings."""
+    key, store = tj.STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        out = drained(spark, tj.stream_trajectory(as_stream(spark, timed(pings), "pings")()), "steps")
+    finally:
+        spark.conf.set(key, before)
     return out.select("survey_id", "ping_id", r("dt_s", 4), r("speed_knots", 3), F.col("teleport").cast("int").alias("teleport"))
 
 
+@query("u02_stream_trajectory", "fx_pings", sql=f"with {STREAM_STEPS_CTE} {STREAM_STEPS}" + WATERMARK.format("fx_pings"))
+def _(spark, sf):
+    return streamed_steps(spark, t.pings(spark, sf))
+
+
+GAPPED = "survey_id, ping_id, case when ping_id > 300 then t_s + 864000e0 else t_s end as t_s, latitude, longitude from fx_pings where ping_id % 7 <> 3 and ping_id not between 90 and 140"
+
+
+@query("u02_stream_lost_pings", "fx_pings", sql="with g as (select " + GAPPED + "), " + STREAM_STEPS_CTE.replace("fx_pings", "g") + " " + STREAM_STEPS + WATERMARK.format("g"))
+def _(spark, sf):
+    """The same with lost ping numbers and a pause of ten days."""
+    p = t.pings(spark, sf).filter("ping_id % 7 <> 3 and ping_id not between 90 and 140")
+    return streamed_steps(spark, p.withColumn("t_s", F.expr("case when ping_id > 300 then t_s + 864000D else t_s end")))
+
+
 SCQI_FIRST = """w as (select p.*, k.s as start_s from fx_pings p, lateral (select unnest([floor(t_s / 43200), floor(t_s / 43200) - 1]) * 43200 as s) k where t_s < k.s + 86400 and t_s >= k.s),
 f as (select *, count(*) over (partition by survey_id, start_s) as n_pings, row_number() over (partition by survey_id, start_s order by t_s, ping_id) as rn from w),
 g as (select survey_id, start_s, n_pings, altitude_m / greatest(1e0, slant_range_m) * 100e0 as ratio, pitch_deg, roll_deg, heave_m, speed_knots from f where rn = 1),

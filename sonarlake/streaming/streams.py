@@ -15,9 +15,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sonarlake.config import TrackSettings
-from sonarlake.functions.geo import KNOTS_PER_MPS, haversine
 from sonarlake.operators.detections import uncertainty_flag
-from sonarlake.operators.pings import MAX_SPEED_KNOTS, validate_pings
+from sonarlake.operators.pings import validate_pings
 from sonarlake.operators.quality import scqi
 from sonarlake.operators.review import enqueue
 from sonarlake.operators.tracking import FrameTracker
@@ -37,26 +36,6 @@ def read_pings(spark: SparkSession, path: str, fmt: str = "json", max_files: int
     return validate_pings(raw.select(F.col("survey_id").cast("bigint"), F.col("ping_id").cast("bigint"), *cols))
 
 
-def stream_trajectory(pings: DataFrame, same_pings: DataFrame, max_gap: str = "1 day", delay: str = "10 minutes",
-                      max_speed_knots: float = MAX_SPEED_KNOTS) -> DataFrame:
-    """Steps to the previous ping as a stream-to-stream join on (survey, ping number).
-
-    State is keyed by single pings and dropped after ``max_gap``, so a busy survey spreads over all tasks. The same
-    source is passed twice, as two streams.
-    """
-    cols = ("t_s", "latitude", "longitude")
-    cur = pings.withWatermark("ts", delay).alias("c")
-    prev = same_pings.withWatermark("ts", delay).select(
-        "survey_id", (F.col("ping_id") + 1).alias("ping_id"), F.col("ts").alias("p_ts"), *[F.col(c).alias(f"p_{c}") for c in cols]).alias("p")
-    near = F.expr(f"p_ts between ts - interval {max_gap} and ts + interval {max_gap}")
-    j = cur.join(prev, (F.col("c.survey_id") == F.col("p.survey_id")) & (F.col("c.ping_id") == F.col("p.ping_id")) & near)
-    dt = F.col("t_s") - F.col("p_t_s")
-    dist = haversine(F.col("p_latitude"), F.col("p_longitude"), F.col("latitude"), F.col("longitude"))
-    out = j.select(F.col("c.survey_id").alias("survey_id"), F.col("c.ping_id").alias("ping_id"), dt.alias("dt_s"), (dt <= 0).alias("non_monotonic"),
-                   F.when(dt > 0, dist / dt * KNOTS_PER_MPS).alias("speed_knots"))
-    return out.withColumn("teleport", F.coalesce(F.col("speed_knots") > max_speed_knots, F.lit(False)))
-
-
 def stream_scqi(pings: DataFrame, length: str = "96 seconds", slide: str | None = "48 seconds", delay: str = "10 minutes") -> DataFrame:
     """Survey quality per window from the window's first ping (``slide`` None = tumbling); late rows are dropped."""
     win = F.window("ts", length, slide) if slide else F.window("ts", length)

@@ -42,3 +42,33 @@ def test_save_is_idempotent(spark, tmp_path, runs):
         stream = spark.readStream.schema(df.schema).parquet(src)
         st.stream_save(stream, str(tmp_path / "out"), str(tmp_path / f"cp{_}"), once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+@pytest.fixture
+def keyed_state(spark):
+    from sonarlake.streaming.trajectory import STORE
+    before = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    yield
+    spark.conf.set(STORE[0], before)
+
+
+def test_trajectory_keeps_the_last_ping_over_batches_gaps_and_late_rows(spark, tmp_path, keyed_state):
+    from sonarlake.operators.pings import trajectory_steps
+    from sonarlake.streaming.trajectory import stream_trajectory
+    cols = "survey_id bigint, ping_id bigint, t_s double, latitude double, longitude double"
+    rows = [(s, i, 1000.0 + 10 * i + (200_000 if i > 60 else 0) - (25 if i % 11 == 0 else 0), 13 + i * 1e-4 + (i % 17 == 0), 80.0 + s)
+            for s in (1, 2) for i in range(120) if i % 5 != 2 and not 20 <= i < 41]
+    rows.append((3, 7, 1500.0, 1.0, 1.0))  # a survey of one ping
+    cut = [[r for r in rows if r[1] < 50], [r for r in rows if 50 <= r[1] < 70], [r for r in rows if r[1] >= 70]]
+    moved = [r for r in cut[0] if r[1] in (43, 48)]  # arrive one batch later, before the watermark passes them
+    late = (1, 3, 1031.0, 0.0, 0.0)  # arrives long after
+    src = str(tmp_path / "in")
+    for part in ([r for r in cut[0] if r not in moved], cut[1] + moved, [*cut[2], late], [(9, 0, 900_000.0, 0.0, 0.0)]):
+        df = spark.createDataFrame(part, cols).withColumn("ts", F.timestamp_millis((F.col("t_s") * 1000).cast("bigint")))
+        df.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        st.drain(stream_trajectory(stream, delay="2 minutes", leg=8), str(tmp_path / "out"), str(tmp_path / "cp"))
+    columns = ["survey_id", "ping_id", "dt_s", "speed_knots", "non_monotonic", "teleport"]
+    want = trajectory_steps(spark.createDataFrame(rows, cols), chunk=16).select(columns)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(columns).collect())) == sorted(map(tuple, want.collect()))
