@@ -1,7 +1,7 @@
-"""Sonar-log sources: XTF and JSF files decoded to trace rows, one file per task, then plain DataFrame steps.
+"""Sonar-log sources: XTF and JSF files decoded to trace rows, then plain DataFrame steps.
 
-A log file is a byte stream that can only be walked from its start, so decoding is a small Python step over
-``binaryFile`` rows that emits traces in batches; grouping into pings, navigation and imagery are Spark work.
+Files are read by byte ranges through the data source of ``log_source``; ``decode_xtf`` and ``decode_jsf`` decode contents
+that are already in a table, one file per row. Grouping into pings, navigation and imagery are Spark work.
 """
 
 from __future__ import annotations
@@ -167,17 +167,19 @@ def decode_jsf(files: DataFrame) -> DataFrame:
     return _decode(files, decode_jsf_bytes, JSF_SCHEMA)
 
 
-def _binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    # one large file per task: small split size so that files are not packed together
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+def read_xtf(spark: SparkSession, path: str, range_mb: float | None = None) -> DataFrame:
+    """Trace rows (port, starboard) of every complete ping of the XTF files below a folder, large files by byte ranges."""
+    from .log_source import RANGE_MB, read_ranges
 
+    rows = read_ranges(spark, path, "xtf", "ping_id", range_mb or RANGE_MB)
+    return header_epoch(rows).drop("year", "month", "day", "hour", "minute", "second", "hsecond")
 
-def read_xtf(spark: SparkSession, path: str) -> DataFrame:
-    return decode_xtf(_binary(spark, path, "*.xtf"))
 
+def read_jsf(spark: SparkSession, path: str, range_mb: float | None = None) -> DataFrame:
+    """Side-scan traces of the JSF files below a folder, large files by byte ranges."""
+    from .log_source import RANGE_MB, read_ranges
 
-def read_jsf(spark: SparkSession, path: str) -> DataFrame:
-    return decode_jsf(_binary(spark, path, "*.jsf"))
+    return read_ranges(spark, path, "jsf", "trace_no", range_mb or RANGE_MB)
 
 
 def group_traces(traces: DataFrame, chunk: int = 4096) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,41 @@ def test_saving_an_empty_run_removes_the_survey(spark, tmp_path):
     ex.save_run(d.filter("survey_id = 5").drop("survey_id"), 5, "r1", store)
     ex.save_run(d.filter("survey_id = 7").drop("survey_id"), 5, "r2", store)
     assert [(r.det_id, r.survey_id) for r in ex.load_detections(spark, store).collect()] == [(3, 6)]
+
+
+@pytest.mark.parametrize("kind", ["xtf", "jsf"])
+def test_byte_ranges_equal_a_walk_from_the_start(spark, tmp_path, kind):
+    from sonarlake.sources import log_source as ls
+    build, decode = (xtf_bytes, lg.decode_xtf_bytes) if kind == "xtf" else (jsf_bytes, lg.decode_jsf_bytes)
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"ping": range(60), "samples": [rng.integers(0, 256, 90).tolist() for _ in range(60)]})
+    whole = build(rows)
+    # sample bytes that look like two headers in a row, so that a range entered inside a record must be walked again
+    head = struct.pack("<HBBHHHI", 0xFACE, 0, 0, 2, 0, 0, 20) + bytes(6) if kind == "xtf" else struct.pack("<HBBHBBBBHI", 0x1601, 0, 0, 80, 0, 20, 0, 0, 0, 4) + bytes(4)
+    fake = rows.copy()
+    fake["samples"] = [list((head * 5)[:90]) + [0] * max(0, 90 - 5 * len(head)) for _ in range(60)]
+    cases = {"plain": whole, "short": whole[:-37], "noise": whole[:2500] + b"\xce\xfa\x01\x16" * 9 + whole[2500:], "fake": build(fake), "tiny": whole[:20], "empty": b"", "head": whole[:1024]}
+    for name, data in cases.items():
+        (tmp_path / f"{name}.{kind}").write_bytes(data)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / f"deep.{kind}").write_bytes(whole)
+    number = "ping_id" if kind == "xtf" else "trace_no"
+    want = sorted((f"/{n}.{kind}", r[number], r["channel"], r["samples"].tolist()) for n, data in [*cases.items(), ("deep", whole)] for r in decode(n, data))
+    for size in (700, 5000, 1 << 20):
+        rows_ = ls.read_ranges(spark, str(tmp_path), kind, number, size / (1 << 20))
+        got = sorted(("/" + r.path.split("/")[-1], r[number], r.channel, list(r.samples)) for r in rows_.collect())
+        assert got == want
+    assert spark.read.format("sonarlog").options(kind=kind, range_mb=str(700 / (1 << 20))).load(str(tmp_path)).rdd.getNumPartitions() > 100
+
+
+def test_log_stream_reads_new_files(spark, tmp_path, pings):
+    from sonarlake.sources.log_source import SonarLog
+    spark.dataSource.register(SonarLog)
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"log-{k}.xtf").write_bytes(xtf_bytes(pings))
+        stream = spark.readStream.format("sonarlog").options(kind="xtf", range_mb="0.001").load(str(tmp_path / "in"))
+        q = stream.select("path", "range_no", "seq", "channel", "samples").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 2 * len(pings) * (k + 1)
