@@ -119,13 +119,14 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = 1024, end
                    doc_id: str = "doc_id") -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Special tokens spelled out in a text are packed as plain characters. A null or empty text is one piece holding just ``end_id``; a null id stays null; repeated rows are packed each; an
-    empty table gives no pieces. ``sequence_id`` is unique over partitions, not dense. Ids leave the task only as the
+    Texts are encoded as the library does by default, so an added token spelled out in a text becomes that token. A null or
+    empty text is one piece holding just ``end_id``; a null id stays null; repeated rows are packed each; an empty table
+    gives no pieces. ``sequence_id`` is unique over partitions, not dense. Ids leave the task only as the
     checksum of each piece (unsigned crc32 of little-endian 32-bit ids).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_file, literal=True)
+        encode = encoder(tokenizer_file)
         base = TaskContext.get().partitionId() << SEQUENCE_BITS
         end = int(end_id).to_bytes(4, "little")
         ids: list = []

@@ -49,11 +49,10 @@ def test_pack_covers_every_token_once_and_fills_windows():
 
 
 def test_documents_round_trip(spark):
-    texts = [(1, "Hello  world, it's\n\nfine "), (2, None), (3, ""), (4, "ab " * 900), (4, "ab " * 900), (None, "x"), (7, "<|endoftext|>")]
+    texts = [(1, "Hello  world, it's\n\nfine "), (2, None), (3, ""), (4, "ab " * 900), (4, "ab " * 900), (None, "x"), (7, "<|endoftext|>"), (8, "x <|endoftext|> y"), (9, "long " * 40_000 + "tail" * 20_000)]
     docs = spark.createDataFrame([(i, t, 5, "s") for i, t in texts], "doc_id long, text string, start long, offset string")
     rows = pack_documents(docs, PATH, window=64, end_id=0).collect()
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     for key, text in set(texts):
         ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [0], "<u4").tobytes()
         mine = [r for r in rows if r.doc_id == key]
