@@ -62,3 +62,12 @@ def test_odd_rows(spark):
         assert out.filter((F.col("score") >= 0) & (F.col("score") <= 1)).count() == 5
         empty = module.score(docs.limit(0), module.fit(docs.limit(0), labels.limit(0)))
         assert empty.count() == 0
+
+
+def test_training_rows_are_bounded_by_rows_not_ids(spark):
+    from sonarlake.llm.labelled import training_rows
+    docs = spark.range(15_000).selectExpr("7L as doc_id", "concat('copy ', id) as text").unionAll(spark.range(100, 160).selectExpr("id as doc_id", "concat('one ', id) as text"))
+    labels = spark.createDataFrame([(7, 1), *[(i, i % 2) for i in range(100, 160)], (7, 0)], "doc_id long, quality int")
+    rows = training_rows(docs, labels, "quality", {"text": "text"}, 50).collect()
+    assert len(rows) == 50 == len({r.doc_id for r in rows})
+    assert {r.doc_id: r.label for r in training_rows(docs, labels, "quality", {"text": "text"}, 500).collect()}[7] == 0
