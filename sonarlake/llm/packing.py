@@ -6,7 +6,7 @@ capacities finds it in a few steps. What stays open at the end is filled up by c
 windows are poured into the room of the others.
 
 Every partition of the input packs on its own, so nothing is shuffled, a lost task is simply run again with the same
-result, and the remainders of one partition (less than a window per document, compressed) are all that is held at once.
+result, and the remainders of one partition (less than a window per document, two bytes an id where the vocabulary allows) are all that is held at once.
 A partition leaves at most one window unfilled.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -127,6 +128,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = 1024, end
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer_file)
+        kept = "<u2" if max(len(encode.led) - 1, end_id) < 1 << 16 else "<u4"
         base = TaskContext.get().partitionId() << SEQUENCE_BITS
         end = int(end_id).to_bytes(4, "little")
         ids: list = []
@@ -146,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = 1024, end
                 if cut < total:
                     ids.append((key, cut, total))
                     lengths.append(total - cut)
-                    tails.append(zlib.compress(raw[4 * cut:], 1))
+                    tails.append(np.frombuffer(raw, "<u4", offset=4 * cut).astype(kept).tobytes())
             if rows:
                 yield _frame(rows, columns)
         rows = []
@@ -155,7 +157,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = 1024, end
         now, tail = -1, b""
         for item, start, length, sequence, offset in places:
             if item != now:
-                now, tail = item, zlib.decompress(tails[item])
+                now, tail = item, np.frombuffer(tails[item], kept).astype("<u4").tobytes()
             key, cut, total = ids[item]
             rows.append((key, cut + start, length, zlib.crc32(tail[4 * start:4 * (start + length)]), total, base + serial + sequence, offset))
             if len(rows) == 10_000:
