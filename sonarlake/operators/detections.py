@@ -296,6 +296,20 @@ def hazard_register(df: DataFrame, order: Sequence[str]) -> DataFrame:
         F.format_string("±%.1fm x ±%.1fm", or_lit("error_ellipse_a_m", 1.2), or_lit("error_ellipse_b_m", 0.8)).alias("error"))
 
 
+def hazard_kpis(df: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """Report totals per survey: detections by tier (of the given tiers only) and the survey's quality.
+
+    ``quality`` has survey_id, scqi, grade, resurvey_recommended; a survey without a row there counts as 82.5, GOOD, not to
+    be surveyed again. A survey without detections has no row.
+    """
+    # Tier names and the defaults of a report without quality data.
+    tier = F.upper(F.col("tier")) if "tier" in df.columns else F.lit("")
+    totals = df.groupBy("survey_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(tier == t).alias(t.lower()) for t in ("CONFIRMED", "PROBABLE", "UNCERTAIN")])
+    found = quality.select("survey_id", "scqi", "grade", "resurvey_recommended") if quality is not None else (
+        totals.select("survey_id", F.lit(None).cast("double").alias("scqi"), F.lit(None).cast("string").alias("grade"), F.lit(None).cast("boolean").alias("resurvey_recommended")))
+    return totals.join(found, "survey_id", "left").na.fill({"scqi": 82.5, "grade": "GOOD", "resurvey_recommended": False})
+
+
 def roi_quality(rois: DataFrame, cells: DataFrame, width: int, height: int) -> DataFrame:
     """Gate on crop size, contrast and border contact. ``rois``: roi_id, survey_id, whole-pixel x1, y1, x2, y2.
 

@@ -276,6 +276,18 @@ def _(spark, sf):
     return d.hazard_register(det, ["det_id"]).select("survey_id", "no", "class_name", "tier", "size", "error")
 
 
+@query("a26_hazard_kpis", "fx_det", "fx_frames", sql="""with q as (select survey_id, avg(scqi) as scqi from fx_frames where survey_id <> 3 group by survey_id)
+select survey_id, count(*) as total, sum(cast(conf >= 0.75e0 as int)) as confirmed, sum(cast(conf >= 0.4e0 and conf < 0.75e0 as int)) as probable, sum(cast(conf < 0.4e0 and det_id % 2 = 0 as int)) as uncertain,
+ round(coalesce(any_value(q.scqi), 82.5e0), 6) as scqi, case when any_value(q.scqi) < 49 then 'POOR' else 'GOOD' end as grade, cast(coalesce(any_value(q.scqi) < 49, false) as int) as again
+from fx_det left join q using (survey_id) group by survey_id""")
+def _(spark, sf):
+    tier = F.expr("case when conf >= 0.75D then 'confirmed' when conf >= 0.4D then 'Probable' when det_id % 2 = 0 then 'UNCERTAIN' end")
+    q = t.frames(spark, sf).filter("survey_id <> 3").groupBy("survey_id").agg(F.avg("scqi").alias("scqi"))
+    q = q.withColumns({"grade": F.expr("case when scqi < 49 then 'POOR' else 'GOOD' end"), "resurvey_recommended": F.col("scqi") < 49})
+    k = d.hazard_kpis(t.det(spark, sf).withColumn("tier", tier), q)
+    return k.select("survey_id", "total", "confirmed", "probable", "uncertain", r("scqi"), "grade", F.col("resurvey_recommended").cast("int").alias("again"))
+
+
 # ---- fusion -------------------------------------------------------------------------------------------------------------
 
 def candidates(spark, sf):

@@ -11,7 +11,9 @@ from sonarlake.functions import extend as xt
 from sonarlake.operators import cfar as cf
 from sonarlake.operators import shapes as sh
 from sonarlake.plans.durable import save_table, shared_dir
+from sonarlake.plans.ordered import dense_index
 from sonarlake.sources import logs as lg
+from sonarlake.sources import survey_store as store
 from sonarlake.sources import telemetry as tl
 from sonarlake.streaming import streams as st
 from sonarlake.streaming import trajectory as tj
@@ -117,8 +119,33 @@ def _(spark, sf):
 @query("u06_stream_save", "fx_det", sql="select det_id, survey_id, frame_id from fx_det")
 def _(spark, sf):
     path = folder(spark, "saved")
-    st.stream_save(as_stream(spark, t.det(spark, sf), "dets")(), path, folder(spark, "stream-checkpoint"), once=True).awaitTermination()
-    return spark.read.parquet(path).select("det_id", F.col("survey_id").cast("bigint").alias("survey_id"), "frame_id")
+    store.stream_save(as_stream(spark, t.det(spark, sf), "dets")(), path, folder(spark, "stream-checkpoint"), once=True).awaitTermination()
+    return store.detections(spark, path).select("det_id", "survey_id", "frame_id")
+
+
+@query("u06_stream_replace", "fx_det", sql="""select det_id, survey_id, frame_id, case when survey_id % 3 = 0 then 'again' else 'first' end as run_id,
+ case when survey_id % 3 = 0 then 2 else 1 end as version from fx_det where survey_id % 3 <> 0 or det_id % 2 = 0""")
+def _(spark, sf):
+    """Some surveys are sent a second time, as another run with half of the rows; the first batch is replayed in between."""
+    path, one = folder(spark, "saved"), t.det(spark, sf).withColumn("run_id", F.lit("first"))
+    again = one.filter("survey_id % 3 = 0 and det_id % 2 = 0").withColumn("run_id", F.lit("again"))
+    for n, part in enumerate((one, one, again)):  # a new checkpoint under the same name asks for the same batch again
+        store.stream_save(as_stream(spark, part, "dets")(), path, folder(spark, "stream-checkpoint"), "resent" if n == 2 else "sent", once=True).awaitTermination()
+    out = store.detections(spark, path).join(store.surveys(spark, path).select("survey_id", "version"), "survey_id")
+    return out.select("det_id", "survey_id", "frame_id", "run_id", F.col("version").cast("int").alias("version"))
+
+
+@query("f04_surveys_newest_first", "fx_det", sql="""with c as (select survey_id, count(*) as n from fx_det group by survey_id),
+v as (select survey_id, n, case when survey_id < 10 then 1 else 2 end as version from c where survey_id <> 4 union all select 4, 0, 3)
+select survey_id, 'run' || version as run_id, round(survey_id * 1.5e0, 3) as scqi, n as n_detections, row_number() over (order by version desc, survey_id) as place from v""")
+def _(spark, sf):
+    path, det = folder(spark, "surveys"), t.det(spark, sf)
+    for n, part in enumerate((det.filter("survey_id < 10"), det.filter("survey_id >= 10"))):
+        heads = part.groupBy("survey_id").agg(F.lit(f"run{n + 1}").alias("run_id"), (F.first("survey_id") * F.lit(1.5)).alias("scqi"))
+        store.save(heads, part, path)
+    store.save(det.filter("survey_id = 4").groupBy("survey_id").agg(F.lit("run3").alias("run_id"), F.lit(6.0).alias("scqi")), det.limit(0), path)  # saved again, empty
+    rows = store.surveys(spark, path).select("survey_id", "run_id", F.round("scqi", 3).alias("scqi"), "n_detections", F.monotonically_increasing_id().alias("_at"))
+    return dense_index(rows, [], ["_at"], "place", start=1).drop("_at")
 
 
 @query("u07_stream_legs", "fx_pings", sql="""with g as (select survey_id, t_s, case when t_s - lag(t_s) over (partition by survey_id order by t_s) < 7200 then 0 else 1 end as n from fx_pings),
@@ -239,7 +266,6 @@ f as (select *, case when lag(channel) over w is null or lag(channel) over w = c
 s as (select *, max(f) over (partition by path order by trace_no) as s from f)
 select path, trace_no, sum(case when (trace_no - s) % 2 = 0 then 1 else 0 end) over (partition by path order by trace_no) - 1 as ping_id from s""")
 def _(spark, sf):
-    from sonarlake.plans.ordered import dense_index
     e = t.base(spark, sf, "events").selectExpr("user_id % 10 as path", "ts", "event_id", "cast(floor(value * 100D) as bigint) % 2 as channel")
     return lg.group_traces(dense_index(e, ["path"], ["ts", "event_id"], "trace_no"), 256).select("path", "trace_no", F.col("ping_id").cast("bigint").alias("ping_id"))
 

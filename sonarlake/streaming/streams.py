@@ -106,12 +106,6 @@ def _append_once(path: str, partitions: list[str]):
     return write
 
 
-def stream_save(dets: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Store detections per micro-batch and survey; replays do not duplicate rows."""
-    w = dets.writeStream.option("checkpointLocation", checkpoint).foreachBatch(_append_once(path, ["survey_id"]))
-    return (w.trigger(availableNow=True) if once else w).start()
-
-
 def stream_review(dets: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Feed highly uncertain detections to the review queue table."""
     high = uncertainty_flag(dets).filter("uncertainty_flag = 'HIGH'")

@@ -33,15 +33,34 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert [got[k] for k in sorted(got)] == [2, 1]
 
 
-@pytest.mark.parametrize("runs", [1, 2])
-def test_save_is_idempotent(spark, tmp_path, runs):
-    df = spark.range(20).select((F.col("id") % 3).alias("survey_id"), F.col("id").alias("det_id"))
-    src = str(tmp_path / "in")
-    df.write.parquet(src)
-    for _ in range(runs):
-        stream = spark.readStream.schema(df.schema).parquet(src)
-        st.stream_save(stream, str(tmp_path / "out"), str(tmp_path / f"cp{_}"), once=True).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+def test_save_replaces_surveys_and_replays_once(spark, tmp_path):
+    from sonarlake.sources import survey_store as store
+    df = spark.range(20).select((F.col("id") % 3).alias("survey_id"), F.col("id").alias("det_id"), F.lit("known").alias("detection_type"))
+    path, src = str(tmp_path / "store"), str(tmp_path / "in")
+
+    def send(part, run, checkpoint, name="a"):
+        part.withColumn("run_id", F.lit(run)).coalesce(1).write.mode("append").parquet(src)
+        schema = part.withColumn("run_id", F.lit("")).schema
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        store.stream_save(stream, path, str(tmp_path / checkpoint), name, once=True).awaitTermination()
+        return {(r.survey_id, r.det_id, r.run_id) for r in store.detections(spark, path).collect()}
+
+    first = {(i % 3, i, "r1") for i in range(20)}
+    assert send(df, "r1", "cp") == first
+    second = {x for x in first if x[0] != 1} | {(1, 1, "r2"), (1, 4, "r2")}
+    assert send(df.filter("survey_id = 1 and det_id < 5"), "r2", "cp") == second  # a survey sent twice is stored once
+    assert send(df.limit(0), "r3", "lost") == second  # all files again from a lost checkpoint: batches 0 and 1 are known
+    assert {r.run_id for r in store.surveys(spark, path).collect()} == {"r1", "r2"}
+    heads = spark.createDataFrame([(2, "r9", 80.0), (2, "r8", 70.0)], "survey_id int, run_id string, scqi double")
+    store.save(heads, df.limit(0), path)
+    assert {x[0] for x in {(r.survey_id,) for r in store.detections(spark, path).collect()}} == {0, 1}
+    top = store.surveys(spark, path).first()
+    assert (top.survey_id, top.run_id, top.n_detections, top.scqi) == (2, "r9", 0, 80.0)
+    assert store.detections(spark, path, survey_id=1, run_id="r2", detection_type="known").count() == 2
+    with pytest.raises(ValueError):
+        store.save(heads, df, path)
+    gone = []
+    assert store.remove_superseded(spark, path, gone.append) == [] and gone == []
 
 
 @pytest.fixture
