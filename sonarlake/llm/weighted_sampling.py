@@ -58,17 +58,27 @@ def _hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(number), 4, "0"))
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", rule: SamplingRule = SamplingRule()) -> DataFrame:
+def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", rule: SamplingRule = SamplingRule(), digest: str | None = None) -> DataFrame:
     """``keys`` and ``fingerprint`` of every row; keys must tell rows apart and hold no nulls.
 
     A null, empty or blank text has the fingerprint of zeros. The keys' partitioning, if there is one, is kept, so rows
-    that are already dealt by their keys are counted and sampled in place.
+    that are already dealt by their keys are counted and sampled in place. A column ``digest`` of 64 hexadecimal digits is
+    carried along as four numbers among the words (no word starts with a tab), so that nothing needs to be joined back.
     """
-    words = texts.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), BLANK_RE)).alias("_w"))
-    terms = words.select(*keys, F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_h")).groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_n"))
-    terms = terms.select(*keys, "_h", F.log(F.col("_n").cast("double")).alias("_lw"))
-    won = terms.groupBy(*keys).agg(*[F.min(bid(F.col("_h"), F.col("_lw"), k, rule.seed)).alias(f"_s{k}") for k in range(rule.samples)])
-    return won.select(*keys, F.concat(*[_hex(F.col(f"_s{k}")) for k in range(rule.samples)]).alias("fingerprint"))
+    words = F.split(F.coalesce(F.col(text), F.lit("")), BLANK_RE)
+    if digest:
+        words = F.concat(words, F.array(*[F.concat(F.lit(f"\t{k}"), F.substring(digest, 16 * k + 1, 16)) for k in range(4)]))
+    rows = texts.select(*keys, F.explode(words).alias("_w"))
+    noted = F.col("_w").startswith("\t")
+    rows = rows.select(*keys, F.when(noted, F.substring("_w", 2, 1).cast("int")).alias("_part"), F.when(noted, F.conv(F.substring("_w", 3, 16), 16, -10).cast("bigint"))
+                       .when(F.col("_w") != "", F.xxhash64("_w")).alias("_h"))
+    terms = rows.groupBy(*keys, "_part", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    terms = terms.select(*keys, "_part", "_h", F.when(F.col("_part").isNull(), F.log(F.col("_n").cast("double"))).alias("_lw"))
+    samples = [F.min(bid(F.col("_h"), F.col("_lw"), k, rule.seed)).alias(f"_s{k}") for k in range(rule.samples)]
+    notes = [F.max(F.when(F.col("_part") == k, F.col("_h"))).alias(f"_d{k}") for k in range(4)] if digest else []
+    won = terms.groupBy(*keys).agg(*samples, *notes)
+    kept = [F.lower(F.concat(*[F.lpad(F.hex(f"_d{k}"), 16, "0") for k in range(4)])).alias(digest)] if digest else []
+    return won.select(*keys, *kept, F.concat(*[_hex(F.col(f"_s{k}")) for k in range(rule.samples)]).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SamplingRule.samples) -> Column:
@@ -83,17 +93,16 @@ def likeness(a: Column, b: Column, samples: int = SamplingRule.samples) -> Colum
 def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """Rows with 128-bit names (k1, k2) of (doc_id, text), never null; equal rows have one name."""
     rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select(F.xxhash64("doc_id", "text", F.col("doc_id").isNull()).alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2"), "doc_id", "text",
-                       F.char_length("text").cast("long").alias("n_chars"))
+    return rows.select(F.xxhash64("doc_id", "text", F.col("doc_id").isNull()).alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2"), "doc_id", "text")
 
 
 def _successors(rows: DataFrame) -> DataFrame:
-    """Per distinct row: number of copies, half its length, name of the next distinct row in descending id (after the last: the first)."""
-    keys = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
+    """Per distinct row: id, length, number of copies and the name of the next distinct row in descending id (after the last: the first)."""
+    keys = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min(F.char_length("text").cast("long")).alias("n_chars"), F.count(F.lit(1)).alias("copies"))
     order = durable(dense_index(keys, [], [F.desc_nulls_last("doc_id"), F.col("k1"), F.col("k2")], "place"), "order")
     total = order.count()
     after = order.select(F.pmod(F.col("place") - 1, F.lit(max(1, total))).alias("place"), F.col("k1").alias("next1"), F.col("k2").alias("next2"))
-    return durable(order.join(after, "place").select("k1", "k2", "copies", "next1", "next2", F.floor(F.col("n_chars") / 2).cast("int").alias("half")), "successors")
+    return durable(order.join(after, "place").select("k1", "k2", "doc_id", "n_chars", "copies", "next1", "next2"), "successors")
 
 
 def compare_with_next(docs: DataFrame, rule: SamplingRule = SamplingRule(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -104,26 +113,25 @@ def compare_with_next(docs: DataFrame, rule: SamplingRule = SamplingRule(), text
     name; of rows that repeat id and text all but one have a copy of themselves as the next. A null text is empty; texts
     without words have a fingerprint of zeros; one row alone is its own next; an empty table gives no rows.
 
-    Texts are shuffled once by name, and once more their first halves on the way to the document before. Repeated rows are
-    described once and listed again at the end.
+    Texts are shuffled once by name, and their first halves once more on the way to the document before; both uses of the
+    texts read the same columns, so that the exchange is shared. Repeated rows are described once and listed again at the end.
     """
     named = _named(docs, text, doc_id)
     nxt = _successors(named)
-    rows = named.dropDuplicates(["k1", "k2"])
-    heads = rows.select(F.col("k1").alias("next1"), F.col("k2").alias("next2"), F.col("text").alias("_next")).join(nxt, ["next1", "next2"])
-    heads = heads.select("k1", "k2", "copies", "next1", "next2", "half", F.expr("substring(_next, 1, half)").alias("head"))
-    both = rows.join(heads, ["k1", "k2"])
-    start = F.expr("substring(text, 1, cast(n_chars as int) - half)")
+    rows = named.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    asked = nxt.select("k1", "k2", "next1", "next2", "copies", F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
+    heads = rows.select(F.col("k1").alias("next1"), F.col("k2").alias("next2"), F.col("text").alias("_next")).join(asked, ["next1", "next2"])
+    both = rows.join(heads.select("k1", "k2", "copies", "half", F.expr("substring(_next, 1, half)").alias("head")), ["k1", "k2"])
+    start = F.expr("substring(text, 1, char_length(text) - half)")
     texts = F.array_compact(F.array(
         F.struct(F.lit(0).alias("side"), F.col("text").alias("words")),
         F.struct(F.lit(1).alias("side"), F.concat(start, "head").alias("words")),
         F.when(F.col("copies") > 1, F.struct(F.lit(2).alias("side"), F.concat(start, F.expr("substring(text, 1, half)")).alias("words")))))
-    sides = both.select("k1", "k2", "next1", "next2", "copies", "n_chars", "doc_id", F.explode(texts).alias("_s"))
-    sides = sides.select("*", "_s.side", "_s.words").drop("_s")
-    about = sides.withColumn("sha", F.sha2("words", 256)).drop("words")
-    signed = durable(about.join(fingerprints(sides, ["k1", "k2", "side"], "words", rule), ["k1", "k2", "side"]), "signed")
+    sides = both.select("k1", "k2", F.explode(texts).alias("_s")).select("k1", "k2", "_s.side", "_s.words")
+    sides = sides.withColumn("sha", F.sha2("words", 256))
+    signed = durable(fingerprints(sides, ["k1", "k2", "side"], "words", rule, "sha"), "signed")
 
-    base = signed.filter("side = 0").drop("side", "sha")
+    base = signed.filter("side = 0").select("k1", "k2", "fingerprint").join(nxt, ["k1", "k2"])
     edited = signed.filter("side > 0").select("k1", "k2", "side", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
     ahead = base.select(F.col("k1").alias("next1"), F.col("k2").alias("next2"), F.col("fingerprint").alias("_ahead"))
     out = base.join(edited, ["k1", "k2"]).join(ahead, ["next1", "next2"])
