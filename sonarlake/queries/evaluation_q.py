@@ -676,19 +676,26 @@ def export_rows(spark, sf):
 @query("a17_export_csv", "fx_det", sql=f"""select survey_id, 'run1' as run_id, frame_id, null as timestamp, {NAMED} as class_name, detection_type, conf as confidence, x1, y1, x2, y2, null as mask_area_px, null as anomaly_score, null as reconstruction_error, track_id,
  round(latitude, 6) as latitude, round(longitude, 6) as longitude, null as positional_uncertainty_m, null as snr_db, null as scqi, '{{"detector":"d@2","tracker":"t@1"}}' as model_version, null as config_hash from fx_det""")
 def _(spark, sf):
-    c = ex.csv_rows(export_rows(spark, sf))
+    path, rows = scratch(spark, "csv"), export_rows(spark, sf)
+    ex.export_csv(rows, path)
+    c = spark.read.schema(ex.csv_rows(rows).schema).option("header", True).option("escape", "\\").csv(path)
     return c.withColumns({"latitude": F.round("latitude", 6), "longitude": F.round("longitude", 6)})
 
 
 @query("a18_export_json", "fx_det", sql="""select det_id, '{"det_id":' || det_id || ',"detection_type":"' || detection_type || '","track_id":' || coalesce(cast(track_id as varchar), 'null') || '}' as value from fx_det""")
 def _(spark, sf):
-    rows = ex.json_rows(t.det(spark, sf).select("det_id", "detection_type", "track_id"))
+    path = scratch(spark, "json")
+    n = ex.export_json(t.det(spark, sf).select("det_id", "detection_type", "track_id"), path)
+    rows = spark.read.text(path)
+    assert spark.read.text(path + "_summary").first().value == f'{{"count":{n}}}'
     return rows.select(F.get_json_object("value", "$.det_id").cast("bigint").alias("det_id"), "value")
 
 
 @query("a19_export_geojson", "fx_det", sql="""select '{"det_id":' || det_id || ',"detection_type":"' || detection_type || '"}' as props, cast(round(longitude * 100000) as bigint) as lon5, cast(round(latitude * 100000) as bigint) as lat5, 'Feature' as type from fx_det where latitude is not null""")
 def _(spark, sf):
-    f = ex.geojson_features(t.det(spark, sf).select("det_id", "detection_type", "latitude", "longitude"))
+    path = scratch(spark, "geojson")
+    ex.export_geojson(t.det(spark, sf).select("det_id", "detection_type", "latitude", "longitude"), path)
+    f = spark.read.text(path)
     num = lambda p: F.round(F.get_json_object("value", p).cast("double") * 100000).cast("bigint")
     return f.select(F.get_json_object("value", "$.properties").alias("props"), num("$.geometry.coordinates[0]").alias("lon5"), num("$.geometry.coordinates[1]").alias("lat5"),
                     F.get_json_object("value", "$.type").alias("type"))
@@ -697,20 +704,26 @@ def _(spark, sf):
 @query("a20_survey_csv", "fx_det", sql=f"""with n as (select *, row_number() over (order by det_id) as id from fx_det)
 select id, id || ',"' || {NAMED} || '",' || printf('%.3f', conf) || ',LOW,' || printf('%.6f', latitude) || ',' || printf('%.6f', longitude) || ',0.00,Port,0.00,0.00,"survey"' as value from n where latitude is not null""")
 def _(spark, sf):
-    return ex.survey_csv_rows(named(t.det(spark, sf)), ["det_id"])
+    path = scratch(spark, "survey-csv")
+    ex.export_survey(named(t.det(spark, sf)), path, ["det_id"], form="csv")
+    return spark.read.text(path).select(F.regexp_extract("value", "^[0-9]+", 0).cast("bigint").alias("id"), "value")
 
 
 @query("a20_survey_geojson", "fx_det", sql=f"with n as (select *, row_number() over (order by det_id) as id from fx_det) select id, {NAMED} as class_name, 'LOW' as flag, cast(id as varchar) as pid from n where latitude is not null")
 def _(spark, sf):
-    f = ex.survey_features(named(t.det(spark, sf)), ["det_id"])
+    path = scratch(spark, "survey-geojson")
+    ex.export_survey(named(t.det(spark, sf)), path, ["det_id"])
+    f = spark.read.text(path)
     g = lambda p: F.get_json_object("value", p)
-    return f.select("id", g("$.properties.class_name").alias("class_name"), g("$.properties.uncertainty_flag").alias("flag"), g("$.properties.id").alias("pid"))
+    return f.select(g("$.properties.id").cast("bigint").alias("id"), g("$.properties.class_name").alias("class_name"), g("$.properties.uncertainty_flag").alias("flag"), g("$.properties.id").alias("pid"))
 
 
 @query("a21_sql_dump", "fx_det", sql="""select 'INSERT INTO marine_debris_detections (mission_id, class_name, confidence, fused_confidence, uncertainty_flag, uncertainty_variance, ground_range_m, channel, error_ellipse_a, error_ellipse_b, error_ellipse_phi, geom) VALUES (''mission_default'', ''diver''''s '
  || class_id || ''', ' || printf('%.3f', conf) || ', ' || printf('%.3f', conf) || ', ''LOW'', 0.0000, 0.00, ''Port'', 5.00, 5.00, 0.0, ST_SetSRID(ST_MakePoint(' || printf('%.6f', longitude) || ', ' || printf('%.6f', latitude) || '), 4326));' as value from fx_det where latitude is not null""")
 def _(spark, sf):
-    return ex.sql_dump_rows(t.det(spark, sf).withColumn("class_name", F.concat(F.lit("diver's "), F.col("class_id").cast("string"))))
+    path = scratch(spark, "dump")
+    ex.export_sql_dump(t.det(spark, sf).withColumn("class_name", F.concat(F.lit("diver's "), F.col("class_id").cast("string"))), path)
+    return spark.read.text(path)
 
 
 def scratch(spark, name):
@@ -751,7 +764,9 @@ def _(spark, sf):
 
 @query("a25_mission_detections", "fx_det", sql="""select 'm' || c_custkey as mission_id, coalesce(n, 0) as total_detections, coalesce(z, 0) as zeros from customer left join (select survey_id, count(*) as n, count(*) filter (latitude is null) as z from fx_det group by 1) q on survey_id = c_custkey""")
 def _(spark, sf):
-    rows = ex.mission_detection_rows(t.det(spark, sf), F.concat(F.lit("m"), F.col("survey_id").cast("string")))
+    path = scratch(spark, "missions")
+    ex.save_mission_detections(t.det(spark, sf), path, F.concat(F.lit("m"), F.col("survey_id").cast("string")))
+    rows = spark.read.parquet(path)
     missions = t.base(spark, sf, "customer").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("mission_id"))
     z = rows.groupBy("mission_id").agg(F.count_if(F.col("latitude") == 0).alias("zeros"))
     return ex.recount_missions(missions, rows).join(z, "mission_id", "left").na.fill(0, ["zeros"])

@@ -12,9 +12,11 @@ from sonarlake.operators import cfar as cf
 from sonarlake.operators import shapes as sh
 from sonarlake.plans.durable import save_table, shared_dir
 from sonarlake.plans.ordered import dense_index
+from sonarlake.plans.totals import with_totals
 from sonarlake.sources import logs as lg
 from sonarlake.sources import survey_store as store
 from sonarlake.sources import telemetry as tl
+from sonarlake.sources.files import read_image_cells, read_image_inventory, write_files
 from sonarlake.streaming import streams as st
 from sonarlake.streaming import trajectory as tj
 
@@ -240,7 +242,9 @@ PATHS = "'s' || survey_id || '/b' || (ping // 25) as path, ping % 25 as ping_id"
 
 @query("a03_read_xtf", "fx_cells", sql=f"select {PATHS}, col // 32 as channel, sum(v * (col % 32 + 1)) as checksum, round(any_value(13e0 + ping * 0.001e0), 6) as latitude, round(any_value(epoch_ms(make_timestamp(2024, 1, 2, ping % 24, ping % 60, 5e0)) / 1000e0 + 0.25e0), 3) as epoch_s from fx_cells group by survey_id, ping, channel")
 def _(spark, sf):
-    x = lg.decode_xtf(log_files(spark, sf, xtf_bytes))
+    path = folder(spark, "xtf")
+    write_files(log_files(spark, sf, xtf_bytes).withColumn("path", F.concat("path", F.lit(".xtf"))), path)
+    x = named_logs(lg.read_xtf(spark, path, range_mb=0.004))  # ranges of some ten pings
     total = F.aggregate(F.transform("samples", lambda v, i: v * (i + 1)), F.lit(0), lambda a, v: a + v).cast("bigint")
     return x.select("path", "ping_id", "channel", total.alias("checksum"), r("latitude"), r("epoch_s", 3))
 
@@ -252,8 +256,15 @@ def _(spark, sf):
     return spark.sql("select l.path, d.ping_id, d.channel, cast(aggregate(d.samples, 0, (a, v) -> a + v) as bigint) as total from sonarlake_logs l, lateral decode_xtf(l.path, l.content) d")
 
 
+def named_logs(rows):
+    """Logs named by folder and file, without root and suffix."""
+    return rows.withColumn("path", F.regexp_extract("path", r"([^/]+/[^/]+)\.[a-z]+$", 1))
+
+
 def jsf_traces(spark, sf):
-    return lg.group_traces(lg.decode_jsf(log_files(spark, sf, jsf_bytes)), chunk=16)
+    path = folder(spark, "jsf")
+    write_files(log_files(spark, sf, jsf_bytes).withColumn("path", F.concat("path", F.lit(".jsf"))), path)
+    return lg.group_traces(named_logs(lg.read_jsf(spark, path, range_mb=0.004)), chunk=16)
 
 
 @query("a04_read_jsf", "fx_cells", sql=f"select {PATHS}, col // 32 as channel, (ping % 25) * 2 + col // 32 as trace_no, sum(v) * 1e0 as total from fx_cells group by survey_id, ping, channel")
@@ -279,14 +290,67 @@ def _(spark, sf):
 @query("a01_telemetry_json", "fx_pings", sql="select survey_id, count(*) as n, round(sum(altitude_m), 4) as altitude, 15e0 as depth, round(sum(heading_deg), 4) as heading, round(max(speed_knots), 6) as speed from fx_pings group by 1")
 def _(spark, sf):
     path = folder(spark, "json")
-    t.pings(spark, sf).selectExpr("survey_id", "to_json(struct(t_s as timestamp, latitude, longitude, heading_deg as heading, altitude_m as altitude, slant_range_m as slant_range, speed_knots as vessel_speed_knots)) as value").write.partitionBy("survey_id").text(path)
-    # one record per file line here, so the line reader is used with the same schema and aliases
-    raw = spark.read.schema(tl.json_schema() + ", survey_id bigint").json(path)
-    rows = raw.select("survey_id", *tl._resolve(raw, tl.JSON_ALIASES, list(tl.FIELDS)))
+    record = F.expr("struct(t_s as timestamp, latitude, longitude, heading_deg as heading, altitude_m as altitude, slant_range_m as slant_range, speed_knots as vessel_speed_knots)")
+    parts = t.pings(spark, sf).groupBy("survey_id", F.expr("cast(ping_id / 500 as bigint)").alias("part")).agg(F.to_json(F.collect_list(record)).alias("content"))
+    write_files(parts.withColumn("path", F.format_string("survey-%d/%d.json", "survey_id", "part")), path)
+    rows = tl.read_telemetry_json(spark, path + "/*").withColumn("survey_id", F.regexp_extract("source_file", r"survey-(\d+)/", 1).cast("bigint"))
     return rows.groupBy("survey_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("altitude_m"), 4).alias("altitude"), F.max("depth_m").alias("depth"),
                                          F.round(F.sum("heading_deg"), 4).alias("heading"), F.round(F.max("vessel_speed_knots"), 6).alias("speed"))
 
 
+def bmp(rows: pd.DataFrame) -> bytes:
+    """A 24-bit bitmap of grey rows, first row on top."""
+    lines = [bytes(int(v) for v in line for _ in range(3)) for line in rows["samples"]]
+    width, pad = len(lines[0]) // 3, b"\0" * (-len(lines[0]) % 4)
+    body = b"".join(line + pad for line in lines)
+    return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, -len(lines), 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+@query("a09_image_cells", "fx_cells", sql="select 's' || survey_id || '_b' || (ping // 25) || '.bmp' as name, ping % 25 as ping, col, v, 1 as n_bad from fx_cells")
+def _(spark, sf):
+    path = folder(spark, "images")
+    files = log_files(spark, sf, bmp).select(F.concat(F.replace("path", F.lit("/"), F.lit("_")), F.lit(".bmp")).alias("path"), "content")
+    write_files(files.unionByName(spark.createDataFrame([("broken.bmp", b"BMxx")], "path string, content binary")), path)
+    cells, bad = read_image_cells(spark, path)
+    return with_totals(cells, bad.agg(F.count_if(F.col("name") == "broken.bmp").cast("int").alias("n_bad")))
+
+
+@query("a11_image_inventory", "fx_images", sql="select i.split, i.name, substring(i.name, 1, length(i.name) - 4) as stem, octet_length(encode(d.text)) as size_bytes, i.content_hash from fx_images i join documents d on d.doc_id = i.image_id")
+def _(spark, sf):
+    path = folder(spark, "inventory")
+    texts = t.base(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), F.encode("text", "UTF-8").alias("content"))
+    write_files(t.images(spark, sf).join(texts, "image_id").withColumn("path", F.concat_ws("/", "split", F.lit("images"), "name")), path)
+    return read_image_inventory(spark, path).select("split", "name", "stem", "size_bytes", "content_hash")
+
+
+SUMMARIES = """with e as (select user_id % 9 as run, event_type as c, max(value) / 200e0 as v from events group by 1, 2),
+s as (select run, avg(v) as m, max(v) filter (c = 'click') as click, max(v) filter (c = 'view') as view from e group by 1)"""
+
+
+def summary_files(spark, sf):
+    e = t.base(spark, sf, "events").groupBy(F.expr("user_id % 9").alias("run"), F.col("event_type").alias("c")).agg((F.max("value") / 200).alias("v"))
+    metrics = lambda v: F.struct(v.alias("precision"), (v / 2).alias("recall"), v.alias("map50"), (v / 4).alias("map50_95"))
+    per = e.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("c", metrics(F.col("v"))))).alias("per_class"), F.avg("v").alias("m"))
+    overall = F.struct(F.col("m").alias("precision"), (F.col("m") / 2).alias("recall"), F.col("m").alias("map50"), (F.col("m") / 4).alias("map50_95"), (F.col("m") * 10).alias("inference_speed_ms"))
+    body = F.to_json(F.struct(F.when(F.col("run") % 2 == 0, 512).alias("imgsz"), overall.alias("overall"), "per_class"))
+    path = folder(spark, "summaries")
+    write_files(per.select(F.format_string("exp/run%d/evaluation_summary.json", "run").alias("path"), body.alias("content")), path)
+    return tl.read_eval_summaries(spark, path)
+
+
+@query("a15_eval_summaries", sql=SUMMARIES + " select 'run' || run as run, case when run % 2 = 0 then 512 end as imgsz, round(m, 6) as map50, round(m * 10, 6) as ms, round(click / 2, 6) as click_recall from s")
+def _(spark, sf):
+    s = summary_files(spark, sf)
+    return s.select("run", "imgsz", F.round("overall.map50", 6).alias("map50"), F.round("overall.inference_speed_ms", 6).alias("ms"), F.round(F.try_element_at("per_class", F.lit("click"))["recall"], 6).alias("click_recall"))
+
+
+@query("d18_compare_runs", sql=SUMMARIES + """ select 'run' || run as experiment, case when run % 2 = 0 then 512 else 640 end as resolution, 0.25e0 as conf, round(m * 100, 4) as map50_pct, round(m * 50, 4) as recall_pct,
+ round(m * 10, 4) as latency_ms, 0e0 as fps, round(coalesce(click, 0) * 100, 4) as click_map50_pct, 0e0 as mine_map50_pct from s""")
+def _(spark, sf):
+    rows = tl.compare_experiments(summary_files(spark, sf), ["click", "mine"])
+    return rows.select("experiment", "resolution", "conf", *[F.round(c, 4).alias(c) for c in ("map50_pct", "recall_pct", "latency_ms")], "fps", F.round("click_map50_pct", 4).alias("click_map50_pct"), "mine_map50_pct")
+
+
 @query("a02_telemetry_csv", "fx_pings", sql="select count(*) as n, round(sum(altitude_m), 3) as altitude, round(sum(latitude), 3) as latitude, 25e0 as layback, round(sum(slant_range_m), 3) as slant from fx_pings")
 def _(spark, sf):
     path = folder(spark, "csv")

@@ -167,7 +167,7 @@ def mission_detection_rows(dets: DataFrame, mission_id: Column | str = "mission_
                        *[_or(dets, c, v).alias("confidence" if c == "conf" else c) for c, v in d.items()], F.lit("UNREVIEWED").alias("reviewed_status"))
 
 
-def save_mission_detections(dets: DataFrame, path: str, mission_id: str = "mission_default") -> None:
+def save_mission_detections(dets: DataFrame, path: str, mission_id: Column | str = "mission_default") -> None:
     mission_detection_rows(dets, mission_id).write.mode("append").partitionBy("mission_id").parquet(path)
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Accepted input extensions and the largest accepted upload.
@@ -52,18 +57,49 @@ def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_image_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Grey cells of decodable images (name, ping, col, v) and the names of those that are not.
 
-    Colour images are weighted to grey; the image reader stores channels in blue-green-red order.
+    Colour images are weighted to grey; the image reader stores channels in blue-green-red order. An image's bytes are
+    turned into its rows inside one Arrow step, so no row carries the image along.
     """
     img = spark.read.format("image").option("recursiveFileLookup", True).load(path).select("image.*")
     bad = img.filter((F.col("height") <= 0) | F.col("height").isNull()).select(_name("origin").alias("name"))
-    rows = img.filter("height > 0").select(
-        _name("origin").alias("name"), "width", "nChannels", F.col("data"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("ping"))
-    line = rows.withColumn("_h", F.hex(F.expr("substring(data, ping * width * nChannels + 1, width * nChannels)")))
-    px = line.select("name", "ping", "nChannels", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"), "_h")
-
-    def at(c: int) -> Column:
-        pair = F.substring(F.col("_h"), (F.col("col") * F.col("nChannels") + c) * 2 + 1, F.lit(2))
-        return F.conv(pair, 16, 10).cast("int")
-
-    grey = F.when(F.col("nChannels") == 1, at(0)).otherwise(F.round(0.114 * at(0) + 0.587 * at(1) + 0.299 * at(2)).cast("int"))
-    return px.select("name", "ping", "col", grey.alias("v")), bad
+    whole = img.filter("height > 0").select(_name("origin").alias("name"), "height", "width", "nChannels", "data")
+    lines = whole.mapInArrow(_grey_lines, "name string, ping int, line array<int>")
+    return lines.select("name", "ping", F.posexplode("line").alias("col", "v")), bad
+
+
+def _grey_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, height, width, channels, data in zip(*(c.to_pylist() if k < 4 else c for k, c in enumerate(batch.columns))):
+            pixels = np.frombuffer(data.as_buffer(), "u1", height * width * channels).reshape(height, width, channels)
+            step = max(1, (1 << 20) // max(1, width))
+            for at in range(0, height, step):
+                part = pixels[at:at + step]
+                if channels == 1:
+                    grey = part[:, :, 0].astype("int32")
+                else:
+                    grey = np.floor(0.114 * part[:, :, 0] + 0.587 * part[:, :, 1] + 0.299 * part[:, :, 2] + 0.5).astype("int32")
+                lines = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype="int32") * width), pa.array(grey.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part), dtype="int32")), lines], names=["name", "ping", "line"])
+
+
+def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "content") -> int:
+    """Write every row's bytes as a file below ``folder`` (relative path in ``path``) and return their number.
+
+    The folder must be reachable from every executor. A file appears whole or not at all, so a repeated task does no harm.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .log_source import file_system
+
+        files, top = file_system(folder)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                target = f"{top}/{name}"
+                files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                draft = f"{target.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                with files.open_output_stream(draft) as out:
+                    out.write(data.as_buffer() if data.is_valid else b"")
+                files.move(draft, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    done = df.select(F.col(path).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "n bigint")
+    return done.agg(F.sum("n")).first()[0] or 0
