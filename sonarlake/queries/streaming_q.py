@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from sonarlake.sources import survey_store as store
 from sonarlake.sources import telemetry as tl
 from sonarlake.sources.files import read_image_cells, read_image_inventory, write_files
 from sonarlake.streaming import streams as st
+from sonarlake.streaming import tracks as ts
 from sonarlake.streaming import trajectory as tj
 
 from . import tables as t
@@ -65,15 +67,21 @@ def timed(df):
     return df.withColumn("ts", F.timestamp_micros(F.round(F.col("t_s") * 1000000).cast("bigint")))
 
 
+@contextmanager
+def keyed_state(spark):
+    """The state store that operators with timers need, for queries started inside."""
+    before = spark.conf.get(tj.STORE[0])
+    spark.conf.set(*tj.STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(tj.STORE[0], before)
+
+
 def streamed_steps(spark, pings):
     """Steps of a ping table read as a stream of files, with the operator's default settings."""
-    key, store = tj.STORE
-    before = spark.conf.get(key)
-    spark.conf.set(key, store)
-    try:
+    with keyed_state(spark):
         out = drained(spark, tj.stream_trajectory(as_stream(spark, timed(pings), "pings")()), "steps")
-    finally:
-        spark.conf.set(key, before)
     return out.select("survey_id", "ping_id", r("dt_s", 4), r("speed_knots", 3), F.col("teleport").cast("int").alias("teleport"))
 
 
@@ -108,8 +116,9 @@ def _(spark, sf):
 
 @query("u04_stream_track")
 def _(spark, sf):
-    d = named(t.det(spark, sf)).selectExpr("survey_id", "frame_id", "det_id", "(x1 + x2) / 2 as x", "(y1 + y2) / 2 as y", "class_name")
-    return drained(spark, st.stream_track(as_stream(spark, d, "dets")()), "tracks")
+    d = named(t.det(spark, sf)).selectExpr("survey_id", "frame_id", "det_id", "(x1 + x2) / 2 as x", "(y1 + y2) / 2 as y", "class_name", "timestamp_seconds(frame_id * 10 + 1000) as ts")
+    with keyed_state(spark):
+        return drained(spark, ts.stream_track(as_stream(spark, d, "dets")(), delay="0 seconds"), "tracks")
 
 
 @query("u05_stream_dedup", "fx_pings", sql="select survey_id, ping_id, event_id from fx_pings")

@@ -1,4 +1,4 @@
-"""Structured Streaming versions of ping checks, survey quality, tracking, saving and the review feed.
+"""Structured Streaming versions of ping checks, survey quality, sessions and the review feed.
 
 Ping streams carry the batch columns plus ``ts`` (timestamp). Every operator agrees with its batch twin on data that is
 not later than the watermark.
@@ -6,20 +6,14 @@ not later than the watermark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sonarlake.config import TrackSettings
 from sonarlake.operators.detections import uncertainty_flag
 from sonarlake.operators.pings import validate_pings
 from sonarlake.operators.quality import scqi
 from sonarlake.operators.review import enqueue
-from sonarlake.operators.tracking import FrameTracker
 from sonarlake.sources import telemetry as tl
 
 
@@ -58,43 +52,6 @@ def stream_legs(pings: DataFrame, gap: str = "5 minutes", delay: str = "10 minut
             .select("survey_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_pings", "first_s", "last_s"))
 
 
-def stream_track(dets: DataFrame, cfg: TrackSettings = TrackSettings(), idle: str | None = None) -> DataFrame:
-    """Track ids with state carried across micro-batches; with ``idle`` a survey's state is dropped after that silence.
-
-    A processing-time limit keeps a query running for its timers, so leave ``idle`` unset for run-once jobs.
-
-    Only live tracks (a few short histories) are kept. Frames must not span micro-batches and must arrive in order.
-    """
-    millis = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        live, next_id, frame = [], 1, None
-        if state.exists:
-            ids, names, hits, misses, flat, lengths, next_id, frame = state.get
-            at = 0
-            for i, name, h, m, n in zip(ids, names, hits, misses, lengths):
-                live.append({"id": i, "name": name, "hits": h, "misses": m, "history": [tuple(flat[k:k + 3]) for k in range(at, at + 3 * n, 3)]})
-                at += 3 * n
-        tracker = FrameTracker(cfg, live, next_id, frame)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["frame_id", "det_id"])
-        for f, g in rows.groupby("frame_id", sort=True):
-            out = tracker.update(int(f), g["x"].to_numpy(), g["y"].to_numpy(), list(g["class_name"]))
-            yield pd.DataFrame({"survey_id": key[0], "frame_id": int(f), "det_id": g["det_id"].to_numpy(), "track_id": [i for i, _ in out], "hits": [h for _, h in out]})
-        tr = tracker.live
-        state.update(([t["id"] for t in tr], [t["name"] for t in tr], [t["hits"] for t in tr], [t["misses"] for t in tr],
-                      [float(v) for t in tr for obs in t["history"] for v in obs], [len(t["history"]) for t in tr], tracker.next_id, tracker.frame))
-        if millis:
-            state.setTimeoutDuration(millis)
-
-    return dets.groupBy("survey_id").applyInPandasWithState(
-        step, "survey_id bigint, frame_id bigint, det_id bigint, track_id bigint, hits bigint",
-        "ids array<bigint>, names array<string>, hits array<bigint>, misses array<bigint>, history array<double>, lengths array<bigint>, next_id bigint, frame bigint",
-        "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
-
-
 # ---- sinks ----------------------------------------------------------------------------------------------------------------
 
 def _append_once(path: str, partitions: list[str]):

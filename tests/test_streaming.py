@@ -6,17 +6,6 @@ from sonarlake.streaming import streams as st
 from tests.test_operators import scene
 
 
-def test_stream_track_equals_batch(spark, tmp_path):
-    df = spark.createDataFrame(scene(), "survey_id bigint, frame_id bigint, det_id bigint, x double, y double, class_name string")
-    src = str(tmp_path / "in")
-    for part, cond in enumerate(("frame_id < 9", "frame_id >= 9 and frame_id < 33", "frame_id >= 33")):
-        df.filter(cond).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-        st.drain(st.stream_track(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = {r.det_id: r.track_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {r.det_id: r.track_id for r in tr.track(df).collect()}
-
-
 def test_late_rows_are_dropped(spark, tmp_path):
     cols = "survey_id bigint, ping_id bigint, secs bigint"
     src, n = str(tmp_path / "in"), {"altitude_m": 10.0, "slant_range_m": 75.0, "pitch_deg": 0.0, "roll_deg": 0.0, "heave_m": 0.0, "speed_knots": 3.5}
@@ -91,3 +80,18 @@ def test_trajectory_keeps_the_last_ping_over_batches_gaps_and_late_rows(spark, t
     columns = ["survey_id", "ping_id", "dt_s", "speed_knots", "non_monotonic", "teleport"]
     want = trajectory_steps(spark.createDataFrame(rows, cols), chunk=16).select(columns)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tracks_equal_batch_with_frames_in_pieces(spark, tmp_path, keyed_state):
+    from sonarlake.streaming.tracks import stream_track
+    cols = "survey_id bigint, frame_id bigint, det_id bigint, x double, y double, class_name string"
+    df = spark.createDataFrame(scene(), cols).withColumn("ts", F.timestamp_seconds(F.col("frame_id") * 10 + 1000))
+    last = spark.createDataFrame([(s, 1000, 9000 + s, 0.0, 0.0, "can") for s in (1, 2)], cols).withColumn("ts", F.timestamp_seconds(F.lit(100_000)))
+    src = str(tmp_path / "in")
+    early = "(frame_id < 9 or (frame_id between 9 and 11 and det_id % 2 = 0))"
+    for part in (df.filter(early), df.filter(f"not {early} and frame_id < 33"), df.filter(f"not {early} and frame_id >= 33"), last):
+        part.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        st.drain(stream_track(stream, delay="60 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {r.det_id: (r.track_id, r.hits) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {r.det_id: (r.track_id, r.hits) for r in tr.track(df).collect()}
