@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: quality rules, toxicity, one document per group of near copies, packing.
 
 Every stage reads what the one before kept and its decision takes effect; all but the last return the columns of the
-documents table. A stage numbers its rows, stores them once and decides row by row, so null and repeated ids lose nothing. ``run`` stores each stage's rows as Parquet in the session's shared folder and reads them again.
+documents table. A stage numbers its rows in a column of a free name, stores them once and decides row by row, so null and
+repeated ids lose nothing. ``run`` stores each stage's rows as Parquet in the session's shared folder and reads them again.
 """
 
 from __future__ import annotations
@@ -16,37 +17,45 @@ from sonarlake.llm.queries import BYTE_BPE, vocabulary
 from sonarlake.plans.durable import durable
 
 
-def _only(docs: DataFrame, verdict: DataFrame, keep: str) -> DataFrame:
-    """Numbered documents whose row in ``verdict`` (doc_id is the number, ``keep``) is not false."""
-    gone = verdict.filter(~F.col(keep)).select(F.col("doc_id").alias("_row"))
-    return docs.join(gone, "_row", "left_anti").drop("_row")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with a stored row number, and the name of its column, which none of the table's columns has."""
+    row, taken = "_row", {c.lower() for c in docs.columns}
+    while row in taken:
+        row += "_"
+    return numbered(docs, row), row
+
+
+def _only(docs: DataFrame, row: str, verdict: DataFrame, keep: str) -> DataFrame:
+    """Numbered documents whose row in ``verdict`` (doc_id is the number, ``keep``) is not false, without the number."""
+    gone = verdict.filter(~F.col(keep)).select(F.col("doc_id").alias(row))
+    return docs.join(gone, row, "left_anti").drop(row)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the divergence rules (operator 6)."""
-    rows = numbered(docs)
-    return _only(rows, divergence.divergence_rules(rows, doc_id="_row"), "kept")
+    rows, row = _numbered(docs)
+    return _only(rows, row, divergence.divergence_rules(rows, doc_id=row), "kept")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject (operator 5); labels train it."""
-    rows = numbered(docs)
-    return _only(rows, toxicity_chain.score(rows, toxicity_chain.fit(rows, table(spark, sf_dir, "labels")), doc_id="_row"), "kept")
+    rows, row = _numbered(docs)
+    return _only(rows, row, toxicity_chain.score(rows, toxicity_chain.fit(rows, table(spark, sf_dir, "labels")), doc_id=row), "kept")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of linked documents (operator 7), and one of those without an id.
+    """One document of each group of linked documents (operator 7): that of smallest id, or one without an id if none has one.
 
-    Texts without words stay, of a repeated id one.
+    Texts without words are linked with nothing and stay, of a repeated id one.
     """
-    rows = numbered(docs)
-    sets, linked = jaccard_join.linked_rows(rows.select("_row", "text").toDF("row", "_text"))
-    ids = rows.select(F.col("_row").alias("row"), "doc_id")
+    rows, row = _numbered(docs)
+    sets, linked = jaccard_join.linked_rows(rows.select(row, "text").toDF("row", "_text"))
+    ids = rows.select(F.col(row).alias("row"), "doc_id")
     wordless = sets.filter("n = 0").select("row").join(ids, "row").filter("doc_id IS NOT NULL").select("row", F.lit(None).cast("long").alias("comp"), "doc_id")
     grouped = durable(linked.join(ids, "row").select("row", "comp", "doc_id").unionByName(wordless), "grouped")
-    kind = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("doc_id").isNull().cast("long"))
-    first = grouped.groupBy("comp", kind.alias("_kind")).agg(F.min(F.struct("doc_id", "row")).alias("_f")).select("_f.row")
-    return _only(rows, grouped.join(first, "row", "left_anti").select(F.col("row").alias("doc_id"), F.lit(False).alias("first")), "first")
+    single = F.when(F.col("comp").isNull(), F.col("doc_id"))
+    first = grouped.groupBy("comp", single.alias("_single")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("_f")).select("_f.row")
+    return _only(rows, row, grouped.join(first, "row", "left_anti").select(F.col("row").alias("doc_id"), F.lit(False).alias("first")), "first")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
