@@ -134,27 +134,48 @@ def miss_rates(labels: DataFrame, image_area: float) -> DataFrame:
     return g.withColumn("miss_rate", F.col("missed") / F.col("labels"))
 
 
-def average_precision(pred: DataFrame, gt: DataFrame, thresholds: Sequence[float] = tuple(0.5 + 0.05 * i for i in range(10))) -> DataFrame:
-    """AP per class and IoU threshold with 101-point interpolation, all thresholds matched in one run.
+def true_positive_ranks(pred: DataFrame, gt: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """Per class and IoU threshold the true positives in order: ``tps`` counts them, ``rank`` all predictions up to each; with n_gt.
 
-    The precision-recall curve of a class is a range-partitioned running count; it is then reduced to 101 recall steps.
+    Predictions are ranked once per class; only matched ones are listed per threshold, all thresholds matched in one run.
     """
     ths = [round(float(x), 4) for x in thresholds]
     edges = _edges(pred, gt, min(ths), [KEY, "class_id"])
     reach = F.filter(F.array(*[F.lit(x) for x in ths]), lambda x: F.col("iou") >= x)
-    hits = _assign(edges.withColumn("thr", F.explode(reach)), ["thr"]).select(P_ID, "thr", F.lit(1).alias("tp"))
-    listed = pred.select(P_ID, "class_id", "conf").withColumn("thr", F.explode(F.array(*[F.lit(x) for x in ths])))
-    flagged = listed.join(hits, [P_ID, "thr"], "left").na.fill(0, ["tp"])
-    curve = running_sums(flagged, ["class_id", "thr"], [F.col("conf").desc(), F.col(P_ID)], {"tps": "tp", "seen": F.lit(1)})
-    n_gt = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    steps = (curve.join(n_gt, "class_id").groupBy("class_id", "thr", F.floor(F.col("tps") * 100 / F.col("n_gt")).alias("step"))
-             .agg(F.max(F.col("tps") / F.col("seen")).alias("p")).filter("step >= 0"))
-    grid = n_gt.select("class_id", F.explode(F.array(*[F.lit(x) for x in ths])).alias("thr")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(100)).cast("array<bigint>")))
+    hits = _assign(edges.withColumn("thr", F.explode(reach)), ["thr"]).select(P_ID, "thr")
+    ranks = dense_index(pred.select("class_id", P_ID, "conf"), ["class_id"], [F.col("conf").desc(), F.col(P_ID)], "rank", start=1)
+    found = dense_index(hits.join(ranks, P_ID).select("class_id", "thr", "rank", P_ID, "conf"), ["class_id", "thr"], ["rank"], "tps", start=1)
+    return found.join(gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt")), "class_id")
+
+
+def average_precision(pred: DataFrame, gt: DataFrame, thresholds: Sequence[float] = tuple(0.5 + 0.05 * i for i in range(10))) -> DataFrame:
+    """AP per class and IoU threshold with 101-point interpolation.
+
+    Precision falls between true positives, so its envelope over 101 recall steps needs the true positives only.
+    """
+    ths = [round(float(x), 4) for x in thresholds]
+    steps = (true_positive_ranks(pred, gt, ths).groupBy("class_id", "thr", F.floor(F.col("tps") * 100 / F.col("n_gt")).alias("step"))
+             .agg(F.max(F.col("tps") / F.col("rank")).alias("p")))
+    grid = gt.select("class_id").distinct().select("class_id", F.explode(F.array(*[F.lit(x) for x in ths])).alias("thr"))
+    grid = grid.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(100)).cast("array<bigint>")))
     ahead = Window.partitionBy("class_id", "thr").orderBy("step").rowsBetween(0, Window.unboundedFollowing)
     envelope = grid.join(steps, ["class_id", "thr", "step"], "left").withColumn("p", F.coalesce(F.max("p").over(ahead), F.lit(0.0)))
     return envelope.groupBy("class_id", "thr").agg(F.avg("p").alias("ap"))
 
 
+def class_scores(pred: DataFrame, gt: DataFrame, min_iou: float = 0.5) -> DataFrame:
+    """Precision, recall, F1 and confidence per class at the cut of highest F1 (ties: the higher confidence).
+
+    A class with labels but no true positive scores zero, its cut is null.
+    """
+    ranks = true_positive_ranks(pred, gt, [min_iou])
+    p, rec = F.col("tps") / F.col("rank"), F.col("tps") / F.col("n_gt")
+    scored = ranks.withColumns({"precision": p, "recall": rec, "f1": 2 * F.col("tps") / (F.col("rank") + F.col("n_gt"))})
+    top = F.max(F.struct("f1", (-F.col("rank")).alias("_r"), "precision", "recall", F.col("conf").alias("cut"))).alias("_b")
+    best = scored.groupBy("class_id").agg(top).select("class_id", "_b.precision", "_b.recall", "_b.f1", "_b.cut")
+    return gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt")).join(best, "class_id", "left").na.fill(0.0, ["precision", "recall", "f1"])
+
+
 def map_summary(ap: DataFrame) -> DataFrame:
     """Per class AP@50 and AP@50-95; class_id null is the mean over classes."""
     per = ap.groupBy("class_id").agg(F.max(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))

@@ -22,24 +22,65 @@ from .waterfall_q import PROBS, class_probs
 # ---- matching and detection metrics ---------------------------------------------------------------------------------------
 
 
-@query("v01_greedy_match")
+def greedy_sql(thresholds, low="0.5e0", least="0e0"):
+    """A walk over the predictions of an image and class, one after the other: ``m`` holds image_id, class_id, thr, pred_id, gt_id, iou.
+
+    ``walk`` also tells per prediction the best IoU (``low`` or more) with a label that is free at its turn.
+    """
+    return f"""cand as (select a.image_id, a.class_id, a.pred_id, a.conf, list({{'g': b.gt_id, 'v': {iou_sql('a', 'b')}}} order by {iou_sql('a', 'b')} desc, b.gt_id) as c
+  from fx_pred a join fx_gt b using (image_id, class_id) where {iou_sql('a', 'b')} >= {low} and a.conf >= {least} group by all),
+turn as (select *, row_number() over (partition by image_id, class_id order by conf desc, pred_id) as n from cand),
+walk(image_id, class_id, thr, n, taken, pred_id, b, free) as (
+ select distinct image_id, class_id, thr, cast(0 as bigint), cast([] as bigint[]), cast(null as bigint), c[99999], cast(null as double) from turn, (select unnest([{', '.join(thresholds)}]) as thr)
+ union all select image_id, class_id, thr, n, case when b is null then taken else list_append(taken, b.g) end, pred_id, b, free from (
+  select image_id, class_id, thr, n, taken, pred_id, list_filter(o, lambda x: x.v >= thr)[1] as b, o[1].v as free from (
+   select t.image_id, t.class_id, w.thr, t.n, w.taken, t.pred_id, list_filter(t.c, lambda x: not list_contains(w.taken, x.g)) as o
+   from walk w join turn t on t.image_id = w.image_id and t.class_id = w.class_id and t.n = w.n + 1) k) q),
+m as (select image_id, class_id, thr, pred_id, b.g as gt_id, b.v as iou from walk where b is not null)"""
+
+
+def curve_sql(thresholds):
+    return f"""{greedy_sql(thresholds)},
+rk as (select pred_id, class_id, conf, row_number() over (partition by class_id order by conf desc, pred_id) as rank from fx_pred),
+ng as (select class_id, count(*) as n_gt from fx_gt group by 1),
+tp as (select m.class_id, m.thr, rk.rank, rk.conf, ng.n_gt, row_number() over (partition by m.class_id, m.thr order by rk.rank) as tps from m join rk using (pred_id) join ng on ng.class_id = m.class_id)"""
+
+
+THRESHOLDS = [f"{0.5 + 0.05 * i:.2f}e0" for i in range(10)]
+AP_SQL = f"""with recursive {curve_sql(THRESHOLDS)},
+st as (select class_id, thr, cast(floor(tps * 100e0 / n_gt) as bigint) as step, max(tps / cast(rank as double)) as p from tp group by all),
+gr as (select class_id, thr, step from ng, (select unnest([{', '.join(THRESHOLDS)}]) as thr), (select unnest(range(101)) as step)),
+en as (select class_id, thr, step, coalesce(max(p) over (partition by class_id, thr order by step rows between current row and unbounded following), 0) as p from gr left join st using (class_id, thr, step)),
+ap as (select class_id, thr, avg(p) as ap from en group by all)"""
+
+
+@query("v01_greedy_match", "fx_pred", "fx_gt", sql=f"with recursive {greedy_sql(['0.5e0'])} select image_id, pred_id, gt_id, round(iou, 6) as iou from m")
 def _(spark, sf):
     return ev.greedy_match(t.pred(spark, sf), t.gt(spark, sf)).select("image_id", "pred_id", "gt_id", r("iou"))
 
 
-@query("v02_error_analysis")
+JUDGED = f"""with recursive {greedy_sql(['0.5e0'], '0.1e0', '0.25e0')},
+j as (select p.pred_id, m.gt_id, case when p.conf < 0.25e0 then 'LOW_CONF' when m.gt_id is not null then 'TP' when w.free is not null then 'POOR_LOCALISATION' else 'FP' end as verdict, m.iou as match_iou,
+ case when m.gt_id is null then w.free end as best_iou from fx_pred p left join m using (pred_id) left join walk w on w.pred_id = p.pred_id where p.conf >= 0.1e0),
+lb as (select g.*, m.gt_id is not null as matched from fx_gt g left join m using (gt_id))"""
+
+
+@query("v02_error_analysis", "fx_pred", "fx_gt", sql=JUDGED + " select pred_id, gt_id, verdict, round(match_iou, 6) as match_iou, round(best_iou, 6) as best_iou from j")
 def _(spark, sf):
     return ev.error_analysis(t.pred(spark, sf), t.gt(spark, sf))["predictions"].select("pred_id", "gt_id", "verdict", r("match_iou"), r("best_iou"))
 
 
-@query("v02_error_summary")
+@query("v02_error_summary", "fx_pred", "fx_gt", sql=JUDGED + """, p as (select count(*) filter (verdict = 'TP') as true_positives, count(*) filter (verdict in ('FP', 'POOR_LOCALISATION')) as false_positives,
+ count(*) filter (verdict = 'POOR_LOCALISATION') as poor_localization, count(*) filter (verdict = 'LOW_CONF') as low_confidence from j), l as (select count(*) as labels, count(*) filter (not matched) as false_negatives from lb)
+select p.*, l.*, round(true_positives / cast(true_positives + false_positives as double), 6) as precision, round(true_positives / cast(labels as double), 6) as recall from p, l""")
 def _(spark, sf):
-    return ev.error_summary(ev.error_analysis(t.pred(spark, sf), t.gt(spark, sf)))
+    return ev.error_summary(ev.error_analysis(t.pred(spark, sf), t.gt(spark, sf))).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
-@query("v03_miss_rates")
+@query("v03_miss_rates", "fx_pred", "fx_gt", sql=JUDGED + """, z as (select *, (x2 - x1) * (y2 - y1) / 120000e0 as a from lb), s as (select *, case when a < 0.002e0 then 'very_small' when a < 0.01e0 then 'small' when a < 0.05e0 then 'medium' else 'large' end as size_cat from z)
+select class_id, size_cat, count(*) as labels, count(*) filter (not matched) as missed, round(count(*) filter (not matched) / cast(count(*) as double), 6) as miss_rate from s group by grouping sets ((class_id), (size_cat))""")
 def _(spark, sf):
-    return ev.miss_rates(ev.error_analysis(t.pred(spark, sf), t.gt(spark, sf))["labels"], 400.0 * 300.0)
+    return ev.miss_rates(ev.error_analysis(t.pred(spark, sf), t.gt(spark, sf))["labels"], 400.0 * 300.0).withColumn("miss_rate", F.round("miss_rate", 6))
 
 
 @query("v04_mean_iou", "fx_pred", "fx_gt", sql=f"""
@@ -50,14 +91,22 @@ def _(spark, sf):
     return ev.mean_iou(t.pred(spark, sf), t.gt(spark, sf)).select("class_id", r("mean_iou"), "n")
 
 
-@query("v05_average_precision")
+@query("v05_average_precision", "fx_pred", "fx_gt", sql=AP_SQL + " select class_id, round(thr, 2) as thr, round(ap, 6) as ap from ap")
+def _(spark, sf):
+    return ev.average_precision(t.pred(spark, sf), t.gt(spark, sf)).select("class_id", r("thr", 2), r("ap"))
+
+
+@query("v05_map_summary", "fx_pred", "fx_gt", sql=AP_SQL + """, c as (select class_id, max(case when thr = 0.5e0 then ap end) as a, avg(ap) as b from ap group by 1)
+select class_id, round(avg(a), 6) as ap50, round(avg(b), 6) as ap50_95 from c group by rollup(class_id)""")
 def _(spark, sf):
-    return ev.average_precision(t.pred(spark, sf), t.gt(spark, sf))
+    return ev.map_summary(ev.average_precision(t.pred(spark, sf), t.gt(spark, sf))).select("class_id", r("ap50"), r("ap50_95"))
 
 
-@query("v05_map_summary")
+@query("v05_class_scores", "fx_pred", "fx_gt", sql=f"""with recursive {curve_sql(['0.5e0'])}, b as (select *, row_number() over (partition by class_id order by 2e0 * tps / (rank + n_gt) desc, rank) as no from tp)
+select ng.class_id, ng.n_gt, round(coalesce(tps / cast(rank as double), 0), 6) as precision, round(coalesce(tps / cast(b.n_gt as double), 0), 6) as recall, round(coalesce(2e0 * tps / (rank + b.n_gt), 0), 6) as f1, b.conf as cut
+from ng left join b on b.class_id = ng.class_id and no = 1""")
 def _(spark, sf):
-    return ev.map_summary(ev.average_precision(t.pred(spark, sf), t.gt(spark, sf)))
+    return ev.class_scores(t.pred(spark, sf), t.gt(spark, sf)).select("class_id", "n_gt", r("precision"), r("recall"), r("f1"), "cut")
 
 
 def region_det(spark, sf):
