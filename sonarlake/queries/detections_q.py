@@ -255,7 +255,14 @@ def _(spark, sf):
     return d.top_k(t.det(spark, sf).filter("detection_type = 'unknown'"), ["survey_id", "frame_id"], 4).select("survey_id", "frame_id", "det_id", "rank")
 
 
-@query("f05_nms")
+@query("f05_nms", "fx_pred", sql=f"""with recursive o as (select *, row_number() over (partition by image_id order by conf desc, pred_id) as n from fx_pred),
+k as (select b.image_id, b.pred_id, b.conf, b.n, coalesce(list(a.pred_id) filter (where a.pred_id is not null), []) as better
+  from o b left join o a on a.image_id = b.image_id and a.n < b.n and {iou_sql('a', 'b')} > 0.35e0 group by all),
+w(image_id, n, kept, pred_id, conf, ok) as (
+ select distinct image_id, cast(0 as bigint), cast([] as bigint[]), cast(null as bigint), cast(null as double), false from k
+ union all select image_id, n, case when ok then list_append(kept, pred_id) else kept end, pred_id, conf, ok from (
+  select k.image_id, k.n, w.kept, k.pred_id, k.conf, not list_has_any(k.better, w.kept) as ok from w join k on k.image_id = w.image_id and k.n = w.n + 1) q)
+select image_id, pred_id, conf from w where ok""")
 def _(spark, sf):
     return d.nms(t.pred(spark, sf), ["image_id"], "pred_id").select("image_id", "pred_id", "conf")
 

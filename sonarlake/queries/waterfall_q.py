@@ -10,6 +10,7 @@ from sonarlake.operators import waterfall as wf
 
 from . import tables as t
 from .detections_q import NAMED, named, r
+from .pings_q import hav
 from .registry import query
 
 W, H = 64, 250
@@ -483,7 +484,15 @@ def _(spark, sf):
         "cell_i", "cell_j", "vertex", F.round(F.col("q")[0], 8).alias("lon"), F.round(F.col("q")[1], 8).alias("lat"))
 
 
-@query("h04_dedup_sightings")
+@query("h04_dedup_sightings", "fx_det", sql=f"""with recursive s as (select survey_id, latitude as la, longitude as lo, min(det_id) as id from fx_det where latitude is not null and longitude is not null group by all),
+o as (select *, row_number() over (partition by survey_id order by id) as n from s),
+w(survey_id, n, leaders, id, la, lo, lead) as (
+ select distinct survey_id, cast(0 as bigint), list_filter([{{'id': id, 'la': la, 'lo': lo}}], lambda x: false), cast(null as bigint), cast(null as double), cast(null as double), cast(null as bigint) from o where n = 1
+ union all select survey_id, n, case when hit is null then list_append(leaders, {{'id': id, 'la': la, 'lo': lo}}) else leaders end, id, la, lo, coalesce(hit, id) from (
+  select o.survey_id, o.n, w.leaders, o.id, o.la, o.lo, list_filter(w.leaders, lambda x: {hav('x.la', 'x.lo', 'o.la', 'o.lo')} <= 4.5e0)[1].id as hit
+  from w join o on o.survey_id = w.survey_id and o.n = w.n + 1) q),
+m as (select f.*, coalesce(w.lead, f.det_id) as leader from fx_det f left join w on w.survey_id = f.survey_id and w.la = f.latitude and w.lo = f.longitude and w.n > 0)
+select survey_id, leader, arg_max(det_id, {{'c': conf, 'd': -det_id}}) as det_id, max(conf) as conf, count(*) as sightings_count, round(avg(conf), 6) as fused_confidence from m group by survey_id, leader""")
 def _(spark, sf):
     d = gis.dedup_sightings(t.det(spark, sf))
     return d.select("survey_id", "det_id", "conf", "leader", "sightings_count", r("fused_confidence"))
