@@ -441,11 +441,33 @@ def _(spark, sf):
 
 # ---- GIS ------------------------------------------------------------------------------------------------------------------
 
-KDE = """ex as (select survey_id, min(latitude) - 0.001e0 as la0, max(latitude) + 0.001e0 as la1, min(longitude) - 0.001e0 as lo0, max(longitude) + 0.001e0 as lo1 from fx_det where latitude is not null group by 1),
+def kde_sql(g, bandwidth):
+    """Density on a g x g grid per survey: every position against every grid point."""
+    return f"""ex as (select survey_id, min(latitude) - 0.001e0 as la0, max(latitude) + 0.001e0 as la1, min(longitude) - 0.001e0 as lo0, max(longitude) + 0.001e0 as lo1 from fx_det where latitude is not null group by 1),
 sp as (select survey_id, latitude, longitude, count(*) as n from fx_det where latitude is not null group by 1, 2, 3),
-gd as (select survey_id, i as gi, j as gj, la0 + i * (la1 - la0) / 19 as lat, lo0 + j * (lo1 - lo0) / 19 as lon from ex, range(0, 20) a(i), range(0, 20) b(j)),
-ds as (select g.survey_id, gi, gj, lat, lon, sum(n * exp(-0.5e0 * (pow(lat - latitude, 2) + pow(lon - longitude, 2)) / pow(0.004e0, 2))) as s from gd g join sp p using (survey_id) group by 1, 2, 3, 4, 5),
-kd as (select survey_id, gi, gj, lat, lon, s / max(s) over (partition by survey_id) as density from ds)"""
+gd as (select survey_id, i as gi, j as gj, la0 + i * ((la1 - la0) / {g - 1}) as lat, lo0 + j * ((lo1 - lo0) / {g - 1}) as lon, (la1 - la0) / {g - 1} as dla, (lo1 - lo0) / {g - 1} as dlo from ex, range(0, {g}) a(i), range(0, {g}) b(j)),
+ds as (select g.survey_id, gi, gj, lat, lon, dla, dlo, sum(n * exp(-0.5e0 * (pow(lat - latitude, 2) + pow(lon - longitude, 2)) / pow({bandwidth}, 2))) as s from gd g join sp p using (survey_id) group by all),
+kd as (select survey_id, gi, gj, lat, lon, dla, dlo, s / max(s) over (partition by survey_id) as density from ds)"""
+
+
+KDE = kde_sql(20, "0.004e0")
+
+
+def hotspot_sql(g, bandwidth):
+    """Areas of neighbouring grid points at or above the 90th percentile, named by their first point, reached step by step."""
+    return f"""{kde_sql(g, bandwidth)},
+lim as (select survey_id, quantile_cont(density, 0.9) as t, max(density) as m from kd group by 1),
+cnt as (select survey_id, count(*) as n from fx_det where latitude is not null group by 1),
+th as (select survey_id, case when n < 5 then greatest(t, 0.5e0 * m) else t end as threshold from lim join cnt using (survey_id)),
+hot as (select k.*, gi * {g} + gj as c, threshold from kd k join th using (survey_id) where density >= threshold),
+nb as (select a.survey_id, a.c, b.c as d from hot a join hot b on b.survey_id = a.survey_id and abs(a.gi - b.gi) <= 1 and abs(a.gj - b.gj) <= 1),
+fl(survey_id, c, root) as (select survey_id, c, c from hot union select fl.survey_id, nb.d, fl.root from fl join nb on nb.survey_id = fl.survey_id and nb.c = fl.c),
+rt as (select survey_id, c, min(root) as root from fl group by 1, 2),
+sp2 as (select h.survey_id, root, sum(density * lat) / sum(density) as latitude, sum(density * lon) / sum(density) as longitude, max(density) as peak_density, count(*) as cells, any_value(threshold) as threshold,
+  min(lat) - any_value(dla) / 2 as a0, max(lat) + any_value(dla) / 2 as a1, min(lon) - any_value(dlo) / 2 as o0, max(lon) + any_value(dlo) / 2 as o1 from hot h join rt using (survey_id, c) group by 1, 2),
+hs as (select s.survey_id, cast(root // {g} as int) as first_gi, cast(root % {g} as int) as first_gj, any_value(s.latitude) as latitude, any_value(s.longitude) as longitude, any_value(peak_density) as peak_density,
+  any_value(cells) as cells, any_value(threshold) as threshold, count(d.det_id) as n_objects
+  from sp2 s left join fx_det d on d.survey_id = s.survey_id and d.latitude between a0 and a1 and d.longitude between o0 and o1 group by s.survey_id, root)"""
 
 
 @query("h01_kde_grid", "fx_det", sql=f"with {KDE} select survey_id, gi, gj, round(lat, 8) as lat, round(lon, 8) as lon, round(density, 8) as density from kd")
@@ -454,17 +476,19 @@ def _(spark, sf):
     return k.select("survey_id", "gi", "gj", r("lat", 8), r("lon", 8), r("density", 8))
 
 
-@query("c13_kde_default_grid")
+@query("c13_kde_default_grid", "fx_det", sql=f"with {kde_sql(60, '0.0005e0')} select survey_id, gi, gj, round(density, 8) as density from kd")
 def _(spark, sf):
     return gis.kde_grid(t.det(spark, sf)).select("survey_id", "gi", "gj", r("density", 8))
 
 
-@query("h02_kde_hotspots")
+@query("h02_kde_hotspots", "fx_det", sql=f"""with recursive {hotspot_sql(60, '0.004e0')}
+select survey_id, first_gi, first_gj, round(latitude, 7) as latitude, round(longitude, 7) as longitude, round(peak_density, 6) as peak_density, cells, n_objects, round(threshold, 6) as threshold from hs""")
 def _(spark, sf):
-    return gis.kde_hotspots(t.det(spark, sf), 60, 0.004)
+    h = gis.kde_hotspots(t.det(spark, sf), 60, 0.004)
+    return h.select("survey_id", "first_gi", "first_gj", r("latitude", 7), r("longitude", 7), r("peak_density"), "cells", "n_objects", r("threshold"))
 
 
-@query("f03_hotspot_order")
+@query("f03_hotspot_order", "fx_det", sql=f"with recursive {hotspot_sql(40, '0.002e0')} select survey_id, first_gi, first_gj, round(peak_density, 6) as peak_density, cells, n_objects from hs")
 def _(spark, sf):
     return gis.kde_hotspots(t.det(spark, sf), 40, 0.002).select("survey_id", "first_gi", "first_gj", r("peak_density"), "cells", "n_objects")
 
