@@ -162,7 +162,7 @@ def box_stats(boxes: DataFrame, rows: DataFrame, ident: Sequence[str], keys: Seq
 
 
 def image_medians(cells: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    return histogram(cells, keys).groupBy(*keys).agg(F.expr("percentile(v, 0.5D, n)").alias("median"))
+    return histogram(cells.filter("v is not null"), keys).groupBy(*keys).agg(F.expr("percentile(v, 0.5D, n)").alias("median"))
 
 
 def extract_candidates(mask: DataFrame, rows: DataFrame, keys: Sequence[str] = KEY, min_area: int = 15, max_area: int = 10000,
@@ -264,7 +264,10 @@ def seabed_features(rows: DataFrame, radius: int = 7, keys: Sequence[str] = KEY)
     cells = sobel_rows(rows, keys).select(*keys, "ping", F.posexplode(F.arrays_zip("samples", "grad")).alias("col", "_z"))
     cells = cells.select(*keys, "ping", "col", F.col("_z.samples").alias("v"), F.col("_z.grad").alias("g"),
                          (F.col("_z.samples").cast("bigint") * F.col("_z.samples")).alias("vv"))
-    s = box_sums(cells, {"_m": ("v", radius), "_q": ("vv", radius), "_g": ("g", 2)}, keys)
+    # null samples (pings that are missing in an image of fixed size) add nothing; a square of nulls only has no features
+    cells = cells.withColumns({"_has": F.col("v").isNotNull().cast("int"), "_hasg": F.col("g").isNotNull().cast("int")})
+    s = box_sums(cells, {"_m": ("v", radius), "_q": ("vv", radius), "_g": ("g", 2), "_nv": ("_has", radius), "_ng": ("_hasg", 2)}, keys)
+    s = s.withColumns({"_m": F.when(F.col("_nv") > 0, F.col("_m")), "_q": F.when(F.col("_nv") > 0, F.col("_q")), "_g": F.when(F.col("_ng") > 0, F.col("_g"))})
     n = float((2 * radius + 1) ** 2)
     s = s.withColumn("mean", F.col("_m") / n).withColumn(
         "std", F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / n - F.col("mean") * F.col("mean"))))
@@ -341,18 +344,21 @@ def seabed_regimes(features: DataFrame, k: int = 4, max_iter: int = 15, keys: Se
 def smooth_regimes(cells: DataFrame, keys: Sequence[str] = KEY, chunk: int = CHUNK) -> DataFrame:
     """5 x 5 median of the regime code (borders held), then water column only within a quarter of the half swath.
 
-    There are four codes, so the median is read off four neighbourhood counts.
+    There are four codes, so the median (the lower of two) is read off four neighbourhood counts. Cells without a code count
+    as nothing; they get the median of the coded cells around them and are left out if there are none.
     """
     size = image_sizes(cells, keys)
     counts = cells.withColumns({f"_is{k}": (F.col("regime") == k).cast("int") for k in REGIME_NAMES})
     summed = _replicated_sums(counts.join(size, list(keys)), [f"_is{k}" for k in REGIME_NAMES], 2, keys, chunk)
+    coded = sum((F.col(f"_is{k}") for k in REGIME_NAMES), F.lit(0))
+    summed = summed.filter(coded > 0)
     below, median = F.lit(0), F.lit(ROCK)
     steps = []
     for k in REGIME_NAMES:
         below = below + F.col(f"_is{k}")
         steps.append((k, below))
     for k, b in reversed(steps):
-        median = F.when(b >= 13, F.lit(k)).otherwise(median)
+        median = F.when(2 * b >= coded, F.lit(k)).otherwise(median)
     out = summed.withColumn("_m", median)
     off = F.abs(F.col("col") - F.col("w") / 2.0) / F.greatest(F.lit(1.0), F.col("w") / 2.0)
     return out.withColumn("regime", F.when((F.col("_m") == NADIR) & (off > 0.25), F.lit(SAND)).otherwise(F.col("_m"))).drop(

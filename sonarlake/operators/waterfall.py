@@ -14,6 +14,15 @@ SEPARATOR_COLUMNS = 6
 SEPARATOR_VALUE = 15
 
 
+# ---- images that break off ------------------------------------------------------------------------------------------
+
+def complete_rows(rows: DataFrame, width: int, height: int, keys: Sequence[str] = ("survey_id",)) -> DataFrame:
+    """Wide rows of images of a fixed size: a ping that is missing becomes a row of null samples, which count as nothing."""
+    blank = rows.select(*keys).distinct().withColumn("ping", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("ping", F.col("ping").cast(rows.schema["ping"].dataType))
+    none = F.array_repeat(F.lit(None).cast(rows.schema["samples"].dataType.elementType), width)
+    return blank.join(rows, [*keys, "ping"], "left").withColumn("samples", F.coalesce("samples", none))
+
+
 # ---- signal statistics ----------------------------------------------------------------------------------------------
 
 def histogram(cells: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
