@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarlake.plans.durable import save_table
@@ -103,8 +103,13 @@ def det(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
+    # twenty pings a frame, added in ping order: a mean that lies on a cell border must not depend on the order of arrival
+    def mean(c: str) -> Column:
+        return F.aggregate("_p", F.lit(0.0), lambda a, p: a + p[c]) / F.size("_p")
+
     return (pings(spark, sf).withColumn("frame_id", F.expr("cast(floor(ping_id / 20D) as bigint)"))
-            .groupBy("survey_id", "frame_id").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
+            .groupBy("survey_id", "frame_id").agg(F.array_sort(F.collect_list(F.struct("ping_id", "latitude", "longitude"))).alias("_p"))
+            .select("survey_id", "frame_id", mean("latitude").alias("latitude"), mean("longitude").alias("longitude"))
             .withColumn("scqi", F.expr("(survey_id * 31 + frame_id * 17) % 100 * 1D")))
 
 
