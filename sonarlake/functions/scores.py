@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .boxes import clip
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half away from zero on the scaled value: a sum that lies a floating error below a tie counts as the tie, as in SQL engines."""
+    scale = 10.0 ** digits
+    return F.round(value * scale) / scale
+
+
 def cfar_evidence(contrast: Column) -> Column:
     return clip((contrast - 1.0) / 3.0, 0.0, 1.0)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.config import QualityLimits
 from sonarlake.functions.boxes import clip
+from sonarlake.functions.scores import rounded
 
 # Grades with their lower bounds and coverage texts.
 GRADES = [
@@ -71,7 +72,7 @@ def scqi(df: DataFrame, resurvey_threshold: float = 55.0) -> DataFrame:
     total = (0.30 * F.col("_snr") + 0.25 * F.col("_alt") + 0.20 * F.col("_motion") + 0.15 * F.col("_speed")
              + 0.10 * F.col("_shadow"))
     scored = parts.withColumn("resurvey_reasons", reasons).withColumn("scqi_raw", clip(total, 0.0, 100.0)).withColumn(
-        "scqi", F.round("scqi_raw", 1))
+        "scqi", rounded(F.col("scqi_raw"), 1))
     return scored.withColumns({
         "grade": _graded(F.col("scqi"), 1),
         "coverage_status": _graded(F.col("scqi"), 2),

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sonarlake.functions.scores import rounded
 from sonarlake.operators import frames as fr
 from sonarlake.operators import geolocate as geo
 from sonarlake.operators import pings as pg
@@ -178,7 +179,7 @@ select event_id, round(total, 6) as scqi_raw, case when round(total, 1) >= 85 th
  n_reasons, cast(round(total, 1) < 55 or n_reasons >= 3 as int) as resurvey from z""")
 def _(spark, sf):
     return ql.scqi(scqi_input(spark, sf)).select(
-        "event_id", F.round("scqi_raw", 6).alias("scqi_raw"), "grade", F.size("resurvey_reasons").alias("n_reasons"),
+        "event_id", rounded(F.col("scqi_raw"), 6).alias("scqi_raw"), "grade", F.size("resurvey_reasons").alias("n_reasons"),
         F.col("resurvey_recommended").cast("int").alias("resurvey"))
 
 
