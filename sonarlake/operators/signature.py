@@ -181,9 +181,10 @@ def acoustic_signature(objects: DataFrame, rows: DataFrame, width: int, height:
 def class_scores(df: DataFrame, features: Sequence[str], mean: Sequence[float], std: Sequence[float], coef: Sequence[Sequence[float]],
                  intercept: Sequence[float]) -> DataFrame:
     """Softmax class probabilities ``probs`` (array) of a linear model; the coefficients are literals in the plan."""
-    z = [F.lit(float(b)) + sum(((F.col(f) - m) / s * w for f, m, s, w in zip(features, mean, std, row)), F.lit(0.0))
-         for row, b in zip(coef, intercept)]
+    # added in the order of the formula and shifted only where exp could overflow or vanish: classes that tie stay as the plain softmax has them
+    z = [sum(((F.col(f) - m) / s * w for f, m, s, w in zip(features, mean, std, row)), F.lit(float(b))) for row, b in zip(coef, intercept)]
     staged = df.withColumn("_z", F.array(*z)).withColumn("_top", F.array_max("_z"))
+    staged = staged.withColumn("_top", F.when(F.abs("_top") < 600.0, F.lit(0.0)).otherwise(F.col("_top")))
     staged = staged.withColumn("_e", F.transform("_z", lambda v: F.exp(v - F.col("_top"))))
     staged = staged.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
     return staged.withColumn("probs", F.transform("_e", lambda v: v / F.col("_sum"))).drop("_z", "_top", "_e", "_sum")
