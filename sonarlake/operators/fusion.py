@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sonarlake.config import FusionSettings
 from sonarlake.functions.boxes import centre_inside, clip
 from sonarlake.functions.scores import cfar_evidence, snr_evidence, temperature_scale, weighted_mean
+from sonarlake.plans.durable import durable
 from sonarlake.plans.spatial import BOX, best_overlap, box_pairs, pair_iou
 
 MATCH_IOU = 0.05
@@ -56,7 +57,7 @@ def fuse_objects(boxes: DataFrame, candidates: DataFrame, key: str, box_id: str,
     matched = best_overlap(boxes, candidates, [key], cand_id, accept=_match_condition(), match=cand_id, score="iou")
     matched = matched.select(key, box_id, cand_id, *BOX)
     used = matched.filter(F.col(cand_id).isNotNull()).select(key, cand_id).distinct()
-    free = candidates.join(used, [key, cand_id], "left_anti").select(
+    free = candidates.join(used.hint("merge"), [key, cand_id], "left_anti").select(
         key, F.lit(None).cast(boxes.schema[box_id].dataType).alias(box_id), cand_id, *BOX)
     return matched.unionByName(free)
 
@@ -183,20 +184,21 @@ def gate_overlap(boxes: DataFrame, candidates: DataFrame, anomalies: DataFrame,
         rights = candidates.groupBy(key, *BOX).agg(F.min("cand_id").alias("_rid"))
         hits = box_pairs(lefts, rights, [key], "_lk", "_rid").filter(pair_iou() > GATE_IOU)
         first = hits.groupBy(key, *[F.col(f"l_{c}").alias(c) for c in BOX]).agg(F.min("_rid").alias("cand_id"))
-        return left.join(first, [key, *BOX], "left")
+        return left.join(first.hint("merge"), [key, *BOX], "left")
 
     lefts = boxes.select(key, *BOX).distinct().withColumn("_lk", F.struct(*BOX))
     rights = anomalies.groupBy(key, *BOX).agg(F.max("anomaly_score").alias("_score")).withColumn(
         "_rk", F.struct(F.col("_score").alias("s"), *BOX))
     over = box_pairs(lefts, rights, [key], "_lk", "_rk").filter(pair_iou() > GATE_IOU)
+    over = durable(over.select(key, "_rk", *[f"{s}_{c}" for s in "lr" for c in BOX]), "overlaps")
     best = over.groupBy(key, *[F.col(f"l_{c}").alias(c) for c in BOX]).agg(F.max("_rk.s").alias("ae_score"))
     used_anomaly = over.select(key, *[F.col(f"r_{c}").alias(c) for c in BOX]).distinct()
-    out_boxes = first_candidate(boxes).join(best, [key, *BOX], "left").withColumn(
+    out_boxes = first_candidate(boxes).join(best.hint("merge"), [key, *BOX], "left").withColumn(
         "ae_score", F.greatest(F.lit(0.0), F.coalesce("ae_score", F.lit(0.0))))
-    left_anomalies = first_candidate(anomalies.join(used_anomaly, [key, *BOX], "left_anti"))
+    left_anomalies = first_candidate(anomalies.join(used_anomaly.hint("merge"), [key, *BOX], "left_anti"))
     used = (out_boxes.select(key, "cand_id").unionByName(left_anomalies.select(key, "cand_id"))
             .filter(F.col("cand_id").isNotNull()).distinct())
-    return {"boxes": out_boxes, "anomalies": left_anomalies, "candidates": candidates.join(used, [key, "cand_id"], "left_anti")}
+    return {"boxes": out_boxes, "anomalies": left_anomalies, "candidates": candidates.join(used.hint("merge"), [key, "cand_id"], "left_anti")}
 
 
 def decision_gate(boxes: DataFrame, candidates: DataFrame, anomalies: DataFrame, key: str = "image_id",

@@ -2,6 +2,8 @@
 
 A box is listed under every grid tile it touches at its own size level, so box overlap becomes an equi join on
 (key, level, tile). Sizes may differ by any factor: smaller boxes are also listed at the coarser levels that occur.
+Sides are shuffled by hint: Spark's size check sees compressed files and not the tiles, and would send millions of rows
+through the driver.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], l_id: str,
     def listed(df: DataFrame, ident: str, side: str, levels: DataFrame, strict: bool) -> DataFrame:
         base = df.select(*keys, F.col(ident).alias(f"{side}_id"), *BOX, _level(pad).alias("_own"))
         rule = F.col("_own") < F.col("_level") if strict else F.col("_own") <= F.col("_level")
-        return base.join(levels, list(keys)).filter(rule)
+        return base.join(levels.hint("merge"), list(keys)).filter(rule)
 
     def own(df: DataFrame, ident: str, side: str) -> DataFrame:
         return df.select(*keys, F.col(ident).alias(f"{side}_id"), *BOX, _level(pad).alias("_level"))
@@ -58,7 +60,7 @@ def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], l_id: str,
         ox = F.greatest("l_x1", "r_x1") - pad
         oy = F.greatest("l_y1", "r_y1") - pad
         touching = ((F.least("l_x2", "r_x2") + pad >= ox) & (F.least("l_y2", "r_y2") + pad >= oy))
-        return (a.join(b, on).filter(touching)
+        return (a.join(b.hint("merge"), on).filter(touching)
                 .filter((F.floor(ox / size) == F.col("_tx")) & (F.floor(oy / size) == F.col("_ty")))
                 .drop("_level", "_tx", "_ty"))
 
@@ -87,4 +89,4 @@ def best_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], r_id: s
     best = pairs.groupBy(*keys, *[F.col(f"l_{c}").alias(c) for c in BOX]).agg(
         F.max(F.struct(F.col("_iou"), (-F.col("_rid")).alias("neg"))).alias("_b"))
     best = best.select(*shape, (-F.col("_b.neg")).alias(match), F.col("_b._iou").alias(score))
-    return left.join(best, shape, "left")
+    return left.join(best.hint("merge"), shape, "left")

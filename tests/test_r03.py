@@ -65,3 +65,46 @@ def test_frame_means_are_added_in_ping_order(spark):
         s[0], s[1], s[2] = s[0] + p.latitude, s[1] + p.longitude, s[2] + 1
     got = {(r.survey_id, r.frame_id): (r.latitude, r.longitude) for r in t.frames(spark, SF).repartition(7).collect()}
     assert got == {k: (a / n, b / n) for k, (a, b, n) in want.items()}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_box_joins_and_masks_are_not_broadcast(spark):
+    from sonarlake.operators import cfar as cf
+    from sonarlake.operators import datasets as ds
+    from sonarlake.plans.spatial import best_overlap, box_pairs
+
+    box = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0)], "image_id bigint, id bigint, x1 double, y1 double, x2 double, y2 double")
+    rois = spark.createDataFrame([(1, 0, 0, 4, 4, 2, 2)], "roi_id bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, mh int, mw int")
+    cells = spark.createDataFrame([(1, 0, 0, 0.9)], "roi_id bigint, r int, c int, p double")
+    frames = box.selectExpr("image_id", "100 as width", "100 as height")
+    for df in (box_pairs(box, box.withColumnRenamed("id", "r"), ["image_id"], "id", "r"), best_overlap(box, box, ["image_id"], "id"), cf.project_mask(cells, rois),
+               ds.background_patches(frames, box, 2, [24])):
+        assert "BroadcastExchange" not in plan_of(df)
+
+
+def test_background_patches_keep_clear_of_labels(spark):
+    from sonarlake.operators import datasets as ds
+
+    frames = spark.createDataFrame([(i, 100, 100) for i in range(5)], "image_id bigint, width int, height int")
+    labels = spark.createDataFrame([(i, 40.0, 40.0, 60.0, 60.0) for i in range(4)], "image_id bigint, x1 double, y1 double, x2 double, y2 double")
+    rows = ds.background_patches(frames, labels, 3, [24, 32]).collect()
+    assert all(r.image_id == 4 or r.x2 + 6 < 34 or r.x1 - 6 > 66 or r.y2 + 6 < 34 or r.y1 - 6 > 66 for r in rows)
+    per = {}
+    for r in rows:
+        per.setdefault(r.image_id, []).append(r.try_no)
+    assert per[4] == [0, 1, 2] and all(len(v) <= 3 for v in per.values())
+
+
+def test_mask_iou_of_pairs_against_sets(spark):
+    from sonarlake.operators import evaluation as ev
+
+    p = {1: {(0, 0), (0, 1), (1, 0)}, 2: {(5, 5)}, 3: set()}
+    g = {7: {(0, 1), (1, 0), (2, 2)}, 8: {(6, 6)}, 9: {(1, 1)}}
+    rows = lambda m: [(k, r, c) for k, v in m.items() for r, c in v] * 2
+    matches = spark.createDataFrame([(1, 7), (2, 8), (3, 9)], "pred_id bigint, gt_id bigint")
+    out = ev.instance_mask_iou(matches, spark.createDataFrame(rows(p), "pred_id bigint, row int, col int"), spark.createDataFrame(rows(g), "gt_id bigint, row int, col int"))
+    assert {(r.pred_id, r.gt_id): r.iou for r in out.collect()} == {(a, b): len(p[a] & g[b]) / len(p[a] | g[b]) for a, b in ((1, 7), (2, 8), (3, 9))}
+    assert "Generate" not in plan_of(out)
