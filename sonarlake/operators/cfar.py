@@ -395,7 +395,7 @@ def project_mask(roi_cells: DataFrame, rois: DataFrame, threshold: float = 0.5)
     ``rois``: roi_id, image keys, x1, y1, x2, y2 and the mask size mh, mw. Each mask cell lists the full-image cells that
     read it, so the work is one join on roi_id.
     """
-    j = roi_cells.filter(F.col("p") >= threshold).join(rois, "roi_id")
+    j = roi_cells.filter(F.col("p") >= threshold).join(rois.hint("merge"), "roi_id")
     ch, cw = F.greatest(F.lit(1), F.col("y2") - F.col("y1")), F.greatest(F.lit(1), F.col("x2") - F.col("x1"))
 
     def readers(i: Column, full: Column, mask: Column) -> Column:
