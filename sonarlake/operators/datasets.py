@@ -258,7 +258,7 @@ def background_patches(frames: DataFrame, labels: DataFrame, per_frame: int, siz
     c = c.withColumns({"x2": F.col("x1") + F.col("side"), "y2": F.col("y1") + F.col("side")})
     boxes = labels.select("image_id", *BOX).distinct().withColumn("_r", F.lit(0))
     hit = box_pairs(c, boxes, ["image_id"], "try_no", "_r", pad=margin / 2.0).select("image_id", "try_no").distinct()
-    free = c.join(hit, ["image_id", "try_no"], "left_anti")
-    # per frame at most per_frame * tries candidates exist, so gathering their numbers is bounded
-    first = free.groupBy("image_id").agg(F.slice(F.sort_array(F.collect_list("try_no")), 1, per_frame).alias("_ok"))
-    return free.join(first, "image_id").filter(F.array_contains("_ok", F.col("try_no"))).select("image_id", "try_no", *BOX)
+    free = c.join(hit.hint("merge"), ["image_id", "try_no"], "left_anti")
+    # per frame at most per_frame * tries candidates exist, so gathering them is bounded
+    first = free.groupBy("image_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("try_no", *BOX))), 1, per_frame).alias("_ok"))
+    return first.select("image_id", F.inline("_ok"))
