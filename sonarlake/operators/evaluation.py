@@ -340,10 +340,22 @@ def mask_metrics(pred: DataFrame, gt: DataFrame, cell: Sequence[str], keys: Sequ
 
 
 def instance_mask_iou(matches: DataFrame, pred_masks: DataFrame, gt_masks: DataFrame, cell: Sequence[str] = ("row", "col")) -> DataFrame:
-    """Mask IoU of each matched pair: cells of both sides carry the pair's id and are compared once."""
-    p = pred_masks.join(matches.select(P_ID, G_ID), P_ID).select(P_ID, G_ID, *cell)
-    g = gt_masks.join(matches.select(P_ID, G_ID), G_ID).select(P_ID, G_ID, *cell)
-    return mask_metrics(p, g, cell, [P_ID, G_ID]).select(P_ID, G_ID, "iou")
+    """Mask IoU of each matched pair: the cells of a row of a mask travel as one list, and rows of both sides meet once.
+
+    A pair with a mask on neither side is left out.
+    """
+    lane, at = cell
+    pairs = matches.select(P_ID, G_ID)
+
+    def rows_of(masks: DataFrame, ident: str, name: str) -> DataFrame:
+        rows = masks.groupBy(ident, lane).agg(F.collect_set(at).alias(name))
+        return rows.join(pairs.hint("merge"), ident).select(P_ID, G_ID, lane, name)
+
+    both = rows_of(pred_masks, P_ID, "_p").join(rows_of(gt_masks, G_ID, "_g").hint("merge"), [P_ID, G_ID, lane], "full")
+    sizes = both.select(P_ID, G_ID, F.when(F.col("_p").isNotNull(), F.size("_p")).otherwise(0).alias("_np"), F.when(F.col("_g").isNotNull(), F.size("_g")).otherwise(0).alias("_ng"),
+                        F.when(F.col("_p").isNotNull() & F.col("_g").isNotNull(), F.size(F.array_intersect("_p", "_g"))).otherwise(0).alias("_tp"))
+    s = sizes.groupBy(P_ID, G_ID).agg(*[F.sum(c).alias(c) for c in ("_tp", "_np", "_ng")])
+    return s.select(P_ID, G_ID, ratio(F.col("_tp"), F.col("_np") + F.col("_ng") - F.col("_tp")).alias("iou"))
 
 
 def mask_iou_summary(ious: DataFrame) -> DataFrame:
