@@ -17,17 +17,21 @@ from .durable import durable
 SLICE_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence, slices: int | None) -> DataFrame:
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence, slices: int | None, keep: Sequence[str] | None = None) -> DataFrame:
     cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = df.repartitionByRange(slices, *cols) if slices else df.repartitionByRange(*cols)
     placed = ranged.sortWithinPartitions(*cols).withColumn("_place", F.monotonically_increasing_id())
+    placed = placed if keep is None else placed.select(*dict.fromkeys([*keys, *keep]), "_place")
     return durable(placed, "ordered").withColumn("_slice", F.shiftright("_place", SLICE_BITS))
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "idx", start: int = 0,
-                slices: int | None = None) -> DataFrame:
-    """Consecutive numbers ``start, start+1, ...`` per key in ``order``; same result as ``row_number``."""
-    rows = _sliced(df, keys, order, slices)
+                slices: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """Consecutive numbers ``start, start+1, ...`` per key in ``order``; same result as ``row_number``.
+
+    ``keep`` names the columns wanted beside the keys; columns that only order are then not stored.
+    """
+    rows = _sliced(df, keys, order, slices, keep)
     by_key = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = (
         rows.groupBy(*keys, "_slice")

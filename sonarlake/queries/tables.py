@@ -61,12 +61,15 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return waterfall(spark, sf).selectExpr("survey_id", "ping", "posexplode(samples) as (col, v)")
 
 
+LABEL = [
+    "cast(floor(o_orderkey / 4D) as bigint) as image_id", "o_orderkey as gt_id", "o_custkey % 5 as class_id",
+    "cast((o_orderkey % 4) * 80 + o_custkey % 30 as double) as x1", "cast((o_custkey * 7) % 200 as double) as y1",
+    "cast((o_orderkey % 4) * 80 + o_custkey % 30 + 20 + o_custkey % 40 as double) as x2",
+    "cast((o_custkey * 7) % 200 + 20 + (o_orderkey * 3) % 50 as double) as y2"]
+
+
 def gt(spark: SparkSession, sf: str) -> DataFrame:
-    return base(spark, sf, "orders").selectExpr(
-        "cast(floor(o_orderkey / 4D) as bigint) as image_id", "o_orderkey as gt_id", "o_custkey % 5 as class_id",
-        "cast((o_orderkey % 4) * 80 + o_custkey % 30 as double) as x1", "cast((o_custkey * 7) % 200 as double) as y1",
-        "cast((o_orderkey % 4) * 80 + o_custkey % 30 + 20 + o_custkey % 40 as double) as x2",
-        "cast((o_custkey * 7) % 200 + 20 + (o_orderkey * 3) % 50 as double) as y2")
+    return base(spark, sf, "orders").selectExpr(*LABEL)
 
 
 PRED_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity",
@@ -75,10 +78,12 @@ PRED_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extende
 
 def pred(spark: SparkSession, sf: str) -> DataFrame:
     def build() -> DataFrame:
+        # the label's box follows from two short columns, so they are carried through the ordering instead of the box
         lines = base(spark, sf, "lineitem").select(*PRED_ORDER)
-        joined = lines.join(gt(spark, sf), F.col("l_orderkey") == F.col("gt_id"))
-        numbered = dense_index(joined, [], PRED_ORDER, "pred_id", start=1)
-        return numbered.selectExpr(
+        orders = base(spark, sf, "orders").select("o_orderkey", "o_custkey")
+        joined = lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+        numbered = dense_index(joined, [], PRED_ORDER, "pred_id", start=1, keep=["o_orderkey", "o_custkey", "l_linenumber", "l_partkey", "l_suppkey"])
+        return numbered.selectExpr("pred_id", "l_linenumber", "l_partkey", "l_suppkey", *LABEL).selectExpr(
             "pred_id", "image_id", "gt_id as source_gt",
             "case when l_linenumber >= 6 then (class_id + 1) % 5 else class_id end as class_id",
             "(50 + (l_partkey * 37 + l_suppkey * 11 + l_linenumber * 101) % 900) / 1000D as conf",
