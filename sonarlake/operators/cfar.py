@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def box_rows(boxes: DataFrame, rows: DataFrame, ident: Sequence[str], keys: Sequ
     (keys, ping): a ping's samples are cut, never joined cell by cell.
     """
     asks = boxes.filter("x2 > x1 and y2 > y1").select(*keys, *ident, "x1", "x2", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("ping"))
-    return asks.join(rows, [*keys, "ping"]).select(
+    return asks.join(rows.hint("merge"), [*keys, "ping"]).select(
         *keys, *ident, "ping", "x1", F.slice("samples", (F.col("x1") + 1).cast("int"), (F.col("x2") - F.col("x1")).cast("int")).alias("part"))
 
 
@@ -161,6 +163,56 @@ def box_stats(boxes: DataFrame, rows: DataFrame, ident: Sequence[str], keys: Seq
     return cut.groupBy(*keys, *ident).agg(F.sum(F.size("part")).alias("n"), F.sum(row_sum).alias("s"), F.max(F.array_max("part")).alias("peak"))
 
 
+def running_rows(rows: DataFrame, keys: Sequence[str] = KEY, chunk: int = CHUNK) -> DataFrame:
+    """Running totals of an image, cut into chunks of pings: keys, _chunk, ping and the arrays _n, _s, _q.
+
+    Element c of an array holds the count, sum or square sum of the samples left of column c, from the first ping of the
+    chunk up to this one. Ping numbers of a chunk that are missing after its first ping repeat the totals before them.
+    """
+    tagged = rows.withColumn("_chunk", F.floor(F.col("ping") / float(chunk)).cast("bigint"))
+    fields = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ping")
+        width = max((len(s) for s in pdf["samples"] if s is not None), default=0)
+        v = np.full((len(pdf), width), np.nan)
+        for i, s in enumerate(pdf["samples"]):
+            if s is not None:
+                v[i, :len(s)] = np.asarray(s, dtype=float)
+        there, v = ~np.isnan(v), np.nan_to_num(v)
+        at = np.arange(pdf["ping"].iloc[0], (pdf["_chunk"].iloc[0] + 1) * chunk)
+        place = np.searchsorted(pdf["ping"].to_numpy(), at, side="right") - 1
+        sums = lambda m: list(np.pad(m.cumsum(axis=0).cumsum(axis=1), ((0, 0), (1, 0)))[place])
+        head = {c: [pdf[c].iloc[0]] * len(at) for c in (*keys, "_chunk")}
+        return pd.DataFrame({**head, "ping": at, "_n": sums(there.astype(float)), "_s": sums(v), "_q": sums(v * v)})
+
+    return tagged.select(*keys, "_chunk", F.col("ping").cast("bigint").alias("ping"), "samples").groupBy(*keys, "_chunk").applyInPandas(
+        totals, ", ".join([*fields, "_chunk bigint", "ping bigint", "_n array<double>", "_s array<double>", "_q array<double>"]))
+
+
+def box_totals(boxes: DataFrame, rows: DataFrame, ident: Sequence[str], keys: Sequence[str] = KEY, chunk: int = CHUNK) -> DataFrame:
+    """Count, sum and square sum (n, s, q) of the samples inside each box, whatever its height.
+
+    A box asks for the running totals at its last ping and at the ping before its first one, in each chunk it meets: two
+    short rows where ``box_rows`` cuts every ping.
+    """
+    b = boxes.filter("x2 > x1 and y2 > y1").select(*keys, *ident, *[F.col(c).cast("bigint").alias(f"_{c}") for c in BOX])
+    number = lambda c: F.floor(F.col(c) / float(chunk)).cast("bigint")
+    b = b.withColumn("_chunk", F.explode(F.sequence(number("_y1"), F.floor((F.col("_y2") - 1) / float(chunk)).cast("bigint"))))
+    last = F.least(F.col("_y2"), (F.col("_chunk") + 1) * chunk) - 1
+    before = F.when(F.col("_y1") > F.col("_chunk") * chunk, F.struct((F.col("_y1") - 1).alias("ping"), F.lit(-1.0).alias("sign")))
+    asks = b.withColumn("_a", F.explode(F.array_compact(F.array(F.struct(last.alias("ping"), F.lit(1.0).alias("sign")), before))))
+    asks = asks.select(*keys, *ident, "_chunk", F.col("_a.ping").alias("ping"), F.col("_a.sign").alias("_sign"), "_x1", "_x2")
+    met = asks.join(running_rows(rows, keys, chunk).hint("merge"), [*keys, "_chunk", "ping"])
+
+    def part(name: str) -> Column:
+        end = lambda c: F.get(name, F.greatest(F.lit(0), F.least(F.col(c), F.size(name) - 1)).cast("int"))
+        return F.sum(F.col("_sign") * (end("_x2") - end("_x1")))
+
+    out = met.groupBy(*keys, *ident).agg(part("_n").cast("bigint").alias("n"), part("_s").alias("s"), part("_q").alias("q"))
+    return out.filter("n > 0")
+
+
 def image_medians(cells: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return histogram(cells.filter("v is not null"), keys).groupBy(*keys).agg(F.expr("percentile(v, 0.5D, n)").alias("median"))
 

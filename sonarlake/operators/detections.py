@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarlake.operators.cfar import box_totals
 from sonarlake.plans.iterate import first_come_set
 from sonarlake.plans.ordered import dense_index, exact_quantiles
 from sonarlake.plans.spatial import BOX, box_pairs, pair_iou
@@ -313,19 +314,17 @@ def hazard_kpis(df: DataFrame, quality: DataFrame | None = None) -> DataFrame:
 def roi_quality(rois: DataFrame, cells: DataFrame, width: int, height: int) -> DataFrame:
     """Gate on crop size, contrast and border contact. ``rois``: roi_id, survey_id, whole-pixel x1, y1, x2, y2.
 
-    Each ROI row asks for its own pings; a ping row answers with its slice of samples, so cells are never paired one
-    by one. ``cells`` is the wide form (survey_id, ping, samples).
+    The deviation comes from running totals of the image, two short rows per ROI. ``cells`` is the wide form (survey_id,
+    ping, samples).
     """
-    asks = rois.select("roi_id", "survey_id", *BOX, F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("ping")).filter("x2 > x1 and y2 > y1")
-    cut = asks.join(cells, ["survey_id", "ping"]).withColumn(
-        "_s", F.slice("samples", F.col("x1") + 1, F.col("x2") - F.col("x1")))
-    stats = cut.select("roi_id", F.explode("_s").alias("v")).groupBy("roi_id").agg(F.stddev_pop("v").alias("intensity_std"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("n") * F.col("q") - F.col("s") * F.col("s"))) / F.col("n")
+    stats = box_totals(rois, cells, ["roi_id"], ["survey_id"]).select("roi_id", spread.alias("intensity_std"))
     small = (F.col("x2") - F.col("x1") < 10) | (F.col("y2") - F.col("y1") < 10)
     empty = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
     flat = F.coalesce(F.col("intensity_std"), F.lit(0.0)) < 3.0
     edges = ((F.col("x1") == 0).cast("int") + (F.col("y1") == 0).cast("int") + (F.col("x2") == width).cast("int")
              + (F.col("y2") == height).cast("int"))
-    return rois.join(stats, "roi_id", "left").withColumns({
+    return rois.join(stats.hint("merge"), "roi_id", "left").withColumns({
         "quality": F.when(empty, 0.0).when(small, 0.2).when(flat, 0.3).otherwise(F.greatest(F.lit(0.4), 1.0 - edges * 0.15)),
         "roi_ok": ~(empty | small | flat),
         "status": F.when(empty, "Empty crop").when(small, "Crop too small (< 10px)")

@@ -1,6 +1,7 @@
 """Acoustic shadows and signatures of objects on a wide waterfall, and verification of the claimed class.
 
 ``objects``: keys, ident, whole-pixel x1, y1, x2, y2. ``rows``: keys, ping, samples. Image height and width are numbers.
+Objects of one image with the same box are measured once; the figures are joined back to them by the box.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.functions.boxes import clip
-from sonarlake.operators.cfar import KEY, box_rows, box_stats, sobel_rows
+from sonarlake.operators.cfar import KEY, box_rows, box_totals, sobel_rows
+from sonarlake.plans.durable import durable
 from sonarlake.plans.ordered import exact_quantiles
+from sonarlake.plans.spatial import BOX
 
 # Signature features in order, and material families of class names.
 FEATURES = ["impedance_contrast_idx", "contrast_db", "peak_db", "shadow_depth", "highlight_shadow_ratio", "shadow_length_rel",
@@ -44,16 +47,16 @@ def _clamped(x1: Column, y1: Column, x2: Column, y2: Column, width: int, height:
                     F.least(F.lit(width), x2).cast("int").alias("x2"), F.least(F.lit(height), y2).cast("int").alias("y2"))
 
 
-def region_stats(objects: DataFrame, rows: DataFrame, regions: Mapping[str, Column], ident: str, keys: Sequence[str] = KEY) -> DataFrame:
-    """Count and mean of named regions around each object, one row per object with columns ``n_<name>``, ``m_<name>``."""
-    listed = objects.select(*keys, ident, F.explode(F.array(*[F.struct(F.lit(n).alias("region"), c.alias("b")) for n, c in regions.items()])).alias("_x"))
-    boxes = listed.select(*keys, ident, F.col("_x.region").alias("region"), "_x.b.*")
-    stats = box_stats(boxes, rows, [ident, "region"], keys)
+def region_stats(objects: DataFrame, rows: DataFrame, regions: Mapping[str, Column], ident: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
+    """Count, sum and mean of named regions around each object, one row per object with columns ``n_<name>``, ``s_<name>``, ``m_<name>``."""
+    listed = objects.select(*keys, *ident, F.explode(F.array(*[F.struct(F.lit(n).alias("region"), c.alias("b")) for n, c in regions.items()])).alias("_x"))
+    boxes = listed.select(*keys, *[F.col(c).alias(f"_id_{c}") for c in ident], F.col("_x.region").alias("region"), "_x.b.*")
+    stats = box_totals(boxes, rows, [*[f"_id_{c}" for c in ident], "region"], keys).withColumnsRenamed({f"_id_{c}": c for c in ident})
     picks = []
     for n in regions:
         here = F.col("region") == n
         picks += [F.sum(F.when(here, F.col("n"))).alias(f"n_{n}"), F.sum(F.when(here, F.col("s"))).alias(f"s_{n}")]
-    out = stats.groupBy(*keys, ident).agg(*picks)
+    out = stats.groupBy(*keys, *ident).agg(*picks)
     return out.withColumns({f"m_{n}": F.col(f"s_{n}") / F.col(f"n_{n}") for n in regions})
 
 
@@ -70,8 +73,8 @@ def shadow_check(objects: DataFrame, rows: DataFrame, width: int, height: int, i
     port = (x1 + x2) / 2.0 < width / 2.0
     ambient = _clamped(x1 - pad, y1 - pad, x2 + pad, y2 + pad, width, height)
     strip = F.when(port, _clamped(x1 - reach, y1, x1, y2, width, height)).otherwise(_clamped(x2, y1, x2 + reach, y2, width, height))
-    s = region_stats(objects, rows, {"ambient": ambient, "strip": strip}, ident, keys)
-    return _judge(objects, s, F.col("m_strip"), min_drop, ident, keys)
+    s = region_stats(objects.select(*keys, *BOX).distinct(), rows, {"ambient": ambient, "strip": strip}, BOX, keys)
+    return _judge(objects, s, F.col("m_strip"), min_drop, keys)
 
 
 def shadow_any(objects: DataFrame, rows: DataFrame, width: int, height: int, ident: str = "det_id", search: float = 1.8,
@@ -82,16 +85,16 @@ def shadow_any(objects: DataFrame, rows: DataFrame, width: int, height: int, ide
     lx, ly = F.floor(bw * search), F.floor(bh * search)
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     c = lambda *b: _clamped(*b, width, height)
-    s = region_stats(objects, rows, {
+    s = region_stats(objects.select(*keys, *BOX).distinct(), rows, {
         "ambient": c(x1 - pad, y1 - pad, x2 + pad, y2 + pad), "left": c(x1 - lx, y1, x1, y2), "right": c(x2, y1, x2 + lx, y2),
-        "up": c(x1, y1 - ly, x2, y1), "down": c(x1, y2, x2, y2 + ly)}, ident, keys)
-    return _judge(objects, s, F.least("m_left", "m_right", "m_up", "m_down"), min_drop, ident, keys)
+        "up": c(x1, y1 - ly, x2, y1), "down": c(x1, y2, x2, y2 + ly)}, BOX, keys)
+    return _judge(objects, s, F.least("m_left", "m_right", "m_up", "m_down"), min_drop, keys)
 
 
-def _judge(objects: DataFrame, stats: DataFrame, darkest: Column, min_drop: float, ident: str, keys: Sequence[str]) -> DataFrame:
+def _judge(objects: DataFrame, stats: DataFrame, darkest: Column, min_drop: float, keys: Sequence[str]) -> DataFrame:
     ratio = darkest / F.greatest(F.lit(1.0), F.coalesce("m_ambient", F.lit(100.0)))
-    s = stats.select(*keys, ident, ratio.alias("_r"))
-    return objects.join(s, [*keys, ident], "left").withColumns({
+    s = stats.select(*keys, *BOX, ratio.alias("_r"))
+    return objects.join(s.hint("merge"), [*keys, *BOX], "left").withColumns({
         "has_shadow": F.coalesce(F.col("_r") <= min_drop, F.lit(False)), "shadow_contrast": F.coalesce("_r", F.lit(1.0))}).drop("_r")
 
 
@@ -105,6 +108,18 @@ def acoustic_signature(objects: DataFrame, rows: DataFrame, width: int, height:
     o = objects.withColumn("_b", _clamped(F.round("x1"), F.round("y1"), F.round("x2"), F.round("y2"), width, height))
     o = o.select(*keys, ident, "_b.*", *[c for c in ("altitude_m", "range_to_object_m", "range_per_px_m") if c in objects.columns])
     o = o.filter("x2 - x1 >= 3 and y2 - y1 >= 3")
+    shapes = durable(o.select(*keys, *BOX).distinct().withColumn("_shape", F.struct(*BOX)), "shapes")
+    out = o.join(_shape_signature(shapes, rows, width, height, "_shape", keys, edge).drop("_shape").hint("merge"), [*keys, *BOX])
+    if {"altitude_m", "range_to_object_m", "range_per_px_m"} <= set(objects.columns):
+        length = F.col("shadow_px") * F.col("range_per_px_m")
+        out = out.withColumn("height_m", F.when(
+            (F.col("shadow_px") > 0) & (F.col("range_to_object_m") > 0) & (F.col("altitude_m") > 0),
+            length * F.col("altitude_m") / (F.col("range_to_object_m") + length)))
+    return out
+
+
+def _shape_signature(o: DataFrame, rows: DataFrame, width: int, height: int, ident: str, keys: Sequence[str], edge: bool) -> DataFrame:
+    """Signature features of distinct boxes."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     bw, bh = x2 - x1, y2 - y1
     pad = F.greatest(F.lit(4), F.floor(F.greatest(bw, bh) * 0.6))
@@ -113,12 +128,12 @@ def acoustic_signature(objects: DataFrame, rows: DataFrame, width: int, height:
     port = (x1 + x2) / 2.0 < width / 2.0
     strip = F.when(port, c(x1 - reach, y1, x1, y2)).otherwise(c(x2, y1, x2 + reach, y2))
     regions = {"outer": c(x1 - pad, y1 - pad, x2 + pad, y2 + pad), "inner": c(x1 - 2, y1 - 2, x2 + 2, y2 + 2), "box": c(x1, y1, x2, y2), "strip": strip}
-    s = region_stats(o, rows, regions, ident, keys)
+    s = region_stats(o, rows, regions, [ident], keys)
     totals = rows.groupBy(*keys).agg(F.sum(F.size("samples")).alias("_tn"), F.sum(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)).alias("_ts"))
-    s = s.join(totals, list(keys)).withColumn("_rn", F.col("n_outer") - F.col("n_inner")).withColumn(
+    s = s.join(totals.hint("merge"), list(keys)).withColumn("_rn", F.col("n_outer") - F.col("n_inner")).withColumn(
         "bg", F.when(F.col("_rn") >= 8, (F.col("s_outer") - F.col("s_inner")) / F.col("_rn"))
         .otherwise((F.col("_ts") - F.col("s_box")) / (F.col("_tn") - F.col("n_box"))))
-    base = o.join(s.select(*keys, ident, "bg", "n_box", "m_box", "m_strip"), [*keys, ident])
+    base = o.join(s.select(*keys, ident, "bg", "n_box", "m_box", "m_strip").hint("merge"), [*keys, ident])
 
     # value histogram of the box: percentile, deviation, entropy
     hist = (box_rows(o, rows, [ident], keys).select(*keys, ident, F.explode("part").alias("v"))
@@ -134,11 +149,11 @@ def acoustic_signature(objects: DataFrame, rows: DataFrame, width: int, height:
     cols = box_rows(strips.select(*keys, ident, "_s.*"), rows, [ident], keys).select(
         *keys, ident, "x1", F.posexplode("part").alias("k", "v"))
     profile = cols.groupBy(*keys, ident, (F.col("x1") + F.col("k")).alias("xc")).agg(F.avg("v").alias("m"))
-    profile = profile.join(base.select(*keys, ident, "bg", F.col("x1").alias("ox1"), F.col("x2").alias("ox2")), [*keys, ident])
+    profile = profile.join(base.select(*keys, ident, "bg", F.col("x1").alias("ox1"), F.col("x2").alias("ox2")).hint("merge"), [*keys, ident])
     dist = F.when(F.col("xc") < F.col("ox1"), F.col("ox1") - 1 - F.col("xc")).otherwise(F.col("xc") - F.col("ox2"))
     run = profile.groupBy(*keys, ident).agg(F.min(F.when(~(F.col("m") < 0.7 * F.col("bg")), dist)).alias("_first"), F.count(F.lit(1)).alias("_len"))
 
-    out = base.join(values, [*keys, ident]).join(run, [*keys, ident], "left")
+    out = base.join(values.hint("merge"), [*keys, ident]).join(run.hint("merge"), [*keys, ident], "left")
     ratio = F.when(F.col("m_strip").isNotNull() & (F.col("m_strip") / F.greatest(F.lit(1.0), F.col("bg")) < 1.0),
                    F.col("m_strip") / F.greatest(F.lit(1.0), F.col("bg"))).otherwise(F.lit(1.0))
     out = out.withColumn("_ratio", ratio).withColumn(
@@ -159,19 +174,14 @@ def acoustic_signature(objects: DataFrame, rows: DataFrame, width: int, height:
         "log_area": F.log1p(area.cast("double")),
         "elongation": F.sqrt(big / F.greatest(small, F.lit(1e-6))),
         "fill_ratio": area / F.greatest(F.lit(1), bw * bh)})
-    if {"altitude_m", "range_to_object_m", "range_per_px_m"} <= set(objects.columns):
-        length = F.col("shadow_px") * F.col("range_per_px_m")
-        out = out.withColumn("height_m", F.when(
-            (F.col("shadow_px") > 0) & (F.col("range_to_object_m") > 0) & (F.col("altitude_m") > 0),
-            length * F.col("altitude_m") / (F.col("range_to_object_m") + length)))
     if edge:
         grads = sobel_rows(rows, keys).select(*keys, "ping", F.col("grad").alias("samples"))
         # gradient of the mask: box grown by one minus box shrunk by one (the image border does not shrink it)
         shrink = F.struct(F.when(x1 == 0, x1).otherwise(x1 + 1).alias("x1"), F.when(y1 == 0, y1).otherwise(y1 + 1).alias("y1"),
                           F.when(x2 == width, x2).otherwise(x2 - 1).alias("x2"), F.when(y2 == height, y2).otherwise(y2 - 1).alias("y2"))
-        e = region_stats(o, grads, {"grown": c(x1 - 1, y1 - 1, x2 + 1, y2 + 1), "shrunk": shrink}, ident, keys)
+        e = region_stats(o, grads, {"grown": c(x1 - 1, y1 - 1, x2 + 1, y2 + 1), "shrunk": shrink}, [ident], keys)
         rim = (F.col("s_grown") - F.coalesce("s_shrunk", F.lit(0.0))) / (F.col("n_grown") - F.coalesce("n_shrunk", F.lit(0)))
-        out = out.join(e.select(*keys, ident, rim.alias("_rim")), [*keys, ident], "left").withColumn(
+        out = out.join(e.select(*keys, ident, rim.alias("_rim")).hint("merge"), [*keys, ident], "left").withColumn(
             "edge_sharpness", F.coalesce(F.col("_rim") / F.greatest(F.lit(1.0), bg), F.lit(0.0))).drop("_rim")
     return out.drop("m_strip", "_ratio", "_first", "_len", "var", "p95", "n_box")
 

@@ -108,3 +108,30 @@ def test_mask_iou_of_pairs_against_sets(spark):
     out = ev.instance_mask_iou(matches, spark.createDataFrame(rows(p), "pred_id bigint, row int, col int"), spark.createDataFrame(rows(g), "gt_id bigint, row int, col int"))
     assert {(r.pred_id, r.gt_id): r.iou for r in out.collect()} == {(a, b): len(p[a] & g[b]) / len(p[a] | g[b]) for a, b in ((1, 7), (2, 8), (3, 9))}
     assert "Generate" not in plan_of(out)
+
+
+def test_box_totals_over_chunks_gaps_and_ragged_rows(spark):
+    import random
+
+    from sonarlake.operators import cfar as cf
+
+    rng = random.Random(3)
+    image = {p: [rng.randrange(256) for _ in range(12 - p % 3)] for p in range(40) if p % 7 != 4}
+    rows = spark.createDataFrame([(1, p, s) for p, s in image.items()], "survey_id bigint, ping bigint, samples array<int>")
+    boxes = {i: (x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 30)) for i, (x, y) in enumerate((rng.randrange(11), rng.randrange(45)) for _ in range(60))}
+    df = cf.box_totals(spark.createDataFrame([(1, i, *b) for i, b in boxes.items()], "survey_id bigint, id bigint, x1 int, y1 int, x2 int, y2 int"), rows, ["id"], chunk=8)
+    want = {}
+    for i, (x1, y1, x2, y2) in boxes.items():
+        v = [s for p in range(y1, y2) for s in image.get(p, [])[x1:x2]]
+        if v:
+            want[i] = (len(v), float(sum(v)), float(sum(a * a for a in v)))
+    assert {r.id: (r.n, r.s, r.q) for r in df.collect()} == want
+
+
+def test_boxes_are_measured_without_a_row_per_ping(spark):
+    from sonarlake.operators import detections as d
+
+    box = spark.createDataFrame([(1, 1, 0, 0, 12, 12)], "roi_id bigint, survey_id bigint, x1 int, y1 int, x2 int, y2 int")
+    rows = spark.createDataFrame([(1, p, [(p * c) % 90 for c in range(16)]) for p in range(16)], "survey_id bigint, ping bigint, samples array<int>")
+    for df in (sg.shadow_check(box.withColumnRenamed("roi_id", "det_id"), rows, 16, 16), d.roi_quality(box, rows, 16, 16)):
+        assert "slice(samples" not in plan_of(df)
