@@ -78,16 +78,21 @@ def keyed_state(spark):
         spark.conf.set(tj.STORE[0], before)
 
 
-def streamed_steps(spark, pings):
+def streamed_steps(spark, pings, closed=False):
     """Steps of a ping table read as a stream of files, with the operator's default settings."""
+    stored, path = save_table(timed(pings), "pings")
+    if closed:  # a later file, so it is read last
+        tj.closing_ping(stored).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1000).parquet(path)
     with keyed_state(spark):
-        out = drained(spark, tj.stream_trajectory(as_stream(spark, timed(pings), "pings")()), "steps")
+        out = drained(spark, tj.stream_trajectory(stream), "steps")
     return out.select("survey_id", "ping_id", r("dt_s", 4), r("speed_knots", 3), F.col("teleport").cast("int").alias("teleport"))
 
 
-@query("u02_stream_trajectory", "fx_pings", sql=f"with {STREAM_STEPS_CTE} {STREAM_STEPS}" + WATERMARK.format("fx_pings"))
+@query("u02_stream_trajectory", "fx_pings", sql=f"with {STREAM_STEPS_CTE} " + STREAM_STEPS.split(" where ")[0])
 def _(spark, sf):
-    return streamed_steps(spark, t.pings(spark, sf))
+    """Every step: the recording is finished, so a closing ping follows it."""
+    return streamed_steps(spark, t.pings(spark, sf), closed=True)
 
 
 GAPPED = "survey_id, ping_id, case when ping_id > 300 then t_s + 864000e0 else t_s end as t_s, latitude, longitude from fx_pings where ping_id % 7 <> 3 and ping_id not between 90 and 140"

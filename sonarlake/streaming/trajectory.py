@@ -121,6 +121,17 @@ class LegBorders(StatefulProcessor):
         pass
 
 
+def closing_ping(pings: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """One ping that ends a finished recording: of a survey that does not occur, later than the last by more than ``delay``.
+
+    Sent last it moves the watermark past every ping before it, so none is held back; it gives no step of its own.
+    """
+    last = pings.filter("survey_id IS NOT NULL AND ping_id IS NOT NULL AND ts IS NOT NULL").agg(F.min("survey_id").alias("s"), F.max("ts").alias("ts")).filter("ts IS NOT NULL")
+    nowhere = F.lit(None).cast("double")
+    return last.select((F.col("s") - 1).alias("survey_id"), F.lit(0).cast("bigint").alias("ping_id"), (F.col("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 minute")).alias("ts"),
+                       nowhere.alias("t_s"), nowhere.alias("latitude"), nowhere.alias("longitude"))
+
+
 def stream_trajectory(pings: DataFrame, delay: str = "10 minutes", max_speed_knots: float = MAX_SPEED_KNOTS, leg: int = LEG) -> DataFrame:
     """survey_id, ping_id, dt_s, distance_m, speed_knots, non_monotonic, teleport of every step to the previous ping.
 

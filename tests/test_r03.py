@@ -135,3 +135,12 @@ def test_boxes_are_measured_without_a_row_per_ping(spark):
     rows = spark.createDataFrame([(1, p, [(p * c) % 90 for c in range(16)]) for p in range(16)], "survey_id bigint, ping bigint, samples array<int>")
     for df in (sg.shadow_check(box.withColumnRenamed("roi_id", "det_id"), rows, 16, 16), d.roi_quality(box, rows, 16, 16)):
         assert "slice(samples" not in plan_of(df)
+
+
+@needs_tables
+def test_trajectory_stream_gives_every_step(spark):
+    n = {}
+    for p in t.pings(spark, SF).select("survey_id").collect():
+        n[p.survey_id] = n.get(p.survey_id, 0) + 1
+    rows = QUERIES["u02_stream_trajectory"](spark, SF).collect()
+    assert len(rows) == len({(r.survey_id, r.ping_id) for r in rows}) == sum(v - 1 for v in n.values())
