@@ -48,6 +48,9 @@ def test_equal_classes_keep_the_rank_of_the_plain_softmax(spark):
 
     for r in df.collect():
         assert max(abs(p - q) / q for p, q in zip(r.probs, order(r))) < 1e-15 * 4
+    ties = spark.createDataFrame([(0.08, 0.9, 19.0, 3), (0.6, 2.0, 5.0, 3)], "a double, b double, c double, k int")
+    scored = sg.class_scores(ties, ["a", "b", "c"], [0.5, 2.0, 12.0], [0.2, 1.1, 7.0], coef, icpt)
+    assert [r.claimed_rank for r in sg.verify_signature(scored, "k", 0.5, 3, 0.12).orderBy("a").collect()] == [5, 3]  # as the SQL ranks them
     big = sg.class_scores(spark.createDataFrame([(1000.0,)], "a double"), ["a"], [0.0], [1.0], [[1.0], [2.0]], [0.0, 0.0]).first().probs
     assert big == [0.0, 1.0]
 
