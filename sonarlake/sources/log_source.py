@@ -5,7 +5,8 @@ runs past the end is read to its end. Where the first record of a range starts i
 so a task enters at the first place where two headers follow each other. An index pass (``mode`` index) gives per range where it
 entered, where it left and how many pings or traces it holds, from headers alone. ``read_ranges`` puts these together per
 file: a range counts as it was read if the range before left exactly at its entry; else it is walked again from there. So the
-rows and their numbers are those of a walk from the start of the file, and one large file keeps many tasks busy.
+rows and their numbers are those of a walk from the start of the file, and one large file keeps many tasks busy. A task takes
+one range, or with option ``tasks`` as many neighbouring ones as fill a task: a folder of small files must not cost a task each.
 
 As a stream the source offers the files of a folder as they appear, in order of their paths.
 """
@@ -31,6 +32,8 @@ from sonarlake.plans.durable import durable
 from . import logs
 
 RANGE_MB = 32.0
+#: What opening a file is worth in bytes read, where ranges are dealt to tasks.
+OPEN_BYTES = 1 << 16
 INDEX_SCHEMA = "path string, range_no bigint, start bigint, stop bigint, size bigint, entry bigint, leave bigint, n bigint"
 PLACE = "path string, range_no bigint, seq bigint, channel int, "
 SCHEMAS = {"xtf": PLACE + logs.XTF_SCHEMA.split("channel int, ")[1], "jsf": PLACE + logs.JSF_SCHEMA.split("channel int, ")[1]}
@@ -199,6 +202,28 @@ def byte_ranges(path: str, size: int, step: int) -> list[ByteRange]:
     return [ByteRange(path, k, s, min(size, s + step), size) for k, s in enumerate(range(0, size, step))]
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Neighbouring ranges that one task reads."""
+
+    parts: list[ByteRange]
+
+
+def deal(ranges: list[ByteRange], tasks: int | None) -> list[Ranges]:
+    """One range per task, or runs of them up to an even share of ``tasks``, at most ``RANGE_MB`` of bytes each; a larger range stays whole."""
+    if not tasks:
+        return [Ranges([r]) for r in ranges] or [Ranges([])]
+    cost = [r.stop - r.start + OPEN_BYTES for r in ranges]
+    share, out, filled = min(RANGE_MB * (1 << 20), sum(cost) / tasks), [Ranges([])], 0
+    for r, c in zip(ranges, cost):
+        if filled and filled + c > share:
+            out.append(Ranges([]))
+            filled = 0
+        out[-1].parts.append(r)
+        filled += c
+    return out
+
+
 def list_logs(path: str, suffix: str) -> list[tuple[str, int]]:
     from pyarrow import fs
 
@@ -246,19 +271,22 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.kind, self.path, self.index = options.get("kind", "xtf"), options["path"], options.get("mode", "rows") == "index"
         self.step = max(1, int(float(options.get("range_mb", RANGE_MB)) * (1 << 20)))
+        self.tasks = int(options.get("tasks", 0))
         self.schema = to_arrow_schema(schema)
 
     def partitions(self) -> list[InputPartition]:
-        return [r for path, size in list_logs(self.path, self.kind) for r in byte_ranges(path, size, self.step)] or [ByteRange("", 0, 0, 0, 0)]
+        return self.dealt(list_logs(self.path, self.kind))
 
-    def read(self, partition: ByteRange):
-        if not partition.path:
-            return
-        if self.index:
-            entry, leave, n = index_range(self.kind, partition)
-            yield (partition.path, partition.range_no, partition.start, partition.stop, partition.size, entry, leave, n)
-        else:
-            yield from decode_range(self.kind, self.schema, partition)
+    def dealt(self, files: list[tuple[str, int]]) -> list[Ranges]:
+        return deal([r for path, size in files for r in byte_ranges(path, size, self.step)], self.tasks)
+
+    def read(self, partition: Ranges):
+        for part in partition.parts:
+            if self.index:
+                entry, leave, n = index_range(self.kind, part)
+                yield (part.path, part.range_no, part.start, part.stop, part.size, entry, leave, n)
+            else:
+                yield from decode_range(self.kind, self.schema, part)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -276,14 +304,14 @@ class _StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         start, end = (json.loads(x) if isinstance(x, str) else x for x in (start, end))
         new = [(p, s) for p, s in list_logs(self.batch.path, self.batch.kind) if start["upto"] < p <= end["upto"]]
-        return [r for path, size in new for r in byte_ranges(path, size, self.batch.step)] or [ByteRange("", 0, 0, 0, 0)]
+        return self.batch.dealt(new)
 
-    def read(self, partition: ByteRange):
+    def read(self, partition: Ranges):
         yield from self.batch.read(partition)
 
 
 class SonarLog(DataSource):
-    """``spark.read.format("sonarlog").option("kind", "xtf" | "jsf").load(folder)``; options ``range_mb`` and ``mode`` (rows, index)."""
+    """``spark.read.format("sonarlog").option("kind", "xtf" | "jsf").load(folder)``; options ``range_mb``, ``tasks`` and ``mode`` (rows, index)."""
 
     @classmethod
     def name(cls) -> str:
@@ -320,8 +348,10 @@ def _stitch(kind: str):
 def read_ranges(spark: SparkSession, path: str, kind: str, number: str, range_mb: float = RANGE_MB) -> DataFrame:
     """Trace rows of all logs below ``path`` with ``number`` counting from 0 through each file."""
     spark.dataSource.register(SonarLog)
-    source = lambda: spark.read.format("sonarlog").options(kind=kind, range_mb=str(range_mb))
-    plan = durable(source().option("mode", "index").load(path).groupBy("path").applyInPandas(
+    source = lambda: spark.read.format("sonarlog").options(kind=kind, range_mb=str(range_mb), tasks=str(spark.sparkContext.defaultParallelism))
+    # a fixed number of partitions: stitching is compute-bound, so short index rows must not be folded into one task
+    index = source().option("mode", "index").load(path).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    plan = durable(index.groupBy("path").applyInPandas(
         _stitch(kind), "path string, range_no bigint, start bigint, stop bigint, size bigint, entry bigint, before bigint, same boolean"), "log-ranges")
     rows = source().load(path).join(plan.filter("same").select("path", "range_no", "before"), ["path", "range_no"])
     again = plan.filter("not same and entry is not null")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonarlake.plans.durable import durable
 from sonarlake.plans.ordered import with_chunks
 
 # File layouts (markers, header sizes, field offsets) and fallback values.
@@ -188,13 +189,14 @@ def group_traces(traces: DataFrame, chunk: int = 4096) -> DataFrame:
     Logs of two channels are numbered by chunks; in logs of more channels a ping's start depends on all before it, so
     their (trace, channel) numbers run through one task per log, with the open ping's channels as the only state.
     """
-    many = traces.groupBy("path").agg(F.countDistinct("channel").alias("_c")).filter("_c > 2").select("path")
-    slim = traces.join(many, "path", "left_semi").select("path", "trace_no", "channel")
+    order = durable(traces.select("path", "trace_no", "channel"), "trace-order")  # numbered without the samples, which would be decoded and sorted each time
+    many = order.groupBy("path").agg(F.countDistinct("channel").alias("_c")).filter("_c > 2").select("path")
+    slim = order.join(many, "path", "left_semi")
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    numbers = slim.repartition("path").sortWithinPartitions("path", "trace_no").mapInPandas(
+    folded = slim.repartition("path").sortWithinPartitions("path", "trace_no").mapInPandas(
         _fold_traces, f"path {kinds['path']}, trace_no {kinds['trace_no']}, ping_id bigint")
-    paired = _group_pairs(traces.join(many, "path", "left_anti"), chunk).withColumn("ping_id", F.col("ping_id").cast("bigint"))
-    return paired.unionByName(traces.join(numbers, ["path", "trace_no"]))
+    paired = _group_pairs(order.join(many, "path", "left_anti"), chunk).select("path", "trace_no", F.col("ping_id").cast("bigint").alias("ping_id"))
+    return traces.join(paired.unionByName(folded), ["path", "trace_no"])
 
 
 def _fold_traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
