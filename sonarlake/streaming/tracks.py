@@ -2,7 +2,8 @@
 
 A frame is walked when the watermark has passed the times of its detections and no lower frame of its survey is waiting, so
 a frame may arrive in pieces, in several micro-batches and out of order. State per survey is the live tracks (a few short
-histories) and the frames that the watermark has not passed yet.
+histories) and the frames that the watermark has not passed yet. These are held by blocks of frames, a piece per arrival, and
+walked block by block, so memory holds one block however long the survey is.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sonarlake.config import TrackSettings
 from sonarlake.operators.tracking import FrameTracker
 
+#: Frames whose held rows are read together, and rows gathered before they are put into the state.
+BLOCK_FRAMES, PUT_ROWS = 128, 1 << 18
 HELD = ["frame_id", "det_id", "millis", "x", "y", "class_name"]
 HELD_SCHEMA = "frame_id array<bigint>, det_id array<bigint>, millis array<bigint>, x array<double>, y array<double>, class_name array<string>"
 LIVE_SCHEMA = ("ids array<bigint>, names array<string>, hits array<bigint>, misses array<bigint>, history array<double>, lengths array<bigint>, "
@@ -48,45 +51,74 @@ class HeldFrames(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", HELD_SCHEMA)
+        self.held = handle.getMapState("held", "block bigint, piece bigint", HELD_SCHEMA)
+        self.index = handle.getValueState("index", "block array<bigint>, pieces array<bigint>")
         self.tracks = handle.getValueState("tracks", LIVE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)[HELD]
         walked = self.tracks.get()[7] if self.tracks.exists() else None
-        if walked is not None:  # a frame at or below one already walked is late
-            new = new[new["frame_id"] > walked]
-        if len(new):
-            if self.held.exists():
-                new = pd.concat([pd.DataFrame(dict(zip(HELD, self.held.get()))), new], ignore_index=True)
-            self._hold(new)
+        pieces, waiting, n = self._pieces(), [], 0
+        for pdf in rows:
+            new = pdf[HELD] if walked is None else pdf.loc[pdf["frame_id"] > walked, HELD]  # a frame at or below one already walked is late
+            waiting, n = [*waiting, new], n + len(new)
+            if n >= PUT_ROWS:
+                self._put(pieces, pd.concat(waiting, ignore_index=True))
+                waiting, n = [], 0
+        if n:
+            self._put(pieces, pd.concat(waiting, ignore_index=True))
+        if pieces:
+            self._remember(pieces)
+            self._wake(self._load(min(pieces), pieces))
         return iter([])
 
-    def _hold(self, rows: pd.DataFrame) -> None:
-        """Keep rows in order and wake up when the watermark passes the lowest frame."""
-        rows = rows.sort_values(["frame_id", "det_id"])
-        self.held.update(tuple(rows[c].tolist() for c in HELD))
-        first = rows["frame_id"].iloc[0]
-        self.handle.registerTimer(int(rows.loc[rows["frame_id"] == first, "millis"].max()))
+    def _pieces(self) -> dict[int, int]:
+        """Number of stored pieces per block of frames."""
+        return dict(zip(*self.index.get())) if self.index.exists() else {}
+
+    def _remember(self, pieces: dict[int, int]) -> None:
+        if pieces:
+            self.index.update((list(pieces), list(pieces.values())))
+        else:
+            self.index.clear()
+
+    def _put(self, pieces: dict[int, int], rows: pd.DataFrame) -> None:
+        for block, g in rows.groupby(rows["frame_id"] // BLOCK_FRAMES, sort=True):
+            n = pieces.get(int(block), 0)
+            self.held.updateValue((int(block), n), tuple(g[c].tolist() for c in HELD))
+            pieces[int(block)] = n + 1
+
+    def _load(self, block: int, pieces: dict[int, int]) -> pd.DataFrame:
+        parts = [pd.DataFrame(dict(zip(HELD, self.held.getValue((block, k))))) for k in range(pieces[block])]
+        return pd.concat(parts, ignore_index=True).sort_values(["frame_id", "det_id"])
+
+    def _wake(self, rows: pd.DataFrame) -> None:
+        """Wake up when the watermark passes the lowest of these frames."""
+        self.handle.registerTimer(int(rows.loc[rows["frame_id"] == rows["frame_id"].iloc[0], "millis"].max()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.held.exists():
-            return
-        rows = pd.DataFrame(dict(zip(HELD, self.held.get())))
-        now = timerValues.getCurrentWatermarkInMs()
-        last = rows.groupby("frame_id")["millis"].max()
-        open_ = np.flatnonzero(last.to_numpy() > now)
-        ready = rows if not len(open_) else rows[rows["frame_id"] < last.index[open_[0]]]
-        if not len(ready):
-            return
-        tracker = unpack_tracker(self.cfg, tuple(self.tracks.get()) if self.tracks.exists() else None)
-        for frame, g in ready.groupby("frame_id", sort=True):
-            marks = tracker.update(int(frame), g["x"].to_numpy(), g["y"].to_numpy(), g["class_name"].tolist())
-            yield pd.DataFrame({"survey_id": key[0], "frame_id": int(frame), "det_id": g["det_id"].to_numpy(), "track_id": [i for i, _ in marks], "hits": [h for _, h in marks]})
-        self.tracks.update(pack_tracker(tracker))
-        self.held.clear()
-        if len(ready) < len(rows):
-            self._hold(rows.iloc[len(ready):])
+        now, pieces, tracker = timerValues.getCurrentWatermarkInMs(), self._pieces(), None
+        for block in sorted(pieces):
+            rows = self._load(block, pieces)
+            last = rows.groupby("frame_id")["millis"].max()
+            open_ = np.flatnonzero(last.to_numpy() > now)
+            ready = rows if not len(open_) else rows[rows["frame_id"] < last.index[open_[0]]]
+            if len(ready):
+                if tracker is None:
+                    tracker = unpack_tracker(self.cfg, tuple(self.tracks.get()) if self.tracks.exists() else None)
+                frame, xs, ys, names = (ready[c].to_numpy() for c in ("frame_id", "x", "y", "class_name"))
+                cuts = [0, *(np.flatnonzero(frame[1:] != frame[:-1]) + 1).tolist(), len(ready)]
+                marks = [m for a, b in zip(cuts[:-1], cuts[1:]) for m in tracker.update(int(frame[a]), xs[a:b], ys[a:b], names[a:b].tolist())]
+                yield pd.DataFrame({"survey_id": key[0], "frame_id": frame, "det_id": ready["det_id"].to_numpy(), "track_id": [i for i, _ in marks], "hits": [h for _, h in marks]})
+                for k in range(pieces.pop(block)):
+                    self.held.removeKey((block, k))
+                if len(open_):
+                    self._put(pieces, rows.iloc[len(ready):])
+            if len(open_):
+                self._wake(rows.iloc[len(ready):])
+                break
+        if tracker is not None:
+            self.tracks.update(pack_tracker(tracker))
+            self._remember(pieces)
 
     def close(self) -> None:
         pass
