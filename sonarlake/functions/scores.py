@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .boxes import clip
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once; a plain reference would be evaluated again inside every lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rounded(value: Column, digits: int) -> Column:
     """Half away from zero on the scaled value: a sum that lies a floating error below a tie counts as the tie, as in SQL engines."""
     scale = 10.0 ** digits

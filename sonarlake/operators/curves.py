@@ -34,7 +34,8 @@ def roc_auc(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def ovr_auc(df: DataFrame, truth: str = "y_true") -> DataFrame:
     """One-vs-rest AUC per class from ``probs`` with its support; average it plainly (macro) or by support."""
-    long = df.select(truth, F.posexplode("probs").alias("cls", "score")).withColumn("y", (F.col(truth) == F.col("cls")).cast("int"))
+    # the outer form adds no condition on the array, which would work it out again; rows without one are dropped after it
+    long = df.select(truth, F.posexplode_outer("probs").alias("cls", "score")).filter("cls IS NOT NULL").withColumn("y", (F.col(truth) == F.col("cls")).cast("int"))
     return roc_auc(long, ["cls"])
 
 

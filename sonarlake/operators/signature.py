@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.functions.boxes import clip
+from sonarlake.functions.scores import let
 from sonarlake.operators.cfar import KEY, box_rows, box_totals, sobel_rows
 from sonarlake.plans.durable import durable
 from sonarlake.plans.ordered import exact_quantiles
@@ -193,11 +194,14 @@ def class_scores(df: DataFrame, features: Sequence[str], mean: Sequence[float],
     """Softmax class probabilities ``probs`` (array) of a linear model; the coefficients are literals in the plan."""
     # added in the order of the formula and shifted only where exp could overflow or vanish: classes that tie stay as the plain softmax has them
     z = [sum(((F.col(f) - m) / s * w for f, m, s, w in zip(features, mean, std, row)), F.lit(float(b))) for row, b in zip(coef, intercept)]
-    staged = df.withColumn("_z", F.array(*z)).withColumn("_top", F.array_max("_z"))
-    staged = staged.withColumn("_top", F.when(F.abs("_top") < 600.0, F.lit(0.0)).otherwise(F.col("_top")))
-    staged = staged.withColumn("_e", F.transform("_z", lambda v: F.exp(v - F.col("_top"))))
-    staged = staged.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
-    return staged.withColumn("probs", F.transform("_e", lambda v: v / F.col("_sum"))).drop("_z", "_top", "_e", "_sum")
+
+    # every step is bound once: a plain reference inside a lambda would be evaluated again for each class
+    def shares(v: Column) -> Column:
+        shift = let(F.array_max(v), lambda top: F.when(F.abs(top) < 600.0, F.lit(0.0)).otherwise(top))
+        e = let(shift, lambda by: F.transform(v, lambda x: F.exp(x - by)))
+        return let(e, lambda es: let(F.aggregate(es, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(es, lambda x: x / total)))
+
+    return df.withColumn("probs", let(F.array(*z), shares))
 
 
 def top_classes(df: DataFrame, k: int = 3, classes: Sequence[str] | None = None) -> DataFrame:

@@ -147,3 +147,9 @@ def test_trajectory_stream_gives_every_step(spark):
         n[p.survey_id] = n.get(p.survey_id, 0) + 1
     rows = QUERIES["u02_stream_trajectory"](spark, SF).collect()
     assert len(rows) == len({(r.survey_id, r.ping_id) for r in rows}) == sum(v - 1 for v in n.values())
+
+
+def test_softmax_steps_are_evaluated_once(spark):
+    df = sg.class_scores(spark.createDataFrame([(1.0,)], "a double"), ["a"], [0.0], [1.0], [[1.0], [2.0]], [0.0, 0.0])
+    plan = df.filter("size(probs) > 0").select("probs")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max") == 2  # once in the condition and once in the result
