@@ -5,14 +5,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.plans.durable import discard, save_table
 from sonarlake.plans.ordered import dense_index, running_sums
-from sonarlake.plans.spatial import BOX, best_overlap, box_pairs, pair_iou
+from sonarlake.plans.spatial import BOX, WIDE_TILE, best_overlap, box_pairs, pair_iou
 from sonarlake.plans.totals import with_totals
 
 P_ID, G_ID, KEY = "pred_id", "gt_id", "image_id"
@@ -31,16 +32,69 @@ def ratio(a: Column, b: Column) -> Column:
 def _edges(pred: DataFrame, gt: DataFrame, min_iou: float, keys: Sequence[str]) -> DataFrame:
     """(prediction, pile of identical labels) with IoU at least ``min_iou``; ``cap`` is the size of the pile."""
     piles = gt.groupBy(*keys, *BOX).agg(F.min(G_ID).alias("pile"), F.count(F.lit(1)).alias("cap"))
-    shapes = pred.select(*keys, *BOX).distinct().withColumn("_s", F.struct(*BOX))
+    asked = pred.select(*keys, *BOX, F.struct(P_ID, "conf").alias("_p"))
     tagged = piles.withColumn("_r", F.struct("pile", "cap"))
-    pairs = box_pairs(shapes, tagged, keys, "_s", "_r").withColumn("iou", pair_iou()).filter(F.col("iou") >= min_iou)
-    pairs = pairs.select(*keys, *[F.col(f"l_{c}").alias(c) for c in BOX], "_r.pile", "_r.cap", "iou")
-    ranked = pred.select(*keys, *BOX, P_ID, F.struct((-F.col("conf")).alias("c"), F.col(P_ID).alias("i")).alias("turn"))
-    return ranked.join(pairs, [*keys, *BOX]).select(P_ID, "turn", "pile", "cap", "iou")
-
-
-def _assign(edges: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Each prediction in turn takes the best free label: highest IoU, then lowest label id.
+    pairs = box_pairs(asked, tagged, keys, "_p", "_r", tile=WIDE_TILE).withColumn("iou", pair_iou()).filter(F.col("iou") >= min_iou)
+    turn = F.struct((-F.col("_p.conf")).alias("c"), F.col(f"_p.{P_ID}").alias("i")).alias("turn")
+    return pairs.select(*keys, f"_p.{P_ID}", turn, "_r.pile", "_r.cap", "iou")
+
+
+SMALL_GROUP = 20_000  # edges of a key (image, class) that one task may walk
+
+
+def _walk(keys: Sequence[str], thresholds: Sequence[float]):
+    """The sequential loop over edges sorted by key, turn, IoU descending and label; yields what each prediction takes."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = pred = None
+        used: list[dict[int, int]] = []
+        open_: list[int] = []
+        for b in batches:
+            out = []
+            for *k, p, c, pile, cap, iou in zip(*[b[x].tolist() for x in (*keys, P_ID, "_c", "pile", "cap", "iou")]):
+                if k != key:
+                    key, pred, used = k, None, [{} for _ in thresholds]
+                if p != pred:
+                    pred, open_ = p, list(range(len(thresholds)))
+                if not open_:
+                    continue
+                rest = []
+                for t in open_:
+                    taken = used[t].get(pile, 0)
+                    if iou >= thresholds[t] and taken < cap:
+                        used[t][pile] = taken + 1
+                        out.append((thresholds[t], p, c, pile, cap, iou))
+                    else:
+                        rest.append(t)
+                open_ = rest
+            yield pd.DataFrame(out, columns=["thr", P_ID, "_c", "pile", "cap", "iou"])
+
+    return run
+
+
+def _assign(edges: DataFrame, keys: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """Each prediction in turn takes the best free label, per threshold: highest IoU, then lowest label id.
+
+    Predictions and labels of different keys never meet, so keys with few edges are shuffled once and walked by the task
+    that holds them; keys with more than ``SMALL_GROUP`` edges are solved in rounds.
+    """
+    edges = save_table(edges, "edges")[0]
+    big = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL_GROUP).select(*keys)
+    big = save_table(big, "big")[0]  # at most one row per SMALL_GROUP edges
+    types = dict(edges.dtypes)
+    small = edges.join(F.broadcast(big), list(keys), "left_anti").select(*keys, P_ID, F.col("turn.c").alias("_c"), "pile", "cap", "iou")
+    small = small.repartition(*keys).sortWithinPartitions(*keys, "_c", P_ID, F.col("iou").desc(), "pile")
+    shape = f"thr double, {P_ID} {types[P_ID]}, _c double, pile {types['pile']}, cap bigint, iou double"
+    took = small.mapInPandas(_walk(keys, thresholds), shape).select(
+        "thr", P_ID, F.struct(F.col("_c").alias("c"), F.col(P_ID).alias("i")).alias("turn"), "pile", "cap", "iou")
+    if big.isEmpty():
+        return took
+    reach = F.filter(F.array(*[F.lit(x) for x in thresholds]), lambda x: F.col("iou") >= x)
+    many = edges.join(F.broadcast(big), list(keys), "left_semi").select(P_ID, "turn", "pile", "cap", "iou", F.explode(reach).alias("thr"))
+    return took.unionByName(_rounds(many, ["thr"]))
+
+
+def _rounds(edges: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """The same for groups of any size.
 
     Solved in rounds: every prediction asks for its best remaining label, a label holds the earliest askers up to its
     capacity, and what a label can no longer give is withdrawn. A label only ever improves what it holds, so the result
@@ -71,7 +125,11 @@ def _assign(edges: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 def greedy_match(pred: DataFrame, gt: DataFrame, min_iou: float = 0.5, same_class: bool = True) -> DataFrame:
     """One-to-one matches (image_id, pred_id, gt_id, iou) in prediction order (conf descending, then id)."""
     keys = [KEY, "class_id"] if same_class else [KEY]
-    wish = _assign(_edges(pred, gt, min_iou, keys))
+    return _matches(_edges(pred, gt, min_iou, keys), pred, gt, min_iou, keys)
+
+
+def _matches(edges: DataFrame, pred: DataFrame, gt: DataFrame, min_iou: float, keys: Sequence[str]) -> DataFrame:
+    wish = save_table(_assign(edges, keys, [min_iou]).drop("thr"), "wish")[0]
     return _with_label_ids(wish, gt, keys).join(pred.select(P_ID, KEY), P_ID).select(KEY, P_ID, G_ID, "iou", "turn")
 
 
@@ -93,8 +151,9 @@ def error_analysis(pred: DataFrame, gt: DataFrame, conf: float = 0.25, min_iou:
     Poor localisation looks at the labels still free at the prediction's turn.
     """
     used = pred.filter(F.col("conf") >= conf)
-    matches, _ = save_table(greedy_match(used, gt, min_iou), "matches")
-    near = _edges(used, gt, poor, [KEY, "class_id"]).join(matches.select(P_ID), P_ID, "left_anti")
+    edges, _ = save_table(_edges(used, gt, min(poor, min_iou), [KEY, "class_id"]), "edges")
+    matches, _ = save_table(_matches(edges.filter(F.col("iou") >= min_iou), used, gt, min_iou, [KEY, "class_id"]), "matches")
+    near = edges.filter(F.col("iou") >= poor).join(matches.select(P_ID), P_ID, "left_anti")
     # a pile still has a free label at a turn if fewer of its labels were taken before than it holds
     taken = gt.join(matches.select(G_ID, F.col("turn").alias("_t")), G_ID, "left").groupBy(KEY, "class_id", *BOX).agg(
         F.min(G_ID).alias("pile"), F.count(F.lit(1)).alias("_c"), F.count("_t").alias("_used"), F.max("_t").alias("_lastturn"))
@@ -141,8 +200,7 @@ def true_positive_ranks(pred: DataFrame, gt: DataFrame, thresholds: Sequence[flo
     """
     ths = [round(float(x), 4) for x in thresholds]
     edges = _edges(pred, gt, min(ths), [KEY, "class_id"])
-    reach = F.filter(F.array(*[F.lit(x) for x in ths]), lambda x: F.col("iou") >= x)
-    hits = _assign(edges.withColumn("thr", F.explode(reach)), ["thr"]).select(P_ID, "thr")
+    hits = _assign(edges, [KEY, "class_id"], ths).select(P_ID, "thr")
     ranks = dense_index(pred.select("class_id", P_ID, "conf"), ["class_id"], [F.col("conf").desc(), F.col(P_ID)], "rank", start=1)
     found = dense_index(hits.join(ranks, P_ID).select("class_id", "thr", "rank", P_ID, "conf"), ["class_id", "thr"], ["rank"], "tps", start=1)
     return found.join(gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt")), "class_id")
@@ -216,7 +274,7 @@ def region_hits(gt: DataFrame, det: DataFrame, mode: str = "region", min_iou: fl
         back = [F.col(f"l_{c}").alias(c) for c in BOX]
         on = [KEY, *BOX]
     boxes = gt.select(KEY, *BOX).distinct().withColumn("_r", F.lit(0))
-    pairs = box_pairs(shapes, boxes, [KEY], "_g", "_r")
+    pairs = box_pairs(shapes, boxes, [KEY], "_g", "_r", tile=WIDE_TILE)
     if mode != "region":
         pairs = pairs.filter(pair_iou() >= min_iou)
     found = pairs.groupBy(KEY, *[F.col(f"r_{c}").alias(c) for c in BOX]).agg(F.max("_g").alias("found_by"))

@@ -11,7 +11,7 @@ from sonarlake.config import FusionSettings
 from sonarlake.functions.boxes import centre_inside, clip
 from sonarlake.functions.scores import cfar_evidence, snr_evidence, temperature_scale, weighted_mean
 from sonarlake.plans.durable import durable
-from sonarlake.plans.spatial import BOX, best_overlap, box_pairs, pair_iou
+from sonarlake.plans.spatial import BOX, WIDE_TILE, best_overlap, box_pairs, pair_iou
 
 MATCH_IOU = 0.05
 GATE_IOU = 0.15
@@ -27,7 +27,7 @@ def _spots(df: DataFrame, key: str, ident: str, count: str) -> DataFrame:
 def _pairs_with_counts(left: DataFrame, right: DataFrame, key: str, l_id: str, r_id: str, keep: Column) -> DataFrame:
     ls = _spots(left, key, l_id, "n_left").withColumn("_l", F.struct(l_id, "n_left"))
     rs = _spots(right, key, r_id, "n_right").withColumn("_r", F.struct(r_id, "n_right"))
-    pairs = box_pairs(ls, rs, [key], "_l", "_r").withColumn("iou", pair_iou()).filter(keep)
+    pairs = box_pairs(ls, rs, [key], "_l", "_r", tile=WIDE_TILE).withColumn("iou", pair_iou()).filter(keep)
     return pairs.select(key, f"_l.{l_id}", "_l.n_left", f"_r.{r_id}", "_r.n_right", "iou")
 
 
@@ -182,14 +182,14 @@ def gate_overlap(boxes: DataFrame, candidates: DataFrame, anomalies: DataFrame,
     def first_candidate(left: DataFrame) -> DataFrame:
         lefts = left.select(key, *BOX).distinct().withColumn("_lk", F.struct(*BOX))
         rights = candidates.groupBy(key, *BOX).agg(F.min("cand_id").alias("_rid"))
-        hits = box_pairs(lefts, rights, [key], "_lk", "_rid").filter(pair_iou() > GATE_IOU)
+        hits = box_pairs(lefts, rights, [key], "_lk", "_rid", tile=WIDE_TILE).filter(pair_iou() > GATE_IOU)
         first = hits.groupBy(key, *[F.col(f"l_{c}").alias(c) for c in BOX]).agg(F.min("_rid").alias("cand_id"))
         return left.join(first.hint("merge"), [key, *BOX], "left")
 
     lefts = boxes.select(key, *BOX).distinct().withColumn("_lk", F.struct(*BOX))
     rights = anomalies.groupBy(key, *BOX).agg(F.max("anomaly_score").alias("_score")).withColumn(
         "_rk", F.struct(F.col("_score").alias("s"), *BOX))
-    over = box_pairs(lefts, rights, [key], "_lk", "_rk").filter(pair_iou() > GATE_IOU)
+    over = box_pairs(lefts, rights, [key], "_lk", "_rk", tile=WIDE_TILE).filter(pair_iou() > GATE_IOU)
     over = durable(over.select(key, "_rk", *[f"{s}_{c}" for s in "lr" for c in BOX]), "overlaps")
     best = over.groupBy(key, *[F.col(f"l_{c}").alias(c) for c in BOX]).agg(F.max("_rk.s").alias("ae_score"))
     used_anomaly = over.select(key, *[F.col(f"r_{c}").alias(c) for c in BOX]).distinct()

@@ -39,6 +39,8 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence, name: str =
         .withColumn("_before", F.coalesce(F.sum("_n").over(by_key), F.lit(0)))
         .drop("_n")
     )
+    if not keys:
+        heads = F.broadcast(heads)  # one short row per slice
     return (
         rows.join(heads, [*keys, "_slice"])
         .withColumn(name, F.col("_place") - F.col("_first") + F.col("_before") + F.lit(start))

@@ -16,58 +16,42 @@ from pyspark.sql import functions as F
 from sonarlake.functions.boxes import iou
 
 BASE_TILE = 32.0
+WIDE_TILE = 128.0  # for boxes of whole objects: most touch one or two tiles of one level
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def _level(pad: float) -> Column:
+def _level(pad: float, tile: float) -> Column:
     side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * pad
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1.0)) / BASE_TILE))).cast("int")
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1.0)) / tile))).cast("int")
 
 
-def _tiles(df: DataFrame, pad: float) -> DataFrame:
-    size = F.lit(BASE_TILE) * F.pow(F.lit(2.0), F.col("_level"))
-
-    def span(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor((F.col(lo) - pad) / size), F.floor((F.col(hi) + pad) / size))
-
-    return df.withColumn("_tx", F.explode(span("x1", "x2"))).withColumn("_ty", F.explode(span("y1", "y2")))
-
-
-def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], l_id: str, r_id: str, pad: float = 0.0) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], l_id: str, r_id: str, pad: float = 0.0,
+              tile: float = BASE_TILE) -> DataFrame:
     """Each pair of boxes of one key whose boxes, grown by ``pad``, touch; once per pair.
 
-    Output: keys, ``l_id``, ``r_id`` and the coordinates as ``l_x1 .. r_y2``. A pair is met in several tiles; it is
-    reported by the tile that holds the top-left corner of the overlap only.
+    Output: keys, ``l_id``, ``r_id`` and the coordinates as ``l_x1 .. r_y2``. Both sides are listed at their own level and
+    at the coarser levels that occur on the other side; a pair meets at the coarser of its two levels only, in several
+    tiles of it, and is reported by the tile that holds the top-left corner of the overlap. Three bits per listing tell so:
+    own level, first column and first row of the box; a tile reports a pair if each bit is set on either side.
     """
-    lv_r = right.select(*keys, _level(pad).alias("_level")).distinct()
-    lv_l = left.select(*keys, _level(pad).alias("_level")).distinct()
-
-    def listed(df: DataFrame, ident: str, side: str, levels: DataFrame, strict: bool) -> DataFrame:
-        base = df.select(*keys, F.col(ident).alias(f"{side}_id"), *BOX, _level(pad).alias("_own"))
-        rule = F.col("_own") < F.col("_level") if strict else F.col("_own") <= F.col("_level")
-        return base.join(levels.hint("merge"), list(keys)).filter(rule)
-
-    def own(df: DataFrame, ident: str, side: str) -> DataFrame:
-        return df.select(*keys, F.col(ident).alias(f"{side}_id"), *BOX, _level(pad).alias("_level"))
-
-    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
-        a = _tiles(a.drop("_own"), pad)
-        b = _tiles(b.drop("_own"), pad)
-        on = [*keys, "_level", "_tx", "_ty"]
-        a = a.withColumnsRenamed({c: f"l_{c}" for c in BOX})
-        b = b.withColumnsRenamed({c: f"r_{c}" for c in BOX})
-        size = F.lit(BASE_TILE) * F.pow(F.lit(2.0), F.col("_level"))
-        ox = F.greatest("l_x1", "r_x1") - pad
-        oy = F.greatest("l_y1", "r_y1") - pad
-        touching = ((F.least("l_x2", "r_x2") + pad >= ox) & (F.least("l_y2", "r_y2") + pad >= oy))
-        return (a.join(b.hint("merge"), on).filter(touching)
-                .filter((F.floor(ox / size) == F.col("_tx")) & (F.floor(oy / size) == F.col("_ty")))
-                .drop("_level", "_tx", "_ty"))
-
-    # left boxes listed at the level of the right box (same or coarser), and the reverse for strictly smaller right boxes
-    pairs = meet(listed(left, l_id, "l", lv_r, False), own(right, r_id, "r")).unionByName(
-        meet(own(left, l_id, "l"), listed(right, r_id, "r", lv_l, True)))
-    return pairs.withColumnsRenamed({"l_id": l_id, "r_id": r_id})
+    def levels(df: DataFrame) -> Column:
+        return df.agg(F.collect_set(_level(pad, tile)).alias("_l")).scalar()
+
+    def listed(df: DataFrame, other: DataFrame, ident: str, side: str) -> DataFrame:
+        base = df.select(*keys, F.col(ident).alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in BOX], _level(pad, tile).alias("_own"))
+        base = base.withColumn("_level", F.explode(F.array_union(F.array("_own"), levels(other)))).filter("_level >= _own")
+        size = F.lit(tile) * F.pow(F.lit(2.0), F.col("_level"))
+        for t, c in (("_tx", "x"), ("_ty", "y")):
+            base = base.withColumn("_first", F.floor((F.col(f"{side}_{c}1") - pad) / size))
+            base = base.withColumn(t, F.explode(F.sequence("_first", F.floor((F.col(f"{side}_{c}2") + pad) / size)))).withColumn(
+                f"_at{t}", F.col(t) == F.col("_first"))
+        bits = F.when(F.col("_own") == F.col("_level"), 1).otherwise(0) + F.when(F.col("_at_tx"), 2).otherwise(0) + F.when(F.col("_at_ty"), 4).otherwise(0)
+        return base.withColumn(f"_{side}", bits.cast("byte")).drop("_own", "_first", "_at_tx", "_at_ty")
+
+    pairs = listed(left, right, l_id, "l").join(listed(right, left, r_id, "r").hint("merge"), [*keys, "_level", "_tx", "_ty"])
+    ox, oy = F.greatest("l_x1", "r_x1") - pad, F.greatest("l_y1", "r_y1") - pad
+    pairs = pairs.filter(F.col("_l").bitwiseOR(F.col("_r")) == 7).filter((F.least("l_x2", "r_x2") + pad >= ox) & (F.least("l_y2", "r_y2") + pad >= oy))
+    return pairs.drop("_level", "_tx", "_ty", "_l", "_r").withColumnsRenamed({"l_id": l_id, "r_id": r_id})
 
 
 def pair_iou() -> Column:
@@ -84,7 +68,7 @@ def best_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], r_id: s
     shape = [*keys, *BOX]
     lefts = left.select(*shape).distinct().withColumn("_lk", F.struct(*BOX))
     rights = right.groupBy(*shape).agg(F.min(r_id).alias("_rid"))
-    pairs = box_pairs(lefts, rights, keys, "_lk", "_rid").withColumn("_iou", pair_iou())
+    pairs = box_pairs(lefts, rights, keys, "_lk", "_rid", tile=WIDE_TILE).withColumn("_iou", pair_iou())
     pairs = pairs.filter(accept if accept is not None else F.col("_iou") > min_iou)
     best = pairs.groupBy(*keys, *[F.col(f"l_{c}").alias(c) for c in BOX]).agg(
         F.max(F.struct(F.col("_iou"), (-F.col("_rid")).alias("neg"))).alias("_b"))

@@ -72,8 +72,9 @@ def gt(spark: SparkSession, sf: str) -> DataFrame:
     return base(spark, sf, "orders").selectExpr(*LABEL)
 
 
-PRED_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity",
-              "l_discount", "l_tax"]
+# Lines that tie in these columns give rows that differ in their number only, so the further columns of the SQL's order,
+# which no derived column reads, do not change the table.
+PRED_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def pred(spark: SparkSession, sf: str) -> DataFrame:

@@ -153,3 +153,32 @@ def test_softmax_steps_are_evaluated_once(spark):
     df = sg.class_scores(spark.createDataFrame([(1.0,)], "a double"), ["a"], [0.0], [1.0], [[1.0], [2.0]], [0.0, 0.0])
     plan = df.filter("size(probs) > 0").select("probs")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_max") == 2  # once in the condition and once in the result
+
+
+def test_walk_of_small_groups_equals_rounds_of_large_ones(spark, monkeypatch):
+    import random
+
+    from sonarlake.operators import evaluation as ev
+    rng = random.Random(4)
+    box = lambda: (x := float(rng.randrange(60)), y := float(rng.randrange(60)), x + rng.choice([20.0, 24.0, 30.0]), y + rng.choice([20.0, 25.0]))
+    preds = [(i, i % 3, i % 2, rng.choice([0.3, 0.5, 0.7, 0.9]), *box()) for i in range(240)]
+    labels = [(i, i % 3, i % 2, *box()) for i in range(60)]
+    labels += [(100 + i, *r[1:]) for i, r in enumerate(labels[:12])]  # piles of identical labels
+    pred = spark.createDataFrame(preds, "pred_id long, image_id long, class_id long, conf double, x1 double, y1 double, x2 double, y2 double")
+    gt = spark.createDataFrame(labels, "gt_id long, image_id long, class_id long, x1 double, y1 double, x2 double, y2 double")
+
+    def run():
+        edges = ev._edges(pred, gt, 0.2, ["image_id", "class_id"])
+        return sorted(map(tuple, ev._assign(edges, ["image_id", "class_id"], [0.2, 0.5]).select("thr", "pred_id", "pile", "iou").collect()))
+
+    walked = run()
+    monkeypatch.setattr(ev, "SMALL_GROUP", 0)
+    assert walked == run() and len(walked) > 50
+
+
+def test_box_join_moves_each_side_once(spark, tmp_path):
+    from sonarlake.plans.spatial import box_pairs
+    spark.range(50).selectExpr("id % 5 as image_id", "id as p", "id * 1D as x1", "id * 1D as y1", "id + 40D as x2", "id + 90D as y2").write.parquet(f"{tmp_path}/a")
+    a = spark.read.parquet(f"{tmp_path}/a")
+    plan = box_pairs(a, a.withColumnRenamed("p", "q"), ["image_id"], "p", "q")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1
