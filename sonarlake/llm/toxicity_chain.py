@@ -136,14 +136,8 @@ def _logits(ids: list[np.ndarray], counts: list[np.ndarray], extra: np.ndarray,
     return np.array([bias + float(w[i] @ c) for i, c in zip(ids, counts)]) + extra @ w[size:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", settings: ChainSettings = ChainSettings()) -> ChainModel:
-    """Fit the chain on the bounded sample; features are made on the executors, rare ones are left out.
-
-    Without toxic rows every link gives its prior, which rejects nothing.
-    """
-    s = settings
-    rows = training_rows(docs, labels, label, {"_text": text}, s.max_rows)
-    got = rows.select("doc_id", "label", "_text").mapInPandas(_feature_rows(s), "doc_id long, marks int, ids binary, counts binary").toPandas()
+def _chain(got: pd.DataFrame, s: ChainSettings) -> ChainModel:
+    """The links one after the other over the feature rows of the sample."""
     got = got.sort_values(["doc_id", "marks", "ids"]).reset_index(drop=True)
     size = 1 << s.bits
     ids = [np.frombuffer(x, "i4") for x in got["ids"]]
@@ -172,6 +166,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     return ChainModel(s, bias, words, earlier)
 
 
+def _fit_rows(s: ChainSettings):
+    """One row per link: bias, features with a weight, their weights, weights of the earlier links."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not sum(map(len, parts)):
+            return
+        model = _chain(pd.concat(parts), s)
+        used = [np.flatnonzero(w) for w in model.words]
+        yield pd.DataFrame({"link": range(len(used)), "bias": model.bias, "ids": [u.astype("i4").tobytes() for u in used],
+                            "weights": [w[u].tobytes() for w, u in zip(model.words, used)], "earlier": [e.tobytes() for e in model.earlier]})
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", settings: ChainSettings = ChainSettings()) -> ChainModel:
+    """Fit the chain on the bounded sample; features are made on the executors, rare ones are left out.
+
+    The links need each other's out-of-fold results, so one task fits them over at most ``max_rows`` short feature rows; the
+    driver gets the weights only. Without toxic rows every link gives its prior, which rejects nothing.
+    """
+    s = settings
+    rows = training_rows(docs, labels, label, {"_text": text}, s.max_rows)
+    made = rows.select("doc_id", "label", "_text").mapInPandas(_feature_rows(s), "doc_id long, marks int, ids binary, counts binary")
+    fitted = made.repartition(1).mapInPandas(_fit_rows(s), "link int, bias double, ids binary, weights binary, earlier binary").collect()
+    if not fitted:
+        return _chain(pd.DataFrame({c: [] for c in ("doc_id", "marks", "ids", "counts")}), s)
+    fitted.sort(key=lambda r: r.link)
+    words = np.zeros((len(s.links), 1 << s.bits), "f4")
+    for k, r in enumerate(fitted):
+        words[k, np.frombuffer(r.ids, "i4")] = np.frombuffer(r.weights, "f4")
+    return ChainModel(s, [r.bias for r in fitted], words, [np.frombuffer(r.earlier, "f8") for r in fitted])
+
+
 def score(docs: DataFrame, model: ChainModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, a probability per category, score (toxic as a whole), predicted (0/1) and kept of every row.
 

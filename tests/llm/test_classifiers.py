@@ -71,3 +71,17 @@ def test_training_rows_are_bounded_by_rows_not_ids(spark):
     rows = training_rows(docs, labels, "quality", {"text": "text"}, 50).collect()
     assert len(rows) == 50 == len({r.doc_id for r in rows})
     assert {r.doc_id: r.label for r in training_rows(docs, labels, "quality", {"text": "text"}, 500).collect()}[7] == 0
+
+
+def test_toxicity_fit_brings_no_rows_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"plain words here {i % 5} " + ("idiot trash" if i % 3 == 0 else "fine day")) for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+
+    def refuse(self):
+        raise AssertionError("rows at the driver")
+
+    monkeypatch.setattr(type(docs), "toPandas", refuse)
+    model = toxicity_chain.fit(docs, labels)
+    assert model.words.any() and len(model.bias) == len(model.earlier) == 4
+    empty = toxicity_chain.fit(docs.limit(0), labels)
+    assert not empty.words.any() and len(empty.bias) == 4
