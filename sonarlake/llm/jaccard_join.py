@@ -13,7 +13,8 @@ Candidates are verified exactly, in two steps that never list all pairs of a gro
 
 1. In every bucket of equal segment contents all members are compared with one pivot; verified links join components.
    Buckets that still hold several components do so again with another pivot, a few times: that is linear in the rows of
-   the buckets and joins the groups of near copies whose members differ from the first pivot.
+   the buckets and joins the groups of near copies whose members differ from the first pivot. Buckets of the same members
+   ask the same and are kept once, with their number as weight.
 2. Only buckets that still hold several components are looked at again, with all their members. Above BLOCK members a bucket
    is not compared as a whole. A pair of its documents either shares a cold token (one that at most HOT of the documents of
    such buckets have), and then one among the first n - ceil(t n) + 1 tokens of both, cold ones first: these few tokens are
@@ -25,7 +26,12 @@ Before a pair is verified, parity sketches are compared (one bit per token posit
 sketches differ never exceed the sets' difference, so most pairs are refuted without their texts, those of step 2 inside
 the task and without being emitted.
 
-Passages that very many documents share make hot buckets. Each document is indexed by some segments more than H+1. A
+Each document is indexed by some segments more than H+1, so a linked pair meets not once but in more buckets than the
+fewer of these spares. A pair (pivot, member) meets where the one is the other's pivot, and elsewhere at most as often as
+either is no pivot; a member that is in fewer buckets than any of its bucket's members asks for links with none of them.
+Such pairs and members are dropped by counting, before sketches are sent.
+
+Passages that very many documents share make hot buckets. A
 document whose hot buckets are no more than these extra ones is covered: H+1 of its cold buckets remain, so a partner is
 met there (of two covered documents the one whose indexed range of segments ends first meets the other). In a hot bucket
 step 2 therefore compares a document only if one of the pair is not covered.
@@ -36,12 +42,16 @@ Sets of equal documents are joined first, by a 128-bit hash.
 from __future__ import annotations
 
 import math
+import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,11 +63,13 @@ from .common import pick
 U64 = np.uint64
 SEGMENTS_PER_TOKEN = 0.38  # of the largest size of a band: enough that full-size sets have more than H+1 non-empty segments
 EXTRA = 0.12  # share of segments indexed beyond H+1
+KEY_BITS = 48  # of a bucket's key; two contents of one key cost a comparison, not a result
 BROADCAST_ROWS = 2_000_000  # ids, 16 MB
 PIVOTS = 2  # further pivots per bucket before members are compared with each other
 HOT = 64  # a bucket with more members is hot
 FAN = 4096  # pairs of one document that a task verifies; more are spread
 BLOCK = 2048  # a bucket with more members is compared block with block
+PIECE = 1 << 20  # bytes of a text hashed at a time
 
 
 @dataclass(frozen=True)
@@ -86,19 +98,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+@lru_cache(1)
+def _places(count: int) -> np.ndarray:
+    """An odd factor per place of a byte in its word."""
+    return _mix(np.arange(1, count + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+
+
+_BYTES = _mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+_FACTORS = _mix(np.arange(1, 65, dtype=U64) * U64(0x9FB21C651E98DF25)) | U64(1)
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_BLANK_AT = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of every word, in order: the sum of byte values times place factors, mixed."""
+    raw, out, low = np.frombuffer(bytearray(data), np.uint8), [np.zeros(0, U64)], 0
+    while low < len(data):
+        cut = _BLANK_AT.search(data, low + PIECE)  # a word is never cut
+        high = cut.start() if cut else len(data)
+        inside = np.concatenate([[False], ~_BLANK[raw[low:high]], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        lengths = edges[1::2] - edges[::2]
+        if len(lengths):
+            first = np.cumsum(lengths) - lengths
+            place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+            factors = _places(1 << max(10, int(lengths.max()).bit_length()))
+            out.append(_mix(np.add.reduceat(_BYTES[raw[low:high][inside[1:-1]]] * factors[place], first)))
+        low = high
+    return np.concatenate(out)
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; a shorter text is one shingle of all its words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and the six blanks only
-    if not words:
-        return np.zeros(0, U64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
-    k = min(n, len(words))
-    count = len(words) - k + 1
-    with np.errstate(over="ignore"):
-        out = np.full(count, 0x9E3779B97F4A7C15 + k, U64)
-        for j in range(k):
-            out = _mix(out * U64(0x9FB21C651E98DF25) + h[j:j + count])
-    return np.unique(out)
+    h = _word_hashes((text or "").encode("utf-8", "surrogatepass").lower())  # bytes: A-Z only, and the six blanks only
+    if not len(h):
+        return h
+    k = min(n, len(h))
+    count = len(h) - k + 1
+    out = np.full(count, k, U64)
+    for j in range(k):
+        out += h[j:j + count] * (_FACTORS[j] if j < len(_FACTORS) else _places(1 << n.bit_length())[j])
+    out = np.sort(_mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def band_of(sizes):
@@ -146,14 +187,13 @@ def signatures(tokens: np.ndarray, rule: JaccardRule) -> np.ndarray:
             out += [_mix(content ^ place), _mix((np.repeat(content, sizes)[wide] - mixed[wide]) ^ np.repeat(place, sizes)[wide])]
             if np.minimum(sizes, 2).sum() < need:
                 out.append(_mix(mixed ^ _mix(np.full(n, 77 + band, U64))))
-    return np.unique(np.concatenate(out)).view("int64")
+    return np.unique(np.concatenate(out) >> U64(64 - KEY_BITS)).view("int64")
 
 
 def sketch_bits(n: int) -> int:
     """Bits of the parity sketch: a power of two, so that sketches of two sizes can be folded; 2 to 4 per token, and more
     for small sets, where a near miss must be told from a link by a few tokens."""
-    band = int(band_of(n))
-    return 2048 if band <= 8 else 64 << (band - 5)
+    return max(1024, 64 << max(0, int(band_of(n)) - 5))
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -175,8 +215,7 @@ def fold(matrix: np.ndarray, words: int) -> np.ndarray:
 
 def set_key(tokens: np.ndarray) -> tuple[int, int]:
     """A 128-bit hash of the set."""
-    with np.errstate(over="ignore"):
-        return tuple(int(_mix(tokens ^ U64(s)).sum(dtype=U64).view("int64")) for s in (1, 2))
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(np.ascontiguousarray(tokens)))
 
 
 def _describe(rule: JaccardRule):
@@ -218,18 +257,51 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
 
 
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (sig, row): keep buckets of two and more, with the first member as pivot."""
-    held, pivot, shared = None, 0, False
+BUCKETS = "sig long, pivot long, row long, members array<long>"
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, row) sorted by sig: the buckets of two and more. Of two members: a row without a sig (-1); of up to BLOCK:
+    a row with its sorted members; of more: a row per member, the pivot too, as they come."""
+    names = ["sig", "pivot", "row", "members"]
+
+    def single(sig, pivot, row) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(pivot, pa.int64()), pa.array(row, pa.int64()), pa.nulls(len(row), pa.list_(pa.int64()))], names=names)
+
+    def whole(sig: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = _runs(sig)
+        counts = np.diff(cuts)
+        many = np.repeat(counts > 1, counts)
+        sig, row, counts = sig[many], row[many], counts[counts > 1]
+        row = row[np.lexsort((row, sig))]
+        first = np.cumsum(counts) - counts
+        two = first[counts == 2]
+        if len(two):
+            yield single(np.full(len(two), -1), row[two], row[two + 1])
+        more = counts > 2
+        if more.any():
+            at = first[more]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[more])]), pa.int32()), pa.array(row[np.repeat(more, counts)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(row[at]), pa.array(np.full(len(at), -1)), lists], names=names)
+
+    sig, row, large = np.zeros(0, "i8"), np.zeros(0, "i8"), None  # the last bucket so far; the key and pivot of a large one
     for batch in batches:
-        sig, row = batch["sig"].to_numpy(), batch["row"].to_numpy()
-        new = np.concatenate([[held is None or sig[0] != held], sig[1:] != sig[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        pivots = np.where(at >= 0, row[np.maximum(at, 0)], pivot)
-        keep = ~new
-        out = pd.DataFrame({"sig": sig[keep], "row": row[keep], "pivot": pivots[keep]})
-        yield out[out["row"] != out["pivot"]]
-        held, pivot = sig[-1], pivots[-1]
+        sig, row = np.concatenate([sig, batch["sig"].to_numpy()]), np.concatenate([row, batch["row"].to_numpy()])
+        if large and len(sig):
+            end = int(np.searchsorted(sig, large[0], "right"))
+            yield single(sig[:end], np.full(end, large[1]), row[:end])
+            sig, row = sig[end:], row[end:]
+            large = None if len(sig) else large
+        if not len(sig):
+            continue
+        last = int(np.searchsorted(sig, sig[-1]))
+        yield from whole(sig[:last], row[:last])
+        sig, row = sig[last:], row[last:]
+        if len(sig) > BLOCK:
+            large = (int(sig[0]), int(row.min()))
+            yield single(sig, np.full(len(sig), large[1]), row)
+            sig, row = sig[:0], row[:0]
+    yield from whole(sig, row)
 
 
 def _intersections(left: np.ndarray, right: np.ndarray) -> int:
@@ -515,10 +587,32 @@ def linked_rows(known: DataFrame, rule: JaccardRule = JaccardRule()) -> tuple[Da
         return df.join(other, column, "left").withColumn(column, F.coalesce("_head", column)).drop("_head")
 
     keyed = known.mapInPandas(_index(rule), "sig long, row long")
-    stars = durable(keyed.repartition("sig").sortWithinPartitions("sig", "row").mapInPandas(_stars, "sig long, row long, pivot long"), "buckets")
+    buckets = durable(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_buckets, BUCKETS), "buckets")
     facts = sized.select("row", "n", "sketch")
     texts = known.select("row", "_text")
 
+    # Buckets of equal members are one bucket of that weight. k: members without the pivot, of large ones at least BLOCK.
+    equal = buckets.filter("members IS NOT NULL").groupBy("members").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("w"))
+    members = durable(equal.select("sig", "w", (F.size("members") - 1).alias("k"), F.col("members")[0].alias("pivot"), F.explode("members").alias("row")).unionByName(
+        buckets.filter("members IS NULL AND sig >= 0").select("sig", F.lit(1).cast("long").alias("w"), F.lit(BLOCK).alias("k"), "pivot", "row")), "members")
+    spokes = durable(buckets.filter("sig < 0").groupBy("pivot", "row").agg(F.count(F.lit(1)).alias("c")).unionByName(
+        members.filter("row <> pivot").groupBy("pivot", "row").agg(F.sum("w").alias("c"))).groupBy("pivot", "row").agg(F.sum("c").alias("c")), "spokes")
+    # Of each row: its buckets of three and more, those of them that are hot, and all buckets in which it is not the pivot
+    # (large ones have any member as pivot, so they count in any case).
+    counts = members.groupBy("row").agg(
+        F.sum("w").alias("t"), F.sum(F.when(F.col("k") >= HOT, F.col("w")).otherwise(0)).alias("hot"),
+        F.sum(F.when((F.col("k") >= BLOCK) & (F.col("row") == F.col("pivot")), F.col("w")).otherwise(0)).alias("leads"))
+    about = durable(sized.select("row", "n", "spare").join(counts, "row", "left").join(spokes.groupBy("row").agg(F.sum("c").alias("h")), "row", "left")
+                    .fillna(0, ["t", "hot", "leads", "h"]).select("row", "n", "spare", "t", (F.col("h") + F.col("leads")).alias("h"),
+                                                                  ((F.col("hot") == 0) | (F.col("hot") <= F.col("spare"))).alias("covered")), "about")
+
+    def possible(pairs: DataFrame, meetings) -> DataFrame:
+        """Pairs (pivot, row) of fitting sizes that may meet in more buckets than the fewer of their spares."""
+        for side, key in (("a", "pivot"), ("b", "row")):
+            pairs = pairs.join(about.select(F.col("row").alias(key), *[F.col(c).alias(c + side) for c in ("n", "spare", "t", "h")]), key)
+        fits = rule.part * F.greatest("na", "nb") <= rule.whole * F.least("na", "nb")
+        return pairs.filter(fits & (meetings > F.least("sparea", "spareb"))).select("pivot", "row")
+
     # Step 1: every member of a bucket against a pivot, first the smallest row, then others.
     def really(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a < b)."""
@@ -526,52 +620,47 @@ def linked_rows(known: DataFrame, rule: JaccardRule = JaccardRule()) -> tuple[Da
         with_b = with_a.join(facts.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         return durable(_links(durable(with_b.mapInPandas(_not_refuted(rule), "a long, b long"), "pairs"), texts, rule), "links")
 
-    def linked_to(spokes: DataFrame) -> DataFrame:
+    def linked_to(pairs: DataFrame) -> DataFrame:
         """Links among (pivot, row) pairs."""
-        first = to_head(to_head(spokes.select(F.col("pivot").alias("a"), F.col("row").alias("b")), "a"), "b")
+        first = to_head(to_head(pairs.select(F.col("pivot").alias("a"), F.col("row").alias("b")), "a"), "b")
         first = first.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return really(first)
 
-    def labelled(df: DataFrame, column: str, name: str, comps: DataFrame) -> DataFrame:
-        label = comps.select(F.col("row").alias("_h"), F.col("comp").alias(name))
-        headed = to_head(df.withColumn("_h", F.col(column)), "_h")
-        return headed.join(label, "_h", "left").withColumn(name, F.coalesce(name, "_h")).drop("_h")
+    def labelled(df: DataFrame, comps: DataFrame) -> DataFrame:
+        label = comps.select(F.col("row").alias("_h"), "comp")
+        return to_head(df.withColumn("_h", F.col("row")), "_h").join(label, "_h", "left").withColumn("comp", F.coalesce("comp", "_h")).drop("_h")
 
-    def still_apart(spokes: DataFrame, comps: DataFrame) -> DataFrame:
-        return labelled(labelled(spokes, "row", "c1", comps), "pivot", "c2", comps).filter("c1 <> c2").select("pivot", "row")
-
-    spokes = durable(stars.select("pivot", "row").distinct(), "spokes")
-    links = linked_to(spokes)
+    links = linked_to(possible(spokes, F.col("c") + F.least("ha", F.col("hb") - F.col("c"))))
     comps = durable(components(links), "comps")
-    active = stars  # buckets that may still hold several components; they only get fewer
+
+    # Two that no bucket has as pivot and member meet in buckets of three and more only.
+    counted = members.select("sig", "k", "row").join(about.select("row", "spare", "t", "covered"), "row")
+    few = counted.groupBy("sig").agg(F.min("spare").alias("_s"))
+    active = durable(counted.join(few, "sig").filter("t > _s").select("sig", "k", "row", "covered"), "active")
+
+    def still_mixed(comps: DataFrame) -> DataFrame:
+        """Members, with their components, of buckets that hold several; they only get fewer."""
+        now = labelled(active, comps)
+        sigs = now.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).cast("int").alias("size")).filter("_lo <> _hi")
+        return durable(now.join(sigs.select("sig", "size"), "sig"), "active")
+
     for turn in range(PIVOTS):
-        apart = still_apart(spokes, comps)
-        sigs = active.join(apart, ["pivot", "row"], "left_semi").select("sig").distinct()
-        active = durable(active.join(sigs, "sig", "left_semi"), "active")
-        inside = active.select("sig", "row")
-        other = inside.groupBy("sig").agg(F.min(F.struct(F.xxhash64("row", "sig", F.lit(turn)).alias("h"), F.col("row").alias("pivot"))).alias("_p"), F.count(F.lit(1)).alias("_n"))
-        again = inside.join(other.filter("_n > 1").select("sig", F.col("_p.pivot").alias("pivot")), "sig").filter("pivot <> row").select("pivot", "row").distinct()
-        links = durable(links.union(linked_to(still_apart(again, comps))), "links")
+        mixed = still_mixed(comps)
+        active = mixed.select("sig", "k", "row", "covered")
+        chosen = mixed.filter("size > 2").groupBy("sig").agg(F.min(F.struct(
+            F.xxhash64("row", F.pmod("sig", F.lit(4)), F.lit(turn)).alias("h"), F.col("row").alias("pivot"), F.col("comp").alias("_c"))).alias("_p"))
+        again = mixed.join(chosen.select("sig", "_p.pivot", "_p._c"), "sig").filter("comp <> _c").select("pivot", "row").distinct()
+        links = durable(links.union(linked_to(possible(again, F.least("ta", "tb")))), "links")
         comps = durable(components(links), "comps")
 
-    # Step 2: buckets in which a member and the pivot are still apart.
-    apart = still_apart(spokes, comps)
-    members = stars.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("pivot").alias("pivot"))
-    hot = members.filter(F.col("size") >= HOT).select("sig")
-    in_hot = stars.join(hot, "sig", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("h")).unionByName(
-        members.filter(F.col("size") >= HOT).groupBy(F.col("pivot").alias("row")).agg(F.count(F.lit(1)).alias("h"))).groupBy("row").agg(F.sum("h").alias("h"))
-    bare = durable(sized.select("row", "spare").distinct().join(in_hot, "row").filter("h > spare").select("row"), "bare")  # not covered
-    mixed = active.join(apart, ["pivot", "row"], "left_semi").select("sig").distinct().join(
-        active.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("pivot").alias("pivot")), "sig").select("sig", "size", "pivot")
-    mixed = durable(mixed.filter("size > 1"), "mixed")  # a pivot and one member have been compared
-    inside = (active.join(mixed.select("sig", "size"), "sig").select("sig", "size", "row").unionByName(mixed.select("sig", "size", F.col("pivot").alias("row")))
-              .join(bare.withColumn("_bare", F.lit(True)), "row", "left").withColumn("covered", F.col("_bare").isNull()).drop("_bare"))
-    wanted = inside.groupBy("sig").agg(F.max(~F.col("covered") | (F.col("size") < HOT)).alias("_w")).filter("_w").select("sig")
-    full = labelled(inside.join(wanted, "sig", "left_semi"), "row", "comp", comps)
-    bounded = full.filter(F.col("size") < BLOCK).join(facts, "row").select("sig", "row", "comp", "n", "covered", "sketch")
+    # Step 2: buckets whose members are still apart.
+    mixed = still_mixed(comps)
+    wanted = mixed.groupBy("sig").agg(F.max(~F.col("covered") | (F.col("k") < HOT)).alias("_w")).filter("_w").select("sig")
+    full = mixed.join(wanted, "sig", "left_semi")
+    bounded = full.filter(F.col("size") <= BLOCK).join(facts, "row").select("sig", "row", "comp", "n", "covered", "sketch")
     second = durable(bounded.repartition("sig").sortWithinPartitions("sig").mapInPandas(_cross_pairs(rule), "a long, b long").distinct(), "pairs")
     more = durable(_links(second, texts, rule), "links")
-    large = durable(to_head(full.filter(F.col("size") >= BLOCK), "row").select("sig", "row", "comp", "covered").distinct(), "large")
+    large = durable(to_head(full.filter(F.col("size") > BLOCK), "row").select("sig", "row", "comp", "covered").distinct(), "large")
     if large.limit(1).count():
         more = more.union(_large_links(large, facts, texts, rule, really))
 
