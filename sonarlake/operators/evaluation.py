@@ -398,22 +398,23 @@ def mask_metrics(pred: DataFrame, gt: DataFrame, cell: Sequence[str], keys: Sequ
 
 
 def instance_mask_iou(matches: DataFrame, pred_masks: DataFrame, gt_masks: DataFrame, cell: Sequence[str] = ("row", "col")) -> DataFrame:
-    """Mask IoU of each matched pair: the cells of a row of a mask travel as one list, and rows of both sides meet once.
+    """Mask IoU of each matched pair. A mask is listed by its cells, in whole numbers; a block of 8 x 8 cells travels as the bits of one.
 
     A pair with a mask on neither side is left out.
     """
-    lane, at = cell
     pairs = matches.select(P_ID, G_ID)
-
-    def rows_of(masks: DataFrame, ident: str, name: str) -> DataFrame:
-        rows = masks.groupBy(ident, lane).agg(F.collect_set(at).alias(name))
-        return rows.join(pairs.hint("merge"), ident).select(P_ID, G_ID, lane, name)
-
-    both = rows_of(pred_masks, P_ID, "_p").join(rows_of(gt_masks, G_ID, "_g").hint("merge"), [P_ID, G_ID, lane], "full")
-    sizes = both.select(P_ID, G_ID, F.when(F.col("_p").isNotNull(), F.size("_p")).otherwise(0).alias("_np"), F.when(F.col("_g").isNotNull(), F.size("_g")).otherwise(0).alias("_ng"),
-                        F.when(F.col("_p").isNotNull() & F.col("_g").isNotNull(), F.size(F.array_intersect("_p", "_g"))).otherwise(0).alias("_tp"))
-    s = sizes.groupBy(P_ID, G_ID).agg(*[F.sum(c).alias(c) for c in ("_tp", "_np", "_ng")])
-    return s.select(P_ID, G_ID, ratio(F.col("_tp"), F.col("_np") + F.col("_ng") - F.col("_tp")).alias("iou"))
+    row, col = (F.col(c).cast("bigint") for c in cell)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(row, F.lit(8)) * 8 + F.pmod(col, F.lit(8))).cast("int"))
+    block = [F.shiftright(row, 3).alias("_ty"), F.shiftright(col, 3).alias("_tx")]
+
+    def blocks_of(masks: DataFrame, ident: str, name: str, other: str) -> DataFrame:
+        blocks = masks.groupBy(ident, *block).agg(F.bit_or(bit).alias(name)).join(pairs.hint("merge"), ident)
+        return blocks.select(P_ID, G_ID, "_ty", "_tx", name, F.lit(None).cast("bigint").alias(other))
+
+    both = blocks_of(pred_masks, P_ID, "_p", "_g").unionByName(blocks_of(gt_masks, G_ID, "_g", "_p"))
+    met = both.repartition(P_ID, G_ID).groupBy(P_ID, G_ID, "_ty", "_tx").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("_p", "_g")])
+    s = met.groupBy(P_ID, G_ID).agg(F.sum(F.bit_count(F.col("_p").bitwiseAND(F.col("_g")))).alias("_tp"), F.sum(F.bit_count(F.col("_p").bitwiseOR(F.col("_g")))).alias("_all"))
+    return s.select(P_ID, G_ID, ratio(F.col("_tp"), F.col("_all")).alias("iou"))
 
 
 def mask_iou_summary(ious: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from sonarlake.operators import evaluation as ev
 from sonarlake.operators import models as md
 from sonarlake.operators import review as rv
 from sonarlake.operators import tracking as tr
+from sonarlake.plans.durable import durable
 from sonarlake.plans.ordered import dense_index
 from sonarlake.sources import export as ex
 from sonarlake.sources import files as fl
@@ -371,18 +372,19 @@ def _(spark, sf):
     return ev.mask_metrics(p, g, ["ping", "col"], ["survey_id"]).select("survey_id", "tp", r("precision"), r("recall"), r("iou"), r("dice"))
 
 
-def small_masks(spark, sf):
-    """Mask cells of labels and of predictions at a quarter of the resolution."""
-    def cells_of(df, ident):
-        return df.selectExpr(ident, "explode(sequence(cast(floor(y1 / 4) as bigint), cast(floor(y2 / 4) as bigint))) as row", "x1", "x2").selectExpr(
-            ident, "row", "explode(sequence(cast(floor(x1 / 4) as bigint), cast(floor(x2 / 4) as bigint))) as col").filter("(row * 5 + col * 3) % 11 <> 0")
-    return cells_of(t.pred(spark, sf), "pred_id"), cells_of(t.gt(spark, sf), "gt_id")
+def small_masks(boxes, ident):
+    """Mask cells of boxes at a quarter of the resolution."""
+    return boxes.selectExpr(ident, "explode(sequence(cast(floor(y1 / 4) as bigint), cast(floor(y2 / 4) as bigint))) as row", "x1", "x2").selectExpr(
+        ident, "row", "explode(sequence(cast(floor(x1 / 4) as bigint), cast(floor(x2 / 4) as bigint))) as col").filter("(row * 5 + col * 3) % 11 <> 0")
 
 
 @query("v27_instance_mask_iou")
 def _(spark, sf):
-    p, g = small_masks(spark, sf)
-    return ev.mask_iou_summary(ev.instance_mask_iou(ev.greedy_match(t.pred(spark, sf), t.gt(spark, sf)), p, g))
+    p, g = t.pred(spark, sf), t.gt(spark, sf)
+    matches = durable(ev.greedy_match(p, g).select("pred_id", "gt_id"), "matches")
+    # boxes are drawn once they are matched, since only the masks of matched boxes are compared
+    drawn = lambda boxes, ident: small_masks(boxes.join(matches.select(ident).hint("merge"), ident), ident)
+    return ev.mask_iou_summary(ev.instance_mask_iou(matches, drawn(p, "pred_id"), drawn(g, "gt_id")))
 
 
 @query("c17_parity", "fx_pred", sql="""with a as (select pred_id, conf from fx_pred where pred_id % 50 <> 0), b as (select pred_id, conf * 1.0001e0 as c2 from fx_pred where pred_id % 51 <> 0)
