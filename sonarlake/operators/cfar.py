@@ -9,11 +9,14 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sonarlake.operators.waterfall import histogram
 from sonarlake.plans.durable import discard, durable, save_table
+from sonarlake.plans.groups import first_member, map_groups, numbers, pairs_within, split_by_size
 from sonarlake.plans.iterate import connected_components
 from sonarlake.plans.ordered import with_chunks
 from sonarlake.plans.spatial import BOX, box_pairs
@@ -263,23 +266,44 @@ def near_pairs(boxes: DataFrame, gap_px: float, keys: Sequence[str], ident: str)
     return pairs.filter(F.col("_l") < F.col("_r")).select(*keys, F.col("_l").alias("a"), F.col("_r").alias("b"))
 
 
+def _near_members(gap_px: float):
+    """Rows of whole images with ``_comp``, the same for the boxes that near boxes link."""
+    def work(t: pa.Table, sizes: np.ndarray) -> pa.Table:
+        x1, y1, x2, y2 = (numbers(t, c) for c in BOX)
+        a, b = pairs_within(sizes)
+        pad = gap_px / 2.0
+        near = (np.minimum(x2[a], x2[b]) + pad >= np.maximum(x1[a], x1[b]) - pad) & (np.minimum(y2[a], y2[b]) + pad >= np.maximum(y1[a], y1[b]) - pad)
+        return t.append_column("_comp", pa.array(first_member(t.num_rows, a[near], b[near]), pa.int64()))
+
+    return work
+
+
+def _joined_members(cands: DataFrame, gap_px: float, keys: Sequence[str], ident: str) -> DataFrame:
+    """The same for images of any size."""
+    spot = Window.partitionBy(*keys, *BOX)
+    tagged = cands.withColumn("_node", F.struct(*keys, F.min(ident).over(spot).alias("i")))
+    pairs = near_pairs(cands, gap_px, keys, ident).select(F.struct(*keys, F.col("a").alias("i")).alias("a"), F.struct(*keys, F.col("b").alias("i")).alias("b"))
+    return tagged.join(connected_components(tagged.select("_node").distinct(), pairs, "_node", label="_comp"), "_node").drop("_node")
+
+
 def merge_candidates(cands: DataFrame, gap_px: int = 20, keys: Sequence[str] = ("survey_id",), ident: str = "candidate_id") -> DataFrame:
     """Join fragments of one object: union box, summed area, highest peak and contrast, labels of the largest fragment.
 
     The largest fragment is the one with the highest area, then the lowest id.
     """
-    spot = Window.partitionBy(*keys, *BOX)
-    tagged = cands.withColumn("_node", F.struct(*keys, F.min(ident).over(spot).alias("i")))
-    nodes = tagged.select("_node").distinct()
-    pairs = near_pairs(cands, gap_px, keys, ident).select(F.struct(*keys, F.col("a").alias("i")).alias("a"), F.struct(*keys, F.col("b").alias("i")).alias("b"))
-    comp = connected_components(nodes, pairs, "_node", label="_comp")
-    members = tagged.join(comp, "_node")
     extra = [c for c in cands.columns if c not in (*keys, *BOX, "area", "peak_intensity", "contrast_ratio", "cx", "cy")]
-    merged = members.groupBy(*keys, "_comp").agg(
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("area").alias("area"),
-        F.max("peak_intensity").alias("peak_intensity"), F.max("contrast_ratio").alias("contrast_ratio"),
-        F.count(F.lit(1)).alias("merged_fragments"),
-        F.min(F.struct((-F.col("area")).alias("a"), F.col(ident).alias("i"), F.struct("cx", "cy", *extra).alias("r"))).alias("_lead"))
+
+    def merged_of(members: DataFrame) -> DataFrame:
+        return members.groupBy(*keys, "_comp").agg(
+            F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("area").alias("area"),
+            F.max("peak_intensity").alias("peak_intensity"), F.max("contrast_ratio").alias("contrast_ratio"),
+            F.count(F.lit(1)).alias("merged_fragments"),
+            F.min(F.struct((-F.col("area")).alias("a"), F.col(ident).alias("i"), F.struct("cx", "cy", *extra).alias("r"))).alias("_lead")).drop("_comp")
+
+    (small,), large = split_by_size([cands], keys)
+    merged = merged_of(map_groups(small, keys, [], _near_members(gap_px), StructType([*small.schema.fields, StructField("_comp", LongType())])))
+    if large is not None:
+        merged = merged.unionByName(merged_of(_joined_members(large[0], gap_px, keys, ident)))
     single = F.col("merged_fragments") == 1
     out = merged.select(*keys, *BOX, "area", "peak_intensity", "contrast_ratio", "merged_fragments", "_lead.r.*")
     return out.withColumns({"cx": F.when(single, F.col("cx")).otherwise((F.col("x1") + F.col("x2")) / 2.0),

@@ -21,3 +21,51 @@ def test_mask_iou_moves_blocks_of_cells_as_bits(spark):
     assert {(r.pred_id, r.gt_id): r.iou for r in out.collect()} == {(a, b): len(p[a] & g[b]) / len(p[a] | g[b]) for a, b in pairs if p[a] | g[b]}
     # no lists are gathered and shuffled
     assert "collect_set" not in plan_of(out) and "array_intersect" not in plan_of(out)
+
+
+def near_fragments(seed, n):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x, y = rnd.choice([10.0 * rnd.randrange(30), rnd.uniform(0, 300)]), 10.0 * rnd.randrange(30)
+        rows.append((rnd.choice([1, 1, 2, 3]), i, x, y, x + rnd.choice([4.0, 12.0, 40.0]), y + rnd.choice([3.0, 20.0]), rnd.randrange(5)))
+    rows += [(4, n, 0.0, 0.0, 9.0, 9.0, 1), (4, n + 1, 0.0, 0.0, 9.0, 9.0, 2), (None, n + 2, 5.0, 5.0, 8.0, 8.0, 1), (5, n + 3, 1.0, 1.0, 2.0, 2.0, 0)]
+    return rows
+
+
+def test_fragments_of_small_images_meet_in_one_shuffle(spark, monkeypatch):
+    from sonarlake.operators import cfar as cf
+    from sonarlake.plans import groups
+
+    df = spark.createDataFrame(near_fragments(5, 120), "survey_id int, candidate_id bigint, x1 double, y1 double, x2 double, y2 double, regime int").withColumns(
+        {"area": F.expr("(x2 - x1) * (y2 - y1)"), "peak_intensity": F.expr("candidate_id * 1D"), "contrast_ratio": F.lit(1.0), "cx": F.lit(0.0), "cy": F.lit(0.0)})
+    columns = ["survey_id", "x1", "y1", "x2", "y2", "area", "merged_fragments", "candidate_id", "regime"]
+    out = cf.merge_candidates(df.filter("survey_id is not null"), 6)
+    plan = plan_of(out)
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan  # the images' boxes, then a row per object and task
+    walked = sorted(map(str, out.select(columns).collect()))
+    assert walked == sorted(r for r in map(str, cf.merge_candidates(df, 6).select(columns).collect()) if "survey_id=None" not in r) and len(walked) > 10
+    monkeypatch.setattr(groups, "SMALL", 30)  # some images are walked, some are joined
+    assert walked == sorted(r for r in map(str, cf.merge_candidates(df, 6).select(columns).collect()) if "survey_id=None" not in r)
+    monkeypatch.setattr(groups, "SMALL", 0)
+    assert walked == sorted(r for r in map(str, cf.merge_candidates(df, 6).select(columns).collect()) if "survey_id=None" not in r)
+
+
+def test_groups_are_whole_across_batches_and_slabs(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from sonarlake.plans import groups
+
+    def work(t, sizes):
+        assert (sizes * sizes).sum() <= 200 + sizes.max() ** 2
+        return t.append_column("n", pa.array([int(s) for s in sizes for _ in range(s)], pa.int64()))
+
+    monkeypatch.setattr(groups, "PAIRS", 200)
+    parts = [[(k, i) for k, n in batch for i in range(n)] for batch in ([("a", 3)], [("a", 4), ("b", 1), ("c", 19)], [], [("c", 1), ("d", 9), ("e", 9), ("f", 2)])]
+    batches = [pa.RecordBatch.from_pylist([{"k": k, "i": i} for k, i in p], pa.schema([("k", pa.string()), ("i", pa.int64())])) for p in parts]
+    got = [r for b in groups._whole_groups(["k"], work)(iter(batches)) for r in b.to_pylist()]
+    assert {r["k"]: r["n"] for r in got} == {"a": 7, "b": 1, "c": 20, "d": 9, "e": 9, "f": 2} and len(got) == 48
+    df = spark.range(300).selectExpr("id % 70 as k", "id")
+    out = groups.map_groups(df, ["k"], [F.col("id").desc()], work, StructType([*df.schema.fields, StructField("n", LongType())]))
+    assert sorted((r.k, r.n) for r in out.distinct().collect()) == sorted((i % 70, 5 if i % 70 < 20 else 4) for i in range(300))
