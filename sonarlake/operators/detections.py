@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.operators.cfar import box_totals
+from sonarlake.plans.groups import first_come, iou_of_rows, map_groups, numbers, pairs_within, split_by_size
 from sonarlake.plans.iterate import first_come_set
 from sonarlake.plans.ordered import dense_index, exact_quantiles
 from sonarlake.plans.spatial import BOX, box_pairs, pair_iou
@@ -267,16 +270,39 @@ def newest_first(df: DataFrame, *order: str) -> DataFrame:
 def nms(df: DataFrame, keys: Sequence[str], row_id: str, threshold: float = 0.35, score: str = "conf") -> DataFrame:
     """Keep a box unless it overlaps a better kept box (IoU above ``threshold``); score first, then ``row_id``.
 
+    Rows of small keys are shuffled once with all their columns, so select those that are wanted before.
+    """
+    (small,), large = split_by_size([df], keys)
+    worse = [F.col(score).isNull(), -F.col(score), F.col(row_id)]
+    kept = map_groups(small, keys, worse, _suppress(threshold), small.schema)
+    return kept if large is None else kept.unionByName(_joined_nms(large[0], keys, row_id, threshold, score))
+
+
+def _suppress(threshold: float):
+    """The kept rows of whole keys, whose rows come best first."""
+    def work(t: pa.Table, sizes: np.ndarray) -> pa.Table:
+        box = [numbers(t, c) for c in BOX]
+        a, b = pairs_within(sizes)
+        clash = iou_of_rows(box, a, b) > threshold
+        return t.filter(pa.array(first_come(t.num_rows, a[clash], b[clash])))
+
+    return work
+
+
+def _joined_nms(df: DataFrame, keys: Sequence[str], row_id: str, threshold: float, score: str) -> DataFrame:
+    """The same for keys of any size.
+
     An exact copy always conflicts with its first copy and shares all other conflicts, so piles of copies are reduced to
-    their first member before boxes are paired.
+    their first member before boxes are paired. Boxes without an area conflict with nothing, not even with a copy.
     """
-    firsts = df.groupBy(*keys, *BOX).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(row_id)).alias("n"))).alias("_f"))
-    firsts = firsts.select(*keys, *BOX, F.col("_f.s").alias("_s"), (-F.col("_f.n")).alias("_id"))
-    tagged = firsts.withColumn("_k", F.struct((-F.col("_s")).alias("s"), F.col("_id").alias("i")))
-    pairs = box_pairs(tagged, tagged.withColumnRenamed("_k", "_k2"), keys, "_k", "_k2")
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & F.lit(threshold < 1)
+    empty = F.when(solid, F.lit(None)).otherwise(F.col(row_id)).alias("_e")
+    best = F.min(F.struct(F.col(score).isNull().alias("u"), (-F.col(score)).alias("s"), F.col(row_id).alias("i"))).alias("_k")
+    firsts = df.groupBy(*keys, *BOX, empty).agg(best)
+    pairs = box_pairs(firsts, firsts.withColumnRenamed("_k", "_k2"), keys, "_k", "_k2")
     clash = pairs.filter((F.col("_k") < F.col("_k2")) & (pair_iou() > threshold)).select(
         F.col("_k.i").alias("earlier"), F.col("_k2.i").alias("later"))
-    kept = first_come_set(firsts.select(F.col("_id").alias("id")), clash)
+    kept = first_come_set(firsts.select(F.col("_k.i").alias("id")), clash)
     return df.join(kept.withColumnRenamed("id", row_id), row_id, "left_semi")
 
 

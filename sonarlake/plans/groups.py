@@ -94,7 +94,7 @@ def pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
 
 
-def pair_iou(box: Sequence[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def iou_of_rows(box: Sequence[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """As ``functions.boxes.iou``, for rows a and b."""
     x1, y1, x2, y2 = box
     area = (x2 - x1) * (y2 - y1)

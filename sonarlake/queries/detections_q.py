@@ -264,7 +264,8 @@ w(image_id, n, kept, pred_id, conf, ok) as (
   select k.image_id, k.n, w.kept, k.pred_id, k.conf, not list_has_any(k.better, w.kept) as ok from w join k on k.image_id = w.image_id and k.n = w.n + 1) q)
 select image_id, pred_id, conf from w where ok""")
 def _(spark, sf):
-    return d.nms(t.pred(spark, sf), ["image_id"], "pred_id").select("image_id", "pred_id", "conf")
+    boxes = t.pred(spark, sf).select("image_id", "pred_id", "conf", "x1", "y1", "x2", "y2")
+    return d.nms(boxes, ["image_id"], "pred_id").select("image_id", "pred_id", "conf")
 
 
 @query("g02_merge_tiles", "fx_det", sql="""

@@ -69,3 +69,32 @@ def test_groups_are_whole_across_batches_and_slabs(spark, monkeypatch):
     df = spark.range(300).selectExpr("id % 70 as k", "id")
     out = groups.map_groups(df, ["k"], [F.col("id").desc()], work, StructType([*df.schema.fields, StructField("n", LongType())]))
     assert sorted((r.k, r.n) for r in out.distinct().collect()) == sorted((i % 70, 5 if i % 70 < 20 else 4) for i in range(300))
+
+
+def test_boxes_of_small_images_are_suppressed_in_one_shuffle(spark, monkeypatch):
+    from sonarlake.operators import detections as dt
+    from sonarlake.plans import groups
+
+    rnd = random.Random(6)
+    rows = []
+    for i in range(260):
+        x, y = 7.0 * rnd.randrange(12), rnd.choice([5.0 * rnd.randrange(12), rnd.uniform(0, 60)])
+        rows.append((rnd.choice([1, 1, 1, 2, 3]), i, rnd.choice([0.2, 0.5, 0.9, rnd.random(), None]), x, y, x + rnd.choice([0.0, 12.0, 20.0]), y + rnd.choice([9.0, 18.0])))
+
+    def iou(a, b):
+        inter = max(0.0, min(a[5], b[5]) - max(a[3], b[3])) * max(0.0, min(a[6], b[6]) - max(a[4], b[4]))
+        union = (a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - inter
+        return inter / union if union > 0 else 0.0
+
+    kept = []
+    for q in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0.0), r[1])):
+        if not any(k[0] == q[0] and iou(k, q) > 0.35 for k in kept):
+            kept.append(q)
+    df = spark.createDataFrame(rows, "image_id int, pred_id bigint, conf double, x1 double, y1 double, x2 double, y2 double")
+    out = dt.nms(df, ["image_id"], "pred_id")
+    plan = plan_of(out)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(kept, key=str) and 60 < len(kept) < 240
+    for limit in (60, 0):  # some images, then all, are solved by joins
+        monkeypatch.setattr(groups, "SMALL", limit)
+        assert sorted(map(tuple, dt.nms(df, ["image_id"], "pred_id").collect()), key=str) == sorted(kept, key=str)
