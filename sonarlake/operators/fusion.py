@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from sonarlake.config import FusionSettings
 from sonarlake.functions.boxes import centre_inside, clip
 from sonarlake.functions.scores import cfar_evidence, snr_evidence, temperature_scale, weighted_mean
 from sonarlake.plans.durable import durable
+from sonarlake.plans.groups import iou_of_rows, map_groups, pairs_within, split_by_size
 from sonarlake.plans.spatial import BOX, WIDE_TILE, best_overlap, box_pairs, pair_iou
 
 MATCH_IOU = 0.05
@@ -177,8 +182,64 @@ def gate_overlap(boxes: DataFrame, candidates: DataFrame, anomalies: DataFrame,
 
     ``boxes``: key, box_id, BOX. ``candidates``: key, cand_id, BOX. ``anomalies``: key, anom_id, anomaly_score, BOX.
     The first overlapping candidate in id order is the only one a box or a leftover anomaly uses up; every overlapping
-    anomaly is used up by a box. Candidate order and best scores are taken over collapsed identical boxes.
+    anomaly is used up by a box. Images with few rows are shuffled once and worked on by the task that holds them.
     """
+    given = {"boxes": boxes, "candidates": candidates, "anomalies": anomalies}
+    small, large = split_by_size(list(given.values()), [key])
+    fields = {name: [f for f in df.schema.fields if f.name != key] for name, df in given.items()}
+
+    def tagged(kind: int) -> DataFrame:
+        own = lambda name: F.struct(*[f.name for f in fields[name]]) if name == list(given)[kind] else F.lit(None).cast(StructType(fields[name]))
+        return small[kind].select(key, F.lit(kind).alias("_kind"), *[own(name).alias(name) for name in given])
+
+    rows = tagged(0).unionAll(tagged(1)).unionAll(tagged(2))
+    facts = [StructField("_cand", candidates.schema["cand_id"].dataType), StructField("_score", DoubleType()), StructField("_used", BooleanType())]
+    facing = map_groups(rows, [key], ["_kind", F.col("candidates.cand_id")], _meet, StructType([*rows.schema.fields, *facts]))
+    facing = durable(facing.filter("not _used").drop("_used"), "overlaps")
+    cand, score = F.col("_cand").alias("cand_id"), F.col("_score").alias("ae_score")
+    parts = {name: facing.filter(F.col("_kind") == kind).select(key, f"{name}.*", *more) for kind, (name, more) in enumerate(
+        {"boxes": [cand, score], "candidates": [], "anomalies": [cand]}.items())}
+    if large is None:
+        return parts
+    rest = _joined_overlap(*large, key)
+    return {name: df.unionByName(rest[name]) for name, df in parts.items()}
+
+
+def _meet(t: pa.Table, sizes: np.ndarray) -> pa.Table:
+    """Rows of whole images (boxes, candidates by id, anomalies) with the first candidate, the highest score and what is used up."""
+    kind = t.column("_kind").to_numpy()
+    streams = [t.column(c).combine_chunks() for c in ("boxes", "candidates", "anomalies")]
+    of = lambda c: [pc.struct_field(s, c) for s in streams]
+    box = [np.choose(kind, [f.cast(pa.float64()).to_numpy(zero_copy_only=False) for f in of(c)]) for c in BOX]
+    a, b = pairs_within(sizes)
+    near = (kind[a] != kind[b]) & (iou_of_rows(box, a, b) > GATE_IOU)
+    a, b = a[near], b[near]
+    ids = pc.struct_field(streams[1], "cand_id")
+    named = ids.is_valid().to_numpy(zero_copy_only=False)
+    # boxes come before candidates, candidates before anomalies: a box or an anomaly meets its lowest candidate first
+    score = np.full(len(kind), 0.0)
+    met = (kind[a] == 0) & (kind[b] == 2)
+    scores = pc.struct_field(streams[2], "anomaly_score").cast(pa.float64())
+    known = scores.is_valid().to_numpy(zero_copy_only=False)[b[met]]
+    np.maximum.at(score, a[met][known], scores.to_numpy(zero_copy_only=False)[b[met]][known])
+    used = np.zeros(len(kind), dtype=bool)
+    used[b[met]] = True
+    first = np.full(len(kind), len(kind))
+    for mine, other, here in ((a, b, 0), (b, a, 2)):
+        hit = (kind[mine] == here) & (kind[other] == 1) & named[other]
+        np.minimum.at(first, mine[hit], other[hit])
+    has = (first < len(kind)) & ~used
+    # a candidate is used up wherever its id is
+    image = np.repeat(np.arange(len(sizes)), sizes)
+    codes = np.arange(len(kind)) if pa.types.is_nested(ids.type) else pc.fill_null(ids.dictionary_encode().indices, -1).to_numpy().astype(np.int64)
+    spot = image * (len(kind) + 1) + codes
+    used |= (kind == 1) & named & np.isin(spot, spot[first[has]])
+    cand = ids.take(pa.array(first, pa.int64(), mask=~has))
+    return t.append_column("_cand", cand).append_column("_score", pa.array(score)).append_column("_used", pa.array(used))
+
+
+def _joined_overlap(boxes: DataFrame, candidates: DataFrame, anomalies: DataFrame, key: str) -> dict[str, DataFrame]:
+    """The same for images of any size; candidate order and best scores are taken over collapsed identical boxes."""
     def first_candidate(left: DataFrame) -> DataFrame:
         lefts = left.select(key, *BOX).distinct().withColumn("_lk", F.struct(*BOX))
         rights = candidates.groupBy(key, *BOX).agg(F.min("cand_id").alias("_rid"))

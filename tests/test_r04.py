@@ -98,3 +98,44 @@ def test_boxes_of_small_images_are_suppressed_in_one_shuffle(spark, monkeypatch)
     for limit in (60, 0):  # some images, then all, are solved by joins
         monkeypatch.setattr(groups, "SMALL", limit)
         assert sorted(map(tuple, dt.nms(df, ["image_id"], "pred_id").collect()), key=str) == sorted(kept, key=str)
+
+
+def test_gate_over_small_images_in_one_shuffle(spark, monkeypatch):
+    from sonarlake.operators import fusion as fu
+    from sonarlake.plans import groups
+
+    rnd = random.Random(7)
+
+    def side(n, extra):
+        out = []
+        for i in range(n):
+            x, y = 6.0 * rnd.randrange(20), 6.0 * rnd.randrange(20)
+            out.append((rnd.choice([1, 1, 1, 2, 3]), i, x, y, x + rnd.choice([12.0, 20.0]), y + rnd.choice([9.0, 18.0]), extra()))
+        return out
+
+    b, c, a = side(90, rnd.random), side(80, rnd.random), side(60, lambda: rnd.choice([None, -0.5, rnd.random()]))
+    c += [(1, 200, 0.0, 0.0, 12.0, 9.0, 0.1), (1, 200, 50.0, 50.0, 62.0, 59.0, 0.2), (9, 201, 0.0, 0.0, 5.0, 5.0, 0.3), (None, 202, 0.0, 0.0, 5.0, 5.0, 0.3)]
+
+    def hit(p, q):
+        inter = max(0.0, min(p[4], q[4]) - max(p[2], q[2])) * max(0.0, min(p[5], q[5]) - max(p[3], q[3]))
+        return p[0] == q[0] and inter / ((p[4] - p[2]) * (p[5] - p[3]) + (q[4] - q[2]) * (q[5] - q[3]) - inter) > 0.15
+
+    first = lambda p: min((q[1] for q in c if hit(p, q)), default=None)
+    boxes = [(*p, first(p), max([0.0, *[q[6] for q in a if hit(p, q) and q[6] is not None]])) for p in b]
+    left = [(*q, first(q)) for q in a if not any(hit(p, q) for p in b)]
+    used = {(p[0], p[7]) for p in [*boxes, *left]}
+    want = {"boxes": boxes, "anomalies": left, "candidates": [q for q in c if (q[0], q[1]) not in used]}
+    frame = lambda rows, i, v: spark.createDataFrame(rows, f"image_id int, {i} bigint, x1 double, y1 double, x2 double, y2 double, {v} double")
+    given = frame(b, "box_id", "conf"), frame(c, "cand_id", "contrast_ratio"), frame(a, "anom_id", "anomaly_score")
+    shape = {"boxes": ["box_id", "conf", "cand_id", "ae_score"], "anomalies": ["anom_id", "anomaly_score", "cand_id"], "candidates": ["cand_id", "contrast_ratio"]}
+    plans = []
+    inner = fu.durable
+    monkeypatch.setattr(fu, "durable", lambda df, name: (plans.append(plan_of(df)), inner(df, name))[1])
+    for limit in (1024, 60, 0):  # all images in tasks, some of them, none
+        monkeypatch.setattr(groups, "SMALL", limit)
+        got = fu.gate_overlap(*given)
+        for name, rows in want.items():
+            seen = [tuple(r[k] for k in ("image_id", shape[name][0], "x1", "y1", "x2", "y2", *shape[name][1:])) for r in got[name].collect()]
+            assert sorted(seen, key=str) == sorted(rows, key=str), (limit, name)
+    assert len(left) > 5 and len(want["candidates"]) > 5
+    assert plans[0].count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plans[0]
