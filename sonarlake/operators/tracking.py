@@ -25,17 +25,25 @@ TRACK = ("survey_id", "track_id")
 
 # ---- association ----------------------------------------------------------------------------------------------------------
 
+Motion = tuple[float, float, float, float, float, float]
+
+
+def motion(history: Sequence[tuple[float, float, float]], window: int = 3) -> Motion:
+    """Last x and y, displacement over the last observations, time of its last step and in all (0: at rest)."""
+    obs = history[-(window + 1):]
+    (t0, x0, y0), (t, x, y) = obs[0], obs[-1]
+    if len(obs) < 2 or t - t0 <= 0:
+        return x, y, 0.0, 0.0, 0.0, 0.0
+    return x, y, x - x0, y - y0, (t - obs[-2][0]) or 1.0, t - t0
+
+
 def forecast(history: Sequence[tuple[float, float, float]], step_no: int, window: int = 3) -> tuple[float, float]:
     """Displacement ``step_no`` steps ahead of the last (t, x, y) at the mean velocity of the last observations."""
-    obs = history[-(window + 1):]
-    if len(obs) < 2:
-        return 0.0, 0.0
-    span = obs[-1][0] - obs[0][0]
-    if span <= 0:
+    _, _, dx, dy, step, span = motion(history, window)
+    if not span:
         return 0.0, 0.0
-    step = (obs[-1][0] - obs[-2][0]) or 1.0
     k = step * step_no / span
-    return (obs[-1][1] - obs[0][1]) * k, (obs[-1][2] - obs[0][2]) * k
+    return dx * k, dy * k
 
 
 class FrameTracker:
@@ -61,18 +69,25 @@ class FrameTracker:
         """Track id and hit count per detection of one frame, in input order."""
         self.skip_to(frame)
         cfg, n = self.cfg, len(xs)
+        xs, ys = np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)
+        px, py = xs.tolist(), ys.tolist()
         result: list[tuple[int, int] | None] = [None] * n
         taken: set[int] = set()
-        before = len(self.live)
-        if before and n:
+        if self.live and n:
             expect = np.array([self._expected(tr) for tr in self.live])
-            dist = np.hypot(expect[:, :1] - np.asarray(xs)[None, :], expect[:, 1:] - np.asarray(ys)[None, :])
-            other = np.array([[0.0 if (d == tr["name"] or "Unknown" in str(d)) else cfg.class_penalty for d in names] for tr in self.live])
+            dist = np.hypot(expect[:, :1] - xs[None, :], expect[:, 1:] - ys[None, :])
+            # a detection's class is free of penalty for tracks of that name, or for all if it is unknown
+            code = {name: i for i, name in enumerate(dict.fromkeys(tr["name"] for tr in self.live))}
+            mine = np.array([code[tr["name"]] for tr in self.live])
+            free = np.array([-2 if "Unknown" in str(d) else code.get(d, -1) if isinstance(d, str) else -1 for d in names])
+            other = np.where((mine[:, None] == free[None, :]) | (free == -2)[None, :], 0.0, cfg.class_penalty)
             cost = np.where(dist <= cfg.match_dist_px, dist + other, 1e6)
-            for i, j in matched_pairs(cost, cost < 1e5):
-                if cost[i, j] < 1e5:
+            allowed = cost < 1e5
+            for i, j in matched_pairs(cost, allowed):
+                if allowed[i, j]:
                     tr = self.live[i]
-                    tr["history"] = (tr["history"] + [(float(frame), float(xs[j]), float(ys[j]))])[-(cfg.seq_len + cfg.horizon):]
+                    tr["history"] = (tr["history"] + [(float(frame), px[j], py[j])])[-(cfg.seq_len + cfg.horizon):]
+                    tr["motion"] = motion(tr["history"])
                     tr["hits"] += 1
                     tr["misses"] = 0
                     taken.add(i)
@@ -80,7 +95,7 @@ class FrameTracker:
         fresh = []
         for j in range(n):
             if result[j] is None:
-                fresh.append({"id": self.next_id, "name": str(names[j]), "history": [(float(frame), float(xs[j]), float(ys[j]))], "hits": 1, "misses": 0})
+                fresh.append({"id": self.next_id, "name": str(names[j]), "history": [(float(frame), px[j], py[j])], "hits": 1, "misses": 0})
                 result[j] = (self.next_id, 1)
                 self.next_id += 1
         self._expire(taken)
@@ -88,9 +103,13 @@ class FrameTracker:
         return result
 
     def _expected(self, tr: dict) -> tuple[float, float]:
-        k = min(tr["misses"], self.cfg.horizon - 1)
-        dx, dy = forecast(tr["history"], k + 1)
-        return tr["history"][-1][1] + dx, tr["history"][-1][2] + dy
+        if "motion" not in tr:  # worked out once per observation
+            tr["motion"] = motion(tr["history"])
+        x, y, dx, dy, step, span = tr["motion"]
+        if not span:
+            return x, y
+        k = step * (min(tr["misses"], self.cfg.horizon - 1) + 1) / span
+        return x + dx * k, y + dy * k
 
 
 def segments(dets: DataFrame, max_age: int = 5) -> DataFrame:

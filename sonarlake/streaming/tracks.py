@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,7 +23,8 @@ from sonarlake.operators.tracking import FrameTracker
 #: Frames whose held rows are read together, and rows gathered before they are put into the state.
 BLOCK_FRAMES, PUT_ROWS = 128, 1 << 18
 HELD = ["frame_id", "det_id", "millis", "x", "y", "class_name"]
-HELD_SCHEMA = "frame_id array<bigint>, det_id array<bigint>, millis array<bigint>, x array<double>, y array<double>, class_name array<string>"
+HELD_SCHEMA = "rows binary"  # a piece of a block as an Arrow stream: values are not taken through the state one by one
+HELD_ARROW = pa.schema([(c, pa.float64() if c in "xy" else pa.string() if c == "class_name" else pa.int64()) for c in HELD])
 LIVE_SCHEMA = ("ids array<bigint>, names array<string>, hits array<bigint>, misses array<bigint>, history array<double>, lengths array<bigint>, "
                "next_id bigint, frame bigint")
 OUT_SCHEMA = "survey_id bigint, frame_id bigint, det_id bigint, track_id bigint, hits bigint"
@@ -45,6 +47,19 @@ def unpack_tracker(cfg: TrackSettings, state: tuple | None) -> FrameTracker:
     return FrameTracker(cfg, live, next_id, frame)
 
 
+def packed(rows: pd.DataFrame) -> bytes:
+    out = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pandas(rows, HELD_ARROW, preserve_index=False)
+    with pa.ipc.new_stream(out, HELD_ARROW, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(piece: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(bytes(piece)) as reader:
+        return reader.read_pandas()
+
+
 class HeldFrames(StatefulProcessor):
     def __init__(self, cfg: TrackSettings):
         self.cfg = cfg
@@ -84,11 +99,11 @@ class HeldFrames(StatefulProcessor):
     def _put(self, pieces: dict[int, int], rows: pd.DataFrame) -> None:
         for block, g in rows.groupby(rows["frame_id"] // BLOCK_FRAMES, sort=True):
             n = pieces.get(int(block), 0)
-            self.held.updateValue((int(block), n), tuple(g[c].tolist() for c in HELD))
+            self.held.updateValue((int(block), n), (packed(g),))
             pieces[int(block)] = n + 1
 
     def _load(self, block: int, pieces: dict[int, int]) -> pd.DataFrame:
-        parts = [pd.DataFrame(dict(zip(HELD, self.held.getValue((block, k))))) for k in range(pieces[block])]
+        parts = [unpacked(self.held.getValue((block, k))[0]) for k in range(pieces[block])]
         return pd.concat(parts, ignore_index=True).sort_values(["frame_id", "det_id"])
 
     def _wake(self, rows: pd.DataFrame) -> None:
